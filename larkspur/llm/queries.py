@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from larkspur.llm import topk
+from larkspur.llm import lm, topk, warc
 
 
 def queries() -> dict:
-    return {"op1_exact_topk": topk.op1_exact_topk}
+    return {"op1_exact_topk": topk.op1_exact_topk, "op9_warc": warc.op9_warc, "op10_lm": lm.op10_lm}
 
 
 def oracle_sql() -> dict:
-    return {"op1_exact_topk": topk.OP1_SQL}
+    return {"op1_exact_topk": topk.OP1_SQL, "op9_warc": warc.OP9_SQL}
