@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from larkspur.llm import lm, topk, warc
+from larkspur.llm import lm, topk, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op1_exact_topk": topk.op1_exact_topk, "op9_warc": warc.op9_warc, "op10_lm": lm.op10_lm}
+    return {"op1_exact_topk": topk.op1_exact_topk, "op4_toxicity": toxicity.op4_toxicity, "op9_warc": warc.op9_warc, "op10_lm": lm.op10_lm}
 
 
 def oracle_sql() -> dict:
