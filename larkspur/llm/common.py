@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
+from pyspark import cloudpickle as pickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +55,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> list[tuple[str, int]]:
-    """At most `most` (text, label) pairs, those whose doc_id hashes lowest: the same rows on every run and layout.
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> DataFrame:
+    """At most `most` rows (text, y), those whose doc_id hashes lowest: the same rows on every run and layout.
 
     A doc_id with several label rows takes their largest label; null labels and texts take no part.
     Only ids travel to the sort; the texts of the chosen ones are then read by a broadcast of at most `most` ids.
@@ -67,16 +69,24 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
         .orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
         .limit(most)
     )
-    rows = (
+    return (
         docs.select("doc_id", "text")
         .where(F.col("text").isNotNull())
         .join(F.broadcast(ids), "doc_id")
         .groupBy("doc_id")
         .agg(F.max("text").alias("text"), F.max("y").alias("y"))
-        .orderBy("doc_id")
-        .collect()
+        .select("text", "y")
     )
-    return [(r["text"], r["y"]) for r in rows]
+
+
+def trained(sample: DataFrame, train):
+    """train(list of rows as tuples, sorted) run on the bounded sample in one task, where memory is; its result comes back pickled."""
+
+    def run(frames):
+        rows = sorted(r for f in frames for r in f.itertuples(index=False, name=None))
+        yield pd.DataFrame({"model": [pickle.dumps(train(rows))]})
+
+    return pickle.loads(sample.repartition(1).mapInPandas(run, "model binary").first()["model"])
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

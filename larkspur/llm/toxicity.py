@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fold, label_sample, mix64, table
+from larkspur.llm.common import fold, label_sample, mix64, table, trained
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 16
@@ -30,6 +30,7 @@ WINDOW, STEP = 8, 4
 #: The bound of the training sample: labelled documents, those whose doc_id hashes lowest.
 MOST_LABELLED = 6000
 THRESHOLD = 0.3
+PIECE = 10_000
 #: Occurrences in texts of the sample that an n-gram must have to be learnt.
 LEAST_TEXTS = 8
 
@@ -127,24 +128,40 @@ def train(sample: list[tuple[str, int]], averaged: int = 30, steps: int = 90, ra
     embed = rng.normal(0, 1e-3, (1 << BUCKET_BITS, WIDTH))
     out = rng.normal(0, 0.5, (WIDTH, 2))
     y = np.array([label for _, label in sample], np.float64)
-    if not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max() or not any(map(words_of, (t for t, _ in sample))):
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return Model(embed * 0, out, np.array([0.0, math.log(share / (1 - share))]))
-    lists = [words_of(t) for t, _ in sample]
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    # Words become numbers text by text, and n-grams are kept in pieces of small integers: the driver's memory is small.
     vocabulary: dict[str, int] = {}
-    token = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for ws in lists for w in ws), np.int64, int(n.sum()))
-    size_v = max(1, len(vocabulary))
-    bucket, owner = subwords(list(vocabulary))
-    share = 1 / np.maximum(1, np.bincount(owner, minlength=size_v))
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int32) for t, _ in sample]
+    n, token, size_v = np.array([len(i) for i in ids]), np.concatenate(ids), len(vocabulary)
+    names, parts = list(vocabulary), []
+    del vocabulary, ids
+    for k in range(0, size_v, PIECE):
+        bucket, owner = subwords(names[k : k + PIECE])
+        parts.append((slice(k, min(size_v, k + PIECE)), bucket.astype(np.int32), owner.astype(np.int32)))
+    del names
+    share = np.concatenate([1 / np.maximum(1, np.bincount(o, minlength=at.stop - at.start)) for at, _, o in parts])
+
+    def down(row: np.ndarray) -> np.ndarray:
+        """From values of rows to averages of words."""
+        return np.concatenate([np.bincount(o, row[b], at.stop - at.start) for at, b, o in parts]) * share
+
+    def up(word: np.ndarray) -> np.ndarray:
+        """From values of words to sums of rows."""
+        total = np.zeros(len(embed))
+        for at, b, o in parts:
+            total += np.bincount(b, word[at][o], len(embed))
+        return total
+
     start, size, first = windows(n)
     text_of = np.repeat(np.arange(len(n)), np.diff([*first, len(start)]))
-    pair, times = np.unique(np.repeat(np.arange(len(n)), n) * size_v + token, return_counts=True)
+    pair, times = np.unique(np.repeat(np.arange(len(n)), n) * size_v + token.astype(np.int64), return_counts=True)
     bias = np.array([0.0, math.log(y.mean() / (1 - y.mean()))])
     speed, curve = np.zeros(len(embed)), np.zeros(len(embed))
     for step in range(steps):
         delta = out[:, 1] - out[:, 0]
-        word = np.bincount(owner, (embed @ delta)[bucket], size_v) * share
+        word = down(embed @ delta)
         if step < averaged:
             text, which = pair // size_v, pair % size_v
             weight = times / n[text]
@@ -159,11 +176,11 @@ def train(sample: list[tuple[str, int]], averaged: int = 30, steps: int = 90, ra
             which = token[np.repeat(start[best] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))]
             weight = 1 / each[text]
         miss = 1 / (1 + np.exp(-np.clip(logit + bias[1] - bias[0], -50, 50))) - y
-        grad = np.bincount(bucket, (np.bincount(which, miss[text] * weight, size_v) * share)[owner], len(embed))
+        grad = up(np.bincount(which, miss[text] * weight, size_v) * share)
         if step in (0, averaged) or step % 10 == 0:
-            curve = np.bincount(bucket, (np.bincount(which, weight**2, size_v) * share**2)[owner], len(embed)) + 1e-12
+            curve = up(np.bincount(which, weight**2, size_v) * share**2) + 1e-12
             # Rows that fewer texts need stay as they are: what occurs once or twice would be learnt by heart.
-            curve[np.bincount(bucket, np.bincount(which, minlength=size_v)[owner], len(embed)) < LEAST_TEXTS] = np.inf
+            curve[up(np.bincount(which, minlength=size_v).astype(float)) < LEAST_TEXTS] = np.inf
         speed = 0.9 * speed + grad / curve
         slope = embed.T @ grad
         embed -= rate * speed[:, None] * (delta / (delta @ delta))
@@ -204,7 +221,7 @@ def scored_with(docs: DataFrame, name: str, make) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LABELLED) -> Model:
     """Train on at most `most` labelled documents for which `learn` (a condition on doc_id) holds."""
-    return train(label_sample(docs, labels, "toxic", learn, most))
+    return trained(label_sample(docs, labels, "toxic", learn, most), train)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
