@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import SPACES, joined_bytes, mix64, stored, table
 
 BITS = 512
-#: The longest list of frequent n-grams that is broadcast; how often one must occur to be listed.
-MOST_FREQUENT, LEAST_FREQUENT = 1 << 17, 64
+#: The longest list of frequent n-grams that is broadcast.
+MOST_FREQUENT = 1 << 20
 #: Rows of a frequent n-gram's tile that go to one part.
 PART_ROWS = 2000
 #: Ids up to which a list of documents is broadcast; beyond, they are joined by a shuffle.
@@ -128,8 +128,7 @@ def _repeated(words):
                 held, counts = [h], [n]
         if held:
             h, n = merged()
-            keep = n >= 8
-            h, n = h[keep].astype(np.int64), n[keep]
+            h = h.astype(np.int64)
             for k in range(0, len(h), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 20_000]), pa.array(n[k : k + 20_000])], ["h", "n"])
 
@@ -138,10 +137,16 @@ def _repeated(words):
 
 def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) of the commonest n-grams over all documents, and about how many documents have each."""
-    rows = (
-        docs.mapInArrow(_repeated(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
-        .orderBy(F.col("n").desc(), "h").limit(MOST_FREQUENT).toArrow()
-    )
+    rows = stored(docs.mapInArrow(_repeated(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    # The least count that keeps the list within its bound, from the few sizes that counts have up to a thousand.
+    sizes = sorted(rows.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect(), reverse=True)
+    least, total = 1 << 62, 0
+    for n, k in sizes:
+        total += k
+        if total > MOST_FREQUENT:
+            break
+        least = n
+    rows = rows.where(F.col("n") >= least).toArrow()
     h, n = rows.column("h").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -165,8 +170,8 @@ def _described(words, num, den, shared):
 
     def run(batches):
         hot, times = shared.value
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(hot >> np.uint64(44)).astype(np.int64)] = True
+        maybe = np.zeros(1 << 24, bool)
+        maybe[(hot >> np.uint64(40)).astype(np.int64)] = True
         for ids, texts in _pieces(batches, ["doc_id", "text"]):
             rows = []
             with np.errstate(over="ignore"):
@@ -177,7 +182,7 @@ def _described(words, num, den, shared):
                         rows.append((doc_id, 0, 0, 0, None, None, None))
                         continue
                     p = n - -(-num * n // den) + 1
-                    often = np.flatnonzero(maybe[(h >> np.uint64(44)).astype(np.int64)])
+                    often = np.flatnonzero(maybe[(h >> np.uint64(40)).astype(np.int64)])
                     count = np.zeros(n, np.int64)
                     if len(often) and len(hot):
                         at = np.minimum(np.searchsorted(hot, h[often]), len(hot) - 1)
