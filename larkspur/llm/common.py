@@ -89,6 +89,12 @@ def trained(sample: DataFrame, train):
     return pickle.loads(sample.repartition(1).mapInPandas(run, "model binary").first()["model"])
 
 
+def shipped(spark: SparkSession, thing):
+    """A function that gives `thing` (of bounded size) in a task. It travels by value: executors need not have this package."""
+    sent = spark.sparkContext.broadcast(pickle.dumps(thing))
+    return lambda: pickle.loads(sent.value)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit values."""
     x = x.astype(np.uint64, copy=True)

@@ -14,7 +14,6 @@ The q-grams of all items are broadcast in parts of bounded size.
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import joined_bytes, mix64, table
+from larkspur.llm.common import joined_bytes, shipped, table
 
 Q = 8
 RATE = 0.1
 #: Bytes of benchmark text in one broadcast; larger benchmarks are searched part by part.
 PART_BYTES = 4 << 20
 PIECE = 1 << 22
-_SPACE = re.compile(r"\s+")
 
 
 def plain(text: str | None) -> bytes:
@@ -187,13 +185,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
     start and end are bytes of the lower-cased text with single blanks. Null and empty texts hold nothing; repeated
     rows are searched each; null doc_ids stay null; an empty table gives no rows. Other columns are ignored.
     """
-    sc, schema = docs.sparkSession.sparkContext, "doc_id long, item_id long, edits int, start int, end int"
+    schema = "doc_id long, item_id long, edits int, start int, end int"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
     def searched(shared):
         def run(batches):
-            index = shared.value
+            index = shared()
             for batch in batches:
                 ids, rows = batch.column("doc_id").to_pylist(), []
                 for first, texts in _in_pieces(batch.column("text").to_pylist()):
@@ -203,7 +201,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
 
         return docs.mapInArrow(run, schema)
 
-    found = [searched(sc.broadcast(index)) for index in parts_of(benchmark, rate)]
+    found = [searched(shipped(docs.sparkSession, index)) for index in parts_of(benchmark, rate)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -212,12 +210,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs, all their columns, that hold no passage of any item. Rows are judged where they are: no join, no shuffle."""
-    sc, at = docs.sparkSession.sparkContext, docs.columns.index("text")
+    at = docs.columns.index("text")
     schema = T.StructType(docs.schema.fields)
 
     def kept(df, shared):
         def run(batches):
-            index = shared.value
+            index = shared()
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for first, texts in _in_pieces(batch.column(at).to_pylist()):
@@ -227,7 +225,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
         return df.mapInArrow(run, schema)
 
     for index in parts_of(benchmark, rate):
-        docs = kept(docs, sc.broadcast(index))
+        docs = kept(docs, shipped(docs.sparkSession, index))
     return docs
 
 

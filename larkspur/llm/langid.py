@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import fold, joined_bytes, table
+from larkspur.llm.common import fold, joined_bytes, shipped, table
 
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 8, 8
 SPAN = 128
@@ -168,10 +168,10 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
     docs = docs.drop("lang_pred", "lang_score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     at = docs.columns.index("text")
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
+    sent = shipped(docs.sparkSession, net)  # of fixed size
 
     def run(batches):
-        net = shared.value
+        net = sent()
         for batch in batches:
             texts = batch.column(at).to_pylist()
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)

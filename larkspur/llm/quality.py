@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fold, joined_bytes, label_sample, mix64, table, trained
+from larkspur.llm.common import fold, joined_bytes, label_sample, mix64, shipped, table, trained
 from larkspur.llm.toxicity import scored_with
 
 #: The bound of the training sample: labelled documents, those whose doc_id hashes lowest.
@@ -213,8 +213,7 @@ def train(sample: list[tuple[str, int]], steps: int = 120, rate: float = 0.05, d
 
 def score_quality(docs: DataFrame, field: Field) -> DataFrame:
     """docs with quality_score (0 to 1) for each row; null and empty texts are one empty line. A column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # of fixed size
-    return scored_with(docs, "quality_score", lambda: shared.value)
+    return scored_with(docs, "quality_score", shipped(docs.sparkSession, field))  # of fixed size
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LABELLED) -> Field:

@@ -62,10 +62,8 @@ def counted(docs: DataFrame, versions: dict[str, Callable], sign: int = 1) -> Da
     Null texts count as empty, with no tokens; null sources and langs are keys of their own; repeated rows count each.
     """
     cols = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(versions)
-
     def run(batches):
-        makers = {name: make() for name, make in shared.value.items()}
+        makers = {name: make() for name, make in versions.items()}
         for batch in batches:
             source, lang, texts = *batch.columns[:2], batch.column(2).to_pylist()
             size = pa.array([sign * len(t.encode("utf-8", "replace")) for t in texts], pa.int64())

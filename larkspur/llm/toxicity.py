@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fold, label_sample, mix64, table, trained
+from larkspur.llm.common import fold, label_sample, mix64, shipped, table, trained
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 16
@@ -191,8 +191,8 @@ def train(sample: list[tuple[str, int]], averaged: int = 30, steps: int = 90, ra
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """docs with toxic_score (0 to 1) for each row; null and empty texts get the score of no words. A column of that name is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    return scored_with(docs, "toxic_score", lambda: shared.value.scorer())
+    sent = shipped(docs.sparkSession, model)  # of fixed size
+    return scored_with(docs, "toxic_score", lambda: sent().scorer())
 
 
 def scored_with(docs: DataFrame, name: str, make) -> DataFrame:
