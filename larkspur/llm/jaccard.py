@@ -11,7 +11,8 @@ equal sets are one class; classes are joined:
   counts over all documents, is broadcast. The list decides work, not results.
 * Signatures. A class has a bitmap with the parity of the number of its hashes
   in each of 512 places. The bits in which two bitmaps differ are at most the
-  elements in which the sets differ, which bounds the overlap from above.
+  elements in which the sets differ, which bounds the overlap from above. What
+  passes is bounded again by bitmaps as wide as the sets.
 * Verification. Pairs that pass are verified by intersecting the sorted arrays
   of hashes, which are made from the texts of those documents alone.
 
@@ -154,15 +155,29 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 # -- classes -----------------------------------------------------------------
 
-ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
+ROWS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.binary()), ("wide", pa.binary()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32()))])
 
 
 def digest(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix64(h ^ np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (0x51ED270B, 0xC2B2AE3D27D4EB4F))
 
 
-def bitmap(h: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+def bitmap(h: np.ndarray, bits: int = BITS) -> bytes:
+    return np.packbits(np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def wide_bits(n: int) -> int:
+    """Places of a bitmap in which sets of n elements still differ visibly: a power of two, so that wider ones fold onto narrower."""
+    return max(BITS, 1 << (n - 1).bit_length())
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Differing bits of two bitmaps, the longer one folded; at most the elements in which the sets differ."""
+    a, b = (np.frombuffer(z, np.uint64) for z in (x, y))
+    if len(a) < len(b):
+        a, b = b, a
+    a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _described(words, num, den, shared):
@@ -179,7 +194,7 @@ def _described(words, num, den, shared):
                 for doc_id, h in zip(ids, sets, strict=True):
                     n = len(h)
                     if not n:
-                        rows.append((doc_id, 0, 0, 0, None, None, None))
+                        rows.append((doc_id, 0, 0, 0, None, None, None, None))
                         continue
                     p = n - -(-num * n // den) + 1
                     often = np.flatnonzero(maybe[(h >> np.uint64(40)).astype(np.int64)])
@@ -188,7 +203,7 @@ def _described(words, num, den, shared):
                         at = np.minimum(np.searchsorted(hot, h[often]), len(hot) - 1)
                         count[often] = np.where(hot[at] == h[often], times[at], 0)
                     pick = np.lexsort((h, count))[:p] if count.any() else np.arange(p)
-                    rows.append((doc_id, n, *digest(h), bitmap(h), h[pick].astype(np.int64), (1 + count[pick] // PART_ROWS).astype(np.int32)))
+                    rows.append((doc_id, n, *digest(h), bitmap(h), bitmap(h, wide_bits(n)) if n > BITS else None, h[pick].astype(np.int64), (1 + count[pick] // PART_ROWS).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROWS, strict=True)], schema=ROWS)
 
     return run
@@ -343,8 +358,26 @@ def _verified(num, den):
     return run
 
 
+def _narrowed(num, den):
+    def run(batches):
+        for batch in batches:
+            n = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)
+            bits = zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True)
+            keep = [(den + num) * differing(x, y) <= (den - num) * (a + b) for (a, b), (x, y) in zip(n, bits, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def narrowed(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that bitmaps as wide as the sets leave over: long documents fill the bitmaps of the tiles."""
+    side = [classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.coalesce("x.wide", "x.bits").alias(f"x{c}")) for c in "ab"]
+    return stored(pairs.join(side[0], "a").join(side[1], "b").mapInArrow(_narrowed(num, den), "a long, b long"), "narrowed")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs of classes (a, b) that are similar, by exact intersection of their sets."""
+    pairs = narrowed(pairs, classes, num, den)
     need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     who = stored(classes.select("cid", "d1", "d2", "n", "id").join(need, "cid"), "needed")
     ids = who.select(F.coalesce("id", F.lit(-1)).alias("id")).distinct()
@@ -415,11 +448,11 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     num, den = percent, 100
     shared = spark.sparkContext.broadcast(frequent(docs.select("text"), words))  # at most MOST_FREQUENT entries
-    schema = "doc_id long, n int, d1 long, d2 long, bits binary, prefix array<long>, parts array<int>"
+    schema = "doc_id long, n int, d1 long, d2 long, bits binary, wide binary, prefix array<long>, parts array<int>"
     rows = stored(docs.mapInArrow(_described(words, num, den, shared), schema), "rows")
     classes = (
         rows.where("n > 0").groupBy("d1", "d2", "n")
-        .agg(F.min("doc_id").alias("id"), F.count("*").alias("n_class"), F.min(F.struct("bits", "prefix", "parts")).alias("x"))
+        .agg(F.min("doc_id").alias("id"), F.count("*").alias("n_class"), F.min(F.struct("bits", "wide", "prefix", "parts")).alias("x"))
         .select(F.monotonically_increasing_id().alias("cid"), "*")
     )
     classes = stored(classes, "classes")
