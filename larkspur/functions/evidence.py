@@ -75,10 +75,10 @@ def checked_multiply(a: Column, b: Column) -> Column:
 
 
 def model_floats(vocab: Column, embed: Column, layers: Column, kv: Column, ffn: Column) -> Column:
-    """Parameters of a decoder: embeddings twice, and per layer two square maps, three of the feed-forward, two of keys and values, two norms. Null for sizes of zero and on overflow."""
+    """Parameters of a decoder: embeddings twice, a last norm, and per layer two square maps, three of the feed-forward, two of keys and values, two norms. Null for sizes of zero and on overflow."""
     v, e, n, k, f = (x.cast("bigint") for x in (vocab, embed, layers, kv, ffn))
     twice = F.lit(2).cast("bigint")
     square, feed, keys = F.try_multiply(e, e), F.try_multiply(f, e), F.try_multiply(k, e)
     layer = F.try_add(F.try_add(F.try_multiply(twice, square), F.try_multiply(F.lit(3).cast("bigint"), feed)), F.try_add(F.try_multiply(twice, keys), F.try_multiply(twice, e)))
-    total = F.try_add(F.try_multiply(layer, n), F.try_multiply(twice, F.try_multiply(v, e)))
+    total = F.try_add(F.try_add(F.try_multiply(layer, n), F.try_multiply(twice, F.try_multiply(v, e))), e)
     return F.when((v > 0) & (e > 0) & (n > 0) & (k > 0) & (f > 0), total)

@@ -65,10 +65,10 @@ def extracted(pages: DataFrame) -> DataFrame:
 def crawl(pages: DataFrame, start: DataFrame, max_depth: int = 2, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """url, depth of every page that is reached in a closed world of pages (url, html), breadth first from `start` (url).
 
-    One step per depth; a link is followed from pages above max_depth. URLs without a page stay in the result as
+    One step per depth; a link is followed from pages above max_depth, and those of all pages of one URL count. URLs without a page stay in the result as
     frontier (fetched false). `checkpoint` may cut lineage between steps.
     """
-    found = pages.where("html IS NOT NULL AND html <> ''").select(canonical(F.col("url")).alias("url"), "html").where("url IS NOT NULL").dropDuplicates(["url"])
+    found = pages.where("html IS NOT NULL AND html <> ''").select(canonical(F.col("url")).alias("url"), "html").where("url IS NOT NULL")
     links = found.select("url", F.explode(html_links(F.col("html"))).alias("ref")).select("url", resolved(F.col("url"), F.col("ref")).alias("target")).where("target IS NOT NULL").distinct()
     level = seeds(start)
     reached = level
@@ -76,4 +76,4 @@ def crawl(pages: DataFrame, start: DataFrame, max_depth: int = 2, checkpoint: Ca
         level = links.join(level.select("url"), "url", "left_semi").select(F.col("target").alias("url")).distinct().join(reached, "url", "left_anti").withColumn("depth", F.lit(depth))
         level = checkpoint(level)
         reached = reached.unionByName(level)
-    return reached.join(found.select("url", F.lit(True).alias("fetched")), "url", "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
+    return reached.join(found.select("url").distinct().withColumn("fetched", F.lit(True)), "url", "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))

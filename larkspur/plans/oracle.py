@@ -130,9 +130,9 @@ ROBOTS = ", ".join(f"({i}, {str(x[3]).upper()})" for i, x in enumerate(c.ROBOTS)
 
 
 def layout(v: int, e: int, n: int, k: int, f: int) -> str:
-    floats = n * (2 * e * e + 3 * f * e + 2 * k * e + 2 * e) + 2 * v * e if min(v, e, n, k, f) > 0 else None
+    floats = n * (2 * e * e + 3 * f * e + 2 * k * e + 2 * e) + 2 * v * e + e if min(v, e, n, k, f) > 0 else None
     fits = [x if x is not None and x < 1 << 63 else None for x in (floats, None if floats is None else 4 * floats)]
-    return f"({v}, {e}, {n}, {k}, {f}, " + ", ".join("NULL" if x is None else str(x) for x in fits) + ")"
+    return "(" + ", ".join(f"CAST({x} AS BIGINT)" for x in (v, e, n, k, f)) + ", " + ", ".join("NULL" if x is None else str(x) for x in fits) + ")"
 
 
 def oracle_sql() -> dict[str, str]:
