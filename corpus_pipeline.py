@@ -27,6 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter and a language told with some certainty. The network learns from two folds in three."""
     net = langid.train(langid.language_sample(docs, fold(F.col("doc_id"), 3) != 1))
+    if not net.languages:  # nothing to learn from: only texts without a letter are known to have no language
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     told = langid.identify(docs, net)
     return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_CERTAIN)).select(*docs.columns)
 

@@ -86,7 +86,8 @@ def trained(sample: DataFrame, train):
         rows = sorted(r for f in frames for r in f.itertuples(index=False, name=None))
         yield pd.DataFrame({"model": [pickle.dumps(train(rows))]})
 
-    return pickle.loads(sample.repartition(1).mapInPandas(run, "model binary").first()["model"])
+    made = sample.repartition(1).mapInPandas(run, "model binary").first()
+    return train([]) if made is None else pickle.loads(made["model"])  # of an empty sample no task may be made
 
 
 def shipped(spark: SparkSession, thing):
@@ -112,10 +113,12 @@ def joined_bytes(texts: list[bytes], gap: bytes = b" ") -> tuple[np.ndarray, np.
     return np.frombuffer(gap.join([*texts, b""]), np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def batches(frames, column: str, most_bytes: int = 1 << 22):
-    """The rows of an iterator of pandas frames, dealt anew so that a piece has about most_bytes of text (one row at least)."""
-    for frame in frames:
-        sizes = frame[column].map(lambda x: len(x) if isinstance(x, (str, bytes)) else 0).to_numpy()
-        cut = np.cumsum(sizes) // most_bytes
-        for k in np.unique(cut) if len(frame) else ():
-            yield frame[cut == k].reset_index(drop=True)
+def slices(batch, column: int | str, most_bytes: int):
+    """(first row, part of the Arrow batch) with about most_bytes in a text column, one row at least: only a part at a time becomes Python objects."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // most_bytes
+    starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
+    for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
+        yield int(a), batch.slice(a, b - a)

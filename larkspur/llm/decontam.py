@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import joined_bytes, shipped, table
+from larkspur.llm.common import joined_bytes, shipped, slices, table
 
 Q = 8
 RATE = 0.1
 #: Bytes of benchmark text in one broadcast; larger benchmarks are searched part by part.
 PART_BYTES = 4 << 20
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def plain(text: str | None) -> bytes:
@@ -167,16 +167,10 @@ def parts_of(benchmark: DataFrame, rate: float = RATE) -> list[Index]:
         yield Index([(r["i"], r["t"]) for r in items], rate)
 
 
-def _in_pieces(texts: list[str | None]):
+def _in_pieces(batch, column):
     """(first row, normalised texts) in pieces of about PIECE bytes."""
-    held, first, size = [], 0, 0
-    for k, t in enumerate(texts):
-        x = plain(t)
-        held.append(x)
-        size += len(x)
-        if size >= PIECE or k + 1 == len(texts):
-            yield first, held
-            held, first, size = [], k + 1, 0
+    for first, part in slices(batch, column, PIECE):
+        yield first, [plain(t) for t in part.column(column).to_pylist()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -194,7 +188,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
             index = shared()
             for batch in batches:
                 ids, rows = batch.column("doc_id").to_pylist(), []
-                for first, texts in _in_pieces(batch.column("text").to_pylist()):
+                for first, texts in _in_pieces(batch, "text"):
                     rows += [(ids[first + t], index.ids[i], *rest) for t, i, *rest in index.matches(texts)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "edits", "start", "end"])
@@ -218,7 +212,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
             index = shared()
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for first, texts in _in_pieces(batch.column(at).to_pylist()):
+                for first, texts in _in_pieces(batch, at):
                     clean[[first + m[0] for m in index.matches(texts)]] = False
                 yield batch.filter(pa.array(clean))
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import SPACES, joined_bytes, mix64, stored, table
+from larkspur.llm.common import SPACES, joined_bytes, mix64, slices, stored, table
 
 BITS = 512
 #: The longest list of frequent n-grams that is broadcast.
@@ -45,7 +45,7 @@ PART_ROWS = 2000
 BROADCAST_ROWS = 1 << 20
 #: First round: how many nearest sizes, and how many first members of the tile, a class looks at.
 NEAR, FIRST = 48, 16
-PIECE = 1 << 22
+PIECE = 1 << 21
 
 _IS_SPACE = np.isin(np.arange(256), list(SPACES))
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0xA5A5))
@@ -95,16 +95,10 @@ def power_of(k: int) -> np.uint64:
 
 def _pieces(batches, columns):
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in columns]
-        cols[-1] = [(x or b"").lower() for x in cols[-1]]
-        at = size = 0
-        for k, x in enumerate(cols[-1]):
-            size += len(x)
-            if size >= PIECE:
-                yield [c[at : k + 1] for c in cols]
-                at, size = k + 1, 0
-        if at < len(cols[-1]):
-            yield [c[at:] for c in cols]
+        for _, part in slices(batch, columns[-1], PIECE):
+            cols = [part.column(c).to_pylist() for c in columns]
+            cols[-1] = [(x or b"").lower() for x in cols[-1]]
+            yield cols
 
 
 # -- frequent n-grams --------------------------------------------------------

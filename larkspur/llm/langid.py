@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import fold, joined_bytes, shipped, table
+from larkspur.llm.common import fold, joined_bytes, shipped, slices, table
 
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 8, 8
 SPAN = 128
@@ -92,7 +92,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(sample: list[tuple[bytes, str]], epochs: int = 6, batch: int = 128, rate: float = 0.004, seed: int = 5) -> Network:
+def train(sample: list[tuple[bytes, str]], steps: int = 450, batch: int = 128, rate: float = 0.004, seed: int = 5) -> Network:
     """Adam on the cross-entropy of windows, each weighted so that languages count alike. One language or none needs no training."""
     net = Network(sorted({lang for _, lang in sample}), seed)
     if len(net.languages) < 2:
@@ -109,7 +109,7 @@ def train(sample: list[tuple[bytes, str]], epochs: int = 6, batch: int = 128, ra
     params = [net.table, *net.kernels.values(), net.shift, net.out, net.bias]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     step = 0
-    for _ in range(epochs):
+    while step < steps:  # whole rounds over the sample, more of a small one
         order = rng.permutation(len(x))
         for k in range(0, len(x), batch):
             i = order[k : k + batch]
@@ -173,17 +173,13 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches):
         net = sent()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            some = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)] if net.languages else []
-            k = size = 0
-            for j, i in enumerate(some):
-                size += len(texts[i])
-                if size > 1 << 20 or j + 1 == len(some):
-                    best, score = net.predict([texts[x].encode("utf-8", "replace") for x in some[k : j + 1]])
-                    for x, b, s in zip(some[k : j + 1], best, score, strict=True):
-                        langs[x], scores[x] = net.languages[b], float(s)
-                    k, size = j + 1, 0
+            langs, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+            for first, part in slices(batch, at, 1 << 20) if net.languages else ():
+                texts = part.column(at).to_pylist()
+                some = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
+                if some:
+                    for i, b, s in zip(some, *net.predict([texts[i].encode("utf-8", "replace") for i in some]), strict=True):
+                        langs[first + i], scores[first + i] = net.languages[b], float(s)
             new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "lang_score"])
 

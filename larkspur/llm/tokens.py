@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import scratch, table
+from larkspur.llm.common import scratch, slices, table
 
 KEY = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_bytes"]
@@ -64,13 +64,13 @@ def counted(docs: DataFrame, versions: dict[str, Callable], sign: int = 1) -> Da
     cols = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     def run(batches):
         makers = {name: make() for name, make in versions.items()}
-        for batch in batches:
-            source, lang, texts = *batch.columns[:2], batch.column(2).to_pylist()
+        for part in (p for b in batches for _, p in slices(b, 2, 1 << 21)):
+            source, lang, texts = *part.columns[:2], part.column(2).to_pylist()
             size = pa.array([sign * len(t.encode("utf-8", "replace")) for t in texts], pa.int64())
-            one = pa.array([sign] * batch.num_rows, pa.int64())
+            one = pa.array([sign] * part.num_rows, pa.int64())
             for name, count in makers.items():
                 n = pa.array([sign * count(t) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([source, lang, pa.array([name] * batch.num_rows, pa.string()), one, n, size], [*KEY, *SUMS])
+                yield pa.RecordBatch.from_arrays([source, lang, pa.array([name] * part.num_rows, pa.string()), one, n, size], [*KEY, *SUMS])
 
     return cols.mapInArrow(run, SCHEMA)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fold, label_sample, mix64, shipped, table, trained
+from larkspur.llm.common import fold, label_sample, mix64, shipped, slices, table, trained
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 16
@@ -102,7 +102,7 @@ class Model:
             values = list(map(known.get, flat))
             if None in values:
                 new = list({w for w, v in zip(flat, values, strict=True) if v is None})
-                if len(known) > 500_000:
+                if len(known) > 300_000:
                     known.clear()
                     new = list(set(flat))
                 for k in range(0, len(new), 50_000):
@@ -206,13 +206,7 @@ def scored_with(docs: DataFrame, name: str, make) -> DataFrame:
     def run(batches):
         score = make()
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            done, k, size = [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size > 1 << 21 or i + 1 == len(texts):
-                    done.append(score(texts[k : i + 1]))
-                    k, size = i + 1, 0
+            done = [score(part.column(at).to_pylist()) for _, part in slices(batch, at, 1 << 20)]
             new = pa.array(np.concatenate(done) if done else np.empty(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, name])
 
