@@ -12,9 +12,10 @@ if its cosine with the query is at least t / (|q| * l), the local threshold:
 
 What is left is verified by exact integer products.
 
-Buckets meet blocks of queries, never single rows: bucket rows hold packed
-matrices, each block of queries visits every bucket once, and each (block,
-bucket) meeting sends on at most k rows for a query.
+Buckets meet blocks of queries, never single rows: both are packed matrices,
+dealt into the cells of a grid so that each block of queries meets each bucket
+once. A cell holds a few blocks of queries and lets its buckets pass, longest
+first; the bounds rise as it goes, and it sends on k rows for a query at most.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from larkspur.llm.common import stored, table
 PACKED = "block long, dim int, longest double, ids binary, vecs binary"
 #: Local cosine thresholds from which coordinate pruning is tried, and how many coordinates it looks at.
 COORDINATE_FROM, FOCUS = 0.6, 3
+#: Query blocks that a cell of the grid holds.
+CELL_BLOCKS = 4
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 64) -> DataFrame:
@@ -81,14 +84,50 @@ def _block(number: int, dim: int, rows: pd.DataFrame) -> pd.DataFrame:
             "dim": [dim],
             "longest": [float(rows["len"].max())],
             "ids": [rows["id"].to_numpy(np.int64).tobytes()],
-            "vecs": [vecs.tobytes()],
+            "vecs": [vecs.astype(_narrowest(vecs)).tobytes()],
         }
     )
 
 
+def _narrowest(x: np.ndarray):
+    """The smallest kind of integer that holds these."""
+    low, high = int(x.min(initial=0)), int(x.max(initial=0))
+    return next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+
+
 def _matrix(ids: bytes, vecs: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(vecs, np.int64).reshape(len(i), dim)
+    wide = len(vecs) // max(1, len(i) * dim)
+    return i, np.frombuffer(vecs, f"i{wide or 8}").reshape(len(i), dim).astype(np.int64)
+
+
+LOWEST = np.iinfo(np.int64).min // 2
+
+
+class Block:
+    """Queries with the k best seen so far; `bound` is each one's k-th best."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, k: int):
+        self.ids, self.vecs, self.k = ids, vecs, k
+        self.bound = np.full(len(ids), LOWEST, np.int64)
+        self.best = (np.empty(0, np.int64),) * 3  # query number, vec_id, score
+
+    def meet(self, ids: np.ndarray, vecs: np.ndarray) -> None:
+        *found, _ = search_bucket(self.ids, self.vecs, self.bound, ids, vecs, self.k)
+        q, i, s = (np.concatenate(x) for x in zip(self.best, found, strict=True))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.k - 1
+        self.bound[q[last]] = np.maximum(self.bound[q[last]], s[last])
+        self.best = tuple(x[rank < self.k] for x in (q, i, s))
+
+    def seed(self, ids: np.ndarray, vecs: np.ndarray) -> None:
+        """First bounds from some vectors, which are met again later."""
+        if len(ids) > self.k:
+            s = products(self.vecs, vecs)
+            s[self.ids[:, None] == ids[None, :]] = LOWEST
+            self.bound = np.maximum(self.bound, np.partition(s, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -185,38 +224,50 @@ def top_k(
     rows = stored(quantized(vectors, id_col, vec_col, scale), "vectors")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("len").desc(), F.col("id")]
+    n_queries = rows.where(is_query).count()
     # Equal lengths are parted by id, so one common vector fills many buckets, not one task.
     buckets = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(_packed(bucket_rows), PACKED), "buckets")
-    queries = stored(rows.where(is_query).repartition(parts, "id").sortWithinPartitions("id").mapInPandas(_packed(query_rows), PACKED), "queries")
-    # The first bounds come from at most bucket_rows of the longest vectors: the block of them is broadcast.
-    seed = [tuple(r) for r in buckets.orderBy(F.col("longest").desc(), "block").limit(1).collect()]
+    dealt = rows.where(is_query).repartition(max(1, -(-n_queries // (query_rows * CELL_BLOCKS))))
+    queries = stored(dealt.sortWithinPartitions("id").mapInPandas(_packed(query_rows), PACKED), "queries")
+    # The first bounds come from at most bucket_rows of the longest vectors: that bucket is broadcast.
+    seeds = [tuple(r) for r in buckets.select("dim", "ids", "vecs").orderBy(F.col("longest").desc(), "block").limit(1).collect()]
+    down = max(1, -(-n_queries // (query_rows * CELL_BLOCKS)))
+    across = max(1, -(-2 * parts // down))
 
     def run(frames):
-        seeds = [(dim, *_matrix(ids, vecs, dim)) for _, dim, _, ids, vecs in seed]
+        cell, blocks = None, []
+
+        def results():
+            for b in blocks:
+                q, i, s = b.best
+                if len(q):
+                    yield pd.DataFrame({"query_id": b.ids[q], "vec_id": i, "score": s})
+
         for frame in frames:
             for r in frame.itertuples(index=False):
-                q_ids, q = _matrix(r.q_ids, r.q_vecs, r.dim)
-                bound = np.full(len(q_ids), np.iinfo(np.int64).min // 2, np.int64)
-                for dim, s_ids, s_vecs in seeds:
-                    if dim == r.dim and len(s_ids) > k:
-                        s = products(q, s_vecs)
-                        s[q_ids[:, None] == s_ids[None, :]] = np.iinfo(np.int64).min // 2
-                        bound = np.maximum(bound, np.partition(s, len(s_ids) - k, axis=1)[:, len(s_ids) - k])
-                p_ids, p = _matrix(r.ids, r.vecs, r.dim)
-                qi, vi, s, _ = search_bucket(q_ids, q, bound, p_ids, p, k)
-                yield pd.DataFrame({"query_id": q_ids[qi], "vec_id": vi, "score": s})
-
-    blocks = queries.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    # A stated block of queries meets each bucket once; nothing is paired row by row.
-    numbers = F.broadcast(queries.select(F.col("block").alias("q_block"), "dim")) if queries.count() <= 100_000 else queries.select(F.col("block").alias("q_block"), "dim")
-    meetings = (
-        buckets.join(numbers, "dim")
-        .repartition(parts, "q_block", "block")
-        .join(blocks, ["q_block", "dim"])
-        .select("dim", "longest", "q_ids", "q_vecs", "ids", "vecs")
-    )
-    found = meetings.mapInPandas(run, "query_id long, vec_id long, score long")
-    return ranked(found, k)
+                if (r.down, r.across) != cell:
+                    yield from results()
+                    cell, blocks = (r.down, r.across), []
+                ids, vecs = _matrix(r.ids, r.vecs, r.dim)
+                if not r.is_bucket:
+                    blocks.append(Block(ids, vecs, k))
+                    for dim, *seed in seeds:
+                        if dim == r.dim:
+                            blocks[-1].seed(*_matrix(*seed, dim))
+                    continue
+                for b in blocks:
+                    if b.vecs.shape[1] == r.dim:
+                        b.meet(ids, vecs)
+        yield from results()
+
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    cells = (
+        queries.withColumns({"is_bucket": F.lit(False), "down": place(down)}).withColumn("across", spread(across))
+        .unionByName(buckets.withColumns({"is_bucket": F.lit(True), "across": place(across)}).withColumn("down", spread(down)))
+    )
+    cells = cells.repartition(parts, "down", "across").sortWithinPartitions("down", "across", "is_bucket", F.col("longest").desc(), "block")
+    return ranked(cells.mapInPandas(run, "query_id long, vec_id long, score long"), k)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
