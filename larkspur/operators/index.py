@@ -34,11 +34,16 @@ def accepted(docs: DataFrame, id_col: str = "id", order: Column | None = None) -
 
 @dataclass(frozen=True)
 class Index:
-    """docs: id, url, title, length, active. postings: term, id, tf. Both may be tables on disk."""
+    """docs: id, url, title, length, active. postings: term, id, tf. Both may be tables on disk.
+
+    An index that is not stored also has rows (id, url, title, tokens), from which a query can be answered without
+    making postings of all other terms.
+    """
 
     profile: str
     docs: DataFrame
     postings: DataFrame
+    rows: DataFrame | None = None
 
     def save(self, path: str, buckets: int = 64) -> Index:
         """Write both; postings are laid out by term hash and sorted by term, so that a query reads the row groups of its terms."""
@@ -47,11 +52,18 @@ class Index:
         by_term.repartition(F.col("bucket")).sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         return load(self.docs.sparkSession, path, self.profile)
 
-    def removed(self, ids: DataFrame) -> Index:
-        """With documents (id) marked as removed. They stay in counts of documents and terms, and leave total length."""
+    def removed(self, ids: DataFrame, small: bool = False) -> Index:
+        """With documents (id) marked as removed. They stay in counts of documents and terms, and leave total length.
+
+        small: the caller knows that the ids may be broadcast.
+        """
         gone = ids.select(F.col("id"), F.lit(True).alias("_gone")).dropDuplicates(["id"])
         docs = self.docs.join(gone, "id", "left").withColumn("active", F.col("active") & F.col("_gone").isNull()).drop("_gone")
-        return Index(self.profile, docs, self.postings)
+        rows = self.rows
+        if rows is not None:
+            rows = rows.withColumnRenamed("_gone", "_was").join(F.broadcast(gone) if small else gone, "id", "left")
+            rows = rows.withColumn("_gone", F.col("_was") | F.col("_gone").isNotNull()).drop("_was")
+        return Index(self.profile, docs, self.postings, rows)
 
     def stats(self) -> DataFrame:
         """One row: n_docs, total_length (of active documents), avgdl."""
@@ -74,7 +86,7 @@ def build(docs: DataFrame, profile: str = "ascii") -> Index:
     rows = rows.select("id", "url", "title", tokens(F.col("text"), profile).alias("tokens"))
     entries = rows.select("id", F.explode("tokens" if profile == "ascii" else F.array_distinct("tokens")).alias("term"))
     postings = entries.groupBy("term", "id").agg(F.count("*").alias("tf")) if profile == "ascii" else entries.withColumn("tf", F.lit(1).cast("bigint"))
-    return Index(profile, rows.select("id", "url", "title", F.size("tokens").alias("length"), F.lit(True).alias("active")), postings)
+    return Index(profile, rows.select("id", "url", "title", F.size("tokens").alias("length"), F.lit(True).alias("active")), postings, rows.withColumn("_gone", F.lit(False)))
 
 
 def load(spark: SparkSession, path: str, profile: str) -> Index:

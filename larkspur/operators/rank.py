@@ -27,34 +27,70 @@ def bm25(tf: Column, df: Column, length: Column, n_docs: Column, avgdl: Column,
     return F.when((tf > 0) & (length > 0) & (n > 0), score).otherwise(0.0)
 
 
-def query_terms(index: Index, query: str) -> DataFrame:
-    """(term, times): the query's tokens; in the unicode profile each counts once, and the first QUERY_TOKENS are read."""
+def query_tokens(profile: str, query: str) -> Column:
+    """The query's tokens; in the unicode profile each counts once, and the first QUERY_TOKENS are read."""
     text = F.lit(query)
-    found = ascii_tokens(text) if index.profile == "ascii" else F.array_distinct(unicode_tokens(text, QUERY_TOKENS))
+    return ascii_tokens(text) if profile == "ascii" else F.array_distinct(unicode_tokens(text, QUERY_TOKENS))
+
+
+def query_terms(index: Index, query: str) -> DataFrame:
+    """(term, times) of the query."""
     one = index.docs.sparkSession.range(1)
-    return one.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+    return one.select(F.explode(query_tokens(index.profile, query)).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
 
 
 def scores(index: Index, query: str, boosts: bool = False, k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) of all active documents that hold a term of the query, by positive finite score.
 
-    Postings of the query's terms alone are read on; the query is broadcast, its size being that of its text.
     Document frequencies count removed documents too. Boosts: for each query token that the text holds, 0.25 for
-    each occurrence in the title and 0.10 in the URL.
+    each occurrence in the title and 0.10 in the URL. A stored index is read at the query's terms alone; one that is
+    not stored is scanned: once for counts, once for scores, and nothing is shuffled but one row of counts.
     """
     k1, b = parameters(k1, b)
-    terms = F.broadcast(query_terms(index, query))
-    hits = index.postings.join(terms, "term")
+    out = _scanned(index, query, boosts, k1, b) if index.rows is not None else _looked_up(index, query, boosts, k1, b)
+    return out.where((F.col("score") > 0) & ~F.isnan("score") & (F.col("score") != float("inf")))
+
+
+def _boost(term: Column) -> Column:
+    title, url = (occurrences(ascii_tokens(F.coalesce(F.col(c), F.lit(""))), term) for c in ("title", "url"))
+    return TITLE_BOOST * title + URL_BOOST * url
+
+
+def _looked_up(index: Index, query: str, boosts: bool, k1: float, b: float) -> DataFrame:
+    """From postings: the query's terms are broadcast, their number being bounded by the query's text."""
+    hits = index.postings.join(F.broadcast(query_terms(index, query)), "term")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     stats = index.stats()
     n, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     rows = hits.join(F.broadcast(df), "term").join(index.docs.where("active"), "id")
     value = bm25(F.col("tf"), F.col("df"), F.col("length"), n, avgdl, k1, b)
-    if boosts:
-        in_title, in_url = (occurrences(ascii_tokens(F.coalesce(F.col(c), F.lit(""))), F.col("term")) for c in ("title", "url"))
-        value = value + TITLE_BOOST * in_title + URL_BOOST * in_url
-    out = rows.groupBy("id").agg(F.sum(value * F.col("times")).alias("score"))
-    return out.where((F.col("score") > 0) & ~F.isnan("score") & (F.col("score") != float("inf")))
+    value = value + _boost(F.col("term")) if boosts else value
+    return rows.groupBy("id").agg(F.sum(value * F.col("times")).alias("score"))
+
+
+def _scanned(index: Index, query: str, boosts: bool, k1: float, b: float) -> DataFrame:
+    """From rows of tokens: term frequencies by array functions, a document's score within its row."""
+    spark = index.docs.sparkSession
+    found = spark.range(1).select(query_tokens(index.profile, query).alias("t")).first()["t"]
+    terms = list(dict.fromkeys(found))
+    if not terms:
+        return index.docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    once = index.profile == "unicode"
+    rows = index.rows.select("id", "url", "title", "_gone", F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(terms)).alias("tokens"))
+    counted = rows.agg(
+        F.count("*").alias("n"),
+        F.sum(F.when(~F.col("_gone"), F.col("length")).otherwise(0)).alias("total"),
+        *[F.sum(F.array_contains("tokens", t).cast("bigint")).alias(f"df{i}") for i, t in enumerate(terms)],
+    ).first()
+    n, avgdl = F.lit(counted["n"]), F.lit((counted["total"] or 0) / counted["n"] if counted["n"] else 0.0)
+    score = F.lit(0.0)
+    for i, t in enumerate(terms):
+        term = F.lit(t)
+        tf = F.array_contains("tokens", t).cast("int") if once else occurrences(F.col("tokens"), term)
+        value = bm25(tf, F.lit(counted[f"df{i}"] or 0), F.col("length"), n, avgdl, k1, b)
+        value = value + F.when(tf > 0, _boost(term)).otherwise(0.0) if boosts else value
+        score = score + value * found.count(t)
+    return rows.where(~F.col("_gone") & (F.size("tokens") > 0)).select("id", score.alias("score"))
 
 
 def top(scored: DataFrame, k: int, id_col: str = "id") -> DataFrame:

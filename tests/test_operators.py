@@ -51,6 +51,9 @@ def test_accepted_and_stored(spark, tmp_path):
     kept = index.accepted(docs(spark, data).withColumn("seq", F.monotonically_increasing_id()), order=F.col("seq"))
     assert [(r["id"], r["text"]) for r in kept.collect()] == [(1, "alpha beta")]
     built = index.build(docs(spark)).save(str(tmp_path / "index"))
+    assert built.rows is None
+    gone = built.removed(spark.createDataFrame([(1,)], "id long"))
+    assert scored(rank.search(gone, "linux networking", boosts=True)) == {2: 0.390192}
     assert scored(rank.search(built, "linux networking", boosts=True)) == {1: 1.700833, 2: 0.470004}
     assert rows(rank.results(built, "linux", 5).select("id", "url")) == [(1, "https://example.test/a")]
 
