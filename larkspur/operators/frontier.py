@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.evidence import DECISIONS
 from larkspur.functions.text import html_links, html_text, html_title
 from larkspur.functions.urls import canonical, resolved
+from larkspur.operators.lineage import cut
 
 MOST_URL = 2048
 
@@ -35,6 +36,12 @@ def decisions(arrivals: DataFrame, capacity: int | None = None) -> DataFrame:
     return rows.withColumn("decision", decision).select(*arrivals.columns, "decision")
 
 
+def popped(queue: DataFrame, n: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The first n arrivals of a queue (seq, ...), and what still waits."""
+    first = queue.orderBy("seq").limit(n)
+    return first, queue.join(F.broadcast(first.select("seq")), "seq", "left_anti")
+
+
 def before(rows: DataFrame, order: str, value: str, name: str, ranges: int = 512) -> DataFrame:
     """`name`: the sum of `value` over all rows earlier in `order` (a whole number, unique). Sums of ranges first, then within each: no single task holds all."""
     low, high = rows.agg(F.min(order), F.max(order)).first()
@@ -62,7 +69,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     return pages.select(canonical(F.col("url")).alias("url"), html_title(F.col("html")).alias("title"), html_text(F.col("html")).alias("text"), html_links(F.col("html")).alias("links"))
 
 
-def crawl(pages: DataFrame, start: DataFrame, max_depth: int = 2, checkpoint: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def crawl(pages: DataFrame, start: DataFrame, max_depth: int = 2, checkpoint: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """url, depth of every page that is reached in a closed world of pages (url, html), breadth first from `start` (url).
 
     One step per depth; a link is followed from pages above max_depth, and those of all pages of one URL count. URLs without a page stay in the result as

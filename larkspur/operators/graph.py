@@ -55,6 +55,11 @@ def runtime_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def with_evidence(edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Edges (evidence_id, ...) with the claim and class of their evidence; edges without any stay."""
+    return edges.join(evidence.select(F.col("id").alias("evidence_id"), "claim", "classification"), "evidence_id", "left")
+
+
 def neighbours(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(id) reached from `start` (id) over one edge, in its direction."""
     return edges.join(start.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()

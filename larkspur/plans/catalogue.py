@@ -9,7 +9,7 @@ from larkspur.functions import evidence as ev
 from larkspur.functions import text as tx
 from larkspur.functions import urls
 from larkspur.functions.robots import robots_allowed
-from larkspur.operators import constraints, frontier, fts, graph, index, rank
+from larkspur.operators import constraints, engine, frontier, fts, graph, index, rank
 from larkspur.sources import telemetry
 from larkspur.sources.pages import FetchLimits, fetched
 from larkspur.streaming.streams import windowed_events
@@ -315,6 +315,20 @@ def _claims(spark, sf):
     return labels.join(docs, "doc_id")
 
 
+def graph_evidence_link(spark, sf):
+    """Documents as edges from source to language, with the label that speaks for or against them where there is one."""
+    edges = read(spark, sf, "documents").select(F.col("doc_id").alias("edge_id"), "source", "lang", F.col("doc_id").alias("evidence_id"))
+    labels = read(spark, sf, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("q"))
+    evidence = labels.select("id", F.concat(F.lit("quality "), F.col("q")).alias("claim"), F.when(F.col("q") == 1, "FACT").otherwise("UNCERTAIN").alias("classification"))
+    return graph.with_evidence(edges, evidence).select("edge_id", "source", "lang", "claim", "classification")
+
+
+def crawl_events(spark, sf):
+    """Telemetry of a crawl over all pages: what was tried, by outcome."""
+    rows = read(spark, sf, "pages").where("url IS NOT NULL")
+    return engine.crawl(rows, rows.select("url"), engine.Config(max_depth=0)).events.groupBy("name").agg(*telemetry.counters())
+
+
 def truth_classify(spark, sf):
     rows = _claims(spark, sf).groupBy("source", "lang").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("sources"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("conflicts"))
     return rows.withColumn("truth", ev.truth_class(F.col("sources"), F.col("conflicts")))
@@ -467,7 +481,7 @@ NAMES = (
     "tokenize_ascii tokenize_unicode term_freq doc_freq doc_length corpus_stats postings_binary bm25_native bm25_native_boost bm25_native_tombstone "
     "bm25_repeat_terms bm25_binary search_results_join vector_cosine fts_phrase fts_prefix fts_boolean fts_near html_title html_text html_links page_extract "
     "url_canonical url_policy url_resolve link_frontier_dedup frontier_bounded frontier_depth_min crawl_closed_world fetch_filter robots_decision "
-    "segment_documents segment_counts content_dedup chunk_hash_dedup graph_valid_edges graph_orphans graph_self_loops graph_runtime_edges graph_kind_counts "
+    "segment_documents segment_counts content_dedup chunk_hash_dedup graph_valid_edges graph_orphans graph_self_loops graph_runtime_edges graph_kind_counts graph_evidence_link crawl_events "
     "truth_classify single_source_flag evidence_valid source_usable source_reject_code telemetry_stats telemetry_by_name telemetry_jsonl events_hourly "
     "constraint_violations role_violations unique_violations fk_orphans fk_cascade fk_set_null latest_fetch_per_source conversation_messages "
     "keyword_domain_match model_layout"

@@ -178,6 +178,8 @@ def oracle_sql() -> dict[str, str]:
         "graph_self_loops": f"WITH {EDGES} SELECT id, src FROM e WHERE src = dst",
         "graph_runtime_edges": f"WITH {NODES}, {EDGES} SELECT * FROM e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v) AND src <> dst AND kind BETWEEN 1 AND 6 AND isfinite(weight)",
         "graph_kind_counts": f"WITH {NODES} SELECT CASE kind WHEN 5 THEN 'organization' ELSE 'source' END AS kind, count(*) AS n FROM v GROUP BY 1",
+        "graph_evidence_link": "SELECT d.doc_id AS edge_id, source, lang, 'quality ' || q AS claim, CASE q WHEN 1 THEN 'FACT' WHEN 0 THEN 'UNCERTAIN' END AS classification FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l USING (doc_id)",
+        "crawl_events": f"WITH w AS (SELECT {canonical('url')} AS url, min(html) AS html FROM pages GROUP BY 1), x AS (SELECT octet_length(encode(html)) AS n, strlen({page_text('html')}) AS m, regexp_matches(url, '^https?://[^/?#@]+([/?#]|$)') AND octet_length(encode(html)) BETWEEN 1 AND 4194304 AS ok FROM w WHERE url IS NOT NULL) SELECT CASE WHEN ok THEN 'crawl_indexed' ELSE 'crawl_fetch_failed' END AS name, count(*) AS events, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS bytes_in, CAST(sum(CASE WHEN ok THEN m ELSE 0 END) AS BIGINT) AS bytes_out FROM x GROUP BY 1",
         "truth_classify": f"SELECT *, CASE WHEN sources = 0 THEN 'UNKNOWN' WHEN conflicts >= sources THEN 'CONFLICTED' WHEN conflicts > 0 THEN 'UNCERTAIN' WHEN sources >= 2 THEN 'FACT' ELSE 'INFERENCE' END AS truth FROM (SELECT source, lang, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS sources, CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS conflicts FROM {CLAIMS} GROUP BY 1, 2)",
         "single_source_flag": f"SELECT source, lang, count(*) AS sources, CASE WHEN count(*) <= 1 THEN 1 ELSE 0 END AS flag FROM {CLAIMS} WHERE toxic = 1 GROUP BY 1, 2",
         "evidence_valid": f"SELECT doc_id, CASE kind WHEN 0 THEN 'fact' WHEN 1 THEN 'inference' WHEN 2 THEN 'uncertain' WHEN 4 THEN 'conflicted' ELSE 'unknown' END AS kind, claim <> '' AND (kind <> 0 OR source <> '') AND kind <= 4 AS valid FROM {EVIDENCE}",
