@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkspur.functions.binding import let
 from larkspur.functions.text import LOWER, UPPER
 
 #: Bytes of the longest canonical URL.
@@ -32,19 +33,24 @@ def canonical(url: Column, most: int = MOST_BYTES) -> Column:
 
 def normal_path(path: Column) -> Column:
     """Path and query with `.`, `..` and empty steps resolved; a final `..` leaves a slash behind, if anything is left."""
-    steps = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
-    stack = F.aggregate(
-        steps,
-        F.array().cast("array<string>"),
-        lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))),
-    )
-    last_up = F.coalesce(F.try_element_at(steps, F.lit(-1)) == "..", F.lit(False))
-    joined = F.array_join(stack, "/")
-    return F.concat(
-        F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")),
-        joined,
-        F.when(last_up & (F.size(stack) > 0), F.lit("/")).otherwise(F.lit("")),
-    )
+
+    def joined(steps: Column) -> Column:
+        stack = F.aggregate(
+            steps,
+            F.array().cast("array<string>"),
+            lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s))),
+        )
+        last_up = F.coalesce(F.try_element_at(steps, F.lit(-1)) == "..", F.lit(False))
+        return let(
+            stack,
+            lambda left: F.concat(
+                F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")),
+                F.array_join(left, "/"),
+                F.when(last_up & (F.size(left) > 0), F.lit("/")).otherwise(F.lit("")),
+            ),
+        )
+
+    return let(F.filter(F.split(path, "/"), lambda s: (s != "") & (s != ".")), joined)
 
 
 def resolved(base: Column, ref: Column, most: int = MOST_BYTES) -> Column:
@@ -63,14 +69,17 @@ def resolved(base: Column, ref: Column, most: int = MOST_BYTES) -> Column:
         .when(ref.startswith("/"), ref)
         .otherwise(F.concat(folder, ref))
     )
-    normal = normal_path(F.substring_index(joined, "#", 1))
-    whole = F.concat(scheme, F.lit("://"), authority, F.when(normal == "", F.lit("/")).otherwise(normal))
-    return (
+
+    def whole(target: Column) -> Column:
+        return let(normal_path(target), lambda normal: F.concat(scheme, F.lit("://"), authority, F.when(normal == "", F.lit("/")).otherwise(normal)))
+
+    absolute = (
         F.when(ref.isNull() | (ref == ""), F.lit(None).cast("string"))
-        .when(ref.rlike("(?i)^https?://"), canonical(ref, most))
-        .when(ref.startswith("//"), canonical(F.concat(scheme, F.lit(":"), ref), most))
-        .otherwise(canonical(whole, most))
+        .when(ref.rlike("(?i)^https?://"), ref)
+        .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
+        .otherwise(let(F.substring_index(joined, "#", 1), whole))
     )
+    return let(absolute, lambda url: canonical(url, most))
 
 
 def may_fetch(url: Column) -> Column:

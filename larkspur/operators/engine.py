@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larkspur.functions.binding import computed
 from larkspur.functions.robots import robots_allowed
 from larkspur.functions.text import html_links, html_text, html_title
 from larkspur.functions.urls import canonical, may_fetch, resolved
@@ -53,13 +54,13 @@ def attempts(world: DataFrame, level: DataFrame, config: Config, robots: DataFra
         rows = rows.withColumn("_may", F.lit(True))
     size = F.coalesce(F.octet_length("html"), F.lit(0))
     ok = may_fetch(F.col("url")) & F.col("status").between(200, 299) & (size > 0) & (size <= config.limits.body_bytes)
-    text = html_text(F.col("html"))
+    rows = computed(rows, {"_text_bytes": F.octet_length(html_text(F.col("html")))})
     return rows.withColumn(
         "event",
         F.when(F.col("depth") > config.max_depth, event("crawl_depth_blocked", False, nothing, nothing))
         .when(~F.col("_may"), event("crawl_robots_blocked", False, nothing, nothing))
         .when(~F.coalesce(ok, F.lit(False)), event("crawl_fetch_failed", True, size, nothing))
-        .otherwise(event("crawl_indexed", False, size, F.octet_length(text))),
+        .otherwise(event("crawl_indexed", False, size, F.col("_text_bytes"))),
     ).select("url", "depth", "html", "event")
 
 
@@ -86,7 +87,7 @@ def crawl(pages: DataFrame, start: DataFrame, config: Config = Config(), robots:
         step = checkpoint(attempts(world, level, config, robots))
         tried = step if tried is None else tried.unionByName(step)
         found = step.where("event.name = 'crawl_indexed'").select("url", F.explode(html_links(F.col("html"))).alias("ref"))
-        level = found.select(resolved(F.col("url"), F.col("ref")).alias("url")).where("url IS NOT NULL").distinct().join(known, "url", "left_anti").withColumn("depth", F.lit(depth + 1))
+        level = computed(found, {"target": resolved(F.col("url"), F.col("ref"))}).select(F.col("target").alias("url")).where("url IS NOT NULL").distinct().join(known, "url", "left_anti").withColumn("depth", F.lit(depth + 1))
         level = checkpoint(level)
         if depth < config.max_depth:
             known = known.union(level.select("url"))

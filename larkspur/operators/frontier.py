@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larkspur.functions.binding import computed
 from larkspur.functions.evidence import DECISIONS
 from larkspur.functions.text import html_links, html_text, html_title
 from larkspur.functions.urls import canonical, resolved
@@ -76,7 +77,8 @@ def crawl(pages: DataFrame, start: DataFrame, max_depth: int = 2, checkpoint: Ca
     frontier (fetched false). `checkpoint` may cut lineage between steps.
     """
     found = pages.where("html IS NOT NULL AND html <> ''").select(canonical(F.col("url")).alias("url"), "html").where("url IS NOT NULL")
-    links = found.select("url", F.explode(html_links(F.col("html"))).alias("ref")).select("url", resolved(F.col("url"), F.col("ref")).alias("target")).where("target IS NOT NULL").distinct()
+    links = found.select("url", F.explode(html_links(F.col("html"))).alias("ref"))
+    links = computed(links, {"target": resolved(F.col("url"), F.col("ref"))}).where("target IS NOT NULL").select("url", "target").distinct()
     level = seeds(start)
     reached = level
     for depth in range(1, max_depth + 1):

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.binding import computed, let
 from larkspur.functions.text import QUERY_TOKENS, ascii_tokens, occurrences, unicode_tokens
 from larkspur.operators.index import Index
 
@@ -75,22 +76,27 @@ def _scanned(index: Index, query: str, boosts: bool, k1: float, b: float) -> Dat
     terms = list(dict.fromkeys(found))
     if not terms:
         return index.docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    once = index.profile == "unicode"
-    rows = index.rows.select("id", "url", "title", "_gone", F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(terms)).alias("tokens"))
+    # Counted once a row, whatever reads the counts.
+    wanted = F.array(*[F.lit(t) for t in terms])
+
+    def counts(held: Column) -> Column:
+        return F.transform(wanted, lambda t: F.array_contains(held, t).cast("int") if index.profile == "unicode" else occurrences(held, t))
+
+    held = F.filter("tokens", lambda x: x.isin(terms))
+    rows = computed(index.rows, {"length": F.size("tokens"), "tf": let(held, counts)}).drop("tokens")
     counted = rows.agg(
         F.count("*").alias("n"),
         F.sum(F.when(~F.col("_gone"), F.col("length")).otherwise(0)).alias("total"),
-        *[F.sum(F.array_contains("tokens", t).cast("bigint")).alias(f"df{i}") for i, t in enumerate(terms)],
+        *[F.sum((F.col("tf")[i] > 0).cast("bigint")).alias(f"df{i}") for i in range(len(terms))],
     ).first()
     n, avgdl = F.lit(counted["n"]), F.lit((counted["total"] or 0) / counted["n"] if counted["n"] else 0.0)
     score = F.lit(0.0)
     for i, t in enumerate(terms):
-        term = F.lit(t)
-        tf = F.array_contains("tokens", t).cast("int") if once else occurrences(F.col("tokens"), term)
-        value = bm25(tf, F.lit(counted[f"df{i}"] or 0), F.col("length"), n, avgdl, k1, b)
-        value = value + F.when(tf > 0, _boost(term)).otherwise(0.0) if boosts else value
+        value = bm25(F.col("tf")[i], F.lit(counted[f"df{i}"] or 0), F.col("length"), n, avgdl, k1, b)
+        value = value + F.when(F.col("tf")[i] > 0, _boost(F.lit(t))).otherwise(0.0) if boosts else value
         score = score + value * found.count(t)
-    return rows.where(~F.col("_gone") & (F.size("tokens") > 0)).select("id", score.alias("score"))
+    hits = rows.where(~F.col("_gone") & F.exists("tf", lambda x: x > 0))
+    return computed(hits, {"score": score}).select("id", "score") if boosts else hits.select("id", score.alias("score"))
 
 
 def top(scored: DataFrame, k: int, id_col: str = "id") -> DataFrame:

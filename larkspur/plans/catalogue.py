@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import evidence as ev
 from larkspur.functions import text as tx
 from larkspur.functions import urls
+from larkspur.functions.binding import computed
 from larkspur.functions.robots import robots_allowed
 from larkspur.operators import constraints, engine, frontier, fts, graph, index, rank
 from larkspur.sources import telemetry
@@ -35,7 +36,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id (never 0), url, title, text of the pages."""
     rows = read(spark, sf_dir, "pages").where("page_id <> 0")
-    return rows.select(F.col("page_id").alias("id"), "url", tx.html_title(F.col("html")).alias("title"), tx.html_text(F.col("html")).alias("text"))
+    return computed(rows.withColumnRenamed("page_id", "id"), {"title": tx.html_title(F.col("html")), "text": tx.html_text(F.col("html"))}).select("id", "url", "title", "text")
 
 
 def rounded(hits: DataFrame, k: int = 10) -> DataFrame:
@@ -182,7 +183,8 @@ def url_policy(spark, sf):
 
 
 def _links(spark, sf):
-    return read(spark, sf, "pages").select("page_id", "url", F.posexplode(tx.html_links(F.col("html"))).alias("nth", "ref")).select("page_id", "nth", "ref", urls.resolved(F.col("url"), F.col("ref")).alias("target"))
+    rows = read(spark, sf, "pages").select("page_id", "url", F.posexplode(tx.html_links(F.col("html"))).alias("nth", "ref"))
+    return computed(rows, {"target": urls.resolved(F.col("url"), F.col("ref"))}).drop("url")
 
 
 def url_resolve(spark, sf):
