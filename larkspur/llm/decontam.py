@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import joined_bytes, shipped, slices, table
+from larkspur.llm.common import joined_bytes, shipped, slices, spread, table
 
 Q = 8
 RATE = 0.1
@@ -224,4 +224,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))

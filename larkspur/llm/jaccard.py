@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import SPACES, joined_bytes, mix64, slices, stored, table
+from larkspur.llm.common import SPACES, joined_bytes, mix64, slices, spread, stored, table
 
 BITS = 512
 #: The longest list of frequent n-grams that is broadcast.
@@ -494,4 +494,4 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return similar_groups(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import fold, joined_bytes, shipped, slices, table
+from larkspur.llm.common import fold, joined_bytes, shipped, slices, spread, table
 
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 8, 8
 SPAN = 128
@@ -190,4 +190,4 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold(F.col("doc_id"), 3) == 1
     net = train(language_sample(docs, ~held))
-    return identify(docs.select("doc_id", "text"), net).select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return identify(spread(docs.select("doc_id", "text")), net).select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fold, joined_bytes, label_sample, mix64, shipped, table, trained
+from larkspur.llm.common import fold, joined_bytes, label_sample, mix64, shipped, spread, table, trained
 from larkspur.llm.toxicity import scored_with
 
 #: The bound of the training sample: labelled documents, those whose doc_id hashes lowest.
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LABE
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     held = fold(F.col("doc_id"), 3) == 1
     field = fit(docs, table(spark, sf_dir, "labels"), ~held)
     return score_quality(docs, field).select(

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import scratch, slices, table
+from larkspur.llm.common import scratch, slices, spread, table
 
 KEY = ["source", "lang", "tokenizer"]
 SUMS = ["n_docs", "n_tokens", "n_bytes"]
@@ -150,7 +150,7 @@ class Rollup:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after a corpus has come in parts, one part has come twice, and a part has gone and come again under its texts of today."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     versions = tokenizers()
     rollup = Rollup(spark, scratch(spark, "rollup"))
     part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(PARTS))

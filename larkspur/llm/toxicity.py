@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fold, label_sample, mix64, shipped, slices, table, trained
+from larkspur.llm.common import fold, label_sample, mix64, shipped, slices, spread, table, trained
 
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 16
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MOST_LABE
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     held = fold(F.col("doc_id"), 4) == 2
     model = fit(docs, table(spark, sf_dir, "labels"), ~held)
     return score_toxicity(docs, model).select(
