@@ -45,7 +45,7 @@ PART_ROWS = 2000
 BROADCAST_ROWS = 1 << 20
 #: First round: how many nearest sizes, and how many first members of the tile, a class looks at.
 NEAR, FIRST = 48, 16
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 _IS_SPACE = np.isin(np.arange(256), list(SPACES))
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0xA5A5))
