@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # What columns may hold.
@@ -70,8 +69,8 @@ def set_null(rows: DataFrame, column: str, gone: DataFrame, key: str) -> DataFra
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Of each key the last row in `order`."""
-    w = W.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))  # combined map-side
+    return best.select("_row.*")
 
 
 def once(rows: DataFrame, content: Column, order: str) -> DataFrame:

@@ -21,19 +21,21 @@ def decisions(arrivals: DataFrame, capacity: int | None = None) -> DataFrame:
     """arrivals (seq, url, depth) with `decision`, as a bounded queue without pops gives it.
 
     In this order: null or empty is INVALID_URL, a full queue FRONTIER_FULL, 2048 bytes or more INVALID_URL, one
-    that waits already DUPLICATE, all else ALLOW. Which URL is new is told within its own group; only with a
-    capacity does the running count need all arrivals in order.
+    that waits already DUPLICATE, all else ALLOW. Which URL is new is told from the
+    first arrival of each; only with a capacity does the running count need all arrivals in order.
     """
     fits = F.col("url").isNotNull() & (F.col("url") != "") & (F.octet_length("url") < MOST_URL)
-    nth = F.row_number().over(W.partitionBy("url", "_fits").orderBy("seq"))
-    rows = arrivals.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn("_nth", nth)
-    fresh = F.col("_fits") & (F.col("_nth") == 1)
+    rows = arrivals.withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    # The first arrival of each URL, counted map-side and joined back: a URL that floods the queue meets in no one task.
+    first = rows.where("_fits").groupBy("url").agg(F.min("seq").alias("_first"))
+    rows = rows.join(first, "url", "left")
+    fresh = F.col("_fits") & (F.col("seq") == F.col("_first"))
     full = F.lit(False)
     if capacity is not None:
         rows = before(rows.withColumn("_new", fresh.cast("bigint")), "seq", "_new", "_waiting")
         full = F.col("_waiting") >= capacity
     empty = F.coalesce(F.col("url") == "", F.lit(True))
-    decision = F.when(empty, DECISIONS[2]).when(full, DECISIONS[3]).when(~F.col("_fits"), DECISIONS[2]).when(F.col("_nth") > 1, DECISIONS[4]).otherwise(DECISIONS[0])
+    decision = F.when(empty, DECISIONS[2]).when(full, DECISIONS[3]).when(~F.col("_fits"), DECISIONS[2]).when(~fresh, DECISIONS[4]).otherwise(DECISIONS[0])
     return rows.withColumn("decision", decision).select(*arrivals.columns, "decision")
 
 
@@ -56,8 +58,12 @@ def before(rows: DataFrame, order: str, value: str, name: str, ranges: int = 512
 
 def shallower(arrivals: DataFrame) -> DataFrame:
     """Arrivals that an unbounded queue takes: those not seen yet, and those seen only at greater depths."""
+    # Only the first arrival at each depth can be taken, so a URL has as many rows as depths when they are put in order.
+    rows = arrivals.where(F.col("url").isNotNull() & (F.col("url") != ""))
+    first = rows.groupBy("url", "depth").agg(F.min("seq").alias("seq"))
     least = F.min("depth").over(W.partitionBy("url").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
-    return arrivals.where(F.col("url").isNotNull() & (F.col("url") != "")).withColumn("_least", least).where("_least IS NULL OR depth < _least").drop("_least")
+    taken = first.withColumn("_least", least).where("_least IS NULL OR depth < _least").select("url", "depth", "seq")
+    return rows.join(taken, ["url", "depth", "seq"], "left_semi").select(*arrivals.columns)
 
 
 def seeds(urls: DataFrame) -> DataFrame:

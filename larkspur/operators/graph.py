@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larkspur.operators.frontier import before
+
 
 def first_wins(rows: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
     """Rows whose id is set and not 0; of several with one id the first in `order` (any one, without an order)."""
@@ -35,7 +37,7 @@ def finite(c: str) -> F.Column:
 
 
 def runtime_nodes(nodes: DataFrame, order: str, capacity: int | None = None) -> DataFrame:
-    """Nodes of a known kind (1 to 8) whose parent is 0 or stands before them; ids follow the order of arrival from 1.
+    """Nodes of a known kind (1 to 8) whose parent is 0 or stands before them; ids follow the order of arrival (a unique whole number) from 1.
 
     `nodes` has parent_seq: the `order` value of the parent, or null for a root.
     """
@@ -44,7 +46,7 @@ def runtime_nodes(nodes: DataFrame, order: str, capacity: int | None = None) ->
     rooted = rows.where("parent_seq IS NULL")
     child = rows.where(F.col("parent_seq").isNotNull() & (F.col("parent_seq") < F.col(order))).join(seen, "parent_seq", "left_semi").select(*rows.columns)
     kept = rooted.unionByName(child)
-    numbered = kept.withColumn("id", F.row_number().over(W.orderBy(order)).cast("bigint"))
+    numbered = before(kept.withColumn("_one", F.lit(1).cast("bigint")), order, "_one", "_earlier").withColumn("id", (F.col("_earlier") + 1).cast("bigint")).drop("_one", "_earlier")
     return numbered if capacity is None else numbered.where(F.col("id") <= capacity)
 
 
