@@ -38,7 +38,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def removed(df: DataFrame) -> None:
-    """Delete the files below a stored() table that nothing reads any more."""
+    """Delete a stored() table that nothing reads any more: what came of it is stored itself."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:

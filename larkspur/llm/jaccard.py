@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import SPACES, joined_bytes, mix64, slices, spread, stored, table
+from larkspur.llm.common import SPACES, joined_bytes, mix64, removed, slices, spread, stored, table
 
 BITS = 512
 #: The longest list of frequent n-grams that is broadcast.
@@ -141,8 +141,9 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
         if total > MOST_FREQUENT:
             break
         least = n
-    rows = rows.where(F.col("n") >= least).toArrow()
-    h, n = rows.column("h").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
+    found = rows.where(F.col("n") >= least).toArrow()
+    removed(rows)
+    h, n = found.column("h").to_numpy().astype(np.uint64), found.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -366,11 +367,13 @@ def _narrowed(num, den):
 def narrowed(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that bitmaps as wide as the sets leave over: long documents fill the bitmaps of the tiles."""
     side = [classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.coalesce("x.wide", "x.bits").alias(f"x{c}")) for c in "ab"]
-    return stored(pairs.join(side[0], "a").join(side[1], "b").mapInArrow(_narrowed(num, den), "a long, b long"), "narrowed")
+    kept = stored(pairs.join(side[0], "a").join(side[1], "b").mapInArrow(_narrowed(num, den), "a long, b long"), "narrowed")
+    removed(pairs)
+    return kept
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs of classes (a, b) that are similar, by exact intersection of their sets."""
+    """Of a stored table of pairs of classes (a, b) those that are similar, by exact intersection of their sets. The table goes."""
     pairs = narrowed(pairs, classes, num, den)
     need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     who = stored(classes.select("cid", "d1", "d2", "n", "id").join(need, "cid"), "needed")
@@ -380,7 +383,10 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     sets = texts.mapInArrow(_sets(words), "d1 long, d2 long, n int, h binary").dropDuplicates(["d1", "d2", "n"]).join(who.drop("id"), ["d1", "d2", "n"]).select("cid", "h")
     sets = stored(sets, "sets")
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("cid").alias("b"), F.col("h").alias("hb")), "b")
-    return stored(both.mapInArrow(_verified(num, den), "a long, b long"), "links")
+    links = stored(both.mapInArrow(_verified(num, den), "a long, b long"), "links")
+    for done in (pairs, who, sets):
+        removed(done)
+    return links
 
 
 # -- components --------------------------------------------------------------
@@ -420,7 +426,9 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         after = stored(small, "edges")
         state = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-        if edges.agg(*state).first() == after.agg(*state).first():
+        same = edges.agg(*state).first() == after.agg(*state).first()
+        removed(after if same else edges)
+        if same:
             roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
         edges = after
@@ -466,12 +474,14 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     first = tiles.join(bits, "cid").withColumns({"label": F.col("cid"), "minor": F.lit(False)})
     links = verified(pairs_of(first, False), docs, classes, words, num, den)
     roots = stored(components(links), "roots")
+    removed(links)
 
     # Second round: tiles that hold members of several components.
     named = tiles.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
     mixed = named.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("tile")
     open_ = stored(named.join(mixed, "tile", "left_semi"), "open")
     main = open_.where("parts > 1").groupBy("tile", "label").count().groupBy("tile").agg(F.max(F.struct("count", "label")).alias("m")).select("tile", F.col("m.label").alias("main"))
+    removed(tiles)
     split = open_.join(main, "tile", "left").withColumn("minor", F.col("main").isNotNull() & (F.col("label") != F.col("main"))).drop("main")
     split = split.withColumn("part", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))))
     more = verified(pairs_of(split.join(bits, "cid"), True), docs, classes, words, num, den)
@@ -480,6 +490,8 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     else:
         found = stored(components(more.union(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
 
+    removed(open_)
+
     # A class's root, the root's smallest doc_id, and from the classes down to the rows.
     of_class = classes.select("cid", "d1", "d2", "n", "id", "n_class").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = of_class.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -53,7 +53,7 @@ def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 64) ->
     return rows.withColumn("len", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))
 
 
-def _packed(rows: int, salt: int = 0):
+def _packed(rows: int):
     """Pack sorted rows of a partition into blocks of `rows` vectors of one dimension."""
 
     def run(frames):

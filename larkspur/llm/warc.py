@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import scratch, stored, table
 
 CRLF = "\r\n"
-EPOCH = "2024-01-01T00:00:00Z"
+#: Captures are numbered in seconds from the start of 2024.
 EPOCH_SECONDS = 1704067200
 #: Repeated payloads (28 bytes a row) up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
