@@ -23,7 +23,7 @@ WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 8, 8
 SPAN = 128
 STEP = SPAN - max(WIDTHS) + 1
 #: The bound of the training sample: texts of each language (those whose doc_id hashes lowest), and windows of each text.
-MOST_TEXTS, MOST_WINDOWS, MOST_LANGUAGES = 600, 4, 256
+MOST_TEXTS, MOST_WINDOWS, MOST_LANGUAGES, MOST_IN_ALL = 600, 4, 256, 20_000
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -142,10 +142,11 @@ def train(sample: list[tuple[bytes, str]], steps: int = 450, batch: int = 128, r
 def language_sample(docs: DataFrame, learn: Column, most: int = MOST_TEXTS) -> list[tuple[bytes, str]]:
     """The beginnings (as long as MOST_WINDOWS windows) of at most `most` texts of each language, those whose doc_id hashes lowest.
 
-    At most MOST_LANGUAGES languages, the commonest, are learnt. Null texts, langs and ids take no part.
+    At most MOST_LANGUAGES languages, the commonest, are learnt, and of all together at most MOST_IN_ALL texts. Null texts, langs and ids take no part.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
     langs = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()]
+    most = min(most, MOST_IN_ALL // max(1, len(langs)))
     # A hash bound for each language keeps about 1.5 times as many as are wanted; the rest go before anything is sorted.
     span = 1 << 32
     key = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(span))
