@@ -224,7 +224,7 @@ def top_k(
     rows = stored(quantized(vectors, id_col, vec_col, scale), "vectors")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("len").desc(), F.col("id")]
-    n_queries = rows.where(is_query).count()
+    n_rows, n_queries = rows.count(), rows.where(is_query).count()
     # Equal lengths are parted by id, so one common vector fills many buckets, not one task.
     buckets = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(_packed(bucket_rows), PACKED), "buckets")
     dealt = rows.where(is_query).repartition(max(1, -(-n_queries // (query_rows * CELL_BLOCKS))))
@@ -232,7 +232,8 @@ def top_k(
     # The first bounds come from at most bucket_rows of the longest vectors: that bucket is broadcast.
     seeds = [tuple(r) for r in buckets.select("dim", "ids", "vecs").orderBy(F.col("longest").desc(), "block").limit(1).collect()]
     down = max(1, -(-n_queries // (query_rows * CELL_BLOCKS)))
-    across = max(1, -(-2 * parts // down))
+    # No more cells than full buckets: each cell sends k rows for a query, however little it has seen.
+    across = max(1, min(-(-2 * parts // down), -(-n_rows // bucket_rows)))
 
     def run(frames):
         cell, blocks = None, []
