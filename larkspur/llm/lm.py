@@ -8,10 +8,12 @@ context-tree weighting: the posterior probability that a node is a leaf of the
 source's tree, 1/2 P_kt / P_w, where P_w = 1/2 P_kt + 1/2 prod P_w(children).
 
 Counts cover all bytes of all training documents. They are summed as counts of
-byte strings of DEPTH + 1, from which every node follows. For scoring, nodes go
-into a table of fixed size (2**SLOT_BITS, proven bound of the broadcast); where
-two meet in a slot, the one counted more often stays and the other passes to
-its shorter context, as an unseen one does.
+byte strings of DEPTH + 1, from which every node follows. Strings that only
+scored texts have stand in the tree with counts of zero, which change no weight:
+there the longest context that was counted speaks. From the root downwards every
+node gets its mixed estimate by joins with all its parents, and every distinct
+string its probability. The HEAD_GRAMS commonest strings travel in a bounded
+broadcast, all others by a join; the list decides work, not results.
 
 Beside it stands the base: words by their counts, add-one smoothed. Frequent
 words travel in a bounded broadcast, all others by a join.
@@ -27,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fold, joined_bytes, mix64, slices, spread, stored, table
+from larkspur.llm.common import fold, joined_bytes, removed, slices, spread, stored, table
 
 DEPTH = 5
-SLOT_BITS = 23
+#: Byte strings whose probabilities are broadcast; the others are joined.
+HEAD_GRAMS = 1 << 22
 #: Words whose counts are broadcast; the others are joined.
 HEAD_WORDS = 1 << 18
 PIECE = 1 << 21
@@ -66,12 +69,13 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _counted(batches):
     words, held, n_held, docs = Counter(), [], 0, 0
 
-    def out(word, gram, n):
-        return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["word", "gram", "n"])
+    def out(word, gram, n, m):
+        return pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["word", "gram", "n", "m"])
 
     def merged():
-        g, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-        return g, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+        g, at = np.unique(np.concatenate([x for x, _, _ in held]), return_inverse=True)
+        n, m = (np.bincount(at, np.concatenate([x[k] for x in held])).astype(np.int64) for k in (1, 2))
+        return g, n, m
 
     def flushed():
         keys = list(words)
@@ -79,42 +83,50 @@ def _counted(batches):
         words.clear()
         for k in range(0, len(keys), 20_000):
             part = [x.decode("utf-8", "replace") for x in keys[k : k + 20_000]]
-            yield out(part, [None] * len(part), counts[k : k + 20_000])
+            yield out(part, [None] * len(part), counts[k : k + 20_000], counts[k : k + 20_000])
 
-    for (texts,) in pieces(batches, ["text"]):
-        docs += len(texts)
-        for x in texts:
+    for learn, texts in pieces(batches, ["learn", "text"]):
+        learned = [x for x, y in zip(texts, learn, strict=True) if y]
+        docs += len(learned)
+        for x in learned:
             words.update(x.split())
         if len(words) > FLUSH:
             yield from flushed()
-        g, n = np.unique(grams(texts)[0], return_counts=True)
-        held.append((g, n))
-        n_held += len(g)
+        for some, counted in ((learned, True), ([x for x, y in zip(texts, learn, strict=True) if not y], False)):
+            if some:
+                g, m = np.unique(grams(some)[0], return_counts=True)
+                held.append((g, m if counted else np.zeros_like(m), m))
+                n_held += len(g)
         if n_held > 4 * FLUSH:
             held = [merged()]
             n_held = len(held[0][0])
             if n_held > 2 * FLUSH:
                 yield from _sent(*held[0], out)
                 held, n_held = [], 0
-    words[b""] += docs  # the end token; no word is empty
+    if docs:
+        words[b""] += docs  # the end token; no word is empty
     yield from flushed()
     if held:
         yield from _sent(*merged(), out)
 
 
-def _sent(g, n, out):
+def _sent(g, n, m, out):
     for k in range(0, len(g), 20_000):
         part = g[k : k + 20_000].astype(np.int64)
-        yield out([None] * len(part), part, n[k : k + 20_000])
+        yield out([None] * len(part), part, n[k : k + 20_000], m[k : k + 20_000])
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(word, gram, n): of each word (the empty one is the end token) and each byte string, over all texts of docs."""
+def counts(docs: DataFrame, learn: Column | None = None) -> DataFrame:
+    """(word, gram, n, m): n of each word (the empty one is the end token) and each byte string over the texts to learn from (all, if not told).
+
+    m counts the byte strings of all docs; those that only other texts have are there with n = 0.
+    """
+    learn = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     return (
-        docs.select(F.col("text").cast("string").cast("binary").alias("text"))
-        .mapInArrow(_counted, "word string, gram long, n long")
+        docs.select(learn.alias("learn"), F.col("text").cast("string").cast("binary").alias("text"))
+        .mapInArrow(_counted, "word string, gram long, n long, m long")
         .groupBy("word", "gram")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     )
 
 
@@ -158,79 +170,116 @@ def _weighed(depth: int, deepest: bool):
     return run
 
 
-def tree(gram_counts: DataFrame) -> DataFrame:
-    """All nodes of the weighted tree: depth, ctx, node, n0, n1, log_pw, weight. Depth by depth, children sum into parents."""
+def levels(gram_counts: DataFrame) -> list[DataFrame]:
+    """The nodes of the weighted tree by depth: depth, ctx, node, n0, n1, log_pw, weight. Depth by depth, children sum into parents."""
     schema = "depth int, ctx long, node int, n0 long, n1 long, log_pw double, weight double"
     sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
     rows = gram_counts.mapInPandas(_nodes, "ctx long, node int, n0 long, n1 long").groupBy("ctx", "node").agg(*sums)
     level = stored(rows.mapInPandas(_weighed(DEPTH, True), schema), "tree")
-    whole = level
+    out = [level]
     for depth in range(DEPTH - 1, -1, -1):
         # The byte farthest back stands highest; without it remains the parent's context.
         up = level.withColumn("ctx", F.col("ctx").bitwiseAND((1 << (8 * depth)) - 1)).groupBy("ctx", "node")
         level = stored(up.agg(*sums, F.sum("log_pw").alias("below")).mapInPandas(_weighed(depth, False), schema), "tree")
+        out.insert(0, level)
+    return out
+
+
+def tree(gram_counts: DataFrame) -> DataFrame:
+    """All nodes of the weighted tree in one table."""
+    whole, *rest = levels(gram_counts)
+    for level in rest:
         whole = whole.unionByName(level)
     return whole
 
 
-def place(depth, ctx, node) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and tag (1..65535) of a node."""
-    h = mix64(np.asarray(ctx, np.uint64) * np.uint64(256 * 8) + np.asarray(node, np.uint64) * np.uint64(8) + np.asarray(depth, np.uint64))
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), (h & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+# -- probabilities of the byte strings ----------------------------------------
 
 
-def _placed(frames):
-    for f in frames:
-        slot, tag = place(f["depth"].to_numpy(), f["ctx"].to_numpy(), f["node"].to_numpy())
-        n0, n1 = f["n0"].to_numpy(np.float64), f["n1"].to_numpy(np.float64)
-        p = np.clip(np.rint(65535 * (n1 + 0.5) / (n0 + n1 + 1)), 1, 65534)
-        w = np.rint(65535 * f["weight"].to_numpy())
-        packed = (tag.astype(np.int64) << 32) | (p.astype(np.int64) << 16) | w.astype(np.int64)
-        yield pd.DataFrame({"slot": slot.astype(np.int32), "n": f["n0"] + f["n1"], "packed": packed})
+def _estimated(level: DataFrame) -> DataFrame:
+    """ctx, node, p, past, left of a level with its parents' p, past, left.
 
-
-def slots(nodes: DataFrame) -> dict[str, np.ndarray]:
-    """The table of fixed size that scoring reads: for each slot a tag (0: empty), the estimate and the weight in 1/65535."""
-    rows = (
-        nodes.select("depth", "ctx", "node", "n0", "n1", "weight")
-        .mapInPandas(_placed, "slot int, n long, packed long")
-        .groupBy("slot")
-        .agg(F.max(F.struct("n", "packed")).alias("best"))
-        .select("slot", F.col("best.packed").alias("packed"))
+    p is the mixed estimate if no longer context is known; past + left * (a child's estimate) is what a child makes of it.
+    A node without counts has its parent's p.
+    """
+    kt = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
+    return level.select(
+        "ctx",
+        "node",
+        F.when(F.col("n0") + F.col("n1") > 0, F.col("past") + F.col("left") * kt).otherwise(F.col("p")).alias("p"),
+        (F.col("past") + F.col("left") * F.col("weight") * kt).alias("past"),
+        (F.col("left") * (1 - F.col("weight"))).alias("left"),
     )
-    out = {k: np.zeros(1 << SLOT_BITS, np.uint16) for k in ("tag", "p", "w")}
-    for batch in rows.toArrow().to_batches():
-        at, packed = batch.column("slot").to_numpy(), batch.column("packed").to_numpy()
-        out["tag"][at], out["p"][at], out["w"][at] = packed >> 32, (packed >> 16) & 0xFFFF, packed & 0xFFFF
+
+
+def _valued(batches):
+    """Of rows ordered by (ctx, node), where node is a node with its estimate x or 256 + a byte with its count x, the bytes' strings."""
+    held = None
+
+    def found(t):
+        ctx, node, x = (t.column(k).to_numpy() for k in ("ctx", "node", "x"))
+        key = (ctx << 9) | node
+        at = np.flatnonzero(node >= 256)
+        ctx, byte, m = ctx[at], node[at].astype(np.int64) - 256, x[at].astype(np.int64)
+        total = np.zeros(len(at))
+        for j in range(8):
+            p = x[np.searchsorted(key, (ctx << 9) | (1 << j) | (byte >> (8 - j)))]
+            total += np.log10(np.where((byte >> (7 - j)) & 1 == 1, p, 1 - p))
+        return pa.RecordBatch.from_arrays([pa.array((ctx << 8) | byte), pa.array(total), pa.array(m)], ["gram", "value", "m"])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        t = t.combine_chunks()
+        if not t.num_rows:
+            continue
+        ctx = t.column("ctx").to_numpy()
+        cut = int(np.searchsorted(ctx, ctx[-1]))  # the last context may go on; it has 511 rows at most
+        if cut:
+            yield found(t.slice(0, cut))
+        held = t.slice(cut)
+    if held is not None and held.num_rows:
+        yield found(held)
+
+
+def probabilities(gram_counts: DataFrame) -> DataFrame:
+    """(gram, value, m) of each byte string of gram_counts (gram, n, m): log10 of the probability of its last byte given those before it. Stored."""
+    whole = levels(gram_counts.select("gram", "n"))
+    above = {"p": F.lit(0.5), "past": F.lit(0.0), "left": F.lit(1.0)}
+    known = _estimated(whole[0].withColumns(above))
+    for depth, level in enumerate(whole[1:]):
+        # A node has at most 256 children: no key is hot.
+        up = known.withColumnRenamed("ctx", "up")
+        known = _estimated(level.withColumn("up", F.col("ctx").bitwiseAND((1 << (8 * depth)) - 1)).join(up, ["up", "node"]))
+    strings = gram_counts.select(F.shiftright("gram", 8).alias("ctx"), (F.col("gram").bitwiseAND(255) + 256).cast("int").alias("node"), F.col("m").cast("double").alias("x"))
+    rows = known.select("ctx", "node", F.col("p").alias("x")).union(strings)
+    out = stored(rows.repartition("ctx").sortWithinPartitions("ctx", "node").mapInArrow(_valued, "gram long, value double, m long"), "values")
+    for level in whole:
+        removed(level)
     return out
 
 
-def log10_of(g: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 of the probability of the last byte of each string given those before it."""
-    g = g.astype(np.int64)
-    ctx, byte = g >> 8, g & 255
-    total = np.zeros(len(g))
-    for j in range(8):
-        node = (1 << j) | (byte >> (8 - j))
-        bit = (byte >> (7 - j)) & 1
-        p = np.full(len(g), -1.0)
-        for depth in range(DEPTH, -1, -1):
-            at, tag = place(depth, ctx & ((1 << (8 * depth)) - 1), node)
-            seen = model["tag"][at] == tag
-            kt, w = model["p"][at] / 65535, model["w"][at] / 65535
-            p = np.where(seen, np.where(p < 0, kt, w * kt + (1 - w) * p), p)
-        p = np.where(p < 0, 0.5, p)
-        total += np.log10(np.where(bit == 1, p, 1 - p))
-    return total
+def head_of(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest byte strings (ascending), at most HEAD_GRAMS, and their values."""
+    size = F.floor(8 * F.log2(F.col("m")))
+    least, total = 1 << 30, 0
+    for k, n in sorted(values.groupBy(size.alias("size")).count().collect(), reverse=True):
+        total += n
+        if total > HEAD_GRAMS:
+            break
+        least = k
+    found = values.where(size >= least).select("gram", F.col("value").cast("float").alias("value")).toArrow()
+    g, v = found.column("gram").to_numpy().astype(np.uint64), found.column("value").to_numpy()
+    order = np.argsort(g)
+    return g[order], v[order]
 
 
 class Scorer:
-    """Keeps the byte strings seen, so that each is worked out about once in a task; the memory is of fixed size."""
+    """Values of byte strings, NaN for those that are not broadcast. Keeps the ones seen, so that each is sought about once in a task; the memory is of fixed size."""
 
     BITS = 20
 
-    def __init__(self, model: dict[str, np.ndarray]):
-        self.model = model
+    def __init__(self, head: tuple[np.ndarray, np.ndarray]):
+        self.head = head
         self.keys = np.full(1 << self.BITS, np.uint64(1 << 63), np.uint64)
         self.values = np.zeros(1 << self.BITS, np.float32)
 
@@ -240,7 +289,7 @@ class Scorer:
         missed = np.flatnonzero(self.keys[at] != g)
         if len(missed):
             new, inverse = np.unique(g[missed], return_inverse=True)
-            values = log10_of(new, self.model)
+            values = self.sought(new)
             out[missed] = values[inverse]
             where = ((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
             self.keys[where], self.values[where] = new, values
@@ -251,10 +300,29 @@ class Scorer:
                 self.keys[where[keep]], self.values[where[keep]] = new[keep], values[keep]
         return out
 
+    def sought(self, g: np.ndarray) -> np.ndarray:
+        known, values = self.head
+        if not len(known):
+            return np.full(len(g), np.nan)
+        at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+        return np.where(known[at] == g, values[at], np.nan)
+
 
 # -- scores ----------------------------------------------------------------
 
-PER_DOC = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("head_known", pa.int64()), ("head_sum", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.string())), ("tail_n", pa.list_(pa.int32()))])
+PER_DOC = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("head_known", pa.int64()), ("head_sum", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.string())), ("tail_n", pa.list_(pa.int32())), ("rare", pa.list_(pa.int64())), ("rare_n", pa.list_(pa.int32()))])
+
+
+def rare_of(g: np.ndarray, begin: np.ndarray, values: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct byte strings without a value and how often it has each."""
+    at = np.flatnonzero(np.isnan(values))
+    doc, g = np.searchsorted(begin, at, side="right") - 1, g[at].astype(np.int64)
+    order = np.lexsort((g, doc))
+    doc, g = doc[order], g[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])])) if len(g) else np.empty(0, np.int64)
+    times = np.diff(np.append(new, len(g)))
+    cut = np.searchsorted(doc[new], np.arange(len(begin) + 1))
+    return [(g[new[a:b]], times[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _scored(model, head):
@@ -265,15 +333,17 @@ def _scored(model, head):
         row = TaskContext.get().partitionId() << 36
         for ids, texts in pieces(batches, ["doc_id", "text"]):
             g, begin = grams(texts)
-            sums = np.add.reduceat(score(g), begin)
+            values = score(g)
+            rare = rare_of(g, begin, values)
+            sums = np.add.reduceat(np.nan_to_num(values), begin)
             rows = []
-            for doc_id, x, s in zip(ids, texts, sums.tolist(), strict=True):
+            for doc_id, x, s, (r, r_n) in zip(ids, texts, sums.tolist(), rare, strict=True):
                 words = x.split()
                 words.append(b"")
                 logs = [known.get(w) for w in words]
                 rest = Counter(w.decode("utf-8", "replace") for w, v in zip(words, logs, strict=True) if v is None) if None in logs else {}
                 logs = [v for v in logs if v is not None]
-                rows.append((row, doc_id, len(words), len(x), len(logs), float(sum(logs)), s, list(rest), list(rest.values())))
+                rows.append((row, doc_id, len(words), len(x), len(logs), float(sum(logs)), s, list(rest), list(rest.values()), r, r_n))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PER_DOC, strict=True)], schema=PER_DOC)
 
@@ -290,31 +360,36 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    counted = stored(counts(docs.where(learn)), "counts")
+    counted = stored(counts(docs, learn), "counts")
     words = counted.where("word IS NOT NULL").select("word", "n")
-    model = slots(tree(counted.where("gram IS NOT NULL").select("gram", "n")))
+    values = probabilities(counted.where("gram IS NOT NULL").select("gram", "n", "m"))
+    model = head_of(values)
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = words.orderBy(F.col("n").desc(), "word").limit(HEAD_WORDS).toArrow()
     logs = np.log10(top.column("n").to_numpy().astype(np.float64) + 1)
     head = {w.encode(): x for w, x in zip(top.column("word").to_pylist(), logs.tolist(), strict=True)}
     sc = spark.sparkContext
-    schema = "row long, doc_id long, n_tokens long, n_bytes long, head_known long, head_sum double, score double, tail array<string>, tail_n array<int>"
+    schema = "row long, doc_id long, n_tokens long, n_bytes long, head_known long, head_sum double, score double, tail array<string>, tail_n array<int>, rare array<long>, rare_n array<int>"
     scored = stored(docs.mapInArrow(_scored(sc.broadcast(model), sc.broadcast(head)), schema), "scored")
     tail = scored.where(F.size("tail") > 0).select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("k"))
     # A word is here at most once for each document, and the frequent ones are not here: no key is hot.
     known = tail.join(words, "word").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("tail_sum"), F.sum("k").alias("tail_known"))
+    rare = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("t")).select("row", F.col("t.rare").alias("gram"), F.col("t.rare_n").alias("k"))
+    rare = rare.join(values.select("gram", "value"), "gram").groupBy("row").agg(F.sum(F.col("k") * F.col("value")).alias("rare_sum"))
     whole = float(n + v + 1)
+    score = F.col("score") + F.coalesce("rare_sum", F.lit(0.0))
     return (
-        scored.drop("tail", "tail_n")
+        scored.drop("tail", "tail_n", "rare", "rare_n")
         .join(known, "row", "left")
+        .join(rare, "row", "left")
         .select(
             "doc_id",
             "n_tokens",
             (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
             F.lit(int(n)).cast("long").alias("train_tokens"),
             (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(whole))).alias("base_score"),
-            "score",
-            (-F.col("score") * F.log2(F.lit(10.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+            score.alias("score"),
+            (-score * F.log2(F.lit(10.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
         )
     )
 

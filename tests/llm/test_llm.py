@@ -540,6 +540,44 @@ def test_context_tree_weighting(spark):
         assert abs(got[i] - want) < 0.02 * (1 + abs(want))
 
 
+def test_lm_scores_from_the_whole_tree(spark, monkeypatch):
+    """Whatever part of the strings is broadcast, every node that was counted speaks, exactly."""
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 7))) for _ in range(60)) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    count = brute_tree([t.encode() for t in texts[:30]], lm.DEPTH)
+    below = collections.defaultdict(set)
+    for ctx, node in count:
+        if ctx:
+            below[(ctx[1:], node)].add((ctx, node))
+    weight, log_pw = {}, {}
+    for key in sorted(count, key=lambda k: -len(k[0])):
+        a, b = count[key]
+        kt = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        leaf = len(key[0]) == lm.DEPTH
+        log_pw[key] = kt if leaf else np.logaddexp(kt, sum(log_pw[c] for c in below[key])) - math.log(2)
+        weight[key] = 1.0 if leaf else math.exp(kt - math.log(2) - log_pw[key])
+
+    def log10_of(text):
+        raw, total = b"\0" * lm.DEPTH + text + b"\0", 0.0
+        for k in range(lm.DEPTH, len(raw)):
+            for j in range(8):
+                node, p = (1 << j) | (raw[k] >> (8 - j)), None
+                for d in range(lm.DEPTH, -1, -1):
+                    if (key := (raw[k - d : k], node)) in count:
+                        a, b = count[key]
+                        p = (b + 0.5) / (a + b + 1) if p is None else weight[key] * (b + 0.5) / (a + b + 1) + (1 - weight[key]) * p
+                p = 0.5 if p is None else p
+                total += math.log10(p if (raw[k] >> (7 - j)) & 1 else 1 - p)
+        return total
+
+    for head in (0, 200, 1 << 22):
+        monkeypatch.setattr(lm, "HEAD_GRAMS", head)
+        got = {r["doc_id"]: r["score"] for r in lm.score_texts(df, F.col("doc_id") < 30).collect()}
+        for i in (0, 7, 29, 30, 39):
+            assert math.isclose(got[i], log10_of(texts[i].encode()), rel_tol=1e-6)
+
+
 def test_lm_base_and_edges(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD_WORDS", 3)
     data = [(1, "The the cat"), (2, None), (3, ""), (4, "unseen É words the"), (5, "a\x0bb c\x1cd"), (None, "the"), (6, "the cat " * 30_000)]
