@@ -36,17 +36,17 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id; of several rows with that id, one.
 
-    Rows without doc_id stand for no group and stay where nothing with an id is like them.
+    Groups are of rows, told apart by a key of their own: rows that share an id, or have none, are one group only
+    where their texts are alike. Rows without doc_id come after all others of their group.
     """
-    groups = jaccard.similar_groups(docs)
-    # A group's keeper is known by its id alone, so only ids are joined with the texts.
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    keep = F.broadcast(stored(keep, "keep")) if keep.count() <= jaccard.BROADCAST_ROWS else keep
-    named = docs.join(keep, "doc_id", "left_semi")
-    if not docs.where("doc_id IS NULL").isEmpty():
-        named = named.unionByName(docs.where("doc_id IS NULL"))
-    first = named.dropDuplicates(["doc_id"]) if not docs.groupBy("doc_id").count().where("count > 1").isEmpty() else named
-    return first.select(*docs.columns)
+    keyed = stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    groups = jaccard.similar_groups(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    # Only ids are grouped and joined with the texts.
+    keep = keyed.select("row_key", "doc_id").join(groups, "row_key").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row_key")
+    keep = stored(keep, "keep")
+    keep = F.broadcast(keep) if keep.count() <= jaccard.BROADCAST_ROWS else keep
+    return keyed.join(keep, "row_key", "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

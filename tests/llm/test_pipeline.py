@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as p
 from larkspur.llm import decontam, langid, mixing
 from larkspur.llm.common import stored
+from tests.conftest import rows
 
 
 def test_stages(spark, sf):
@@ -42,6 +43,16 @@ def test_stages_on_odd_rows(spark, sf):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_unlike_rows_of_one_id_or_none_stay(spark, sf):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    data = [(None, a), (None, a), (None, b), (None, c), (None, None), (None, ""), (9, c), (7, d), (7, d), (7, e), (5, e), (3, "alone")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, source string").repartition(3)
+    out = p.one_of_each_group(spark, docs, sf)
+    assert out.columns == docs.columns
+    want = [(None, a), (None, b), (None, None), (None, ""), (9, c), (7, d), (5, e), (3, "alone")]
+    assert rows(out) == sorted(((i, t, "x") for i, t in want), key=repr)
+
+
 def test_language_stage_keeps_clear_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = p.keep_known_language(spark, docs, sf)
