@@ -82,7 +82,7 @@ def cut_bytes(text: Column, n: int) -> Column:
 
 _MARK = "\x01"
 #: Openers with their closers, tried in this order at each byte.
-_MARKED = ((r"```", r"```", "code"), (r"\$\$", r"\$\$", "latex"), (r"\\\[", r"\\\]", "latex"), (r"\\\(", r"\\\)", "latex"))
+MARKED = ((r"```", r"```", "code"), (r"\$\$", r"\$\$", "latex"), (r"\\\[", r"\\\]", "latex"), (r"\\\(", r"\\\)", "latex"))
 
 
 def segments(text: Column) -> Column:
@@ -91,7 +91,7 @@ def segments(text: Column) -> Column:
     A marked span holds its delimiters and runs to the first closer, or to the end. The control character U+0001
     separates spans on the way; where a text holds it, it is taken for a blank.
     """
-    marked = "|".join(rf"{a}[\s\S]*?(?:{b}|\z)" for a, b, _ in _MARKED)
+    marked = "|".join(rf"{a}[\s\S]*?(?:{b}|\z)" for a, b, _ in MARKED)
     cut = F.regexp_replace(F.translate(text, _MARK, " "), f"({marked})", f"{_MARK}$1{_MARK}")
     parts = F.filter(F.split(cut, _MARK), lambda x: F.length(x) > 0)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Repeated keys up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
 # What columns may hold.
 ROLES = ("user", "assistant", "system")
 SOURCE_KINDS = ("local", "web", "user", "system", "unknown")
@@ -51,6 +54,21 @@ def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.where(known).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def first_of(rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """rows without the later ones of a key, in `order` (without one, by their contents).
+
+    Which keys repeat is found from the keys alone; where none does, rows are read as they are and nothing else is shuffled.
+    """
+    again = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    n = again.count()
+    if not n:
+        return rows
+    again = F.broadcast(again) if n <= BROADCAST_ROWS else again
+    whole = F.struct(*rows.columns)
+    first = rows.join(again, key, "left_semi").groupBy(key).agg(F.min_by(whole, whole if order is None else order).alias("_row")).select("_row.*")
+    return rows.join(again, key, "left_anti").select(*rows.columns).unionByName(first.select(*rows.columns))
+
+
 def orphans(rows: DataFrame, column: str, parents: DataFrame, key: str) -> DataFrame:
     """Rows whose reference is set and names no parent."""
     return rows.where(F.col(column).isNotNull()).join(parents.select(F.col(key).alias(column)).distinct(), column, "left_anti").select(*rows.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,10 +15,11 @@ from larkspur.functions.robots import robots_allowed
 from larkspur.functions.text import html_links, html_text, html_title
 from larkspur.functions.urls import canonical, may_fetch, resolved
 from larkspur.operators import index, rank
+from larkspur.operators.constraints import first_of
 from larkspur.operators.frontier import seeds
 from larkspur.operators.lineage import cut
 from larkspur.sources.pages import FetchLimits
-from larkspur.sources.telemetry import SCHEMA
+from larkspur.sources.telemetry import SCHEMA, elapsed_ms
 
 
 @dataclass(frozen=True)
@@ -31,42 +33,80 @@ class Config:
     b: float = rank.B
 
 
-def event(name: str, error: bool, bytes_in: Column, bytes_out: Column) -> Column:
-    return F.struct(F.lit(name).alias("name"), F.lit(0).cast("bigint").alias("duration_ms"), bytes_in.cast("bigint").alias("bytes_in"), bytes_out.cast("bigint").alias("bytes_out"), F.lit(error).alias("error"))
+def event(name: str, error: bool, bytes_in: Column, bytes_out: Column, duration_ms: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(name).alias("name"), F.coalesce(F.lit(None) if duration_ms is None else duration_ms, F.lit(0)).cast("bigint").alias("duration_ms"), bytes_in.cast("bigint").alias("bytes_in"), bytes_out.cast("bigint").alias("bytes_out"), F.lit(error).alias("error")
+    )
 
 
 def host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1)
 
 
+def parsed(pages: DataFrame, config: Config) -> DataFrame:
+    """Every page once, by canonical URL: url, effective, size, ok (it counts as fetched), duration_ms, title, text, targets (canonical URLs of its links).
+
+    pages: url, html; status, effective_url and duration_ms where they are there. Of pages with one canonical URL the
+    one with the least content is taken. What does not count as fetched is not parsed.
+    """
+    there = lambda c, other: F.col(c) if c in pages.columns else other
+    asked = F.col("url")
+    rows = pages.select(
+        canonical(asked).alias("url"),
+        canonical(F.coalesce(F.nullif(there("effective_url", F.lit("")), F.lit("")), asked)).alias("effective"),
+        there("status", F.lit(200)).alias("status"),
+        there("duration_ms", F.lit(0)).cast("bigint").alias("duration_ms"),
+        "html",
+    ).where("url IS NOT NULL")
+    rows = first_of(rows, "url", F.struct("html", "status", "effective", "duration_ms"))
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    ok = F.coalesce(may_fetch(F.col("url")) & F.col("status").between(200, 299) & (size > 0) & (size <= config.limits.body_bytes), F.lit(False))
+    rows = rows.select("url", "effective", "duration_ms", size.alias("size"), ok.alias("ok"), F.when(ok & F.col("effective").isNotNull(), F.col("html")).alias("html"))
+    rows = computed(rows, {"title": html_title(F.col("html")), "text": html_text(F.col("html")), "refs": html_links(F.col("html"))})
+    return rows.select("url", "effective", "size", "ok", "duration_ms", "title", "text", F.array_compact(F.transform("refs", lambda r: resolved(F.col("effective"), r))).alias("targets"))
+
+
 def attempts(world: DataFrame, level: DataFrame, config: Config, robots: DataFrame | None = None) -> DataFrame:
-    """What becomes of each URL of a level (url, depth): the page's parts and `event`, by name of what happened first.
+    """What becomes of each URL of a level (url, depth): url, depth, effective, `event` by name of what happened first.
 
-    world: url (canonical), status, html. robots: host, body; hosts without a row allow all.
+    world: what parsed() gives. robots: host, body; hosts without a row allow all.
     """
     nothing = F.lit(0)
-    rows = level.join(world, "url", "left")
+    rows = level.join(world.select("url", "effective", "size", "ok", "duration_ms", F.octet_length("text").alias("text_bytes")), "url", "left")
     if robots is not None and config.obey_robots:
         path = F.regexp_replace(F.col("url"), "^[a-z]+://[^/?#]*", "")
         rows = rows.withColumn("host", host(F.col("url"))).join(robots.select("host", F.col("body").alias("_robots")), "host", "left")
         rows = rows.withColumn("_may", robots_allowed(path, F.col("_robots"), F.lit(config.user_agent))).drop("_robots", "host")
     else:
         rows = rows.withColumn("_may", F.lit(True))
-    size = F.coalesce(F.octet_length("html"), F.lit(0))
-    ok = may_fetch(F.col("url")) & F.col("status").between(200, 299) & (size > 0) & (size <= config.limits.body_bytes)
-    rows = computed(rows, {"_text_bytes": F.octet_length(html_text(F.col("html")))})
-    return rows.withColumn(
-        "event",
+    size, took = F.coalesce(F.col("size"), nothing), F.col("duration_ms")
+    return rows.select(
+        "url",
+        "depth",
+        "effective",
         F.when(F.col("depth") > config.max_depth, event("crawl_depth_blocked", False, nothing, nothing))
         .when(~F.col("_may"), event("crawl_robots_blocked", False, nothing, nothing))
-        .when(~F.coalesce(ok, F.lit(False)), event("crawl_fetch_failed", True, size, nothing))
-        .otherwise(event("crawl_indexed", False, size, F.col("_text_bytes"))),
-    ).select("url", "depth", "html", "event")
+        .when(~F.coalesce(F.col("ok"), F.lit(False)), event("crawl_fetch_failed", True, size, nothing, took))
+        .when(F.col("effective").isNull(), event("crawl_invalid_effective_url", True, nothing, nothing, took))
+        .otherwise(event("crawl_indexed", False, size, F.col("text_bytes"), took))
+        .alias("event"),
+    )
+
+
+def seeded(start: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(url, depth 0) of the seeds that the frontier takes, and an event for each seed: refused are those without a canonical form and repeats."""
+    taken = seeds(start)
+    nothing = F.lit(0)
+    rows = start.select(canonical(F.col("url")).alias("url")).groupBy("url").agg(F.count("*").alias("n"))
+    refused = F.when(F.col("url").isNull(), F.col("n")).otherwise(F.col("n") - 1).cast("int")
+    ok = F.when(F.col("url").isNull(), F.lit(0)).otherwise(F.lit(1))
+    each = F.concat(F.array_repeat(event("crawl_seed", False, nothing, nothing), ok), F.array_repeat(event("crawl_seed", True, nothing, nothing), refused))
+    return taken, rows.select(F.explode(each).alias("event")).select("event.*")
 
 
 @dataclass(frozen=True)
 class Crawled:
-    """documents: id (from 1, by depth and URL), url, title, text. events: telemetry rows. frontier: what was found beyond the last depth."""
+    """documents: id (from 1, by depth and URL), url, title, text. events: telemetry rows. frontier: what was found and not tried."""
 
     documents: DataFrame
     events: DataFrame
@@ -74,28 +114,48 @@ class Crawled:
 
 
 def crawl(pages: DataFrame, start: DataFrame, config: Config = Config(), robots: DataFrame | None = None, checkpoint: Callable[[DataFrame], DataFrame] = cut) -> Crawled:
-    """Crawl a closed world of pages (url, html; status, where it is there) from `start` (url), one step per depth.
+    """Crawl a closed world of pages (see parsed()) from `start` (url), one step per depth.
 
-    Of pages with one canonical URL the one with the least content is taken. A URL is tried once. Links are
-    followed from pages above max_depth. Documents are numbered by depth, then URL, and end at max_documents.
+    The queue runs by depth, then URL; a URL is tried once. Links are followed from pages above max_depth. At max_documents
+    indexed pages the crawl ends: what stands behind in the queue is not tried, and the last page's links are not taken.
+    Pages are parsed once; what the steps join and store is URLs.
+
+    Events: a crawl_seed for each seed, one of crawl_indexed, crawl_fetch_failed, crawl_invalid_effective_url,
+    crawl_robots_blocked or crawl_depth_blocked for each URL tried, and crawl_limit or crawl_empty for the end. Ids are
+    numbered here, so none can be refused by the index.
     """
-    status = F.col("status") if "status" in pages.columns else F.lit(200)
-    world = pages.select(canonical(F.col("url")).alias("url"), status.alias("status"), "html").where("url IS NOT NULL").groupBy("url").agg(F.min(F.struct("html", "status")).alias("p")).select("url", "p.status", "p.html")
-    level = seeds(start)
-    tried, known = None, level.select("url")
+    world = checkpoint(parsed(pages, config))
+    level, seed_events = seeded(start)
+    level = checkpoint(level)
+    known, waiting, tried, indexed = level.select("url"), None, None, 0
     for depth in range(config.max_depth + 1):
         step = checkpoint(attempts(world, level, config, robots))
+        good = step.where("event.name = 'crawl_indexed'")
+        there, room = good.count(), config.max_documents - indexed
+        if there >= room:  # the cap lies in this level
+            last = good.orderBy("url").limit(room).agg(F.max("url")).first()[0]
+            reached = F.col("url") <= (last if last is not None else "")
+            waiting = step.where(~reached).select("url", "depth")
+            step = step.where(reached)
+            good = good.where(reached & (F.col("url") < (last or "")))
         tried = step if tried is None else tried.unionByName(step)
-        found = step.where("event.name = 'crawl_indexed'").select("url", F.explode(html_links(F.col("html"))).alias("ref"))
-        level = computed(found, {"target": resolved(F.col("url"), F.col("ref"))}).select(F.col("target").alias("url")).where("url IS NOT NULL").distinct().join(known, "url", "left_anti").withColumn("depth", F.lit(depth + 1))
-        level = checkpoint(level)
-        if depth < config.max_depth:
+        indexed += min(there, room)
+        found = world.join(good.select("url"), "url", "left_semi").select(F.explode("targets").alias("url")) if depth < config.max_depth else None
+        if found is not None:
+            level = checkpoint(found.distinct().join(known, "url", "left_anti").withColumn("depth", F.lit(depth + 1)))
             known = known.union(level.select("url"))
-    indexed = tried.where("event.name = 'crawl_indexed'").select("url", "depth", html_title(F.col("html")).alias("title"), html_text(F.col("html")).alias("text"))
-    # The cap bounds the rows before they are numbered.
-    best = indexed.orderBy("depth", "url").limit(config.max_documents)
-    documents = best.withColumn("id", F.row_number().over(W.orderBy("depth", "url")).cast("bigint")).select("id", "url", "title", "text")
-    return Crawled(documents, tried.select("event.*"), level)
+        if indexed >= config.max_documents:
+            waiting = waiting if found is None else waiting.unionByName(level)
+            break
+    spark = pages.sparkSession
+    end = "crawl_limit" if indexed >= config.max_documents else "crawl_empty"
+    ended = spark.range(1).select(event(end, False, F.lit(0), F.lit(0)).alias("event")).select("event.*")
+    good = tried.where("event.name = 'crawl_indexed'").select(F.col("url").alias("asked"), "depth", "effective")
+    # At most max_documents rows are numbered.
+    good = good.withColumn("id", F.row_number().over(W.orderBy("depth", "asked")).cast("bigint"))
+    documents = world.select(F.col("url").alias("asked"), "title", "text").join(good, "asked").select("id", F.col("effective").alias("url"), "title", "text")
+    waiting = level.limit(0) if waiting is None else waiting
+    return Crawled(documents, seed_events.unionByName(tried.select("event.*")).unionByName(ended), waiting)
 
 
 class Engine:
@@ -107,12 +167,22 @@ class Engine:
     def search(self, query: str, limit: int = 10) -> DataFrame:
         """id, score, url, title of the best; none for a limit of 0 or an empty index."""
         hits = rank.top(rank.scores(self.index, query, k1=self.config.k1, b=self.config.b), limit)
-        return self.index.docs.select("id", "url", "title").join(F.broadcast(hits), "id").select("id", "score", "url", "title")
+        return rank.titled(self.index, hits, limit)
+
+    def searched(self, query: str, limit: int = 10) -> tuple[list, DataFrame]:
+        """The rows that search() gives, best first, and the telemetry row of the search with the time it took."""
+        start = time.monotonic_ns()
+        rows = self.search(query, limit).orderBy(F.col("score").desc(), "id").collect()  # at most `limit` rows
+        empty = limit <= 0 or not rows and not self.document_count()
+        return rows, self.search_event(query, len(rows), elapsed_ms(start), empty)
 
     def document_count(self) -> int:
         return self.index.docs.count()
 
-    def search_event(self, query: str, results: int) -> DataFrame:
-        """The telemetry row of a search: its query's bytes and its number of results, never the query itself."""
-        name = "search" if results else "search_empty"
-        return self.index.docs.sparkSession.createDataFrame([(name, 0, len(query.encode()), results, False)], SCHEMA)
+    def document(self, doc_id: int) -> DataFrame:
+        return self.index.document(doc_id)
+
+    def search_event(self, query: str, results: int, duration_ms: int = 0, empty: bool = False) -> DataFrame:
+        """The telemetry row of a search: its query's bytes and its number of results, never the query itself. empty: nothing was asked for, or there is no document."""
+        name = "search_empty" if empty else "search"
+        return self.index.docs.sparkSession.createDataFrame([(name, duration_ms, len(query.encode()), results, False)], SCHEMA)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from larkspur.functions.binding import computed
 from larkspur.functions.evidence import DECISIONS
 from larkspur.functions.text import html_links, html_text, html_title
 from larkspur.functions.urls import canonical, resolved
+from larkspur.operators.constraints import BROADCAST_ROWS
 from larkspur.operators.lineage import cut
 
 MOST_URL = 2048
@@ -42,15 +43,28 @@ def decisions(arrivals: DataFrame, capacity: int | None = None) -> DataFrame:
 def popped(queue: DataFrame, n: int = 1) -> tuple[DataFrame, DataFrame]:
     """The first n arrivals of a queue (seq, ...), and what still waits."""
     first = queue.orderBy("seq").limit(n)
-    return first, queue.join(F.broadcast(first.select("seq")), "seq", "left_anti")
+    ids = first.select("seq")
+    return first, queue.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "seq", "left_anti")
+
+
+def _range(x: Column, cuts: list[int], first: int) -> Column:
+    """How many of the cuts (ascending) lie before x, counted from `first`: a tree of comparisons."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(x <= cuts[mid], _range(x, cuts[:mid], first)).otherwise(_range(x, cuts[mid + 1 :], first + mid + 1))
 
 
 def before(rows: DataFrame, order: str, value: str, name: str, ranges: int = 512) -> DataFrame:
-    """`name`: the sum of `value` over all rows earlier in `order` (a whole number, unique). Sums of ranges first, then within each: no single task holds all."""
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    step = max(1, ((high or 0) - (low or 0)) // ranges + 1)
-    rows = rows.withColumn("_range", F.floor((F.col(order) - F.lit(low or 0)) / step))
-    sums = rows.groupBy("_range").agg(F.sum(value).alias("_s"))
+    """`name`: the sum of `value` over all rows earlier in `order` (a whole number, unique).
+
+    Sums of ranges first, then within each: no single task holds all. Ranges are cut at quantiles, so that numbers
+    that lie close together are spread like others.
+    """
+    edges = rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges))
+    cuts = sorted({int(x) for x in edges})
+    rows = rows.withColumn("_range", _range(F.col(order), cuts, 0))
+    sums = rows.groupBy("_range").agg(F.sum(value).alias("_s"))  # at most `ranges` rows
     sums = sums.select("_range", F.coalesce(F.sum("_s").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inner = F.coalesce(F.sum(value).over(W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_inner", inner).join(F.broadcast(sums), "_range").withColumn(name, F.col("_before") + F.col("_inner")).drop("_range", "_before", "_inner")
@@ -84,7 +98,8 @@ def crawl(pages: DataFrame, start: DataFrame, max_depth: int = 2, checkpoint: Ca
     """
     found = pages.where("html IS NOT NULL AND html <> ''").select(canonical(F.col("url")).alias("url"), "html").where("url IS NOT NULL")
     links = found.select("url", F.explode(html_links(F.col("html"))).alias("ref"))
-    links = computed(links, {"target": resolved(F.col("url"), F.col("ref"))}).where("target IS NOT NULL").select("url", "target").distinct()
+    # Pages are parsed once, whatever the depth; what the steps join is URLs.
+    links = checkpoint(computed(links, {"target": resolved(F.col("url"), F.col("ref"))}).where("target IS NOT NULL").select("url", "target").distinct())
     level = seeds(start)
     reached = level
     for depth in range(1, max_depth + 1):

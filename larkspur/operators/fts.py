@@ -1,14 +1,18 @@
-"""Full-text predicates over positional postings: terms, prefixes, phrases, NEAR and boolean combinations.
+"""Full-text predicates and ranking over positional postings: terms, prefixes, phrases, NEAR, boolean combinations, columns.
 
 Words are runs of letters and digits, lower-cased, without the diacritics of
-Latin letters. Each predicate gives the ids of the documents that meet it.
+Latin letters. Each predicate gives the ids of the documents that meet it. With
+several columns a posting has the number of its column; `within` narrows a
+predicate to some of them.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Latin letters with diacritics and the letters they are searched as, place by place.
@@ -21,9 +25,16 @@ def words(text: Column) -> Column:
     return F.transform(found, lambda w: F.translate(w, ACCENTED, PLAIN))
 
 
-def positions(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """id, pos (from 0), word."""
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(words(F.col(text_col))).alias("pos", "word"))
+def positions(docs: DataFrame, id_col: str, text_col: str | list[str] = "text") -> DataFrame:
+    """id, col (the column's number), pos (from 0 in each column), word. Null columns have no words."""
+    names = [text_col] if isinstance(text_col, str) else text_col
+    parts = F.array(*[F.struct(F.lit(i).alias("col"), words(F.coalesce(F.col(c), F.lit(""))).alias("ws")) for i, c in enumerate(names)])
+    return docs.select(F.col(id_col).alias("id"), F.explode(parts).alias("p")).select("id", "p.col", F.posexplode("p.ws").alias("pos", "word"))
+
+
+def within(rows: DataFrame, *columns: int) -> DataFrame:
+    """Postings of these columns alone."""
+    return rows.where(F.col("col").isin(list(columns)))
 
 
 def term(rows: DataFrame, word: str) -> DataFrame:
@@ -35,24 +46,40 @@ def prefix(rows: DataFrame, start: str) -> DataFrame:
 
 
 def phrase(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """Documents with the terms one after another: where each term may begin the phrase at one place. One pass over the postings, no self-join."""
-    spots = _spots(rows, terms)
-    return spots.groupBy("id", (F.col("pos") - F.col("nth")).alias("start")).agg(F.countDistinct("nth").alias("n")).where(F.col("n") == len(terms)).select("id").distinct()
+    """Documents with the terms one after another in a column: where each term may begin the phrase at one place. One pass over the postings, no self-join."""
+    return _phrases(rows, terms).select("id").distinct()
 
 
-def _spots(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """Postings of the terms, one row for each place in the list that a word fills."""
+def _phrases(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """id, col, start of every occurrence of the phrase."""
+    if len(terms) == 1:
+        return rows.where(F.col("word") == terms[0]).select("id", "col", F.col("pos").alias("start"))
     nth = F.array(*[F.when(F.col("word") == t, F.lit(i)) for i, t in enumerate(terms)])
-    return rows.where(F.col("word").isin(list(dict.fromkeys(terms)))).withColumn("nth", F.explode(F.array_compact(nth)))
+    spots = rows.where(F.col("word").isin(list(dict.fromkeys(terms)))).withColumn("nth", F.explode(F.array_compact(nth)))
+    found = spots.groupBy("id", "col", (F.col("pos") - F.col("nth")).alias("start")).agg(F.countDistinct("nth").alias("n"))
+    return found.where(F.col("n") == len(terms)).drop("n")
 
 
 def near(rows: DataFrame, left: str, right: str, distance: int = 10) -> DataFrame:
-    """Documents with the two words at most `distance` words apart: the words in between number that many at most."""
-    found = rows.where(F.col("word").isin(left, right)).groupBy("id").agg(
-        F.collect_list(F.when(F.col("word") == left, F.col("pos"))).alias("a"), F.collect_list(F.when(F.col("word") == right, F.col("pos"))).alias("b")
-    )
-    close = F.exists("a", lambda x: F.exists("b", lambda y: (F.abs(x - y) <= distance + 1) & (x != y)))
-    return found.where(close).select("id")
+    """Documents with the two words at most `distance` words apart in a column: the words in between number that many at most.
+
+    Of the two words' places in order only neighbours are compared: where any two are near, two neighbours are.
+    """
+    found = rows.where(F.col("word").isin(left, right))
+    w = W.partitionBy("id", "col").orderBy("pos")
+    found = found.select("id", "word", (F.col("pos") - F.lag("pos").over(w)).alias("step"), F.lag("word").over(w).alias("last"))
+    other = F.lit(True) if left == right else F.col("word") != F.col("last")
+    return found.where((F.col("step") <= distance + 1) & other).select("id").distinct()
+
+
+def boolean(rows: DataFrame, condition: Column, **terms: str) -> DataFrame:
+    """Documents that meet a condition over named terms (true where the document has the word), in one pass over the postings.
+
+    A document without any of the words is not looked at: a condition that holds without them is not for this.
+    """
+    wanted = rows.where(F.col("word").isin(list(dict.fromkeys(terms.values()))))
+    held = wanted.groupBy("id").agg(*[F.bool_or(F.col("word") == w).alias(n) for n, w in terms.items()])
+    return held.where(condition).select("id")
 
 
 def all_of(*parts: DataFrame) -> DataFrame:
@@ -65,3 +92,34 @@ def any_of(*parts: DataFrame) -> DataFrame:
 
 def but_not(part: DataFrame, without: DataFrame) -> DataFrame:
     return part.join(without, "id", "left_anti")
+
+
+def ranked(docs: DataFrame, id_col: str, columns: list[str], phrases: list[list[str]], weights: list[float] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) of the documents that hold one of the phrases, smaller being better, as full-text indexes of databases rank.
+
+    For each phrase log((N - n + 1/2) / (n + 1/2)), a millionth at least, times f (k1 + 1) / (f + k1 (1 - b + b D / avg)),
+    where f sums its occurrences by the weights of their columns, D and avg count words of all columns; their negated
+    sum. One pass counts words and occurrences within each row; what is shuffled is one row of counts.
+    """
+    weight = weights or [1.0] * len(columns)
+    split = [words(F.coalesce(F.col(c), F.lit(""))).alias(f"_w{i}") for i, c in enumerate(columns)]
+    rows = docs.select(F.col(id_col).alias("id"), F.inline(F.array(F.struct(*split))))
+
+    def times(ws: Column, terms: list[str]) -> Column:
+        """Places at which the phrase begins."""
+        here = lambda x, i: reduce(lambda m, k: m & (F.get(ws, i + k) == terms[k]), range(1, len(terms)), x == terms[0])
+        return F.size(F.filter(ws, lambda x, i: F.coalesce(here(x, i), F.lit(False))))
+
+    size = reduce(lambda x, y: x + y, [F.size(f"_w{i}") for i in range(len(columns))])
+    held = [reduce(lambda x, y: x + y, [F.lit(weight[i]) * times(F.col(f"_w{i}"), p) for i in range(len(columns))]).alias(f"f{n}") for n, p in enumerate(phrases)]
+    # Whether a phrase is there at all does not depend on weights.
+    there = [reduce(lambda x, y: x | y, [times(F.col(f"_w{i}"), p) > 0 for i in range(len(columns))]).alias(f"h{n}") for n, p in enumerate(phrases)]
+    rows = rows.select("id", F.inline(F.array(F.struct(size.cast("double").alias("size"), *held, *there))))
+    counted = rows.agg(F.count("*").alias("n"), F.avg("size").alias("avg"), *[F.sum(F.col(f"h{n}").cast("bigint")).alias(f"n{n}") for n in range(len(phrases))]).first()
+    score = F.lit(0.0)
+    for n in range(len(phrases)):
+        ratio = (counted["n"] - (counted[f"n{n}"] or 0) + 0.5) / ((counted[f"n{n}"] or 0) + 0.5)
+        idf = max(1e-6, math.log(ratio))
+        f = F.col(f"f{n}")
+        score = score + F.lit(idf) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("size") / F.lit(counted["avg"] or 1.0)))
+    return rows.where(reduce(lambda x, y: x | y, [F.col(f"h{n}") for n in range(len(phrases))])).select("id", (-score).alias("score"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.binding import computed, let
 from larkspur.functions.text import QUERY_TOKENS, ascii_tokens, occurrences, unicode_tokens
+from larkspur.operators.constraints import BROADCAST_ROWS
 from larkspur.operators.index import Index
 
 K1, B = 1.2, 0.75
@@ -34,10 +35,9 @@ def query_tokens(profile: str, query: str) -> Column:
     return ascii_tokens(text) if profile == "ascii" else F.array_distinct(unicode_tokens(text, QUERY_TOKENS))
 
 
-def query_terms(index: Index, query: str) -> DataFrame:
-    """(term, times) of the query."""
-    one = index.docs.sparkSession.range(1)
-    return one.select(F.explode(query_tokens(index.profile, query)).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+def query_terms(index: Index, query: str) -> list[str]:
+    """The query's tokens, repeats included; their number is bounded by the query's text."""
+    return index.docs.sparkSession.range(1).select(query_tokens(index.profile, query).alias("t")).first()["t"]
 
 
 def scores(index: Index, query: str, boosts: bool = False, k1: float = K1, b: float = B) -> DataFrame:
@@ -58,21 +58,25 @@ def _boost(term: Column) -> Column:
 
 
 def _looked_up(index: Index, query: str, boosts: bool, k1: float, b: float) -> DataFrame:
-    """From postings: the query's terms are broadcast, their number being bounded by the query's text."""
-    hits = index.postings.join(F.broadcast(query_terms(index, query)), "term")
+    """From the postings of the query's terms; counts of terms are one row a term."""
+    found = query_terms(index, query)
+    terms = list(dict.fromkeys(found))
+    if not terms:
+        return index.docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    hits = index.postings_of(terms)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     stats = index.stats()
     n, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
+    times = F.create_map(*[F.lit(x) for t in terms for x in (t, found.count(t))])[F.col("term")]
     rows = hits.join(F.broadcast(df), "term").join(index.docs.where("active"), "id")
     value = bm25(F.col("tf"), F.col("df"), F.col("length"), n, avgdl, k1, b)
     value = value + _boost(F.col("term")) if boosts else value
-    return rows.groupBy("id").agg(F.sum(value * F.col("times")).alias("score"))
+    return rows.groupBy("id").agg(F.sum(value * times).alias("score"))
 
 
 def _scanned(index: Index, query: str, boosts: bool, k1: float, b: float) -> DataFrame:
     """From rows of tokens: term frequencies by array functions, a document's score within its row."""
-    spark = index.docs.sparkSession
-    found = spark.range(1).select(query_tokens(index.profile, query).alias("t")).first()["t"]
+    found = query_terms(index, query)
     terms = list(dict.fromkeys(found))
     if not terms:
         return index.docs.select("id", F.lit(0.0).alias("score")).limit(0)
@@ -109,6 +113,11 @@ def search(index: Index, query: str, k: int = 10, boosts: bool = False, k1: floa
 
 
 def results(index: Index, query: str, k: int = 10, boosts: bool = False) -> DataFrame:
-    """id, score, url, title of the best k; hits without a document are left out. The k hits are broadcast."""
-    hits = search(index, query, k, boosts)
-    return index.docs.select("id", "url", "title").join(F.broadcast(hits), "id").select("id", "score", "url", "title")
+    """id, score, url, title of the best k; hits without a document are left out."""
+    return titled(index, search(index, query, k, boosts), k)
+
+
+def titled(index: Index, hits: DataFrame, k: int) -> DataFrame:
+    """hits (id, score), at most k, with url and title of their documents; they are broadcast, unless the caller asks for very many."""
+    hits = F.broadcast(hits) if k <= BROADCAST_ROWS else hits
+    return index.docs.select("id", "url", "title").join(hits, "id").select("id", "score", "url", "title")

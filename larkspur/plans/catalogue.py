@@ -10,8 +10,9 @@ from larkspur.functions import text as tx
 from larkspur.functions import urls
 from larkspur.functions.binding import computed
 from larkspur.functions.robots import robots_allowed
+from larkspur.functions.sql import register
 from larkspur.operators import constraints, engine, frontier, fts, graph, index, rank
-from larkspur.sources import telemetry
+from larkspur.sources import store, telemetry
 from larkspur.sources.pages import FetchLimits, fetched
 from larkspur.streaming.streams import windowed_events
 
@@ -22,6 +23,7 @@ PAGE_QUERY = "attion thanedble the ner"
 REMOVED = "id % 7 = 3"
 PHRASE = ["of", "the"]
 NEAR = ("worthless", "the", 5)
+RANK_PHRASES = [["of", "the"], ["worthless"], ["web"]]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +36,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id (never 0), url, title, text of the pages."""
-    rows = read(spark, sf_dir, "pages").where("page_id <> 0")
-    return computed(rows.withColumnRenamed("page_id", "id"), {"title": tx.html_title(F.col("html")), "text": tx.html_text(F.col("html"))}).select("id", "url", "title", "text")
+    """id (never 0, once each), url, title, text of the pages. Ids that repeat are sought before anything is parsed."""
+    rows = constraints.first_of(read(spark, sf_dir, "pages").where("page_id <> 0 AND html IS NOT NULL").withColumnRenamed("page_id", "id").select("id", "url", "html"), "id")
+    return computed(rows, {"title": tx.html_title(F.col("html")), "text": tx.html_text(F.col("html"))}).select("id", "url", "title", "text")
 
 
 def rounded(hits: DataFrame, k: int = 10) -> DataFrame:
@@ -84,7 +86,7 @@ def bm25_native(spark, sf):
 
 
 def bm25_native_boost(spark, sf):
-    return rounded(rank.scores(index.build(pages(spark, sf)), PAGE_QUERY, boosts=True))
+    return rounded(rank.scores(index.build(pages(spark, sf), unique=True), PAGE_QUERY, boosts=True))
 
 
 def bm25_native_tombstone(spark, sf):
@@ -101,10 +103,41 @@ def bm25_binary(spark, sf):
 
 
 def search_results_join(spark, sf):
-    built = index.build(pages(spark, sf), "unicode")
+    built = index.build(pages(spark, sf), "unicode", unique=True)
     hits = rank.scores(built, PAGE_QUERY).withColumn("score", F.round("score", 6))
-    best = F.broadcast(rank.top(hits, 10))
-    return built.docs.select("id", "url", "title").join(best, "id").select(F.col("id").alias("doc_id"), "score", "url", "title")
+    return rank.titled(built, rank.top(hits, 10), 10).withColumnRenamed("id", "doc_id")
+
+
+def _arriving(spark, sf):
+    """Documents as rows that arrive by doc_id: two by two they share an id, and every ninth has no text."""
+    rows = read(spark, sf, "documents")
+    return rows.select(F.col("doc_id").alias("seq"), F.floor(F.col("doc_id") / 2).cast("bigint").alias("id"), F.when(F.col("doc_id") % 9 != 4, F.col("text")).alias("text"))
+
+
+def index_first_wins(spark, sf):
+    """Documents of an index that rows with repeated ids were added to, with their lengths and term frequencies' sums."""
+    built = index.build(_arriving(spark, sf), order=F.col("seq"))
+    sums = built.postings.groupBy("id").agg(F.sum("tf").alias("tf"), F.count("*").alias("terms"))
+    return built.docs.join(sums, "id", "left").select(F.col("id").alias("doc_id"), F.col("length").cast("bigint").alias("length"), F.coalesce("tf", F.lit(0)).alias("tf"), F.coalesce("terms", F.lit(0)).alias("terms"))
+
+
+def bm25_first_wins(spark, sf):
+    return rounded(rank.scores(index.build(_arriving(spark, sf), order=F.col("seq")), QUERY))
+
+
+def bm25_parameters(spark, sf):
+    """Another k1 and b, and a limit beyond the number of hits."""
+    return rounded(rank.scores(index.build(documents(spark, sf)), "moron idiot", k1=2.0, b=0.25), 10_000_000)
+
+
+def document_lookup(spark, sf):
+    """One document by its id; id 0 is none."""
+    built = index.build(documents(spark, sf))
+    return built.document(7).unionByName(built.document(0)).select(F.col("id").alias("doc_id"), F.col("length").cast("bigint").alias("length"))
+
+
+def document_count(spark, sf):
+    return index.build(documents(spark, sf)).docs.agg(F.count("*").alias("n"))
 
 
 def vector_cosine(spark, sf):
@@ -141,8 +174,21 @@ def fts_prefix(spark, sf):
 
 
 def fts_boolean(spark, sf):
-    rows = _positions(spark, sf)
-    return _ids(fts.but_not(fts.any_of(fts.all_of(fts.term(rows, "worthless"), fts.term(rows, "the")), fts.term(rows, "moron")), fts.term(rows, "idiot")))
+    met = (F.col("a") & F.col("b") | F.col("m")) & ~F.col("i")
+    return _ids(fts.boolean(_positions(spark, sf), met, a="worthless", b="the", m="moron", i="idiot"))
+
+
+def fts_column(spark, sf):
+    """A word in one column of several."""
+    rows = fts.positions(read(spark, sf, "documents").where("doc_id <> 0"), "doc_id", ["source", "lang", "text"])
+    return _ids(fts.but_not(fts.term(fts.within(rows, 2), "en"), fts.term(fts.within(rows, 1), "en")))
+
+
+def fts_rank(spark, sf):
+    """The ten best of a phrase and a word in two weighted columns."""
+    rows = read(spark, sf, "documents").where("doc_id <> 0")
+    hits = fts.ranked(rows, "doc_id", ["source", "text"], RANK_PHRASES, [10.0, 1.0]).withColumn("score", F.round("score", 6))
+    return hits.orderBy("score", "id").limit(10).select(F.col("id").alias("doc_id"), "score")
 
 
 def fts_near(spark, sf):
@@ -182,6 +228,30 @@ def url_policy(spark, sf):
     return read(spark, sf, "pages").select("page_id", urls.may_fetch(F.col("url")).alias("allowed"))
 
 
+def url_resolve_sql(spark, sf):
+    """The same through SQL functions."""
+    register(spark)
+    read(spark, sf, "pages").createOrReplaceTempView("larkspur_pages")
+    return spark.sql("SELECT page_id, nth, ref, url_resolve(url, ref) AS target FROM (SELECT page_id, url, posexplode(links) AS (nth, ref) FROM (SELECT page_id, url, html_links(html) AS links FROM larkspur_pages))")
+
+
+def segments_sql(spark, sf):
+    register(spark)
+    read(spark, sf, "conversations").createOrReplaceTempView("larkspur_conversations")
+    return spark.sql("SELECT s.kind AS kind, count(*) AS n, sum(s.length) AS total_bytes FROM (SELECT explode(spans) AS s FROM (SELECT text_segments(text) AS spans FROM larkspur_conversations)) GROUP BY s.kind")
+
+
+def robots_pages(spark, sf):
+    """Whether a page's path may be fetched under rules made of its number: through the Column form and the SQL function, which must agree."""
+    register(spark)
+    rows = read(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^[a-zA-Z]+://[^/?#]*", "").alias("path"))
+    last = (F.col("page_id") % 10).cast("string")
+    body = F.concat(F.lit("# rules\nUser-agent: other\nDisallow: /\n\nUser-Agent: Bot\nDisallow: /en\nAllow: /en/"), last, F.lit("\n\nUser-agent: *\nDisallow: /fr/"), last)
+    rows = rows.withColumn("body", body)
+    both = [robots_allowed(F.col("path"), F.col("body"), F.lit("bOT")), F.expr("robots_allows(path, body, 'bOT')")]
+    return rows.select("page_id", both[0].alias("allowed"), both[0].eqNullSafe(both[1]).alias("agree"))
+
+
 def _links(spark, sf):
     rows = read(spark, sf, "pages").select("page_id", "url", F.posexplode(tx.html_links(F.col("html"))).alias("nth", "ref"))
     return computed(rows, {"target": urls.resolved(F.col("url"), F.col("ref"))}).drop("url")
@@ -205,6 +275,12 @@ def frontier_bounded(spark, sf):
     return frontier.decisions(_arrivals(spark, sf), capacity=256)
 
 
+def frontier_pop(spark, sf):
+    """The first hundred of a queue of links, in order of arrival, and how many still wait."""
+    first, rest = frontier.popped(_arrivals(spark, sf), 100)
+    return first.select("seq", "url").unionByName(rest.agg(F.count("*").alias("seq")).withColumn("url", F.lit(None).cast("string")))
+
+
 def frontier_depth_min(spark, sf):
     return frontier.shallower(_arrivals(spark, sf))
 
@@ -220,7 +296,47 @@ def fetch_filter(spark, sf):
         "page_id", "url", (F.lit(200) + F.pmod("page_id", F.lit(5)) * 75).cast("int").alias("status"),
         F.concat(F.lit("Server: x\r\nCONTENT-TYPE:  text/html; n="), F.col("page_id"), F.lit("\r\nX: y\r\n")).alias("headers"), F.col("html").alias("body"),
     )
-    return fetched(rows, FetchLimits(body_bytes=4096)).select("page_id", "status", "content_type")
+    return fetched(rows, FetchLimits()).select("page_id", "status", "content_type")
+
+
+def fetch_limits(spark, sf):
+    """Limits made of the numbers of parts, valid or not."""
+    rows = read(spark, sf, "part").select("p_partkey", *[(F.col("p_size") % n - 1).cast("int").alias(c) for n, c in ((3, "connect"), (5, "total"), (7, "body"), (4, "redirects"))])
+    return rows.select("p_partkey", urls.limits_valid(F.col("connect"), F.col("total"), F.col("body"), F.col("redirects")).alias("valid"))
+
+
+def _world(spark, sf):
+    """Suppliers as pages in a tree: each links to two others by relative references and to one that is missing; some answer with an error, or from another URL."""
+    k = F.col("s_suppkey")
+    return read(spark, sf, "supplier").select(
+        F.concat(F.lit("http://World.example:80/s/"), k).alias("url"),
+        F.concat(F.lit("<title>"), F.col("s_name"), F.lit("</title><p>number "), k, F.lit(" </p><a href='./x/../"), 2 * k + 1, F.lit("'>l</a><a href=\"/s/"), 2 * k + 2, F.lit("#r\">r</a><a href='/gone/"), k, F.lit("'>g</a>")).alias("html"),
+        F.when(k % 7 == 5, 500).otherwise(200).alias("status"),
+        F.when(k % 11 == 9, F.lit("ftp://elsewhere/")).when(k % 5 == 4, F.concat(F.lit("HTTP://moved.example/s/"), k)).alias("effective_url"),
+        (k * 3).cast("bigint").alias("duration_ms"),
+    )
+
+
+def _crawled(spark, sf):
+    start = spark.createDataFrame([("http://world.example/s/0",), ("http://world.example/s/1",), ("http://WORLD.example/s/1#again",), ("not a url",)], "url string")
+    return engine.crawl(_world(spark, sf), start, engine.Config(max_depth=3, max_documents=1000))
+
+
+def crawl_documents(spark, sf):
+    """Documents of a crawl over four levels from three seeds, two of which are one."""
+    return _crawled(spark, sf).documents.select("id", "url", "title", F.length("text").alias("n_chars"))
+
+
+def crawl_depths(spark, sf):
+    """Telemetry of the same crawl: seeds, what was tried, and its end."""
+    return _crawled(spark, sf).events.groupBy("name", "error").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("duration_ms"), F.sum("bytes_in").alias("bytes_in"))
+
+
+def crawl_capped(spark, sf):
+    """The same crawl, ended at five documents: what it indexed, and what waits."""
+    start = spark.createDataFrame([("http://world.example/s/0",), ("http://world.example/s/1",)], "url string")
+    got = engine.crawl(_world(spark, sf), start, engine.Config(max_depth=3, max_documents=5))
+    return got.documents.select("url", F.lit("indexed").alias("state")).unionByName(got.frontier.select("url", F.lit("waiting").alias("state")))
 
 
 # Robots files with a path, an agent and whether the path may be fetched.
@@ -303,6 +419,43 @@ def graph_runtime_edges(spark, sf):
     return graph.runtime_edges(_edges(spark, sf), _nodes(spark, sf)).select("id", "src", "dst", "kind", "weight")
 
 
+def graph_find(spark, sf):
+    """An edge and a node by id; id 0 finds none."""
+    edges, nodes = _edges(spark, sf), _nodes(spark, sf)
+    found = graph.find(edges, 12).select("id", F.col("src").alias("at")).unionByName(graph.find(edges, 0).select("id", F.col("src").alias("at")))
+    return found.unionByName(graph.find(nodes, 1003).select("id", F.col("kind").cast("bigint").alias("at")))
+
+
+def graph_neighbours(spark, sf):
+    """What suppliers 1 to 9 point at."""
+    start = read(spark, sf, "supplier").where("s_suppkey BETWEEN 1 AND 9").select((F.col("s_suppkey") + 1_000_000).alias("id"))
+    return graph.neighbours(_edges(spark, sf), start)
+
+
+def _additions(spark, sf):
+    """Suppliers as nodes in a tree, some of an unknown kind, and customers as edges between them; even places are nodes, odd ones edges."""
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    nodes = read(spark, sf, "supplier").select((2 * k).alias("seq"), F.when(k % 4 > 0, 2 * F.floor(k / 3)).cast("bigint").alias("parent_seq"), (k % 10).cast("int").alias("kind"), F.repeat("s_name", 8).alias("label"))
+    edges = read(spark, sf, "customer").select((2 * c + 1).alias("seq"), (2 * (c % 97)).cast("bigint").alias("src_seq"), (2 * (c % 89)).cast("bigint").alias("dst_seq"), (c % 8).cast("int").alias("kind"), F.col("c_acctbal").alias("weight"))
+    return nodes, edges
+
+
+def _numbered(nodes, edges):
+    n = nodes.select(F.lit("node").alias("what"), "seq", "id", F.col("parent_id").alias("a"), F.octet_length("label").cast("bigint").alias("b"))
+    return n.unionByName(edges.select(F.lit("edge").alias("what"), "seq", "id", F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+def graph_runtime(spark, sf):
+    """Nodes and edges of a runtime graph with the ids of their one sequence."""
+    return _numbered(*graph.runtime_graph(*_additions(spark, sf)))
+
+
+def graph_runtime_capped(spark, sf):
+    """The same with room for thirty nodes and forty edges, cleared after place 20."""
+    nodes, edges = (graph.since_clear(x, spark.createDataFrame([(20,), (4,)], "seq long")) for x in _additions(spark, sf))
+    return _numbered(*graph.runtime_graph(nodes, edges, node_capacity=30, edge_capacity=40))
+
+
 def graph_kind_counts(spark, sf):
     return graph.first_wins(_nodes(spark, sf)).groupBy(ev.named(F.col("kind"), ev.NODE_KINDS, "unknown").alias("kind")).agg(F.count("*").alias("n"))
 
@@ -346,7 +499,7 @@ def _evidence(spark, sf):
         "doc_id",
         (F.col("doc_id") % 6).cast("int").alias("kind"),
         F.when(F.col("doc_id") % 4 == 0, F.lit("")).otherwise(F.col("source")).alias("source"),
-        F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.substring("text", 1, 20)).alias("claim"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("claim"),
         F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 0, F.unhex(F.lit("00" * 32))).otherwise(F.unhex(F.sha2("text", 256))).alias("hash"),
         (F.col("doc_id") % 8 != 0).alias("verified"),
     )
@@ -414,6 +567,27 @@ def constraint_violations(spark, sf):
     return marked.where(F.size("violations") > 0).select("doc_id", F.array_join("violations", ",").alias("violations"))
 
 
+def store_insert(spark, sf):
+    """Chunks that are inserted where every third document's are there already: which are refused, and why. Rows are taken in order, the first of a key or hash."""
+    docs = read(spark, sf, "documents").where("doc_id <> 0")
+    rows = docs.select(
+        F.col("doc_id").alias("at"),
+        F.concat(F.lit("c"), F.floor(F.col("doc_id") / 4).cast("string")).alias("id"),
+        F.when(F.col("doc_id") % 10 != 3, F.concat(F.lit("d"), F.col("doc_id") % 50)).alias("document_id"),
+        (F.col("doc_id") % 7 - 1).cast("int").alias("ordinal"),
+        F.lit(0).cast("bigint").alias("start_offset"),
+        F.length("text").cast("bigint").alias("end_offset"),
+        "text",
+        F.sha2("text", 256).alias("text_sha256"),
+        F.lit(1).alias("token_count"),
+    )
+    parents = spark.range(45).select(F.concat(F.lit("d"), F.col("id")).alias("id"))
+    there = rows.where("at % 300 = 5").select("id", "text_sha256", "document_id", "ordinal")
+    taken, refused = store.decided("document_chunks", rows, there, {"documents": parents}, order="at")
+    marked = taken.withColumn("violations", F.array().cast("array<string>")).unionByName(refused)
+    return marked.groupBy(F.array_join(F.array_sort("violations"), "; ").alias("violations")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
 def role_violations(spark, sf):
     rows = read(spark, sf, "conversations").withColumn("role", F.when(F.col("turn") % 4 == 3, "bot").otherwise(F.col("role")))
     bad = constraints.split(rows, constraints.checks("messages"))[1]
@@ -479,6 +653,13 @@ def model_layout(spark, sf):
     return rows.select("vocab", "embed", "layers", "kv", "ffn", floats.alias("floats"), ev.checked_multiply(floats, F.lit(4).cast("bigint")).alias("bytes"))
 
 
+def model_sizes(spark, sf):
+    """Sizes of models made of the numbers of parts: null where they do not fit."""
+    rows = read(spark, sf, "part").select("p_partkey", *[(F.col(c) * n).cast("bigint").alias(a) for c, n, a in (("p_partkey", 1009, "vocab"), ("p_size", 12_345, "embed"), ("p_size", 1, "layers"), ("p_size", 256, "kv"), ("p_partkey", 1_000_003, "ffn"))])
+    floats = ev.model_floats(*[F.col(c) for c in ("vocab", "embed", "layers", "kv", "ffn")])
+    return rows.select("p_partkey", floats.alias("floats"), ev.checked_multiply(floats, F.lit(4).cast("bigint")).alias("bytes"))
+
+
 NAMES = (
     "tokenize_ascii tokenize_unicode term_freq doc_freq doc_length corpus_stats postings_binary bm25_native bm25_native_boost bm25_native_tombstone "
     "bm25_repeat_terms bm25_binary search_results_join vector_cosine fts_phrase fts_prefix fts_boolean fts_near html_title html_text html_links page_extract "
@@ -486,7 +667,9 @@ NAMES = (
     "segment_documents segment_counts content_dedup chunk_hash_dedup graph_valid_edges graph_orphans graph_self_loops graph_runtime_edges graph_kind_counts graph_evidence_link crawl_events "
     "truth_classify single_source_flag evidence_valid source_usable source_reject_code telemetry_stats telemetry_by_name telemetry_jsonl events_hourly "
     "constraint_violations role_violations unique_violations fk_orphans fk_cascade fk_set_null latest_fetch_per_source conversation_messages "
-    "keyword_domain_match model_layout"
+    "keyword_domain_match model_layout index_first_wins bm25_first_wins bm25_parameters document_lookup document_count fts_column fts_rank fetch_limits "
+    "crawl_documents crawl_depths crawl_capped url_resolve_sql segments_sql robots_pages frontier_pop graph_find graph_neighbours graph_runtime graph_runtime_capped "
+    "store_insert model_sizes"
 )
 
 

@@ -57,19 +57,19 @@ def index_sql(source: str, tokens: str, distinct: bool = False, extra: str = "")
 DOC_ROWS = "(SELECT doc_id AS id, text FROM documents WHERE doc_id <> 0)"
 
 
-def bm25(with_: str, query: str, profile: str = "ascii", active: str = "TRUE", boost: str = "") -> str:
+def bm25(with_: str, query: str, profile: str = "ascii", active: str = "TRUE", boost: str = "", k1: float = 1.2, b: float = 0.75) -> str:
     terms = ascii_(f"'{query}'") if profile == "ascii" else f"list_distinct({unicode_(chr(39) + query + chr(39), 128)})"
     tf = "p.tf" if profile == "ascii" else "1"
     return f"""{with_}, q AS (SELECT term, count(*) AS times FROM (SELECT unnest({terms}) AS term) GROUP BY 1),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
 s AS (SELECT count(*) AS n, sum(CASE WHEN {active} THEN len(t) ELSE 0 END) / CAST(count(*) AS DOUBLE) AS avgdl FROM d),
-r AS (SELECT d.id, round(sum(q.times * (ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * len(d.t) / s.avgdl)){boost})), 6) AS score
+r AS (SELECT d.id, round(sum(q.times * (ln(1 + (s.n - f.df + 0.5) / (f.df + 0.5)) * {tf} * {k1 + 1} / ({tf} + {k1} * ({1 - b} + {b} * len(d.t) / s.avgdl)){boost})), 6) AS score
       FROM p JOIN q USING (term) JOIN f USING (term) JOIN d ON d.id = p.id, s WHERE {active} GROUP BY d.id)
 """
 
 
-def top(cte: str) -> str:
-    return f"WITH {cte} SELECT id AS doc_id, score FROM r WHERE score > 0 ORDER BY score DESC, id LIMIT 10"
+def top(cte: str, k: int = 10) -> str:
+    return f"WITH {cte} SELECT id AS doc_id, score FROM r WHERE score > 0 ORDER BY score DESC, id LIMIT {k}"
 
 
 NATIVE = index_sql(DOC_ROWS, ascii_("text"))
@@ -121,7 +121,7 @@ NODES = "v AS (SELECT n_nationkey + 1000 AS id, 5 AS kind FROM nation UNION ALL
 EDGES = "e AS (SELECT s_suppkey + 1 AS id, s_suppkey + 1000000 AS src, CASE WHEN s_suppkey % 11 = 0 THEN s_suppkey + 1000000 ELSE s_nationkey + 1000 END AS dst, CAST(s_suppkey % 8 AS INTEGER) AS kind, s_acctbal AS weight FROM supplier)"
 CLAIMS = "(SELECT l.*, d.source, d.lang FROM labels l JOIN documents d USING (doc_id))"
 EVIDENCE = """(SELECT doc_id, CAST(doc_id % 6 AS INTEGER) AS kind, CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END AS source,
-  CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(text, 1, 20) END AS claim,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS claim,
   CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'zero' ELSE 'hash' END AS hash, doc_id % 8 <> 0 AS verified FROM documents)"""
 TELEMETRY = "(SELECT event_type AS name, event_id % 1000 AS duration_ms, CAST(floor(value) AS BIGINT) AS bytes_in, CAST(json_extract_string(props, '$.k') AS BIGINT) AS bytes_out, event_type = 'error' AS error, event_id FROM events)"
 COUNTERS = "count(*) AS events, CAST(sum(CAST(error AS INTEGER)) AS BIGINT) AS errors, CAST(sum(bytes_in) AS BIGINT) AS bytes_in, CAST(coalesce(sum(bytes_out), 0) AS BIGINT) AS bytes_out"
@@ -129,6 +129,59 @@ KEYWORDS = ", ".join(f"('{d}', '{k}', {w})" for d, k, w in c.KEYWORDS)
 ROBOTS = ", ".join(f"({i}, {str(x[3]).upper()})" for i, x in enumerate(c.ROBOTS))
 
 
+ARRIVING = "(SELECT id, arg_min(text, seq) AS text FROM (SELECT doc_id AS seq, doc_id // 2 AS id, text FROM documents WHERE doc_id % 9 <> 4 AND doc_id // 2 <> 0 AND text IS NOT NULL) GROUP BY id)"
+
+
+def fts_words(x: str) -> str:
+    return FTS_WORDS.replace("lower(text)", f"lower(coalesce({x}, ''))")
+
+
+def fts_rank() -> str:
+    """Phrases of one or two words, weights 10 and 1."""
+
+    def times(ws: str, p: list[str]) -> str:
+        return f"len(list_filter(range(1, len({ws}) + {2 - len(p)}), lambda i: " + " AND ".join(f"{ws}[i + {k}] = '{w}'" for k, w in enumerate(p)) + "))"
+
+    n = range(len(c.RANK_PHRASES))
+    counts = ", ".join(f"{times('a', p)} AS a{i}, {times('b', p)} AS b{i}" for i, p in enumerate(c.RANK_PHRASES))
+    stats = ", ".join(f"greatest(1e-6, ln((count(*) - count(*) FILTER (a{i} + b{i} > 0) + 0.5) / (count(*) FILTER (a{i} + b{i} > 0) + 0.5))) AS idf{i}" for i in n)
+    part = " + ".join(f"idf{i} * (10.0 * a{i} + b{i}) * 2.2 / (10.0 * a{i} + b{i} + 1.2 * (0.25 + 0.75 * size / mean))" for i in n)
+    return (
+        f"WITH w AS (SELECT doc_id, {fts_words('source')} AS a, {fts_words('text')} AS b FROM documents WHERE doc_id <> 0), "
+        f"h AS (SELECT doc_id, CAST(len(a) + len(b) AS DOUBLE) AS size, {counts} FROM w), s AS (SELECT avg(size) AS mean, {stats} FROM h) "
+        f"SELECT doc_id, round(-({part}), 6) AS score FROM h, s WHERE {' OR '.join(f'a{i} + b{i} > 0' for i in n)} ORDER BY score, doc_id LIMIT 10"
+    )
+
+
+def world(depth: int = 3) -> str:
+    """w: the pages; m (url, depth): all URLs that are reached; x: those with pages; i (in order): what is indexed."""
+    page = (
+        "SELECT s_suppkey AS k, 'http://world.example/s/' || s_suppkey AS url, s_name, s_suppkey % 7 <> 5 AS ok, s_suppkey * 3 AS took, "
+        "CASE WHEN s_suppkey % 11 = 9 THEN NULL WHEN s_suppkey % 5 = 4 THEN 'http://moved.example' ELSE 'http://world.example' END AS host, "
+        "strlen('<title>' || s_name || '</title><p>number ' || s_suppkey || ' </p><a href=''./x/../' || (2 * s_suppkey + 1) || '''>l</a><a href=\"/s/' || (2 * s_suppkey + 2) || '#r\">r</a><a href=''/gone/' || s_suppkey || '''>g</a>') AS size FROM supplier"
+    )
+    return (
+        f"w AS (SELECT *, ok AND host IS NOT NULL AS indexed, [host || '/s/' || (2 * k + 1), host || '/s/' || (2 * k + 2), host || '/gone/' || k] AS links FROM ({page})), "
+        "r(url, depth) AS (SELECT 'http://world.example/s/' || n, 0 FROM range(2) t(n) UNION "
+        f"SELECT u, depth + 1 FROM (SELECT unnest(links) AS u, depth FROM r JOIN w USING (url) WHERE indexed AND depth < {depth})), "
+        "m AS (SELECT url, min(depth) AS depth FROM r GROUP BY url), x AS (SELECT * FROM m LEFT JOIN w USING (url)), "
+        "i AS (SELECT *, row_number() OVER (ORDER BY depth, url) AS id FROM x WHERE indexed)"
+    )
+
+
+def runtime(after: int = -1, node_capacity: int = 1 << 40, edge_capacity: int = 1 << 40) -> str:
+    return (
+        f"WITH RECURSIVE a AS (SELECT 2 * s_suppkey AS seq, CASE WHEN s_suppkey % 4 > 0 THEN 2 * (s_suppkey // 3) END AS up, s_suppkey % 10 AS kind, least(127, 8 * strlen(s_name)) AS size FROM supplier WHERE 2 * s_suppkey > {after}), "
+        "o(seq) AS (SELECT seq FROM a WHERE up IS NULL AND kind BETWEEN 1 AND 8 UNION SELECT a.seq FROM a JOIN o ON a.up = o.seq WHERE kind BETWEEN 1 AND 8), "
+        f"n AS (SELECT a.* FROM a JOIN o USING (seq) ORDER BY seq LIMIT {node_capacity}), "
+        f"e AS (SELECT * FROM (SELECT 2 * c_custkey + 1 AS seq, 2 * (c_custkey % 97) AS f, 2 * (c_custkey % 89) AS t, c_custkey % 8 AS kind FROM customer) WHERE seq > {after} AND kind BETWEEN 1 AND 6 AND f <> t "
+        f"AND f IN (SELECT seq FROM n) AND t IN (SELECT seq FROM n) ORDER BY seq LIMIT {edge_capacity}), "
+        "d AS (SELECT seq, row_number() OVER (ORDER BY seq) AS id FROM (SELECT seq FROM n UNION ALL SELECT seq FROM e)) "
+        "SELECT 'node' AS what, n.seq, d.id, coalesce(p.id, 0) AS a, CAST(size AS BIGINT) AS b FROM n JOIN d ON d.seq = n.seq LEFT JOIN d p ON p.seq = n.up "
+        "UNION ALL SELECT 'edge', e.seq, d.id, x.id, y.id FROM e JOIN d ON d.seq = e.seq JOIN d x ON x.seq = e.f JOIN d y ON y.seq = e.t"
+    )
+
+
 def layout(v: int, e: int, n: int, k: int, f: int) -> str:
     floats = n * (2 * e * e + 3 * f * e + 2 * k * e + 2 * e) + 2 * v * e + e if min(v, e, n, k, f) > 0 else None
     fits = [x if x is not None and x < 1 << 63 else None for x in (floats, None if floats is None else 4 * floats)]
@@ -167,7 +220,7 @@ def oracle_sql() -> dict[str, str]:
         "frontier_bounded": f"WITH {ARRIVALS}, {DEDUP}, y AS (SELECT *, coalesce(sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS waiting FROM x) SELECT seq, url, depth, CASE WHEN waiting >= 256 THEN 'FRONTIER_FULL' WHEN k > 1 THEN 'DUPLICATE' ELSE 'ALLOW' END AS decision FROM y",
         "frontier_depth_min": f"WITH {ARRIVALS}, x AS (SELECT *, min(depth) OVER (PARTITION BY url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM a) SELECT seq, url, depth FROM x WHERE least IS NULL OR depth < least",
         "crawl_closed_world": f"WITH {LINKS}, z AS (SELECT DISTINCT {canonical('url')} AS url FROM pages WHERE {canonical('url')} IS NOT NULL), r AS (SELECT url, 0 AS depth FROM z UNION ALL SELECT DISTINCT target, 1 FROM t WHERE target IS NOT NULL AND target NOT IN (SELECT url FROM z)) SELECT url, depth, depth = 0 AS fetched FROM r",
-        "fetch_filter": "SELECT page_id, CAST(200 + page_id % 5 * 75 AS INTEGER) AS status, 'text/html; n=' || page_id AS content_type FROM pages WHERE page_id % 5 * 75 < 100 AND octet_length(encode(html)) BETWEEN 1 AND 4096 AND regexp_matches(url, '^https?://[^/?#@]+([/?#]|$)')",
+        "fetch_filter": "SELECT page_id, CAST(200 + page_id % 5 * 75 AS INTEGER) AS status, 'text/html; n=' || page_id AS content_type FROM pages WHERE page_id % 5 * 75 < 100 AND octet_length(encode(html)) BETWEEN 1 AND 4194304 AND regexp_matches(url, '^https?://[^/?#@]+([/?#]|$)')",
         "robots_decision": f"SELECT * FROM (VALUES {ROBOTS}) t(case_id, allowed)",
         "segment_documents": f"WITH g AS (SELECT doc_id, {SEGMENTS.format(x='text')} AS ss FROM documents WHERE doc_id <> 0), h AS (SELECT doc_id, generate_subscripts(ss, 1) - 1 AS nth, unnest(ss) AS s FROM g) SELECT doc_id, CAST(nth AS INTEGER) AS nth, {KIND} AS kind, CAST(coalesce(sum(strlen(s)) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(strlen(s) AS BIGINT) AS length FROM h",
         "segment_counts": f"SELECT {KIND} AS kind, count(*) AS n, CAST(sum(strlen(s)) AS BIGINT) AS total_bytes FROM (SELECT unnest({SEGMENTS.format(x='text')}) AS s FROM conversations) GROUP BY 1",
@@ -179,7 +232,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_runtime_edges": f"WITH {NODES}, {EDGES} SELECT * FROM e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v) AND src <> dst AND kind BETWEEN 1 AND 6 AND isfinite(weight)",
         "graph_kind_counts": f"WITH {NODES} SELECT CASE kind WHEN 5 THEN 'organization' ELSE 'source' END AS kind, count(*) AS n FROM v GROUP BY 1",
         "graph_evidence_link": "SELECT d.doc_id AS edge_id, source, lang, 'quality ' || q AS claim, CASE q WHEN 1 THEN 'FACT' WHEN 0 THEN 'UNCERTAIN' END AS classification FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l USING (doc_id)",
-        "crawl_events": f"WITH w AS (SELECT {canonical('url')} AS url, min(html) AS html FROM pages GROUP BY 1), x AS (SELECT octet_length(encode(html)) AS n, strlen({page_text('html')}) AS m, regexp_matches(url, '^https?://[^/?#@]+([/?#]|$)') AND octet_length(encode(html)) BETWEEN 1 AND 4194304 AS ok FROM w WHERE url IS NOT NULL) SELECT CASE WHEN ok THEN 'crawl_indexed' ELSE 'crawl_fetch_failed' END AS name, count(*) AS events, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS bytes_in, CAST(sum(CASE WHEN ok THEN m ELSE 0 END) AS BIGINT) AS bytes_out FROM x GROUP BY 1",
+        "crawl_events": f"WITH w AS (SELECT {canonical('url')} AS url, min(html) AS html, count(*) AS n FROM pages WHERE url IS NOT NULL GROUP BY 1), x AS (SELECT octet_length(encode(html)) AS n, strlen({page_text('html')}) AS m, regexp_matches(url, '^https?://[^/?#@]+([/?#]|$)') AND octet_length(encode(html)) BETWEEN 1 AND 4194304 AS ok FROM w WHERE url IS NOT NULL) SELECT CASE WHEN ok THEN 'crawl_indexed' ELSE 'crawl_fetch_failed' END AS name, count(*) AS events, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS errors, CAST(sum(n) AS BIGINT) AS bytes_in, CAST(sum(CASE WHEN ok THEN m ELSE 0 END) AS BIGINT) AS bytes_out FROM x GROUP BY 1 UNION ALL SELECT 'crawl_seed', CAST(sum(n) AS BIGINT), CAST(sum(CASE WHEN url IS NULL THEN n ELSE n - 1 END) AS BIGINT), 0, 0 FROM w UNION ALL SELECT 'crawl_empty', 1, 0, 0, 0",
         "truth_classify": f"SELECT *, CASE WHEN sources = 0 THEN 'UNKNOWN' WHEN conflicts >= sources THEN 'CONFLICTED' WHEN conflicts > 0 THEN 'UNCERTAIN' WHEN sources >= 2 THEN 'FACT' ELSE 'INFERENCE' END AS truth FROM (SELECT source, lang, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS sources, CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS conflicts FROM {CLAIMS} GROUP BY 1, 2)",
         "single_source_flag": f"SELECT source, lang, count(*) AS sources, CASE WHEN count(*) <= 1 THEN 1 ELSE 0 END AS flag FROM {CLAIMS} WHERE toxic = 1 GROUP BY 1, 2",
         "evidence_valid": f"SELECT doc_id, CASE kind WHEN 0 THEN 'fact' WHEN 1 THEN 'inference' WHEN 2 THEN 'uncertain' WHEN 4 THEN 'conflicted' ELSE 'unknown' END AS kind, claim <> '' AND (kind <> 0 OR source <> '') AND kind <= 4 AS valid FROM {EVIDENCE}",
@@ -199,4 +252,24 @@ def oracle_sql() -> dict[str, str]:
         "conversation_messages": "SELECT conv_id, count(*) AS n_turns, CAST(sum(CASE WHEN role = 'user' THEN len(text) ELSE 0 END) AS BIGINT) AS user_chars, CAST(sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END) AS BIGINT) AS assistant_chars, arg_min(text, turn) FILTER (WHERE role = 'user') AS first_said FROM conversations GROUP BY 1",
         "keyword_domain_match": f"WITH {NATIVE}, k(domain, term, weight) AS (VALUES {KEYWORDS}) SELECT id AS doc_id, domain, CAST(sum(weight) AS DOUBLE) AS weight FROM p JOIN k USING (term) GROUP BY 1, 2",
         "model_layout": f"SELECT * FROM (VALUES {', '.join(layout(*x) for x in c.LAYOUTS)}) t(vocab, embed, layers, kv, ffn, floats, bytes)",
+        "index_first_wins": f"SELECT id AS doc_id, CAST(len(t) AS BIGINT) AS length, CAST(len(t) AS BIGINT) AS tf, CAST(len(list_distinct(t)) AS BIGINT) AS terms FROM (SELECT id, {ascii_('text')} AS t FROM {ARRIVING})",
+        "bm25_first_wins": top(bm25(index_sql(ARRIVING, ascii_("text")), c.QUERY)),
+        "bm25_parameters": top(bm25(NATIVE, "moron idiot", k1=2.0, b=0.25), 10_000_000),
+        "document_lookup": f"SELECT doc_id, CAST(len({ascii_('text')}) AS BIGINT) AS length FROM documents WHERE doc_id = 7",
+        "document_count": "SELECT count(*) AS n FROM documents WHERE doc_id <> 0 AND text IS NOT NULL",
+        "fts_column": f"SELECT doc_id FROM documents WHERE doc_id <> 0 AND list_contains({fts_words('text')}, 'en') AND NOT list_contains({fts_words('lang')}, 'en')",
+        "fts_rank": fts_rank(),
+        "fetch_limits": "SELECT p_partkey, p_size % 7 > 1 AND p_size % 3 > 1 AND p_size % 5 > 1 AND p_size % 4 >= 1 AS valid FROM part",
+        "crawl_documents": f"WITH RECURSIVE {world()} SELECT id, host || '/s/' || k AS url, s_name AS title, CAST(len(s_name || ' number ' || k || ' l r g') AS INTEGER) AS n_chars FROM i",
+        "crawl_depths": f"WITH RECURSIVE {world()} SELECT CASE WHEN indexed THEN 'crawl_indexed' WHEN ok THEN 'crawl_invalid_effective_url' ELSE 'crawl_fetch_failed' END AS name, indexed IS NOT TRUE AS error, count(*) AS n, CAST(sum(coalesce(took, 0)) AS BIGINT) AS duration_ms, CAST(sum(CASE WHEN indexed IS NOT TRUE AND ok THEN 0 ELSE coalesce(size, 0) END) AS BIGINT) AS bytes_in FROM x GROUP BY 1, 2 UNION ALL SELECT * FROM (VALUES ('crawl_seed', FALSE, 2, 0, 0), ('crawl_seed', TRUE, 2, 0, 0), ('crawl_empty', FALSE, 1, 0, 0))",
+        "crawl_capped": f"WITH RECURSIVE {world()}, f AS (SELECT depth, url FROM i WHERE id = 5) SELECT host || '/s/' || k AS url, 'indexed' AS state FROM i WHERE id <= 5 UNION ALL SELECT m.url, 'waiting' FROM m, f WHERE m.depth = f.depth AND m.url > f.url UNION ALL SELECT DISTINCT u, 'waiting' FROM (SELECT unnest(links) AS u FROM i, f WHERE i.depth = f.depth AND i.url < f.url AND f.depth < 3) WHERE u NOT IN (SELECT m.url FROM m, f WHERE m.depth <= f.depth)",
+        "url_resolve_sql": f"WITH {LINKS} SELECT page_id, CAST(nth AS INTEGER) AS nth, ref, target FROM t",
+        "segments_sql": f"SELECT {KIND} AS kind, count(*) AS n, CAST(sum(strlen(s)) AS BIGINT) AS total_bytes FROM (SELECT unnest({SEGMENTS.format(x='text')}) AS s FROM conversations) GROUP BY 1",
+        "robots_pages": "SELECT page_id, NOT starts_with(p, '/fr/' || d) AND (NOT starts_with(p, '/en') OR starts_with(p, '/en/' || d)) AS allowed, TRUE AS agree FROM (SELECT page_id, page_id % 10 AS d, regexp_replace(url, '^[a-zA-Z]+://[^/?#]*', '') AS p FROM pages)",
+        "frontier_pop": f"WITH {ARRIVALS}, q AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM a) SELECT seq, url FROM q WHERE n <= 100 UNION ALL SELECT count(*), NULL FROM q WHERE n > 100",
+        "graph_find": f"WITH {NODES}, {EDGES} SELECT id, src AS at FROM e WHERE id = 12 UNION ALL SELECT id, kind FROM v WHERE id = 1003",
+        "graph_neighbours": f"WITH {EDGES} SELECT DISTINCT dst AS id FROM e WHERE src BETWEEN 1000001 AND 1000009",
+        "graph_runtime": runtime(),
+        "graph_runtime_capped": runtime(20, 30, 40),
+        "model_sizes": "SELECT p_partkey, CAST(CASE WHEN f <= 9223372036854775807 THEN f END AS BIGINT) AS floats, CAST(CASE WHEN 4 * f <= 9223372036854775807 THEN 4 * f END AS BIGINT) AS bytes FROM (SELECT p_partkey, CASE WHEN least(v, e, n, k, h) > 0 THEN n * (2 * e * e + 3 * h * e + 2 * k * e + 2 * e) + 2 * v * e + e END AS f FROM (SELECT p_partkey, CAST(p_partkey * 1009 AS HUGEINT) AS v, CAST(p_size * 12345 AS HUGEINT) AS e, CAST(p_size AS HUGEINT) AS n, CAST(p_size * 256 AS HUGEINT) AS k, CAST(p_partkey * 1000003 AS HUGEINT) AS h FROM part))",
     }

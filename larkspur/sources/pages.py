@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import content_type
 from larkspur.functions.urls import may_fetch
+from larkspur.sources.telemetry import elapsed_ms
 
 
 @dataclass(frozen=True)
@@ -30,43 +32,76 @@ def fetched(responses: DataFrame, limits: FetchLimits = FetchLimits()) -> DataFr
     return responses.where(may_fetch(F.col("url")) & F.col("status").between(200, 299) & (size > 0) & (size <= limits.body_bytes)).withColumn("content_type", content_type(F.col("headers")))
 
 
-def http_pages(urls: DataFrame, user_agent: str, limits: FetchLimits = FetchLimits()) -> DataFrame:
-    """url, status, headers, body, error of live GET requests, one partition's URLs after another. Redirects are not followed.
+def http_get(url: str, user_agent: str, limits: FetchLimits) -> dict:
+    """One GET request: status, headers, body, error, effective_url, duration_ms.
 
-    TLS is verified; a body over the limit is an error and none of it is kept; so is a URL that policy forbids.
+    The connection must stand within connect_ms and all be read within total_ms; a body over the limit is an error and
+    none of it is kept. TLS is verified; redirects are not followed, so the effective URL is the one asked for.
+    """
+    import http.client
+    import ssl
+    from urllib.parse import urlsplit
+
+    start = time.monotonic_ns()
+    row = {"url": url, "status": 0, "headers": "", "body": None, "error": None, "effective_url": url}
+    connection = None
+
+    def left() -> float:
+        seconds = limits.total_ms / 1000 - (time.monotonic_ns() - start) / 1e9
+        if seconds <= 0:
+            raise TimeoutError("total time over the limit")
+        return seconds
+
+    try:
+        parts = urlsplit(url)
+        timeout = min(limits.connect_ms, limits.total_ms) / 1000
+        if parts.scheme == "https":
+            connection = http.client.HTTPSConnection(parts.hostname, parts.port, timeout=timeout, context=ssl.create_default_context())
+        else:
+            connection = http.client.HTTPConnection(parts.hostname, parts.port, timeout=timeout)
+        connection.connect()
+        connection.sock.settimeout(left())
+        connection.request("GET", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""), headers={"User-Agent": user_agent})
+        sock = connection.sock
+        response = connection.getresponse()
+        body = bytearray()
+        while chunk := response.read1(1 << 16):
+            body += chunk
+            if len(body) > limits.body_bytes:
+                raise ValueError("body over the limit")
+            sock.settimeout(left())
+        row |= {"status": response.status, "headers": "".join(f"{k}: {v}\r\n" for k, v in response.getheaders()), "body": body.decode("utf-8", "replace")}
+    except Exception as e:  # noqa: BLE001  what fails for one URL is that URL's error
+        row["error"] = f"{type(e).__name__}: {e}"
+    finally:
+        if connection:
+            connection.close()
+    return row | {"duration_ms": elapsed_ms(start)}
+
+
+def http_pages(urls: DataFrame, user_agent: str, limits: FetchLimits = FetchLimits(), at_once: int = 16) -> DataFrame:
+    """url, status, headers, body, error, effective_url, duration_ms of live GET requests, `at_once` of a partition's URLs at a time.
+
+    A URL that policy forbids is an error and not asked for.
     """
     if not limits.valid():
         raise ValueError("limits must be positive")
 
     def run(frames):
-        import urllib.error
-        import urllib.request
+        from concurrent.futures import ThreadPoolExecutor
 
         import pandas as pd
 
-        class Stay(urllib.request.HTTPRedirectHandler):
-            def redirect_request(self, *_):
-                return None
-
-        opener = urllib.request.build_opener(Stay)
-        for frame in frames:
-            rows = []
-            for url, allowed in zip(frame["url"], frame["allowed"], strict=True):
-                row = {"url": url, "status": 0, "headers": "", "body": None, "error": None}
-                try:
-                    if not allowed:
-                        raise ValueError("URL not allowed")
-                    request = urllib.request.Request(url, headers={"User-Agent": user_agent})
-                    with opener.open(request, timeout=limits.total_ms / 1000) as r:
-                        body = r.read(limits.body_bytes + 1)
-                        if len(body) > limits.body_bytes:
-                            raise ValueError("body over the limit")
-                        row |= {"status": r.status, "headers": str(r.headers), "body": body.decode("utf-8", "replace")}
-                except urllib.error.HTTPError as e:
-                    row |= {"status": e.code, "error": str(e)}
-                except Exception as e:  # noqa: BLE001  what fails for one URL is that URL's error
-                    row["error"] = str(e)
-                rows.append(row)
-            yield pd.DataFrame(rows)
-
-    return urls.select("url", may_fetch(F.col("url")).alias("allowed")).mapInPandas(run, "url string, status int, headers string, body string, error string")
+        def one(url: str, allowed: bool) -> dict:
+            if allowed:
+                return http_get(url, user_agent, limits)
+            return {"url": url, "status": 0, "headers": "", "body": None, "error": "URL not allowed", "effective_url": url, "duration_ms": 0}
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for frame in frames:
+                for k in range(0, len(frame), at_once):  # bodies of so many at once, at most
+                    part = frame.iloc[k : k + at_once]
+                    yield pd.DataFrame(list(pool.map(one, part["url"], part["allowed"])))
+
+    schema = "url string, status int, headers string, body string, error string, effective_url string, duration_ms long"
+    return urls.select("url", may_fetch(F.col("url")).alias("allowed")).mapInPandas(run, schema)

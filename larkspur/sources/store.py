@@ -2,27 +2,115 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators.constraints import checks, duplicates, split
-
-# The tables' columns. `!` marks what must not be null, `*` the key.
-TABLES = {
-    "schema_version": "version:int*! applied_at:timestamp!",
-    "sessions": "id:string*! created_at:timestamp! language:string! title:string",
-    "messages": "id:bigint*! session_id:string! role:string! content:string! created_at:timestamp!",
-    "sources": "id:string*! canonical_uri:string! title:string media_type:string language:string content_sha256:string! retrieved_at:timestamp source_kind:string! trust_tier:int",
-    "evidence": "id:string*! source_id:string! claim:string! classification:string! evidence_sha256:string! created_at:timestamp!",
-    "graph_nodes": "id:string*! kind:string! label:string! properties_json:string!",
-    "graph_edges": "id:bigint*! source_node_id:string! target_node_id:string! relation:string! evidence_id:string",
-    "documents": "id:string*! source_id:string! canonical_uri:string! title:string media_type:string! language:string content_sha256:string! content_bytes:bigint! retrieved_at:timestamp! published_at:timestamp modified_at:timestamp etag:string last_modified:string parser_version:string! status:string!",
-    "document_chunks": "id:string*! document_id:string! ordinal:int! start_offset:bigint! end_offset:bigint! heading:string text:string! text_sha256:string! token_count:int!",
-    "chunk_keywords": "chunk_id:string*! keyword:string*! weight:double!",
-    "source_fetches": "id:bigint*! source_id:string! requested_uri:string! effective_uri:string http_status:int content_type:string content_length:bigint fetched_at:timestamp! duration_ms:bigint error_code:string robots_result:string",
-    "claims": "id:string*! chunk_id:string! claim_text:string! claim_sha256:string! classification:string! extractor_version:string! created_at:timestamp!",
-    "claim_keywords": "claim_id:string*! keyword:string*! weight:double!",
-}
+from larkspur.operators.constraints import checks, split, with_violations
+from larkspur.operators.frontier import before
+from larkspur.operators.lineage import cut
+
+# The tables and their columns, with what they require and what they are where an insert leaves them out.
+TABLES = """
+schema_version
+  version int key required
+  applied_at timestamp required default current_timestamp()
+sessions
+  id string key required
+  created_at timestamp required
+  language string required
+  title string
+messages
+  id bigint key required numbered
+  session_id string required
+  role string required
+  content string required
+  created_at timestamp required
+sources
+  id string key required
+  canonical_uri string required
+  title string
+  media_type string
+  language string
+  content_sha256 string required
+  retrieved_at timestamp
+  source_kind string required
+  trust_tier int
+evidence
+  id string key required
+  source_id string required
+  claim string required
+  classification string required
+  evidence_sha256 string required
+  created_at timestamp required
+graph_nodes
+  id string key required
+  kind string required
+  label string required
+  properties_json string required default '{}'
+graph_edges
+  id bigint key required numbered
+  source_node_id string required
+  target_node_id string required
+  relation string required
+  evidence_id string
+documents
+  id string key required
+  source_id string required
+  canonical_uri string required
+  title string
+  media_type string required default 'text/plain'
+  language string
+  content_sha256 string required
+  content_bytes bigint required
+  retrieved_at timestamp required
+  published_at timestamp
+  modified_at timestamp
+  etag string
+  last_modified string
+  parser_version string required
+  status string required
+document_chunks
+  id string key required
+  document_id string required
+  ordinal int required
+  start_offset bigint required
+  end_offset bigint required
+  heading string
+  text string required
+  text_sha256 string required
+  token_count int required
+chunk_keywords
+  chunk_id string key required
+  keyword string key required
+  weight double required default 1.0D
+source_fetches
+  id bigint key required numbered
+  source_id string required
+  requested_uri string required
+  effective_uri string
+  http_status int
+  content_type string
+  content_length bigint
+  fetched_at timestamp required
+  duration_ms bigint
+  error_code string
+  robots_result string
+claims
+  id string key required
+  chunk_id string required
+  claim_text string required
+  claim_sha256 string required
+  classification string required
+  extractor_version string required
+  created_at timestamp required
+claim_keywords
+  claim_id string key required
+  keyword string key required
+  weight double required default 1.0D
+"""
 #: table.column -> parent.column, and what a delete of the parent does.
 REFERENCES = {
     "messages.session_id": ("sessions.id", "cascade"),
@@ -40,37 +128,83 @@ REFERENCES = {
 UNIQUE = {"documents": [["content_sha256"]], "document_chunks": [["text_sha256"], ["document_id", "ordinal"]], "claims": [["claim_sha256"]]}
 
 
-def _columns(table: str) -> list[tuple[str, str, str]]:
+#: Versions that a created store has.
+VERSIONS = (1, 2)
+
+
+@dataclass(frozen=True)
+class Field:
+    name: str
+    kind: str
+    key: bool
+    required: bool
+    numbered: bool
+    default: str | None
+
+
+def fields(table: str) -> list[Field]:
+    lines = iter(TABLES.strip().split("\n"))
+    for line in lines:
+        if line == table:
+            break
+    else:
+        raise KeyError(table)
     out = []
-    for part in TABLES[table].split():
-        name, _, kind = part.partition(":")
-        out.append((name, kind.rstrip("*!"), kind[len(kind.rstrip("*!")) :]))
+    for line in lines:
+        if not line.startswith(" "):
+            break
+        text, _, default = line.strip().partition(" default ")
+        name, kind, *marks = text.split()
+        out.append(Field(name, kind, "key" in marks, "required" in marks, "numbered" in marks, default or None))
     return out
 
 
+def tables() -> list[str]:
+    return [line for line in TABLES.strip().split("\n") if not line.startswith(" ")]
+
+
 def ddl(table: str) -> str:
-    return ", ".join(f"{n} {k}" for n, k, _ in _columns(table))
+    return ", ".join(f"{f.name} {f.kind}" for f in fields(table))
 
 
 def key(table: str) -> list[str]:
-    return [n for n, _, marks in _columns(table) if "*" in marks]
+    return [f.name for f in fields(table) if f.key]
 
 
 def required(table: str) -> dict:
-    return {f"{n} not null": F.col(n).isNotNull() for n, _, marks in _columns(table) if "!" in marks}
+    return {f"{f.name} not null": F.col(f.name).isNotNull() for f in fields(table) if f.required}
 
 
 def create(spark: SparkSession, database: str) -> None:
-    """All tables, as Parquet, where they are not there yet."""
+    """All tables, as Parquet, where they are not there yet, and the rows of VERSIONS."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    for table in TABLES:
+    for table in tables():
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{table} ({ddl(table)}) USING parquet")
+    there = {r["version"] for r in spark.table(f"{database}.schema_version").collect()}  # a row a version
+    for version in VERSIONS:
+        if version not in there:
+            spark.sql(f"INSERT INTO {database}.schema_version SELECT {version}, current_timestamp()")
+
+
+def status(spark: SparkSession, database: str) -> str:
+    """OK, INVALID (no name), IO (no such database), SCHEMA (a table is missing or has other columns)."""
+    if not database:
+        return "INVALID"
+    if not spark.catalog.databaseExists(database):
+        return "IO"
+    for table in tables():
+        if not spark.catalog.tableExists(f"{database}.{table}") or spark.table(f"{database}.{table}").columns != [f.name for f in fields(table)]:
+            return "SCHEMA"
+    return "OK"
 
 
 def checked(table: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that meet the table's conditions, and the others with what they break."""
-    conditions = required(table) | {n: c for n, c in checks(table).items() if _reads(rows, n, table)}
-    return split(rows, conditions)
+    return split(rows, _conditions(table, rows))
+
+
+def _conditions(table: str, rows: DataFrame) -> dict:
+    return required(table) | {n: c for n, c in checks(table).items() if _reads(rows, n, table)}
 
 
 def _reads(rows: DataFrame, name: str, table: str) -> bool:
@@ -78,17 +212,70 @@ def _reads(rows: DataFrame, name: str, table: str) -> bool:
     return wanted <= set(rows.columns)
 
 
-def insert(spark: SparkSession, database: str, table: str, rows: DataFrame) -> DataFrame:
-    """Append the rows that meet the conditions and whose key is new; returns what was refused, with the reasons."""
-    good, bad = checked(table, rows)
-    keys = key(table)
-    there = spark.table(f"{database}.{table}").select(*keys)
-    twice = duplicates(good, keys).select(*keys)
-    clash = good.join(there, keys, "left_semi").unionByName(good.join(twice, keys, "left_semi")).distinct()
-    fresh = good.join(there, keys, "left_anti").join(twice, keys, "left_anti")
-    refused = bad.unionByName(clash.withColumn("violations", F.array(F.lit("key"))))
-    names = [n for n, _, _ in _columns(table)]
-    fresh.select(*names).write.mode("append").insertInto(f"{database}.{table}")
+def _filled(table: str, rows: DataFrame, there: DataFrame) -> DataFrame:
+    """rows with all columns of the table: defaults for those left out, numbers after the largest for null ids that are numbered."""
+    for f in fields(table):
+        if f.name not in rows.columns:
+            rows = rows.withColumn(f.name, F.expr(f.default).cast(f.kind) if f.default else F.lit(None).cast(f.kind))
+        if f.numbered:
+            last = there.select(f.name).union(rows.select(f.name)).agg(F.coalesce(F.max(f.name), F.lit(0))).first()[0]
+            rows = before(rows.withColumn("_null", F.col(f.name).isNull().cast("bigint")), "_at", "_null", "_earlier")
+            rows = rows.withColumn(f.name, F.coalesce(f.name, (F.lit(last) + F.col("_earlier") + 1).cast(f.kind))).drop("_null", "_earlier")
+    return rows.select(*[F.col(f.name).cast(f.kind).alias(f.name) for f in fields(table)], "_at")
+
+
+def decided(table: str, rows: DataFrame, there: DataFrame, parents: dict[str, DataFrame], order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(taken, refused) of rows that are added to a table one after another in `order` (a unique whole number; without one, as they are read).
+
+    there: the key and unique columns of the rows that are there; parents: the tables that are referred to. A row is refused,
+    with `violations`, if it breaks a condition of the table, refers to a row that is not there, or shares its key or another
+    unique value with a row that is there or was taken before it. Both are stored: reading them again gives the same.
+    """
+    rows = cut(rows.withColumn("_at", F.col(order).cast("bigint") if order else F.monotonically_increasing_id()))
+    rows = cut(_filled(table, rows, there))
+    rows = with_violations(rows, _conditions(table, rows))
+
+    def broken(rows: DataFrame, name: str, met: DataFrame) -> DataFrame:
+        """rows with `name` among the violations of those that met (_at) has."""
+        met = met.select("_at").distinct().withColumn("_broken", F.lit(True))
+        more = F.when(F.col("_broken"), F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+        return rows.join(met, "_at", "left").withColumn("violations", F.concat("violations", more)).drop("_broken")
+
+    for child, (parent, _) in REFERENCES.items():
+        of, _, column = child.partition(".")
+        if of == table:
+            above, _, name = parent.partition(".")
+            lost = rows.where(F.col(column).isNotNull()).select("_at", column).join(parents[above].select(F.col(name).alias(column)), column, "left_anti")
+            rows = broken(rows, f"{column} references {parent}", lost)
+    unique = {"key": key(table)} | {f"unique {', '.join(c)}": c for c in UNIQUE.get(table, [])}
+    for name, columns in unique.items():
+        rows = broken(rows, name, rows.select("_at", *columns).join(there.select(*columns), columns, "left_semi"))
+    rows = cut(rows)
+
+    # Rows that are the first with each of their unique values are taken; what shares a value with one of them is refused; and again.
+    open_, taken, refused = rows.where(F.size("violations") == 0), rows.limit(0), rows.where(F.size("violations") > 0)
+    while open_.limit(1).count():
+        marked = open_
+        for n, columns in enumerate(unique.values()):
+            known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in columns])
+            first = open_.where(known).groupBy(*columns).agg(F.min("_at").alias(f"_first{n}"))
+            marked = marked.join(first, columns, "left")
+        mine = reduce(lambda x, y: x & y, [F.coalesce(F.col(f"_first{n}") == F.col("_at"), F.lit(True)) for n in range(len(unique))])
+        now = cut(marked.where(mine).select(*rows.columns))
+        rest = marked.where(~mine).select(*rows.columns)
+        for name, columns in unique.items():
+            rest = broken(rest, name, rest.select("_at", *columns).join(now.select(*columns), columns, "left_semi"))
+        rest = cut(rest)
+        taken, refused, open_ = taken.unionByName(now), refused.unionByName(rest.where(F.size("violations") > 0)), rest.where(F.size("violations") == 0)
+    return taken.drop("_at", "violations"), refused.drop("_at")
+
+
+def insert(spark: SparkSession, database: str, table: str, rows: DataFrame, order: str | None = None) -> DataFrame:
+    """Append the rows that decided() takes; returns those that it refuses, with the reasons."""
+    target = spark.table(f"{database}.{table}")
+    parents = {p.partition(".")[0] for c, (p, _) in REFERENCES.items() if c.startswith(f"{table}.")}
+    taken, refused = decided(table, rows, target, {p: spark.table(f"{database}.{p}") for p in parents}, order)
+    taken.select(*[f.name for f in fields(table)]).write.mode("append").insertInto(f"{database}.{table}")
     return refused
 
 
@@ -100,6 +287,11 @@ def jdbc(spark: SparkSession, url: str, table: str, partition: str | None = None
     return reader.load()
 
 
+def write_jdbc(rows: DataFrame, url: str, table: str, mode: str = "append", **options) -> None:
+    """Write rows to a table of a database behind JDBC, one connection for each partition."""
+    rows.write.format("jdbc").mode(mode).option("url", url).option("dbtable", table).options(**options).save()
+
+
 def source_registry(spark: SparkSession, path: str) -> DataFrame:
     """id, url, kind, authority, primary, notes of a registry file `{"sources": [...]}`. Secondary sources are flagged, not dropped."""
     schema = "schemaVersion int, sources array<struct<id:string,url:string,kind:string,authority:string,primary:boolean,notes:string>>"

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "name string, duration_ms long, bytes_in long, bytes_out long, error boolean"
 
 
+def now_ms() -> int:
+    """Milliseconds since 1970."""
+    return time.time_ns() // 1_000_000
+
+
+def elapsed_ms(start_ns: int) -> int:
+    """Whole milliseconds since a reading of time.monotonic_ns(), never below 0."""
+    return max(0, time.monotonic_ns() - start_ns) // 1_000_000
+
+
 def events_of(events: DataFrame) -> DataFrame:
     """Events with a name."""
     return events.where(F.col("name").isNotNull() & (F.col("name") != ""))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from larkspur.operators.index import tokens
+from larkspur.operators.index import accepted, tokens
 from larkspur.sources.telemetry import SCHEMA, stats_by_name
 
 
@@ -36,16 +36,48 @@ def sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes
 
 
 def index_stream(docs: DataFrame, path: str, profile: str, checkpoint: str) -> StreamingQuery:
-    """Index documents (id, url, title, text) as they come: one folder of postings and documents for each batch.
+    """Index documents (id, url, title, text) as they come: folders of postings, documents and statistics for each batch.
 
-    A batch's folders are overwritten when the batch is tried again, so nothing is counted twice.
+    Of an id's rows the first batch's counts (within a batch, that with the least contents): rows whose id an earlier
+    batch has are left out. A batch's folders are overwritten when the batch is tried again, so nothing is counted twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.where("id <> 0 AND text IS NOT NULL").select("id", "url", "title", tokens(F.col("text"), profile).alias("tokens")).persist()
+        spark = batch.sparkSession
+        rows = accepted(batch)
+        known = _earlier(spark, f"{path}/docs", number)
+        rows = rows if known is None else rows.join(known.select("id"), "id", "left_anti")
+        rows = rows.select("id", "url", "title", tokens(F.col("text"), profile).alias("tokens")).persist()
         terms = rows.select("id", F.explode("tokens" if profile == "ascii" else F.array_distinct("tokens")).alias("term"))
         terms.groupBy("term", "id").agg(F.count("*").alias("tf")).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        terms.distinct().groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms/batch={number}")
+        total = F.coalesce(F.sum(F.size("tokens")), F.lit(0)).cast("bigint")
+        rows.agg(F.count("*").alias("n_docs"), total.alias("total_length")).write.mode("overwrite").parquet(f"{path}/stats/batch={number}")
+        # Documents come last: what they list is complete.
         rows.select("id", "url", "title", F.size("tokens").alias("length"), F.lit(True).alias("active")).write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
         rows.unpersist()
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _earlier(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
+    """What the batches before this one have written to a folder."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    old = [n for n in names if n.startswith("batch=") and int(n[6:]) < number]
+    return spark.read.parquet(*[f"{folder}/{n}" for n in old]) if old else None
+
+
+def stream_stats(spark: SparkSession, path: str) -> DataFrame:
+    """One row: n_docs, total_length, avgdl of all batches so far, from a row a batch."""
+    rows = spark.read.parquet(f"{path}/stats").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_length").alias("total_length"))
+    return rows.withColumn("avgdl", F.try_divide(F.col("total_length").cast("double"), F.col("n_docs")))
+
+
+def stream_document_frequency(spark: SparkSession, path: str) -> DataFrame:
+    """term, df of all batches so far, from a row a term and batch."""
+    return spark.read.parquet(f"{path}/terms").groupBy("term").agg(F.sum("df").alias("df"))

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import sql, text, urls
 from larkspur.operators import engine, frontier, graph
+from larkspur.plans.catalogue import ROBOTS
 from tests.conftest import rows
 
 WORLD = [
@@ -27,9 +28,14 @@ def test_crawl(spark):
     got = engine.crawl(world(spark), start(spark, "HTTP://H/a#x", "http://h/gone", "http://localhost/x", "bad"), engine.Config(max_depth=1))
     assert rows(got.documents.select("id", "url", "title")) == [(1, "http://h/a", "A"), (2, "http://h/b", "")]
     names = sorted((r["name"], r["error"]) for r in got.events.collect())
-    assert names == [("crawl_fetch_failed", True)] * 3 + [("crawl_indexed", False)] * 2
-    assert [r["url"] for r in got.frontier.collect()] == ["http://h/c"]
-    assert engine.crawl(world(spark), start(spark, "http://h/a"), engine.Config(max_depth=5, max_documents=3)).documents.count() == 3
+    # Four seeds, one of them no URL; links of the last depth are not taken.
+    assert names == [("crawl_empty", False)] + [("crawl_fetch_failed", True)] * 3 + [("crawl_indexed", False)] * 2 + [("crawl_seed", False)] * 3 + [("crawl_seed", True)]
+    assert got.frontier.count() == 0
+    capped = engine.crawl(world(spark), start(spark, "http://h/a"), engine.Config(max_depth=5, max_documents=3))
+    assert capped.documents.count() == 3 and capped.events.where("name = 'crawl_limit'").count() == 1
+    assert capped.frontier.count() == 0  # the third page's links are not taken
+    none = engine.crawl(world(spark), start(spark, "http://h/a"), engine.Config(max_documents=0))
+    assert none.documents.count() == 0 and none.events.where("name LIKE 'crawl_f%' OR name = 'crawl_indexed'").count() == 0
 
 
 def test_robots(spark):
@@ -48,6 +54,11 @@ def test_search(spark):
     assert e.search("third", 0).count() == 0 and e.search("", 5).count() == 0
     assert engine.Engine(docs.limit(0)).search("x").count() == 0
     assert e.search_event("third", 1).first()[:] == ("search", 0, 5, 1, False)
+    hits, told = e.searched("third")
+    assert [r["url"] for r in hits] == ["http://h/c"] and told.first()["name"] == "search" and told.first()["bytes_out"] == 1 and told.first()["duration_ms"] > 0
+    assert e.searched("nowhere")[1].first()[:1] == ("search",) and e.searched("third", 0)[1].first()[:1] == ("search_empty",)
+    assert engine.Engine(docs.limit(0)).searched("x")[1].first()[:1] == ("search_empty",)
+    assert [r["url"] for r in e.document(1).collect()] == ["http://h/a"]
 
 
 def test_pop_and_evidence(spark):
@@ -67,6 +78,14 @@ def test_sql_functions(spark):
     ours = df.select(
         urls.canonical(F.col("u")), urls.may_fetch(F.lower("u")), text.html_title(F.col("h")), text.html_text(F.col("h")), text.html_links(F.col("h")), text.ascii_tokens(F.col("t")), text.unicode_tokens(F.col("t"))
     ).first()
+    long = [("http://h" + "/q" * n, r, t) for n in (1019, 1020, 1025) for r, t in (("?x", "a```b```c$$x$$"), ("../y/./z", "\\[z\\]q\\(w"), ("//o", "plain"), ("#f", ""), (None, None))]
+    odd = spark.createDataFrame(long + [("http://h?x", "a", "`` ``` x"), ("mailto:x", "/a", "$$"), (None, "a", "é\\]")], "u string, r string, t string")
+    both = odd.select(
+        urls.canonical(F.col("u")), F.expr("url_canonical(u)"), urls.resolved(F.col("u"), F.col("r")), F.expr("url_resolve(u, r)"), text.segments(F.col("t")), F.expr("text_segments(t)"),
+    )
+    assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in both.collect())
+    cases = spark.createDataFrame([c[:3] for c in ROBOTS], "p string, b string, a string")
+    assert [r[0] for r in cases.select(F.expr("robots_allows(p, b, a)")).collect()] == [c[3] for c in ROBOTS]
     theirs = spark.sql("SELECT url_canonical(u), url_allowed(lower(u)), html_title(h), html_text(h), html_links(h), ascii_tokens(t), unicode_tokens(t) FROM sql_functions_test").first()
     assert tuple(ours) == tuple(theirs)
     assert spark.sql("SELECT truth_class(3, 1)").first()[0] == "UNCERTAIN"

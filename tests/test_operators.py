@@ -1,5 +1,6 @@
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,14 @@ def test_accepted_and_stored(spark, tmp_path):
     data = [(0, "", "", "no"), (1, "", "", "alpha beta"), (1, "", "", "different text"), (2, "", "", None)]
     kept = index.accepted(docs(spark, data).withColumn("seq", F.monotonically_increasing_id()), order=F.col("seq"))
     assert [(r["id"], r["text"]) for r in kept.collect()] == [(1, "alpha beta")]
+    # The first row of an id counts, whatever the partition; a first row without text or id is none.
+    late = [(1, "", "", None), (1, "", "", "alpha beta"), (0, "", "", "no"), (2, "", "", "gamma"), (1, "", "", "beta beta"), (2, "", "", "delta"), (2, "", "", "delta")]
+    numbered = spark.createDataFrame([(n, *r) for n, r in enumerate(late)], "seq long, id long, url string, title string, text string").repartition(5)
+    for profile in index.PROFILES:
+        built = index.build(numbered, profile, order=F.col("seq"))
+        assert rows(built.postings.select("term", "id", "tf")) == [("alpha", 1, 1), ("beta", 1, 1), ("gamma", 2, 1)]
+        assert built.stats().first()["n_docs"] == 2 and rows(built.document_frequency()) == [("alpha", 1), ("beta", 1), ("gamma", 1)]
+        assert index.build(numbered, profile).docs.count() == 2
     built = index.build(docs(spark)).save(str(tmp_path / "index"))
     assert built.rows is None
     gone = built.removed(spark.createDataFrame([(1,)], "id long"))
@@ -73,11 +82,48 @@ def test_full_text(spark):
     assert ids(fts.prefix(at, "caf")) == [3]
     assert ids(fts.near(at, "nord", "zurich", 1)) == [1, 2]
     assert ids(fts.near(at, "nord", "d", 2)) == []
+    assert ids(fts.near(at, "du", "du", 5)) == []
+    met = F.col("x") & ~F.col("y")
+    assert ids(fts.boolean(at, met, x="du", y="naive")) == [1, 2]
+    two = fts.positions(docs(spark, [(1, "alpha", "beta", "gamma beta"), (2, "beta", "gamma beta", None)]), "id", ["url", "title", "text"])
+    assert ids(fts.term(fts.within(two, 1), "beta")) == [1, 2] and ids(fts.term(fts.within(two, 0), "beta")) == [2]
+    assert ids(fts.phrase(two, ["gamma", "beta"])) == [1, 2] and ids(fts.phrase(two, ["alpha", "beta"])) == []
     assert ids(fts.but_not(fts.any_of(fts.term(at, "du")), fts.term(at, "naive"))) == [1, 2]
     twice = fts.positions(docs(spark, [(1, "", "", "a a b"), (2, "", "", "a b a")]), "id")
     assert ids(fts.phrase(twice, ["a", "a"])) == [1]
 
 
+def test_full_text_rank(spark):
+    """Against the formula, place by place; words of one column do not run on into the next."""
+    data = [(1, "", "red fox", "a red red fox"), (2, "", "blue", "red"), (3, "", None, "fox red fox"), (4, "", "x", ""), (5, "", "y", "z")]
+    weights, phrases = [5.0, 1.0], [["red"], ["red", "fox"]]
+    held = {i: [(t or "").split(), x.split()] for i, _, t, x in data}
+    mean = sum(len(c) for cols in held.values() for c in cols) / len(held)
+
+    def times(ws, p):
+        return sum(ws[k : k + len(p)] == p for k in range(len(ws) - len(p) + 1))
+
+    want = {}
+    for p in phrases:
+        n = sum(any(times(c, p) for c in cols) for cols in held.values())
+        idf = max(1e-6, math.log((len(held) - n + 0.5) / (n + 0.5)))
+        for i, cols in held.items():
+            f = sum(w * times(c, p) for w, c in zip(weights, cols, strict=True))
+            if any(times(c, q) for c in cols for q in phrases):
+                want[i] = want.get(i, 0) - idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * sum(map(len, cols)) / mean))
+    got = {r["id"]: r["score"] for r in fts.ranked(docs(spark, data), "id", ["title", "text"], phrases, weights).collect()}
+    assert set(got) == {1, 2, 3} and all(abs(got[i] - want[i]) < 1e-12 for i in got)
+    assert fts.ranked(docs(spark, data).limit(0), "id", ["title", "text"], phrases).count() == 0
+
+
+def test_before_of_numbers_close_together(spark):
+    """Ranges follow the numbers: of many close ones and a far one no range holds most."""
+    df = spark.range(0, 20_000).select(F.col("id").alias("seq"), F.lit(1).alias("v")).union(spark.createDataFrame([(1 << 60, 1)], "seq long, v int")).repartition(6)
+    got = frontier.before(df, "seq", "v", "n", ranges=64)
+    assert got.where("n <> least(seq, 20000)").count() == 0 and got.count() == 20_001
+    assert frontier.before(df.limit(0), "seq", "v", "n").count() == 0
+
+
 def test_frontier(spark):
     a = spark.createDataFrame([(1, "a", 0), (2, "a", 1), (3, "b", 1), (4, "", 0), (5, None, 0), (6, "x" * 2048, 0), (7, "c", 0), (8, "a", 0)], "seq long, url string, depth int")
     got = {r["seq"]: r["decision"] for r in frontier.decisions(a).collect()}
@@ -108,6 +154,45 @@ def test_graph(spark):
     run = spark.createDataFrame([(1, None, 8), (2, 1, 1), (3, 9, 1), (4, 1, 0), (5, 2, 8)], "seq long, parent_seq long, kind int")
     assert [(r["seq"], r["id"]) for r in graph.runtime_nodes(run, "seq").orderBy("id").collect()] == [(1, 1), (2, 2), (5, 3)]
     assert graph.runtime_nodes(run, "seq", capacity=1).count() == 1
+    assert [r["id"] for r in graph.find(nodes, 2).collect()] == [2] and graph.find(nodes, 0).count() == 0 and graph.find(nodes, 77).count() == 0
+    assert rows(graph.first_wins(nodes.withColumn("seq", F.monotonically_increasing_id()), order="seq").select("id", "label")) == [(1, "s"), (2, "c")]
+
+
+def test_runtime_graph(spark):
+    """Against adding one after another: refused parents refuse their children, ids come from one sequence, capacities end both."""
+    import random
+
+    rng = random.Random(4)
+    for caps in ((None, None), (40, 30), (0, 5)):
+        ops, kept, used, seq_of, n_nodes, n_edges, want, next_id = [], {}, set(), [], 0, 0, {}, 1
+        for seq in range(300):
+            if rng.random() < 0.5 or len(seq_of) < 3:
+                parent = rng.choice([None, *seq_of[-12:], seq + 5]) if seq_of else None
+                kind = rng.choice([0, 1, 2, 3, 8, 9])
+                ops.append(("node", seq, parent, None, kind, 1.0))
+                seq_of.append(seq)
+                if 1 <= kind <= 8 and (parent is None or parent in kept) and (caps[0] is None or n_nodes < caps[0]):
+                    kept[seq] = next_id
+                    want["node", seq] = (next_id, kept.get(parent, 0) if parent is not None else 0)
+                    next_id, n_nodes = next_id + 1, n_nodes + 1
+            else:
+                a, b, kind = rng.choice(seq_of), rng.choice([*seq_of, seq + 1]), rng.choice([0, 1, 6, 7])
+                weight = rng.choice([1.0, -2.0, math.inf, math.nan])
+                ops.append(("edge", seq, a, b, kind, weight))
+                if a in kept and b in kept and a != b and 1 <= kind <= 6 and math.isfinite(weight) and (caps[1] is None or n_edges < caps[1]):
+                    want["edge", seq] = (next_id, (kept[a], kept[b]))
+                    next_id, n_edges = next_id + 1, n_edges + 1
+        schema = "what string, seq long, a long, b long, kind int, weight double"
+        df = spark.createDataFrame(ops, schema).repartition(3)
+        nodes = df.where("what = 'node'").select("seq", F.col("a").alias("parent_seq"), "kind", F.repeat(F.lit("é"), 100).alias("label"))
+        edges = df.where("what = 'edge'").select("seq", F.col("a").alias("src_seq"), F.col("b").alias("dst_seq"), "kind", "weight")
+        n, e = graph.runtime_graph(nodes, edges, node_capacity=caps[0], edge_capacity=caps[1])
+        got = {("node", r["seq"]): (r["id"], r["parent_id"]) for r in n.collect()} | {("edge", r["seq"]): (r["id"], (r["src"], r["dst"])) for r in e.collect()}
+        assert got == want
+    assert n.where("octet_length(label) > 129").count() == 0
+    assert graph.since_clear(nodes, nodes.where("seq < 0")).count() == nodes.count()
+    chain = spark.range(1, 200).select(F.col("id").alias("seq"), F.when(F.col("id") > 1, F.col("id") - 1).alias("parent_seq"), F.when(F.col("id") == 150, 9).otherwise(1).alias("kind"))
+    assert graph.runtime_nodes(chain, "seq").agg(F.max("seq")).first()[0] == 149
 
 
 def test_truth_and_evidence(spark):
@@ -170,6 +255,14 @@ def test_streams(spark, tmp_path):
     built = index.load(spark, out, "ascii")
     assert built.docs.count() == 4
     assert set(scored(rank.search(built, "linux"))) == {1, 4}
+    # A row whose id an earlier batch has is left out; statistics are sums of batches.
+    docs(spark, [(1, "", "", "linux linux linux"), (5, "", "", "fifth linux")]).coalesce(1).write.mode("append").parquet(src)
+    again = spark.readStream.schema("id long, url string, title string, text string").option("maxFilesPerTrigger", 1).parquet(src)
+    streams.index_stream(again, out, "ascii", str(tmp_path / "cp")).awaitTermination()
+    built = index.load(spark, out, "ascii")
+    assert sorted(r["id"] for r in built.docs.collect()) == [1, 2, 3, 4, 5] and rows(built.postings.where("term = 'linux'").select("id", "tf")) == [(1, 1), (4, 1), (5, 1)]
+    assert rows(streams.stream_stats(spark, out).select("n_docs", "total_length")) == rows(built.stats().select("n_docs", "total_length"))
+    assert rows(streams.stream_document_frequency(spark, out)) == rows(built.document_frequency())
     urls = spark.readStream.schema("id long, url string, title string, text string").parquet(src)
     q = streams.new_urls(urls).writeStream.format("memory").queryName("urls_test").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -201,17 +294,28 @@ def test_store(spark, tmp_path):
     spark.sql("DROP DATABASE IF EXISTS store_test CASCADE")
     store.create(spark, "store_test")
     store.create(spark, "store_test")
-    assert spark.sql("SHOW TABLES IN store_test").where("NOT isTemporary").count() == len(store.TABLES)
+    assert spark.sql("SHOW TABLES IN store_test").where("NOT isTemporary").count() == len(store.tables())
     data = [("a", "http://x/", "web", "h"), ("b", "http://y/", "spoken", "h"), ("c", None, "web", "h"), ("d", "http://z/", "web", "h"), ("d", "http://z/2", "web", "h")]
     new = spark.createDataFrame(data, "id string, canonical_uri string, source_kind string, content_sha256 string")
     for column in ("title", "media_type", "language"):
         new = new.withColumn(column, F.lit(None).cast("string"))
     new = new.withColumns({"retrieved_at": F.lit(None).cast("timestamp"), "trust_tier": F.lit(2)})
-    refused = store.insert(spark, "store_test", "sources", new)
-    assert {r["id"]: r["violations"] for r in refused.collect() if r["id"] in "bc"} == {"b": ["source_kind"], "c": ["canonical_uri not null"]}
-    assert [r["id"] for r in spark.table("store_test.sources").collect()] == ["a"]
-    store.insert(spark, "store_test", "sources", new.where("id = 'a'"))
-    assert spark.table("store_test.sources").count() == 1
+    assert store.status(spark, "store_test") == "OK" and store.status(spark, "") == "INVALID" and store.status(spark, "store_none") == "IO"
+    assert sorted(r["version"] for r in spark.table("store_test.schema_version").collect()) == [1, 2]
+    refused = store.insert(spark, "store_test", "sources", new.coalesce(1))
+    assert sorted((r["id"], tuple(r["violations"])) for r in refused.collect()) == [("b", ("source_kind",)), ("c", ("canonical_uri not null",)), ("d", ("key",))]
+    assert rows(spark.table("store_test.sources").select("id", "canonical_uri")) == [("a", "http://x/"), ("d", "http://z/")]  # the first of a key
+    again = store.insert(spark, "store_test", "sources", new.where("id = 'a'"))
+    assert [r["violations"] for r in again.collect()] == [["key"]] and spark.table("store_test.sources").count() == 2
+    # What is referred to must be there; numbers go on; what is left out has its default.
+    session = spark.createDataFrame([("s", "en")], "id string, language string").withColumn("created_at", F.current_timestamp())
+    assert store.insert(spark, "store_test", "sessions", session).count() == 0
+    said = spark.createDataFrame([("s", "user", "hi"), ("t", "user", "lost"), ("s", "bot", "no"), ("s", "system", "ok")], "session_id string, role string, content string").withColumn("created_at", F.current_timestamp())
+    refused = store.insert(spark, "store_test", "messages", said.coalesce(1))
+    assert sorted((r["content"], r["violations"]) for r in refused.collect()) == [("lost", ["session_id references sessions.id"]), ("no", ["role"])]
+    assert sorted((r["content"], r["id"]) for r in spark.table("store_test.messages").collect()) == [("hi", 1), ("ok", 4)]
+    node = spark.createDataFrame([("n", "k", "l")], "id string, kind string, label string")
+    assert store.insert(spark, "store_test", "graph_nodes", node).count() == 0 and spark.table("store_test.graph_nodes").first()["properties_json"] == "{}"
     for child, (parent, _) in store.REFERENCES.items():
         t, _, c = child.partition(".")
         p, _, k = parent.partition(".")
@@ -219,6 +323,101 @@ def test_store(spark, tmp_path):
     spark.sql("DROP DATABASE store_test CASCADE")
 
 
+def test_store_takes_the_first_of_every_unique_value(spark):
+    """Against inserting one after another, several unique values of a row at once."""
+    import random
+
+    rng = random.Random(8)
+    data = [(n, f"c{rng.randrange(60)}", f"d{rng.randrange(6)}" if rng.random() < 0.9 else None, rng.randrange(-1, 30), f"h{rng.randrange(80)}") for n in range(160)]
+    there = {("c1", "h1", "d1", 1), ("c2", "h2", "d2", 2)}
+    keys, hashes, places = ({x[0] for x in there}, {x[1] for x in there}, {x[2:] for x in there})
+    want = set()
+    for n, c, d, o, h in data:
+        if d is None or d == "d5" or o < 0 or c in keys or h in hashes or (d, o) in places:
+            continue
+        want.add(n)
+        keys.add(c), hashes.add(h), places.add((d, o))
+    rows_ = spark.createDataFrame(data, "at long, id string, document_id string, ordinal int, text_sha256 string").repartition(4)
+    rows_ = rows_.withColumns({"start_offset": F.col("at"), "end_offset": F.col("at"), "text": F.lit("t"), "token_count": F.lit(1)})
+    old = spark.createDataFrame(list(there), "id string, text_sha256 string, document_id string, ordinal int")
+    taken, refused = store.decided("document_chunks", rows_, old, {"documents": spark.createDataFrame([(f"d{i}",) for i in range(5)], "id string")}, order="at")
+    assert {r["start_offset"] for r in taken.collect()} == want
+    assert refused.count() == len(data) - len(want) and refused.where("size(violations) = 0").count() == 0
+
+
+def test_store_insert_query_is_one_after_another(spark, sf):
+    """The registered query against Python over the same table."""
+    from larkspur.plans import catalogue
+
+    docs_ = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id <> 0").collect())
+    chunk = [(i, f"c{i // 4}", f"d{i % 50}" if i % 10 != 3 else None, i % 7 - 1, t) for i, t in docs_]
+    keys, texts, places = (set(), set(), set())
+    for i, c, d, o, t in chunk:
+        if i % 300 == 5:
+            keys.add(c), texts.add(t), places.add((d, o))
+    n = 0
+    for _, c, d, o, t in chunk:
+        if d is not None and int(d[1:]) < 45 and o >= 0 and c not in keys and t not in texts and (d, o) not in places:
+            n += 1
+            keys.add(c), texts.add(t), places.add((d, o))
+    got = {r["violations"]: r["n"] for r in catalogue.store_insert(spark, sf).collect()}
+    assert got[""] == n and sum(got.values()) == len(chunk)
+
+
+def test_jdbc(spark):
+    """Through the database that comes with Spark, in memory."""
+    url, driver = "jdbc:derby:memory:larkspur;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    store.write_jdbc(spark.range(100).select("id", (F.col("id") * 2).alias("twice")), url, "numbers", driver=driver)
+    got = store.jdbc(spark, url, "numbers", "id", (0, 100), 4, driver=driver)
+    assert got.count() == 100 and got.agg(F.sum("twice")).first()[0] == 9900 and got.rdd.getNumPartitions() == 4
+
+
+def test_http(spark):
+    """A server on this machine: body limit, time limits, status, no redirects."""
+    import http.server
+    import threading
+    import time
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802  the name is the library's
+            if self.path == "/slow":
+                self.send_response(200)
+                self.end_headers()
+                for _ in range(40):
+                    self.wfile.write(b"x")
+                    self.wfile.flush()
+                    time.sleep(0.05)
+                return
+            code = {"/moved": 301, "/gone": 404}.get(self.path, 200)
+            body = b"y" * (5000 if self.path == "/big" else 10)
+            self.send_response(code)
+            if code == 301:
+                self.send_header("Location", "/ok")
+            self.send_header("Content-Type", "text/html")
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.2", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.2:{server.server_port}"
+        urls = spark.createDataFrame([(base + p,) for p in ("/ok?q=1", "/moved", "/gone", "/big", "/slow")] + [("http://localhost/",)], "url string")
+        got = {r["url"].removeprefix(base): r for r in pages.http_pages(urls, "test", pages.FetchLimits(connect_ms=500, total_ms=600, body_bytes=1000)).collect()}
+        assert got["/ok?q=1"]["status"] == 200 and got["/ok?q=1"]["body"] == "y" * 10 and "Content-Type: text/html" in got["/ok?q=1"]["headers"]
+        assert got["/moved"]["status"] == 301 and got["/gone"]["status"] == 404
+        assert "over the limit" in got["/big"]["error"] and got["/big"]["body"] is None
+        assert re.search("limit|timed out", got["/slow"]["error"]) and got["/slow"]["duration_ms"] < 1500
+        assert got["http://localhost/"]["error"] == "URL not allowed"
+        assert got["/ok?q=1"]["effective_url"] == base + "/ok?q=1"
+        start = time.monotonic_ns()
+        assert telemetry.elapsed_ms(start + 10**12) == 0 and telemetry.elapsed_ms(start) >= 0 and telemetry.now_ms() > 1_700_000_000_000
+    finally:
+        server.shutdown()
+
+
 def test_registries(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"schemaVersion": 1, "sources": [{"id": "a", "url": "https://x/", "kind": "k", "authority": "X", "primary": False, "notes": "n"}]}))
     (tmp_path / "d.json").write_text(json.dumps({"schemaVersion": 1, "domains": [{"id": "d", "nameEn": "D", "nameAr": "د", "keywords": ["x", "x", "y"]}]}, indent=1))

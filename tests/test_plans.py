@@ -37,9 +37,22 @@ def test_ranking_scans_without_shuffle(spark, sf):
 
 
 def test_stored_index_reads_the_terms_alone(spark, sf, tmp_path):
+    """The scores of a stored index open the buckets of the query's terms and read their rows."""
     built = index.build(c.documents(spark, sf)).save(str(tmp_path / "i"))
-    hits = built.postings.where(F.col("term") == "the")
-    assert "EqualTo(term,the)" in plan(hits)
+    text = plan(rank.scores(built, "worthless the"))
+    assert re.search(r"PartitionFilters: \[bucket#\d+ IN \(\d+,\d+\)\]", text)
+    assert re.search(r"PushedFilters: \[In\(term, \[the,worthless\]\)|PushedFilters: \[In\(term, \[worthless,the\]\)", text)
+    few = built.postings_of(["the"])
+    assert len(few.inputFiles()) <= len(built.postings.inputFiles()) and few.select("bucket").distinct().count() == 1
     a = {r["id"]: round(r["score"], 9) for r in rank.search(built, c.QUERY).collect()}
     b = {r["id"]: round(r["score"], 9) for r in rank.search(index.build(c.documents(spark, sf)), c.QUERY).collect()}
     assert a == b
+
+
+def test_document_frequency_is_one_exchange(spark, sf):
+    assert plan(c.doc_freq(spark, sf)).count("Exchange hashpartitioning") == 1
+
+
+def test_boolean_search_is_one_pass(spark, sf):
+    text = plan(c.fts_boolean(spark, sf))
+    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1
