@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -18,12 +20,15 @@ SPACES = b" \t\n\x0b\x0c\r"
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests on one machine), one is chosen and set.
+    Where the setting is absent and all executors are threads of this process (tests on one machine), one is chosen
+    and set; on a cluster its absence is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         own = sc._jsc.sc().getCheckpointDir()
+        if not own.isDefined() and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = own.get() if own.isDefined() else tempfile.mkdtemp(prefix="larkspur-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(base)
@@ -38,12 +43,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def removed(df: DataFrame) -> None:
-    """Delete a stored() table that nothing reads any more: what came of it is stored itself."""
+    """Delete a stored() table that nothing reads any more: what came of it is stored itself.
+
+    The driver's garbage is collected, so that Spark frees the shuffle files that made the table.
+    """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def fold(key: Column, parts: int) -> Column:

@@ -3,12 +3,16 @@
 Every document is a set of 64-bit hashes of its distinct n-grams. Documents of
 equal sets are one class; classes are joined:
 
-* Tiles. Two sets of similarity t share an n-gram among the first
-  |x| - ceil(t |x|) + 1 of each, in any order common to all. A class stands in
+* Tiles. Two sets of similarity t share at least l n-grams among the first
+  |x| - ceil(t |x|) + l of each, in any order common to all. A class stands in
   the tile of each of those n-grams, ordered by size, and meets only those
-  whose size lies in its band (t |y| <= |x| <= |y|). The order puts n-grams
-  that very many documents have last; a list of them, of bounded size and of
-  counts over all documents, is broadcast. The list decides work, not results.
+  whose size lies in its band (t |y| <= |x| <= |y|). l is one for short sets and
+  grows with the size: a class that meets others of its band in fewer tiles than
+  that has no partner and leaves. The order puts n-grams that very many documents
+  have last; a list of them, of bounded size and of counts over all documents, is
+  broadcast. The list decides work, not results.
+* Places. A pair is made at the first n-gram that both share, and only if what
+  follows it in the two sets can still hold the overlap.
 * Signatures. A class has a bitmap with the parity of the number of its hashes
   in each of 512 places. The bits in which two bitmaps differ are at most the
   elements in which the sets differ, which bounds the overlap from above. What
@@ -22,16 +26,17 @@ verified links give components; in the second every remaining pair of a tile
 whose members lie in different components is taken. No link between components
 is lost, and a tile that lies within one component costs nothing more.
 
-Tiles of frequent n-grams are parted: in the first round by hash, in the
-second the commonest component's members are dealt out and the others visit
-every part.
+Large tiles are parted: in the first round by hash; in the second, by the rows
+counted there, into cells of bounded size. The commonest component's members
+are dealt out and the others visit each of their cells; the others meet each
+other in the cells of a triangular grid.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import SPACES, joined_bytes, mix64, removed, slices, spread, stored, table
@@ -39,8 +44,12 @@ from larkspur.llm.common import SPACES, joined_bytes, mix64, removed, slices, sp
 BITS = 512
 #: The longest list of frequent n-grams that is broadcast.
 MOST_FREQUENT = 1 << 20
-#: Rows of a frequent n-gram's tile that go to one part.
+#: Rows of a large tile that go to one part or cell.
 PART_ROWS = 2000
+#: A set of n elements shares 1 + n // SHARED n-grams of its prefix with each partner of its size.
+SHARED = 32
+#: Earlier tiles that a row of the second round carries, to tell whether a pair has met before.
+EARLIER = 8
 #: Ids up to which a list of documents is broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 #: First round: how many nearest sizes, and how many first members of the tile, a class looks at.
@@ -133,15 +142,15 @@ def _repeated(words):
 def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) of the commonest n-grams over all documents, and about how many documents have each."""
     rows = stored(docs.mapInArrow(_repeated(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
-    # The least count that keeps the list within its bound, from the few sizes that counts have up to a thousand.
-    sizes = sorted(rows.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect(), reverse=True)
-    least, total = 1 << 62, 0
-    for n, k in sizes:
-        total += k
-        if total > MOST_FREQUENT:
+    # Whole classes of counts, a sixteenth of a doubling each, from the top; of the class that is too large the hashes below a bound.
+    size = F.floor(16 * F.log2("n")).cast("int")
+    listed, room = F.lit(False), MOST_FREQUENT
+    for k, n in sorted(rows.groupBy(size.alias("size")).count().collect(), reverse=True):
+        if n > room:
+            listed = listed | ((size == k) & (F.pmod(F.xxhash64("h"), F.lit(n)) < int(0.9 * room)))
             break
-        least = n
-    found = rows.where(F.col("n") >= least).toArrow()
+        listed, room = listed | (size == k), room - n
+    found = rows.where(listed).toArrow()
     removed(rows)
     h, n = found.column("h").to_numpy().astype(np.uint64), found.column("n").to_numpy()
     order = np.argsort(h)
@@ -175,11 +184,16 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
-def _described(words, num, den, shared):
+def shared_of(n: int) -> int:
+    """N-grams that two similar sets of n elements at least share among their prefixes."""
+    return 1 + n // SHARED
+
+
+def _described(words, num, den, hot_list):
     """Per document its size, digest, bitmap and tiles; num/den is the similarity."""
 
     def run(batches):
-        hot, times = shared.value
+        hot, times = hot_list.value
         maybe = np.zeros(1 << 24, bool)
         maybe[(hot >> np.uint64(40)).astype(np.int64)] = True
         for ids, texts in _pieces(batches, ["doc_id", "text"]):
@@ -191,7 +205,7 @@ def _described(words, num, den, shared):
                     if not n:
                         rows.append((doc_id, 0, 0, 0, None, None, None, None))
                         continue
-                    p = n - -(-num * n // den) + 1
+                    p = min(n, n - -(-num * n // den) + shared_of(n))
                     often = np.flatnonzero(maybe[(h >> np.uint64(40)).astype(np.int64)])
                     count = np.zeros(n, np.int64)
                     if len(often) and len(hot):
@@ -213,34 +227,38 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(1, dtype=np.int64)
 
 
-def tile_pairs(tile, n, cid, label, minor, part, bits, num, den, everything):
+def tile_pairs(tile, n, pos, cid, label, home, cross, bits, earlier, num, den, everything):
     """Pairs (row numbers) of neighbouring rows of a tile that may be similar; rows come ordered by tile and size.
 
-    everything: all pairs of different labels (of two visitors only in the first part); else two partners at most.
+    everything: all pairs of different labels that have not met in an earlier tile (where `cross`, of different homes
+    alone); else two partners at most. pos: the n-gram's place in the order of each set.
     """
     new = np.concatenate([[True], tile[1:] != tile[:-1]])
     start = np.flatnonzero(new)[np.cumsum(new) - 1]
-    pos = np.arange(len(tile)) - start
+    place = np.arange(len(tile)) - start
     bits = np.frombuffer(b"".join(bits), np.uint64).reshape(len(tile), -1)
     left, right = [], []
 
     def passing(i, j):
-        """Of pairs of rows j before i those within the band whose bitmaps leave overlap enough."""
-        ok = (den * n[j] >= num * n[i]) & (cid[i] != cid[j])
+        """Of pairs of rows j before i those within the band whose places and bitmaps leave overlap enough."""
+        both = -(-num * (n[i] + n[j]) // (den + num))
+        ok = (den * n[j] >= num * n[i]) & (cid[i] != cid[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= both)
         if everything:
-            ok &= (label[i] != label[j]) & ~(minor[i] & minor[j] & (part[i] > 0))
+            ok &= (label[i] != label[j]) & ~(cross[i] & (home[i] == home[j]))
         k = np.flatnonzero(ok)
-        most = (n[i[k]] + n[j[k]]) * (den - num) // (den + num)
-        ok[k] = _popcount(bits[i[k]] ^ bits[j[k]]) <= most
+        ok[k] = _popcount(bits[i[k]] ^ bits[j[k]]) <= n[i[k]] + n[j[k]] - 2 * both[k]
+        if everything:
+            for k in np.flatnonzero(ok):
+                ok[k] = earlier(i[k]).isdisjoint(earlier(j[k]))
         return ok
 
     def keep(i, j):
         left.append(i)
         right.append(j)
 
-    live, d = np.flatnonzero(pos >= 1), 1
+    live, d = np.flatnonzero(place >= 1), 1
     while len(live) and (everything or d <= NEAR):
-        live = live[(pos[live] >= d)]
+        live = live[place[live] >= d]
         live = live[den * n[live - d] >= num * n[live]]  # sizes only fall further back
         ok = passing(live, live - d)
         keep(live[ok], live[ok] - d)
@@ -248,9 +266,9 @@ def tile_pairs(tile, n, cid, label, minor, part, bits, num, den, everything):
             live = live[~ok]
         d += 1
     if not everything:
-        rest = np.flatnonzero(pos >= 2)
+        rest = np.flatnonzero(place >= 2)
         for q in range(FIRST):
-            rest = rest[pos[rest] > q]
+            rest = rest[place[rest] > q]
             if not len(rest):
                 break
             ok = passing(rest, start[rest] + q)
@@ -259,15 +277,40 @@ def tile_pairs(tile, n, cid, label, minor, part, bits, num, den, everything):
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
+def _whole_tiles(batches):
+    """Tables of whole tiles, from rows ordered by (tile, part)."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        t = t.combine_chunks()
+        if not t.num_rows:
+            continue
+        tile, part = t.column("tile").to_numpy(), t.column("part").to_numpy()
+        last = np.flatnonzero((tile != tile[-1]) | (part != part[-1]))
+        cut = last[-1] + 1 if len(last) else 0  # the last tile may go on
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def _candidates(num, den, everything):
     def run(batches):
-        held = None
+        for t in _whole_tiles(batches):
+            c = {k: t.column(k).to_numpy(zero_copy_only=False) for k in ("tile", "part", "n", "pos", "cid", "label", "home", "cross")}
+            before = t.column("earlier")
+            known: dict[int, frozenset] = {}
+
+            def earlier(i, before=before, known=known):
+                if i not in known:
+                    known[i] = frozenset(before[int(i)].as_py() or ())
+                return known[i]
 
-        def found(t):
-            c = {k: t.column(k).to_numpy(zero_copy_only=False) for k in ("tile", "part", "n", "cid", "label", "minor")}
             # One number for (tile, part): neighbours differ in one of them.
             new = np.concatenate([[True], (c["tile"][1:] != c["tile"][:-1]) | (c["part"][1:] != c["part"][:-1])])
-            i, j = tile_pairs(np.cumsum(new), c["n"].astype(np.int64), c["cid"], c["label"], c["minor"], c["part"], t.column("bits").to_pylist(), num, den, everything)
+            n, pos = c["n"].astype(np.int64), c["pos"].astype(np.int64)
+            i, j = tile_pairs(np.cumsum(new), n, pos, c["cid"], c["label"], c["home"], c["cross"], t.column("bits").to_pylist(), earlier, num, den, everything)
             a, b = np.minimum(c["cid"][i], c["cid"][j]), np.maximum(c["cid"][i], c["cid"][j])
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
@@ -276,44 +319,81 @@ def _candidates(num, den, everything):
             for k in range(0, len(a), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 50_000]), pa.array(b[k : k + 50_000])], schema=PAIRS)
 
+    return run
+
+
+def _tiles_of_two(num, den):
+    """Of rows ordered by (tile, part, n) those with a neighbour in their size band, or of several parts."""
+
+    def run(batches):
+        held, paired = None, False
         for batch in batches:
             t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             t = t.combine_chunks()
             if not t.num_rows:
                 continue
-            tile, part = t.column("tile").to_numpy(), t.column("part").to_numpy()
-            last = np.flatnonzero((tile != tile[-1]) | (part != part[-1]))
-            cut = last[-1] + 1 if len(last) else 0  # the last tile may go on
-            if cut:
-                yield from found(t.slice(0, cut))
-            held = t.slice(cut)
-        if held is not None and held.num_rows:
-            yield from found(held)
+            tile, part, parts, n = (t.column(k).to_numpy() for k in ("tile", "part", "parts", "n"))
+            n = n.astype(np.int64)
+            same = (tile[1:] == tile[:-1]) & (part[1:] == part[:-1]) & (den * n[:-1] >= num * n[1:])
+            keep = parts > 1
+            keep[1:] |= same
+            keep[:-1] |= same
+            # The last row may be the first of a pair; it waits, marked by what came before it.
+            keep[0] |= paired
+            paired = bool(keep[-1])
+            yield from t.slice(0, t.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
+            held = t.slice(t.num_rows - 1)
+        if held is not None and paired:
+            yield from held.to_batches()
 
     return run
 
 
-def _tiles_of_two(batches):
-    """Of rows ordered by (tile, part) those whose tile has two rows at least, or several parts."""
-    held = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        t = t.combine_chunks()
-        if not t.num_rows:
-            continue
-        tile, part, parts = (t.column(k).to_numpy() for k in ("tile", "part", "parts"))
-        same = (tile[1:] == tile[:-1]) & (part[1:] == part[:-1])
-        keep = parts > 1
-        keep[1:] |= same
-        keep[:-1] |= same
-        # The last row may be the first of a pair; it waits, marked by what came before it.
-        if held is not None and held.num_rows and paired:
-            keep[0] = True
-        paired = bool(keep[-1])
-        yield from t.slice(0, t.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
-        held = t.slice(t.num_rows - 1)
-    if held is not None and held.num_rows and paired:
-        yield from held.to_batches()
+def live_tiles(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """cid, n, pos, tile, parts, part: the rows of tiles in which classes meet others of their band, of classes that do so often enough."""
+    key = ["tile", "part"]
+    entries = (
+        classes.select("cid", "n", F.posexplode(F.arrays_zip("x.prefix", "x.parts")).alias("pos", "e"))
+        .select("cid", "n", "pos", F.col("e.prefix").alias("tile"), F.col("e.parts").alias("parts"))
+        .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    )
+    met = entries.repartition(*key).sortWithinPartitions(*key, "n", "cid").mapInArrow(_tiles_of_two(num, den), "cid long, n int, pos int, tile long, parts int, part int")
+    # The least partner in the band has ceil(num n / den) elements.
+    need = F.expr(f"1 + ceil({num} * n / {den}) div {SHARED}")
+    met = met.withColumn("met", F.count("*").over(Window.partitionBy("cid"))).where(F.col("met") >= need)
+    # Of a similar pair's shared n-grams the first stands among these; the places beyond were there for the count.
+    return stored(met.where(F.expr(f"pos <= n - ceil({num} * n / {den})")).drop("met"), "tiles")
+
+
+def cells(open_: DataFrame) -> DataFrame:
+    """The rows of open tiles dealt into cells (part) of about PART_ROWS rows: part, home, cross beside their columns.
+
+    Of a large tile the commonest label's rows (main) are dealt out by hash, and all others visit each of those cells; among
+    themselves the others meet in the cells of a triangular grid over their homes. In a cell that is `cross` rows of one home are not compared.
+    """
+    large = open_.groupBy("tile", "label").count().groupBy("tile").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("all")).where(F.col("all") > PART_ROWS)
+    parts = lambda n: F.ceil(n / PART_ROWS).cast("int")
+    large = large.select("tile", F.col("m.label").alias("main"), parts(F.col("m.count")).alias("mains"), parts(F.greatest(F.col("all") - F.col("m.count"), F.lit(1))).alias("others"))
+    mine = F.pmod(F.xxhash64("cid"), F.col("others")).cast("int")
+
+    def cell(part, home, cross):
+        return F.struct(part.cast("int").alias("part"), home.cast("int").alias("home"), cross.alias("cross"))
+
+    def grid(k):
+        low, high = F.least(mine, k), F.greatest(mine, k)
+        return cell(F.col("mains") + (high * (high + 1) / 2).cast("int") + low, mine, mine != k)
+
+    visits = (
+        F.when(F.col("main").isNull(), F.array(cell(F.lit(0), F.lit(0), F.lit(False))))
+        .when(F.col("label") == F.col("main"), F.array(cell(F.pmod(F.xxhash64("cid"), F.col("mains")), F.lit(0), F.lit(True))))
+        .otherwise(
+            F.concat(
+                F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda k: cell(k, F.lit(1), F.lit(True))),
+                F.transform(F.sequence(F.lit(0), F.col("others") - 1), grid),
+            )
+        )
+    )
+    return open_.drop("part").join(large, "tile", "left").withColumn("v", F.explode(visits)).select("*", "v.part", "v.home", "v.cross").drop("v", "main", "mains", "others")
 
 
 # -- verification ------------------------------------------------------------
@@ -449,42 +529,41 @@ def similar_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     num, den = percent, 100
-    shared = spark.sparkContext.broadcast(frequent(docs.select("text"), words))  # at most MOST_FREQUENT entries
+    hot = spark.sparkContext.broadcast(frequent(docs.select("text"), words))  # at most MOST_FREQUENT entries
     schema = "doc_id long, n int, d1 long, d2 long, bits binary, wide binary, prefix array<long>, parts array<int>"
-    rows = stored(docs.mapInArrow(_described(words, num, den, shared), schema), "rows")
+    rows = stored(docs.mapInArrow(_described(words, num, den, hot), schema), "rows")
     classes = (
         rows.where("n > 0").groupBy("d1", "d2", "n")
         .agg(F.min("doc_id").alias("id"), F.count("*").alias("n_class"), F.min(F.struct("bits", "wide", "prefix", "parts")).alias("x"))
         .select(F.monotonically_increasing_id().alias("cid"), "*")
     )
     classes = stored(classes, "classes")
-    key = ["tile", "part"]
-    entries = (
-        classes.select("cid", "n", F.explode(F.arrays_zip("x.prefix", "x.parts")).alias("e"))
-        .select("cid", "n", F.col("e.prefix").alias("tile"), F.col("e.parts").alias("parts"))
-        .withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    )
-    tiles = stored(entries.repartition(*key).sortWithinPartitions(*key, "n", "cid").mapInArrow(_tiles_of_two, "cid long, n int, tile long, parts int, part int"), "tiles")
+    tiles = live_tiles(classes, num, den)
+    # What has served goes: the prefixes are as large as the sets are long.
+    classes, full = stored(classes.withColumn("x", F.col("x").dropFields("prefix", "parts")), "classes"), classes
+    removed(full)
+    rows, full = stored(rows.select("doc_id", "n", "d1", "d2"), "rows"), rows
+    removed(full)
+    del full
     bits = classes.select("cid", F.col("x.bits").alias("bits"))
+    key = ["tile", "part"]
 
     def pairs_of(rows: DataFrame, everything: bool) -> DataFrame:
-        dealt = rows.select(*key, "n", "cid", "label", "minor", "bits").repartition(*key).sortWithinPartitions(*key, "n", "cid")
+        dealt = rows.select(*key, "n", "pos", "cid", "label", "home", "cross", "bits", "earlier").repartition(*key).sortWithinPartitions(*key, "n", "cid")
         return stored(dealt.mapInArrow(_candidates(num, den, everything), "a long, b long").distinct(), "pairs")
 
-    first = tiles.join(bits, "cid").withColumns({"label": F.col("cid"), "minor": F.lit(False)})
-    links = verified(pairs_of(first, False), docs, classes, words, num, den)
+    alone = {"label": F.col("cid"), "home": F.lit(0), "cross": F.lit(False), "earlier": F.lit(None).cast("array<long>")}
+    links = verified(pairs_of(tiles.join(bits, "cid").withColumns(alone), False), docs, classes, words, num, den)
     roots = stored(components(links), "roots")
     removed(links)
 
     # Second round: tiles that hold members of several components.
-    named = tiles.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
+    named = tiles.drop("parts").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
     mixed = named.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("tile")
-    open_ = stored(named.join(mixed, "tile", "left_semi"), "open")
-    main = open_.where("parts > 1").groupBy("tile", "label").count().groupBy("tile").agg(F.max(F.struct("count", "label")).alias("m")).select("tile", F.col("m.label").alias("main"))
+    before = Window.partitionBy("cid").orderBy("pos").rowsBetween(-EARLIER, -1)
+    open_ = stored(named.join(mixed, "tile", "left_semi").withColumn("earlier", F.collect_list("tile").over(before)).join(bits, "cid"), "open")
     removed(tiles)
-    split = open_.join(main, "tile", "left").withColumn("minor", F.col("main").isNotNull() & (F.col("label") != F.col("main"))).drop("main")
-    split = split.withColumn("part", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))))
-    more = verified(pairs_of(split.join(bits, "cid"), True), docs, classes, words, num, den)
+    more = verified(pairs_of(cells(open_), True), docs, classes, words, num, den)
     if more.isEmpty():
         found = roots
     else:
