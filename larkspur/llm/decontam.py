@@ -1,18 +1,24 @@
 """Benchmark decontamination: passages of documents within an edit budget of a benchmark item.
 
-Texts are lower-cased and their runs of whitespace become one blank. An item of
-m bytes may differ from a passage by k = rate * m edits. The q-gram lemma: a
-passage within k edits shares at least m - q + 1 - k q of the item's q-grams,
-and the pairs of positions lie on diagonals (place in the document less place
-in the item) that differ by k at most. So shared q-grams are counted in bands of
-2 (k + 1) diagonals that overlap by half; the regions that reach the bound are
-verified by an alignment within the band, with both ends in the document free.
+Texts are lower-cased, their runs of whitespace become one blank, and everything
+counts in characters. An item of m characters may differ from a passage by
+k = rate * m edits. The q-gram lemma: a passage within k edits shares at least
+m - q + 1 - k q of the item's q-grams, and the pairs of positions lie on
+diagonals (place in the document less place in the item) that differ by k at
+most. So shared q-grams are counted in bands of 2 (k + 1) diagonals that overlap
+by half; the regions that reach the bound are verified by an alignment within
+the band, with both ends in the document free.
+
+Q is the usual q. An item for which its bound would not be positive, a short
+one, is searched by its largest q for which it is: every item has its whole
+budget. An item of fewer than Q characters must stand between blanks or ends.
 
 The q-grams of all items are broadcast in parts of bounded size.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -21,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import joined_bytes, shipped, slices, spread, table
+from larkspur.llm.common import shipped, slices, spread, table
 
 Q = 8
 RATE = 0.1
@@ -30,36 +36,43 @@ PART_BYTES = 4 << 20
 PIECE = 1 << 20
 
 
-def plain(text: str | None) -> bytes:
-    return " ".join((text or "").lower().split()).encode("utf-8", "replace")
+#: Stands between texts; no character has these numbers.
+GAP, BEYOND = 0x110000, 0x110001
+HASH = 0x9E3779B97F4A7C15
 
 
-def _grams(x: np.ndarray) -> np.ndarray:
-    n = max(0, len(x) - Q + 1)
+def plain(text: str | None) -> str:
+    return " ".join((text or "").lower().split())
+
+
+def characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _grams(x: np.ndarray, q: int) -> np.ndarray:
+    """A number for each run of q characters: equal runs have equal numbers, and the alignment tells the others apart."""
+    n = max(0, len(x) - q + 1)
     g = np.zeros(n, np.uint64)
-    for k in range(Q):
-        g |= x[k : n + k].astype(np.uint64) << np.uint64(8 * k)
-    return g
+    for k in range(q):
+        g = g * np.uint64(HASH) + x[k : n + k]
+    return g ^ (g >> np.uint64(29))
 
 
-class Index:
-    """The q-grams of items [(item_id, text)]: ascending, with the item and place of each."""
+def budget_of(m: int, rate: float = RATE) -> int:
+    return int(rate * m + 1e-9)
+
+
+class Grams:
+    """The q-grams of one q: ascending, with the item and place of each."""
 
     FILTER_BITS = 22
 
-    def __init__(self, items: list[tuple[int, str | None]], rate: float = RATE):
-        rows = [(i, t) for i, t in ((i, plain(t)) for i, t in items) if len(t) >= Q]
-        self.ids = [i for i, _ in rows]
-        self.texts = [t for _, t in rows]
-        m = np.array([len(t) for t in self.texts], np.int64)
-        # The budget is as large as the lemma can tell from chance: the bound stays positive.
-        self.budget = np.minimum(np.floor(rate * m + 1e-9).astype(np.int64), np.maximum(0, (m - Q) // Q))
-        self.need = m - Q + 1 - self.budget * Q
-        self.width = self.budget + 1
-        parts = [_grams(np.frombuffer(t, np.uint8)) for t in self.texts]
-        gram = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        item = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.empty(0, np.int64)
+    def __init__(self, q: int, items: list[int], texts: list[np.ndarray]):
+        self.q = q
+        parts = [_grams(t, q) for t in texts]
+        gram = np.concatenate(parts)
+        item = np.repeat(items, [len(p) for p in parts])
+        place = np.concatenate([np.arange(len(p)) for p in parts])
         order = np.argsort(gram, kind="stable")
         self.item, self.place = item[order].astype(np.int32), place[order].astype(np.int32)
         self.gram, self.first, self.count = np.unique(gram[order], return_index=True, return_counts=True)
@@ -67,72 +80,107 @@ class Index:
         self.filter[self._slot(self.gram)] = True
 
     def _slot(self, g: np.ndarray) -> np.ndarray:
-        return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.FILTER_BITS)).astype(np.int64)
+        return ((g * np.uint64(HASH)) >> np.uint64(64 - self.FILTER_BITS)).astype(np.int64)
 
-    def regions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, band) whose shared q-grams reach the item's bound; band b holds diagonals b w <= d < (b + 2) w."""
-        if not len(self.gram):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        g = _grams(x)
+    def shared(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, diagonal) of each q-gram that x shares with an item."""
+        g = _grams(x, self.q)
         at = np.flatnonzero(self.filter[self._slot(g)])
         j = np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)
         same = self.gram[j] == g[at]
         at, j = at[same], j[same]
         times = self.count[j]
         k = np.repeat(self.first[j] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-        item = self.item[k].astype(np.int64)
-        band = (np.repeat(at, times) - self.place[k]) // self.width[item]
-        key = item << 40 | (band + (1 << 20))  # bands before the start are negative
-        key = np.concatenate([key, key - 1])
-        key, n = np.unique(key, return_counts=True)
-        key = key[n >= self.need[key >> 40]]
-        return key >> 40, (key & ((1 << 40) - 1)) - (1 << 20)
-
-    def matches(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, edits, start, end) of passages within budget; of overlapping ones for an item, the best."""
-        x, begin = joined_bytes(texts, b"\xff")  # a byte that no text holds
+        return self.item[k].astype(np.int64), np.repeat(at, times) - self.place[k]
+
+
+class Index:
+    """Items [(item_id, text)] with their budgets and q-grams. Items without a character take no part."""
+
+    def __init__(self, items: list[tuple[int, str | None]], rate: float = RATE):
+        rows = [(i, t) for i, t in ((i, plain(t)) for i, t in items) if t]
+        self.ids = [i for i, _ in rows]
+        self.texts = [t for _, t in rows]
+        self.chars = [characters(t) for t in self.texts]
+        self.size = m = np.array([len(t) for t in self.texts], np.int64)
+        self.budget = np.array([budget_of(n, rate) for n in m.tolist()], np.int64)
+        q = np.minimum(Q, m // (self.budget + 1))  # m - q + 1 - k q is positive
+        self.need = m - q + 1 - self.budget * q
+        self.width = self.budget + 1
+        self.grams = [Grams(n, which, [self.chars[i] for i in which]) for n in sorted(set(q.tolist())) if (which := np.flatnonzero(q == n).tolist())]
+
+    def regions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, band) whose shared q-grams reach the item's bound; band b holds diagonals b w <= d < (b + 2) w."""
+        items, bands = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for grams in self.grams:
+            item, diagonal = grams.shared(x)
+            key = item << 40 | (diagonal // self.width[item] + (1 << 24))  # bands before the start are negative
+            key, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+            key = key[n >= self.need[key >> 40]]
+            items.append(key >> 40)
+            bands.append((key & ((1 << 40) - 1)) - (1 << 24))
+        return np.concatenate(items), np.concatenate(bands)
+
+    def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, edits, start, end) of passages within budget; of overlapping ones for an item, the best, ties to the first."""
+        size = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+        begin = np.concatenate([[0], np.cumsum(size)])
+        x = np.full(begin[-1], GAP, np.uint32)
+        for t, a in zip(texts, begin.tolist(), strict=False):
+            x[a : a + len(t)] = characters(t)
         items, bands = self.regions(x)
         if not len(items):
             return []
         found = []
-        mid = bands * self.width[items] + self.width[items] + np.array([len(t) for t in self.texts])[items] // 2
-        owner = np.clip(np.searchsorted(begin, mid, side="right") - 1, 0, len(texts) - 1)
-        for i, b, text in zip(items.tolist(), bands.tolist(), owner.tolist(), strict=True):
-            # The region may touch two neighbouring texts; the gap between them matches nothing.
-            for t in {text, max(0, text - 1), min(len(texts) - 1, text + 1)}:
-                low = b * int(self.width[i]) - int(begin[t])
-                hit = self.verify(i, texts[t], low)
+        low = bands * self.width[items]
+        # A region may touch several texts; the gaps between them match nothing.
+        first = np.clip(np.searchsorted(begin, low, side="right") - 1, 0, len(texts) - 1)
+        last = np.clip(np.searchsorted(begin, low + 2 * self.width[items] + self.size[items], side="right") - 1, 0, len(texts) - 1)
+        for i, d, a, b in zip(items.tolist(), low.tolist(), first.tolist(), last.tolist(), strict=True):
+            for t in range(a, b + 1):
+                hit = self.verify(i, texts[t], x[begin[t] : begin[t + 1] - 1], d - int(begin[t]))
                 if hit:
                     found.append((t, i, *hit))
         found.sort(key=lambda f: (f[0], f[1], f[2], f[3]))
         kept: list[tuple] = []
-        for f in found:
-            if not any(o[0] == f[0] and o[1] == f[1] and o[3] < f[4] and f[3] < o[4] for o in reversed(kept[-64:])):
+        ends: list[int] = []  # ends of the passages kept of one text and item, ascending, and where those begin
+        starts: list[int] = []
+        for k, f in enumerate(found):
+            if not k or found[k - 1][:2] != f[:2]:
+                ends, starts = [], []
+            at = bisect.bisect_right(ends, f[3])
+            if at == len(starts) or starts[at] >= f[4]:
+                ends.insert(at, f[4])
+                starts.insert(at, f[3])
                 kept.append(f)
         return kept
 
-    def verify(self, i: int, text: bytes, low: int) -> tuple[int, int, int] | None:
+    def verify(self, i: int, text: str, chars: np.ndarray, low: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of the best passage on diagonals low <= d < low + 2 w, if within the budget."""
         item, w = self.texts[i], 2 * int(self.width[i])
         if low + w + len(item) <= 0 or low >= len(text):
             return None
-        at = text.find(item, max(0, low), max(0, low + w + len(item)))
+        stop = max(0, low + w + len(item))
+        if len(item) < Q and not self.budget[i]:  # between blanks or ends
+            at = f" {text} ".find(f" {item} ", max(0, low), stop + 2)
+        else:
+            at = text.find(item, max(0, low), stop)
         if at >= 0:
             return 0, at, at + len(item)
-        return banded(np.frombuffer(item, np.uint8), text, low, w, int(self.budget[i]))
+        return banded(self.chars[i], chars, low, w, int(self.budget[i])) if self.budget[i] else None
 
 
-def banded(item: np.ndarray, text: bytes, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
+def banded(item: np.ndarray, text: np.ndarray, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
     """Least edits between the whole item and a passage of text, on `width` diagonals from `low` on; where the passage lies.
 
     Row r, diagonal d stands for item[:r] against a passage that ends at r + low + d. None, as soon as no cell is within the budget.
     """
     m = len(item)
     far = 1 << 20
-    window = np.full(m + width, 255, np.uint8)
+    window = np.full(m + width, BEYOND, np.uint32)
     a, b = max(0, low), min(len(text), low + m + width)
     if b > a:
-        window[a - low : b - low] = np.frombuffer(text, np.uint8, b - a, a)
+        window[a - low : b - low] = text[a:b]
     d = np.arange(width)
     inside = (d + low >= 0) & (d + low <= len(text))
     cost, start = np.where(inside, 0, far), d + low
@@ -141,12 +189,12 @@ def banded(item: np.ndarray, text: bytes, low: int, width: int, budget: int) ->
     for r in range(1, m + 1):
         swap = cost + (window[r - 1 : r - 1 + width] != item[r - 1])
         best, begin = swap, start.copy()
-        drop = cost[1:] + 1  # the item's byte is missing
+        drop = cost[1:] + 1  # the item's character is missing
         less = drop < swap[:-1]
         best[:-1][less], begin[:-1][less] = drop[less], start[1:][less]
         if not safe:
             best[(ends + r < 0) | (ends + r > len(text))] = far
-        # Extra bytes of the text: the least of the cells to the left, each a step dearer.
+        # Extra characters of the text: the least of the cells to the left, each a step dearer.
         level = best - d
         least = np.minimum.accumulate(level)
         source = np.maximum.accumulate(np.where(level == least, d, 0))
@@ -158,7 +206,7 @@ def banded(item: np.ndarray, text: bytes, low: int, width: int, budget: int) ->
 
 
 def parts_of(benchmark: DataFrame, rate: float = RATE) -> list[Index]:
-    """The benchmark's items in parts of about PART_BYTES. Null ids, null texts and items shorter than a q-gram take no part."""
+    """The benchmark's items in parts of about PART_BYTES. Null ids, null texts and items without a character take no part."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / PART_BYTES))
@@ -176,7 +224,7 @@ def _in_pieces(batch, column):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, edits, start, end: a row for each passage of a document (doc_id, text) within the item's budget.
 
-    start and end are bytes of the lower-cased text with single blanks. Null and empty texts hold nothing; repeated
+    start and end are characters of the lower-cased text with single blanks. Null and empty texts hold nothing; repeated
     rows are searched each; null doc_ids stay null; an empty table gives no rows. Other columns are ignored.
     """
     schema = "doc_id long, item_id long, edits int, start int, end int"
