@@ -22,10 +22,18 @@ from larkspur.llm.common import fold, joined_bytes, shipped, slices, spread, tab
 WIDTHS, FILTERS, EMBED = (2, 3, 4, 5), 8, 8
 SPAN = 128
 STEP = SPAN - max(WIDTHS) + 1
-#: The bound of the training sample: texts of each language (those whose doc_id hashes lowest), and windows of each text.
-MOST_TEXTS, MOST_WINDOWS, MOST_LANGUAGES, MOST_IN_ALL = 600, 4, 256, 20_000
+#: The bound of the training sample: texts of each language (those whose doc_id hashes lowest), places of each text,
+#: and texts of all languages together, though every language has one.
+MOST_TEXTS, MOST_WINDOWS, MOST_IN_ALL = 600, 4, 20_000
+#: Languages whose list is broadcast; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L; marks, digits and letter-like numbers are not."""
+    return any(m[0].isalpha() for m in _WORD.finditer(text))
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,6 +100,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the weighted mean cross-entropy of windows, by table, kernels, shift, out and bias: only the bytes at a filter's maximum take part."""
+    z, at, padded = net.pooled(x, where=True)
+    h = np.maximum(0, z + net.shift)
+    p = softmax(h @ net.out + net.bias)
+    p[np.arange(len(x)), y] -= 1
+    p *= (weight / len(x))[:, None]
+    dh = (p @ net.out.T) * (h > 0)
+    table = np.zeros_like(net.table)
+    kernels = []
+    for j, w in enumerate(WIDTHS):
+        kernel, cols = net.kernels[w], slice(j * FILTERS, (j + 1) * FILTERS)
+        d = dh[:, cols]  # (windows, filters)
+        grad = np.zeros_like(kernel)
+        for o in range(w):
+            seen = np.take_along_axis(padded, at[:, cols] + o, 1)
+            part = kernel[o * EMBED : (o + 1) * EMBED]
+            grad[o * EMBED : (o + 1) * EMBED] = np.einsum("mfe,mf->ef", net.table[seen], d)
+            np.add.at(table, seen.ravel(), (d[:, :, None] * part.T[None]).reshape(-1, EMBED))
+        kernels.append(grad)
+    return [table, *kernels, dh.sum(0), h.T @ p, p.sum(0)]
+
+
 def train(sample: list[tuple[bytes, str]], steps: int = 450, batch: int = 128, rate: float = 0.004, seed: int = 5) -> Network:
     """Adam on the cross-entropy of windows, each weighted so that languages count alike. One language or none needs no training."""
     net = Network(sorted({lang for _, lang in sample}), seed)
@@ -99,9 +130,6 @@ def train(sample: list[tuple[bytes, str]], steps: int = 450, batch: int = 128, r
         return net
     x, owner, _ = windows([t for t, _ in sample])
     rng = np.random.default_rng(seed)
-    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    keep = nth < MOST_WINDOWS
-    x, owner = x[keep], owner[keep]
     number = {lang: i for i, lang in enumerate(net.languages)}
     y = np.array([number[lang] for _, lang in sample])[owner]
     share = np.bincount(y, minlength=len(number))
@@ -113,51 +141,39 @@ def train(sample: list[tuple[bytes, str]], steps: int = 450, batch: int = 128, r
         order = rng.permutation(len(x))
         for k in range(0, len(x), batch):
             i = order[k : k + batch]
-            z, at, padded = net.pooled(x[i], where=True)
-            h = np.maximum(0, z + net.shift)
-            p = softmax(h @ net.out + net.bias)
-            p[np.arange(len(i)), y[i]] -= 1
-            p *= (weight[i] / len(i))[:, None]
-            dh = (p @ net.out.T) * (h > 0)
-            grads = {id(net.out): h.T @ p, id(net.bias): p.sum(0), id(net.shift): dh.sum(0), id(net.table): np.zeros_like(net.table)}
-            for j, w in enumerate(WIDTHS):
-                kernel, cols = net.kernels[w], slice(j * FILTERS, (j + 1) * FILTERS)
-                d = dh[:, cols]  # (windows, filters): only the bytes at the maximum take part
-                grad = np.zeros_like(kernel)
-                for o in range(w):
-                    seen = np.take_along_axis(padded, at[:, cols] + o, 1)
-                    part = kernel[o * EMBED : (o + 1) * EMBED]
-                    grad[o * EMBED : (o + 1) * EMBED] = np.einsum("mfe,mf->ef", net.table[seen], d)
-                    np.add.at(grads[id(net.table)], seen.ravel(), (d[:, :, None] * part.T[None]).reshape(-1, EMBED))
-                grads[id(kernel)] = grad
             step += 1
-            for p_, m in zip(params, moments, strict=True):
-                g = grads[id(p_)]
+            for p, g, m in zip(params, gradients(net, x[i], y[i], weight[i]), moments, strict=True):
                 m[0] += 0.1 * (g - m[0])
                 m[1] += 0.01 * (g * g - m[1])
-                p_ -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
+                p -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
     return net
 
 
 def language_sample(docs: DataFrame, learn: Column, most: int = MOST_TEXTS) -> list[tuple[bytes, str]]:
-    """The beginnings (as long as MOST_WINDOWS windows) of at most `most` texts of each language, those whose doc_id hashes lowest.
+    """(window, language): up to MOST_WINDOWS places, spread over the whole text, of at most `most` texts of each language, those whose doc_id hashes lowest.
 
-    At most MOST_LANGUAGES languages, the commonest, are learnt, and of all together at most MOST_IN_ALL texts. Null texts, langs and ids take no part.
+    Every language of the rows is learnt. Of all together at most MOST_IN_ALL texts are taken, but one of each language
+    at least. A place is SPAN characters long. Null texts, langs and ids take no part.
     """
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    langs = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()]
-    most = min(most, MOST_IN_ALL // max(1, len(langs)))
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs = langs.count()
+    most = max(1, min(most, MOST_IN_ALL // max(1, n_langs)))
     # A hash bound for each language keeps about 1.5 times as many as are wanted; the rest go before anything is sorted.
     span = 1 << 32
+    langs = langs.select("lang", F.least(F.lit(span), F.floor(F.lit(span) * ((1.5 * most + 50) / F.col("n")))).alias("bound"))
     key = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(span))
-    bound = F.lit(-1)
-    for lang, n in langs:
-        bound = F.when(F.col("lang") == lang, F.lit(min(span, int(span * (1.5 * most + 50) / n)))).otherwise(bound)
-    kept = rows.where(key < bound).select(key.alias("key"), "doc_id", "lang", F.substring("text", 1, SPAN * MOST_WINDOWS).alias("text"))
+    kept = rows.withColumn("key", key).join(F.broadcast(langs) if n_langs <= BROADCAST_LANGUAGES else langs, "lang").where("key < bound")
+    # Place i of n lies in the i-th of n equal parts, at a hashed point.
+    spare = F.greatest(F.length("text") - SPAN, F.lit(0))
+    n = F.least(F.lit(MOST_WINDOWS), F.ceil(F.greatest(F.length("text"), F.lit(1)) / SPAN)).cast("int")
+    point = lambda i: (i + F.pmod(F.xxhash64("key", i), F.lit(1000)) / 1000) / n
+    places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring("text", (F.floor(spare * point(i)) + 1).cast("int"), F.lit(SPAN)))
     out: dict[str, list] = {}
-    for r in sorted(kept.collect(), key=lambda r: (r["key"], r["doc_id"], r["text"])):
-        out.setdefault(r["lang"], []).append((r["text"].encode("utf-8", "replace"), r["lang"]))
-    return [x for lang in sorted(out) for x in out[lang][:most]]
+    for r in sorted(kept.select("key", "doc_id", "lang", places.alias("places")).collect(), key=lambda r: (r["key"], r["doc_id"], r["places"])):
+        out.setdefault(r["lang"], []).append([(p.encode("utf-8", "replace"), r["lang"]) for p in r["places"]])
+    return [x for lang in sorted(out) for places in out[lang][:most] for x in places]
 
 
 def identify(docs: DataFrame, net: Network) -> DataFrame:
@@ -177,7 +193,7 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
             langs, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
             for first, part in slices(batch, at, 1 << 20) if net.languages else ():
                 texts = part.column(at).to_pylist()
-                some = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)]
+                some = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
                 if some:
                     for i, b, s in zip(some, *net.predict([texts[i].encode("utf-8", "replace") for i in some]), strict=True):
                         langs[first + i], scores[first + i] = net.languages[b], float(s)
