@@ -14,7 +14,7 @@ from larkspur.llm import decontam, jaccard, langid, mixing, toxicity
 from larkspur.llm.common import fold, stored, table
 
 #: Texts whose language is told with less certainty than this are rejected, with those that have no letter.
-LEAST_CERTAIN = 0.4
+LEAST_CERTAIN = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
