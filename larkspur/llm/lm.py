@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import fold, joined_bytes, removed, slices, spread, stored, table
 
 DEPTH = 5
+END = b"\xff"
 #: Byte strings whose probabilities are broadcast; the others are joined.
 HEAD_GRAMS = 1 << 22
 #: Words whose counts are broadcast; the others are joined.
@@ -52,16 +53,16 @@ def pieces(batches, columns: list[str]):
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The strings of DEPTH + 1 bytes that end at each byte and at the end mark of each text, and where each text's begin.
 
-    Before a text stand DEPTH zero bytes, after it the end mark, a zero byte.
+    Before a text stand DEPTH end marks, after it one: END is a byte that UTF-8 has nowhere, so no text holds it.
     """
-    raw, begin = joined_bytes(texts, b"\0" * DEPTH)
-    raw = np.concatenate([np.zeros(DEPTH, np.uint8), raw])
+    raw, begin = joined_bytes(texts, END * DEPTH)
+    raw = np.concatenate([np.frombuffer(END * DEPTH, np.uint8), raw])
     n = len(raw) - DEPTH
     g = np.zeros(n, np.uint64)
     for k in range(DEPTH + 1):
         g = (g << np.uint64(8)) | raw[k : n + k]
     keep = np.ones(n, bool)
-    for k in range(1, DEPTH):  # of the gap only the first zero is the end mark
+    for k in range(1, DEPTH):  # of the gap only the first byte is the text's end
         keep[begin[1:] - DEPTH + k] = False
     return g[keep], begin[:-1] - (DEPTH - 1) * np.arange(len(texts))
 
