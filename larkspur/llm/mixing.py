@@ -29,7 +29,8 @@ REST = "*"
 #: Production targets: the source that floods the corpus is held to a tenth, four trusted ones count double, all not named share the rest.
 TARGETS = {"src0": 4, "src1": 2, "src2": 2, "src3": 2, "src4": 2, REST: 28}
 BLOCK = 16
-RANGES = 4096
+#: Hash ranges of a component, and of all together: their counts are broadcast.
+RANGES, MOST_RANGES = 4096, 1 << 18
 
 
 def checked(parts: dict[str, int]) -> dict[str, int]:
@@ -100,47 +101,47 @@ def mix(docs: DataFrame, parts: dict[str, int], block: int = BLOCK, id_col: str
     """
     spark = docs.sparkSession
     docs = docs.drop("mix_component", "mix_block", "mix_slot", "mix_position", "mix_full")
-    columns = docs.columns
     parts = checked(parts)
     period = sum(parts.values())
     named = [n for n in parts if n != REST]
-    source = F.col(source_col).cast("string")
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns(
-        {
-            "mix_component": F.when(source.isin(named), source).otherwise(F.lit(REST)) if named else F.lit(REST),
-            "_key": key,
-            "_range": F.conv(F.substring(key, 1, 3), 16, 10).cast("int"),
-        }
-    )
-    # Rows before each hash range of a component: RANGES rows at most for each component, and those are bounded.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    source = F.col(f"`{source_col}`").cast("string")
+    key = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    ranges = min(RANGES, MOST_RANGES // len(parts))
+    # The caller's columns travel within one, so that their names meet no other.
+    rows = docs.select(
+        whole.alias("row"),
+        (F.when(source.isin(named), source).otherwise(F.lit(REST)) if named else F.lit(REST)).alias("component"),
+        key.alias("key"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.xxhash64(whole).alias("tie"),
+    ).withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * ranges / (1 << 32)).cast("int"))
+    # Rows before each hash range of a component: at most MOST_RANGES in all, or one a component.
     before = (
-        rows.groupBy("mix_component", "_range")
+        rows.groupBy("component", "range")
         .count()
-        .withColumn("_before", F.sum("count").over(W.partitionBy("mix_component").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)))
-        .select("mix_component", "_range", F.coalesce("_before", F.lit(0)).alias("_before"), "count")
+        .withColumn("before", F.sum("count").over(W.partitionBy("component").orderBy("range").rowsBetween(W.unboundedPreceding, -1)))
+        .select("component", "range", F.coalesce("before", F.lit(0)).alias("before"), "count")
     )
-    within = W.partitionBy("mix_component", "_range").orderBy("_key", F.col(id_col), *[F.col(c) for c in columns if c == "n_chars"])
-    rows = rows.withColumn("_nth", F.row_number().over(within) - 1).join(F.broadcast(before.drop("count")), ["mix_component", "_range"])
-    number = F.col("_before") + F.col("_nth")
-    rows = rows.withColumns({"_number": number, "mix_block": F.floor(number / block).cast("bigint")})
-    plan = schedule(spark, parts).select(F.col("component").alias("mix_component"), F.col("parts").alias("_parts"), F.col("nth").alias("_turn"), F.col("slot").alias("_slot"))
+    within = W.partitionBy("component", "range").orderBy("key", "id", "tie")
+    rows = rows.withColumn("nth", F.row_number().over(within) - 1).join(F.broadcast(before.drop("count")), ["component", "range"])
+    rows = rows.withColumn("number", F.col("before") + F.col("nth"))
+    rows = rows.withColumn("mix_block", F.floor(F.col("number") / block).cast("bigint"))
+    plan = schedule(spark, parts).select("component", F.col("parts").alias("share"), F.col("nth").alias("turn"), "slot")
     shares = F.create_map(*[x for n, c in parts.items() for x in (F.lit(n), F.lit(c).cast("bigint"))])
-    rows = rows.withColumn("_share", F.element_at(shares, F.col("mix_component"))).withColumn("_turn", F.pmod(F.col("mix_block"), F.coalesce("_share", F.lit(1))).cast("bigint"))
-    rows = rows.join(F.broadcast(plan), ["mix_component", "_turn"], "left")
-    slot = (F.floor(F.col("mix_block") / F.col("_parts")) * period + F.col("_slot")).cast("bigint")
-    rows = rows.withColumn("mix_slot", slot)
-    rows = rows.withColumn("mix_position", F.col("mix_slot") * block + F.pmod(F.col("_number"), F.lit(block)))
+    rows = rows.withColumn("turn", F.pmod("mix_block", F.coalesce(F.element_at(shares, F.col("component")), F.lit(1))).cast("bigint"))
+    rows = rows.join(F.broadcast(plan), ["component", "turn"], "left")
+    rows = rows.withColumn("mix_slot", (F.floor(F.col("mix_block") / F.col("share")) * period + F.col("slot")).cast("bigint"))
+    rows = rows.withColumn("mix_position", F.col("mix_slot") * block + F.pmod(F.col("number"), F.lit(block)))
     # The first slot that finds its component out of whole blocks; one number, from one row for each component.
-    listed = F.array(*[F.struct(F.lit(n).alias("mix_component"), F.lit(c).cast("bigint").alias("c")) for n, c in parts.items()])
-    have = before.groupBy("mix_component").agg(F.floor(F.sum("count") / block).cast("bigint").alias("blocks"))
-    ends = spark.range(1).select(F.explode(listed).alias("x")).select("x.*").join(have, "mix_component", "left")
-    ends = ends.select("mix_component", "c", F.coalesce("blocks", F.lit(0)).cast("bigint").alias("b")).withColumn("_turn", F.pmod("b", "c").cast("bigint"))
-    ends = ends.join(F.broadcast(plan.drop("_parts")), ["mix_component", "_turn"])
-    end = ends.agg(F.min(F.floor(F.col("b") / F.col("c")) * period + F.col("_slot")).cast("bigint").alias("_end"))
-    return rows.withColumn("mix_full", F.coalesce(F.col("mix_slot") < end.scalar(), F.lit(False))).select(
-        *columns, "mix_component", "mix_block", "mix_slot", "mix_position", "mix_full"
-    )
+    listed = F.array(*[F.struct(F.lit(n).alias("component"), F.lit(c).cast("bigint").alias("c")) for n, c in parts.items()])
+    have = before.groupBy("component").agg(F.floor(F.sum("count") / block).cast("bigint").alias("blocks"))
+    ends = spark.range(1).select(F.explode(listed).alias("x")).select("x.*").join(have, "component", "left")
+    ends = ends.select("component", "c", F.coalesce("blocks", F.lit(0)).cast("bigint").alias("b")).withColumn("turn", F.pmod("b", "c").cast("bigint"))
+    ends = ends.join(F.broadcast(plan.drop("share")), ["component", "turn"])
+    end = ends.agg(F.min(F.floor(F.col("b") / F.col("c")) * period + F.col("slot")).cast("bigint").alias("end"))
+    rows = rows.withColumn("mix_full", F.coalesce(F.col("mix_slot") < end.scalar(), F.lit(False)))
+    return rows.select("row.*", F.col("component").alias("mix_component"), "mix_block", "mix_slot", "mix_position", "mix_full")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
