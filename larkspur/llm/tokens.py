@@ -62,6 +62,7 @@ def counted(docs: DataFrame, versions: dict[str, Callable], sign: int = 1) -> Da
     Null texts count as empty, with no tokens; null sources and langs are keys of their own; repeated rows count each.
     """
     cols = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
     def run(batches):
         makers = {name: make() for name, make in versions.items()}
         for part in (p for b in batches for _, p in slices(b, 2, 1 << 21)):
@@ -148,16 +149,59 @@ class Rollup:
         return rows.where(" OR ".join(f"{c} <> 0" for c in SUMS))
 
 
-def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after a corpus has come in parts, one part has come twice, and a part has gone and come again under its texts of today."""
+def history(docs: DataFrame) -> list[tuple[str, DataFrame | None, DataFrame | None]]:
+    """What happens to documents (doc_id, source, lang, text) in the queries: batches (name, rows that go, rows that come).
+
+    All documents come, in PARTS batches by their number. Then those whose number ends in 3 are deleted; those that end
+    in 7 are revised (their text grows and their language becomes unknown); of the revised those that end in 07 are deleted
+    under their new text; and those that end in 13 come back. Null numbers count as 0.
+    """
+    nth = F.coalesce(F.col("doc_id"), F.lit(0))
+    rows = docs.select(nth.alias("nth"), "source", "lang", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    revised = rows.where("nth % 10 = 7").select("nth", "source", F.lit(None).cast("string").alias("lang"), F.concat(F.lit("revised: "), text, F.lit(" again "), text).alias("text"))
+    out = [(f"load-{p}", None, rows.where(nth % PARTS == p)) for p in range(PARTS)]
+    return [
+        *out,
+        ("delete-1", rows.where("nth % 10 = 3"), None),
+        ("revise-1", rows.where("nth % 10 = 7"), revised),
+        ("delete-2", revised.where("nth % 100 = 7"), None),
+        ("load-again", None, rows.where("nth % 100 = 13")),
+    ]
+
+
+def rolled(spark: SparkSession, sf_dir: str, versions: dict[str, Callable]) -> DataFrame:
+    """Totals after the whole history of the documents: every batch is delivered, two are delivered twice, and all is folded half way."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
-    versions = tokenizers()
     rollup = Rollup(spark, scratch(spark, "rollup"))
-    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(PARTS))
-    whole = counted(docs, versions)
-    rollup.commit("load-1", whole)
-    rollup.commit("load-1", whole)  # a second delivery changes nothing
-    # Of one part the labelled language is withdrawn and set again: its rows go and come back.
-    some = docs.where(part == 0).select("source", "lang", "text")
-    rollup.commit("revise-1", revision(some, some, versions))
+    for name, gone, come in history(docs):
+        change = counted(gone, versions, -1) if come is None else counted(come, versions) if gone is None else revision(gone, come, versions)
+        rollup.commit(name, change)
+        if name == "load-1":
+            rollup.commit(name, change)  # a second delivery changes nothing
+        if name == "delete-1":
+            rollup.fold("half")
+            rollup.commit(name, change)  # nor does one of a folded batch
     return rollup.totals()
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by words and by byte-level BPE after inserts, deletes and revisions."""
+    return rolled(spark, sf_dir, tokenizers())
+
+
+def token_counts_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by words alone, which SQL can count."""
+    return rolled(spark, sf_dir, {"words-1": words})
+
+
+WORDS_SQL = """
+WITH d AS (SELECT coalesce(doc_id, 0) AS nth, source, lang, coalesce(text, '') AS text FROM documents),
+e AS (
+  SELECT nth, source, lang, text FROM d WHERE (nth % 10 <> 3 AND nth % 10 <> 7) OR nth % 100 = 13
+  UNION ALL SELECT nth, source, NULL, 'revised: ' || text || ' again ' || text FROM d WHERE nth % 10 = 7 AND nth % 100 <> 7
+)
+SELECT source, lang, 'words-1' AS tokenizer, count(*) AS n_docs,
+       CAST(sum(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS n_tokens, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes
+FROM e GROUP BY 1, 2
+"""
