@@ -13,9 +13,13 @@ if its cosine with the query is at least t / (|q| * l), the local threshold:
 What is left is verified by exact integer products.
 
 Buckets meet blocks of queries, never single rows: both are packed matrices,
-dealt into the cells of a grid so that each block of queries meets each bucket
-once. A cell holds a few blocks of queries and lets its buckets pass, longest
-first; the bounds rise as it goes, and it sends on k rows for a query at most.
+dealt into the cells of a grid. Each query's first bound comes from the longest
+vectors; t / |q| is the length that a vector needs to enter its answer. Queries
+are put in order of that length before they are packed, so that a row of the grid
+holds queries of like need, and a bucket is sent only to the rows whose least need
+its longest vector meets. A cell holds a few blocks of queries and lets its
+buckets pass, longest first; the bounds rise as it goes, and it sends on k rows
+for a query at most.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import stored, table
 
-PACKED = "block long, dim int, longest double, ids binary, vecs binary"
+PACKED = "block long, dim int, longest double, need double, ids binary, vecs binary"
 #: Local cosine thresholds from which coordinate pruning is tried, and how many coordinates it looks at.
 COORDINATE_FROM, FOCUS = 0.6, 3
 #: Query blocks that a cell of the grid holds.
@@ -83,6 +87,7 @@ def _block(number: int, dim: int, rows: pd.DataFrame) -> pd.DataFrame:
             "block": [number],
             "dim": [dim],
             "longest": [float(rows["len"].max())],
+            "need": [float(rows["need"].min()) if "need" in rows else 0.0],
             "ids": [rows["id"].to_numpy(np.int64).tobytes()],
             "vecs": [vecs.astype(_narrowest(vecs)).tobytes()],
         }
@@ -131,9 +136,36 @@ class Block:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: in doubles where every partial sum stays below 2**53, else in 64-bit integers."""
-    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if bound < 2.0**53 else a @ b.T
+    """Exact integer products: in doubles where every partial sum stays below 2**53, in 64-bit integers below 2**63, else in whole numbers of any size.
+
+    What does not fit a long becomes the nearest long.
+    """
+    bound = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * max(1, a.shape[1])
+    if bound < 2.0**53:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    if bound < 2.0**62:
+        return a @ b.T
+    limit = np.iinfo(np.int64)
+    return np.clip(a.astype(object) @ b.astype(object).T, limit.min, limit.max).astype(np.int64)
+
+
+def _needed(seeds: list[tuple], k: int):
+    """Query rows (id, v, len) with `need`: the least length that a vector must have to enter the answer, from bounds that the seeds give."""
+
+    def run(frames):
+        for frame in frames:
+            need = np.zeros(len(frame))
+            for dim, part in frame.assign(at=np.arange(len(frame))).groupby(frame["v"].map(len), sort=False):
+                block = Block(part["id"].to_numpy(np.int64), np.stack(part["v"].to_list()).astype(np.int64) if dim else np.zeros((len(part), 0), np.int64), k)
+                for seed_dim, *seed in seeds:
+                    if seed_dim == dim:
+                        block.seed(*_matrix(*seed, dim))
+                length = part["len"].to_numpy()
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    need[part["at"].to_numpy()] = np.where((block.bound > 0) & (length > 0), block.bound / length, 0.0)
+            yield frame.assign(need=need)
+
+    return run
 
 
 def search_bucket(q_ids, q, bound, ids, vecs, k):
@@ -216,7 +248,8 @@ def top_k(
     id. Vectors that are null or hold null or non-finite components take no part; of rows that repeat an id the
     one with the largest vector counts; only vectors of the query's dimension are compared (others have no inner
     product with it); with fewer than k candidates all are returned; an empty table gives an empty result.
-    Zero-length vectors score 0. Other columns of the input are ignored.
+    Zero-length vectors score 0. Components and products beyond a long become the nearest long. Other columns of the
+    input are ignored.
 
     Exactness: bounds only ever come from scores seen, and are compared with a tolerance on the safe side.
     """
@@ -227,11 +260,15 @@ def top_k(
     n_rows, n_queries = rows.count(), rows.where(is_query).count()
     # Equal lengths are parted by id, so one common vector fills many buckets, not one task.
     buckets = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(_packed(bucket_rows), PACKED), "buckets")
-    dealt = rows.where(is_query).repartition(max(1, -(-n_queries // (query_rows * CELL_BLOCKS))))
-    queries = stored(dealt.sortWithinPartitions("id").mapInPandas(_packed(query_rows), PACKED), "queries")
     # The first bounds come from at most bucket_rows of the longest vectors: that bucket is broadcast.
     seeds = [tuple(r) for r in buckets.select("dim", "ids", "vecs").orderBy(F.col("longest").desc(), "block").limit(1).collect()]
     down = max(1, -(-n_queries // (query_rows * CELL_BLOCKS)))
+    needed = rows.where(is_query).mapInPandas(_needed(seeds, k), "id long, v array<long>, len double, need double")
+    dealt = needed.repartitionByRange(down, "need", "id").sortWithinPartitions("need", "id")
+    queries = stored(dealt.mapInPandas(_packed(query_rows), PACKED).withColumn("down", F.shiftright("block", 32).cast("int")), "queries")
+    # The least need of each row of the grid, ascending: one number for some thousands of queries.
+    needs = {r["down"]: r["need"] for r in queries.groupBy("down").agg(F.min("need").alias("need")).collect()}
+    least = np.minimum.accumulate([needs.get(d, np.inf) for d in range(max(needs, default=-1), -1, -1)] or [np.inf])[::-1]
     # No more cells than full buckets: each cell sends k rows for a query, however little it has seen.
     across = max(1, min(-(-2 * parts // down), -(-n_rows // bucket_rows)))
 
@@ -261,11 +298,17 @@ def top_k(
                         b.meet(ids, vecs)
         yield from results()
 
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    @F.pandas_udf("int")
+    def reach(longest: pd.Series) -> pd.Series:
+        """How many rows of the grid, from the first, have a need that this length meets."""
+        return pd.Series(np.searchsorted(least, longest.to_numpy() + 1e-6, side="right").astype(np.int32))
+
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    place = F.pmod(F.xxhash64("block"), F.lit(across)).cast("int")
+    met = buckets.withColumn("reach", reach("longest")).where("reach > 0")
     cells = (
-        queries.withColumns({"is_bucket": F.lit(False), "down": place(down)}).withColumn("across", spread(across))
-        .unionByName(buckets.withColumns({"is_bucket": F.lit(True), "across": place(across)}).withColumn("down", spread(down)))
+        queries.withColumn("is_bucket", F.lit(False)).withColumn("across", upto(F.lit(across)))
+        .unionByName(met.withColumns({"is_bucket": F.lit(True), "across": place, "down": upto(F.col("reach"))}).drop("reach"))
     )
     cells = cells.repartition(parts, "down", "across").sortWithinPartitions("down", "across", "is_bucket", F.col("longest").desc(), "block")
     return ranked(cells.mapInPandas(run, "query_id long, vec_id long, score long"), k)
