@@ -4,11 +4,15 @@ import base64
 import collections
 import gzip
 import hashlib
+import io
 import math
+import os
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +69,24 @@ def test_topk(spark, shape):
     assert topk.top_k(df.limit(0), "vec_id", "e", F.col("id") % 20 == 0).count() == 0
 
 
+def test_topk_of_falling_lengths(spark):
+    """Many rows of the grid of unlike need: the answer is whole though short buckets are sent to few of them."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(4000, 6)) * (0.999 ** np.arange(4000))[:, None] * 10
+    data = [(i, [float(x) for x in v[i]]) for i in range(4000)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    out = topk.top_k(df, "vec_id", "embedding", F.col("id") % 20 == 0, k=5, bucket_rows=64, query_rows=16)
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute_topk(data, 5)
+
+
+def test_products_of_any_size():
+    rng = np.random.default_rng(2)
+    for size in (1 << 10, 1 << 28, 1 << 33, 1 << 62):
+        a, b = rng.integers(-size, size, (4, 3)), rng.integers(-size, size, (5, 3))
+        want = [[max(-(1 << 63), min((1 << 63) - 1, sum(int(x) * int(y) for x, y in zip(p, q, strict=True)))) for q in b] for p in a]
+        assert topk.products(a, b).tolist() == want
+
+
 def test_topk_prunes():
     rng = np.random.default_rng(5)
     base = rng.normal(size=(1, 16)) * 60
@@ -85,24 +107,46 @@ def test_warc(spark, tmp_path):
     df = spark.createDataFrame([(*x, "extra") for x in data], "page_id long, url string, html string, sha string")
     path = str(tmp_path / "warc")
     got = {r["page_id"]: r for r in warc.archive(df, records_per_file=2, path=path).collect()}
-    assert set(got) == {1, 2, 3, 4, 5, 6}
-    for i, _, html in data[:-1]:
+    assert set(got) == {1, 2, 3, 4, 5, 6, None}
+    for i, _, html in data:
         raw = (html or "").encode()
         assert got[i]["payload_bytes"] == len(raw)
         assert got[i]["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
     assert {i: (got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 3, 5)} == {1: ("revisit", 5), 2: ("revisit", 3), 3: ("response", None), 5: ("response", None)}
-    files = list((tmp_path / "warc").glob("*.gz"))
+    files = list((tmp_path / "warc").glob("*/*.gz"))
     payloads = {}
     for f in files:
         for _, _, head, payload in warc.records(gzip.decompress(f.read_bytes())):
             if head[b"WARC-Type"] == b"response":
-                payloads[int(head[b"WARC-Record-ID"].rpartition(b":")[2][:-1])] = bytes(payload).decode()
-    assert payloads == {5: "same", 3: "", 4: tricky, 6: "é" * 100_000}
-    order = [(r["urlkey"], r["ts"], r["page_id"]) for r in sorted(got.values(), key=lambda r: (r["merge_range"], r["merge_seq"]))]
+                payloads[warc._page(head[b"WARC-Record-ID"])] = bytes(payload).decode()
+                told = head[b"WARC-Payload-Digest"].decode()
+                assert told == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    assert payloads == {5: "same", 3: "", 4: tricky, 6: "é" * 100_000, None: "y"}
+    order = [(r["urlkey"], r["ts"], r["page_id"] is not None, r["page_id"] or 0) for r in sorted(got.values(), key=lambda r: (r["merge_range"], r["merge_seq"]))]
     assert order == sorted(order)
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_warc_pages_without_id(spark):
+    """They refer to a page that has the payload and an id; without one each is a response of its own. Their order is total."""
+    data = [(None, "http://a/", "x"), (7, "http://a/", "x"), (None, "http://b/", "only"), (None, "http://b/", "only"), (3, "http://a/", "x"), (None, None, None)]
+    out = warc.archive(spark.createDataFrame(data, "page_id long, url string, html string"))
+    got = sorted(((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in out.collect()), key=repr)
+    assert got == sorted([(None, "http://a/", "revisit", 7), (7, "http://a/", "response", None), (3, "http://a/", "revisit", 7), (None, "", "response", None)] + [(None, "http://b/", "response", None)] * 2, key=repr)
+
+
+def test_warc_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """Large payloads have files of their own, however many small ones there are; ranges follow the number of captures."""
+    monkeypatch.setattr(warc, "CLASSES", ((100, 50), (10_000, 3), (1 << 62, 1)))
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)
+    data = [(i, f"http://h{i % 7}/{i}", "s" * (i % 90)) for i in range(200)] + [(1000 + i, "http://m/", f"{i}" * 3000) for i in range(7)] + [(2000 + i, "http://l/", f"{i}" * 40_000) for i in range(2)]
+    got = warc.archive(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1), path=str(tmp_path / "w"))
+    assert got.count() == 209 and got.select("merge_range").distinct().count() > 3
+    assert [len(list((tmp_path / "w" / f"class={i}").glob("*.gz"))) for i in range(3)] == [4, 3, 2]
+    one = warc.records(io.BytesIO(b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w" / "class=1").glob("*.gz")))))
+    assert sum(1 for _ in one) == 7
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in range(0, 9):
@@ -216,6 +260,65 @@ def brute_distance(item, text):
     return min(row)
 
 
+def brute_leaks(docs, items):
+    """A tenth of an item's characters, rounded down, may differ; items under 8 characters stand between blanks or ends."""
+    want = set()
+    for d, t in docs:
+        text = " ".join((t or "").lower().split())
+        for i, item in items:
+            item = " ".join((item or "").lower().split())
+            if i is None or not item:
+                continue
+            hit = f" {item} " in f" {text} " if len(item) < 8 else brute_distance(item, text) <= len(item) // 10
+            if hit:
+                want.add((d, i))
+    return want
+
+
+def test_decontamination_of_short_items_and_scripts(spark):
+    """Budgets count characters, whatever their bytes, and short items have their whole budget."""
+    rng = random.Random(12)
+    alphabet = "абвгдежзиклмнопрстуфхцчшщ"
+    sizes = [1, 3, 5, 7, 8, 9, 10, 12, 15, 16, 19, 20, 22, 23, 24, 29, 30, 31, 33, 39, 40, 64]
+    items = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz" if i % 2 else alphabet, k=n))) for i, n in enumerate(sizes)]
+    docs = []
+    for i, (_, item) in enumerate(items):
+        for edits in range(len(item) // 10 + 2):
+            chars = list(item)
+            for at in rng.sample(range(len(chars)), min(edits, len(chars))):
+                kind = rng.randrange(3)
+                chars[at] = "!" if kind == 0 else "" if kind == 1 else chars[at] + "!"
+            fill = " ".join("".join(rng.choices("0123456789", k=6)) for _ in range(4))
+            docs += [(len(docs), f"{fill} {''.join(chars)} {fill}"), (len(docs) + 1, fill + "".join(chars) + fill)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == brute_leaks(docs, items) and len(found) > 80
+
+
+def test_decontamination_keeps_apart_passages():
+    """Of overlapping passages the best stays, of those that lie apart all, however many."""
+    index = decontam.Index([(1, "abcdefghij klmnopqrst"), (2, "aaaaaaaaaaaaaaaaaaaa")])
+    text = ("abcdefghij klmnopqrst " * 300).strip() + " " + "a" * 200
+    got = index.matches([text, "", text])
+    for t in (0, 2):
+        assert [(e, a, b) for u, i, e, a, b in got if (u, i) == (t, 0)] == [(0, 22 * k, 22 * k + 21) for k in range(300)]
+        spans = sorted((a, b) for u, i, _, a, b in got if (u, i) == (t, 1))
+        assert len(spans) >= 9 and all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
+def test_op3_decontam_is_brute_force(spark, sf):
+    """The query over the given table: where a document holds an item, its passage is as near as told; no whole copy is missed."""
+    docs = dict((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    items = dict((r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect())
+    found = decontam.op3_decontam(spark, sf).collect()
+    assert found
+    for r in found:
+        item, text = decontam.plain(items[r["item_id"]]), decontam.plain(docs[r["doc_id"]])
+        assert brute_distance(item, text[max(0, r["start"] - 5) : r["end"] + 5]) <= r["edits"] <= len(item) // 10
+    pairs = {(r["doc_id"], r["item_id"]) for r in found}
+    assert {(d, i) for d, t in docs.items() for i, item in items.items() if decontam.plain(item) in decontam.plain(t)} <= pairs
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]
@@ -238,12 +341,7 @@ def test_decontamination(spark):
     df = spark.createDataFrame([(i, t, 5) for i, t in docs], "doc_id long, text string, edits int")
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, bench).collect()}
-    index = decontam.Index([(i, t) for i, t in items if i is not None and t is not None])
-    want = set()
-    for d, t in docs:
-        for i, item, k in zip(index.ids, index.texts, index.budget, strict=True):
-            if brute_distance(item, decontam.plain(t)) <= k:
-                want.add((d, i))
+    want = brute_leaks(docs, items)
     assert found == want and len(want) > 15
     kept = decontam.without_leaks(df, bench)
     assert kept.columns == df.columns
@@ -339,13 +437,68 @@ def test_language_windows_cover():
     assert (x[0] == ord("a")).all() and x[2, 52:].sum() == 0
 
 
+def test_language_letters():
+    assert not any(map(langid.has_letter, ["", "12 !?", "²", "½ 3", "Ⅷ", "٣", "_", "\u0301"]))
+    assert all(map(langid.has_letter, ["é", "1x", "ª", "中", "ʰ", "½a"]))
+
+
+def test_language_network_is_brute_force():
+    """Convolution, maxima and softmax window by window, and gradients against differences."""
+    net = langid.Network(["a", "b", "c"], seed=3)
+    rng = np.random.default_rng(4)
+    net.shift[:] = rng.normal(0, 0.1, len(net.shift))
+    x = rng.integers(0, 256, (3, langid.SPAN)).astype(np.uint8)
+    x[2, 60:] = 0
+
+    def logits(one):
+        e = net.table[np.concatenate([one, np.zeros(max(langid.WIDTHS) - 1, np.uint8)])].astype(np.float64)
+        pooled = [max(float((e[i : i + w].ravel() * net.kernels[w][:, f]).sum()) for i in range(langid.SPAN)) for w in langid.WIDTHS for f in range(langid.FILTERS)]
+        return np.maximum(0, np.array(pooled) + net.shift) @ net.out + net.bias
+
+    want = np.array([np.exp(z - z.max()) / np.exp(z - z.max()).sum() for z in map(logits, x)])
+    assert np.abs(net.probabilities(x) - want).max() < 1e-4
+    for a in ("table", "shift", "out", "bias"):
+        setattr(net, a, getattr(net, a).astype(np.float64))
+    net.kernels = {w: k.astype(np.float64) for w, k in net.kernels.items()}
+    wide = net._wide
+    net._wide = lambda: np.concatenate([np.pad(net.kernels[w], ((0, (max(langid.WIDTHS) - w) * langid.EMBED), (0, 0))) for w in langid.WIDTHS], axis=1)
+    assert np.abs(wide() - net._wide()).max() < 1e-6
+    y, weight = np.array([0, 2, 1]), np.array([1.0, 0.5, 2.0])
+
+    def loss():
+        h = np.maximum(0, net.pooled(x) + net.shift)
+        return float((-np.log(langid.softmax(h @ net.out + net.bias)[np.arange(3), y]) * weight).mean())
+
+    for p, g in zip([net.table, *net.kernels.values(), net.shift, net.out, net.bias], langid.gradients(net, x, y, weight), strict=True):
+        for k in rng.choice(p.size, min(p.size, 25), replace=False):
+            at, d = np.unravel_index(k, p.shape), 1e-6
+            kept = p[at]
+            p[at] = kept + d
+            up = loss()
+            p[at] = kept - d
+            down = loss()
+            p[at] = kept
+            assert abs((up - down) / (2 * d) - g[at]) < 1e-5
+
+
 def test_language_sample(spark):
-    df = spark.createDataFrame([(i, "x" if i % 3 else "y", f"text {i}") for i in range(300)] + [(None, "x", "t"), (1000, None, "t"), (1001, "x", None)], "doc_id long, lang string, text string")
+    data = [(i, "x" if i % 3 else "y", f"text {i}") for i in range(300)] + [(None, "x", "t"), (1000, None, "t"), (1001, "x", None)]
+    df = spark.createDataFrame(data, "doc_id long, lang string, text string")
     sample = langid.language_sample(df, fold(F.col("doc_id"), 3) != 1, most=20)
     assert collections.Counter(lang for _, lang in sample) == {"x": 20, "y": 20}
     assert sample == langid.language_sample(df.repartition(7), fold(F.col("doc_id"), 3) != 1, most=20)
 
 
+def test_language_sample_reads_whole_texts_and_all_languages(spark):
+    """Places lie all over the text, not at its beginning, and a language beyond any round number has its share."""
+    long = "".join(chr(97 + i) * 400 for i in range(20))
+    df = spark.createDataFrame([(i, "l", long) for i in range(40)], "doc_id long, lang string, text string")
+    sample = langid.language_sample(df, F.lit(True))
+    assert len(sample) == 160 and len({w[:1] for w, _ in sample}) > 12
+    many = spark.createDataFrame([(i, f"l{i % 300}", f"one {i % 300} two") for i in range(900)], "doc_id long, lang string, text string")
+    assert len(langid.train(langid.language_sample(many, F.lit(True)), steps=1).languages) == 300
+
+
 def lines_of(n, rng):
     out = []
     for i in range(n):
@@ -435,6 +588,24 @@ def test_mix(spark):
 # -- token counts ------------------------------------------------------------
 
 
+def test_mix_keeps_clashing_columns_and_settles_ties(spark):
+    """Columns of any name come back as they were; rows that share an id have one order on every layout."""
+    names = "doc_id source row component key id tie range nth number before count turn share slot c b _before _slot _parts _key _nth _range _turn _share _number x.y".split()
+    rng = random.Random(3)
+    data = [(i // 3, rng.choice(["a", "b", None]), *[rng.randrange(5) for _ in names[2:]]) for i in range(400)]
+    df = spark.createDataFrame(data, ", ".join(f"`{n}` {'string' if n == 'source' else 'long'}" for n in names))
+    parts = {"a": 2, "b": 1, "*": 1}
+    got = mixing.mix(df, parts, block=4)
+    assert got.columns == [*names, "mix_component", "mix_block", "mix_slot", "mix_position", "mix_full"]
+    once = rows(got)
+    assert collections.Counter(r[: len(names)] for r in once) == collections.Counter(data)
+    assert rows(mixing.mix(df.repartition(7), parts, block=4)) == once == rows(mixing.mix(df.orderBy(F.rand(1)), parts, block=4))
+    places = [r[-2] for r in once]
+    assert len(set(places)) == len(places) == 400
+    many = {f"s{i}": 1 for i in range(200)}
+    assert mixing.mix(df, many).where("mix_position IS NOT NULL").count() == 0
+
+
 def test_rollup(spark):
     versions = {"words-1": tokens.words}
     make = lambda data: tokens.counted(spark.createDataFrame(data, "source string, lang string, text string"), versions)
@@ -472,6 +643,23 @@ def test_rollup_survives_crashes(spark):
     assert rows(r.totals()) == [("a", "en", "words-1", 1, 2, 3)]
 
 
+def test_op6_token_counts_is_brute_force(spark, sf):
+    """The query against counting, in Python, the documents that are left."""
+    counters = {name: make() for name, make in tokens.tokenizers().items()}
+    want = collections.defaultdict(lambda: [0, 0, 0])
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        n, text, lang = r["doc_id"] or 0, r["text"] or "", r["lang"]
+        if n % 10 == 3 and n % 100 != 13 or n % 100 == 7:
+            continue
+        if n % 10 == 7:
+            text, lang = f"revised: {text} again {text}", None
+        for name, count in counters.items():
+            total = want[r["source"], lang, name]
+            for k, x in enumerate((1, count(text), len(text.encode()))):
+                total[k] += x
+    assert rows(tokens.op6_token_counts(spark, sf)) == sorted(((*k, *v) for k, v in want.items()), key=repr)
+
+
 def test_byte_bpe():
     toy = b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)) + b"\n" + base64.b64encode(b"ab") + b" 256\n"
     count = tokens.byte_bpe(toy)()
@@ -485,7 +673,7 @@ def brute_tree(texts, depth):
     """Counts of the decisions of each (context, bits), straight from the definition."""
     count = collections.defaultdict(lambda: [0, 0])
     for t in texts:
-        raw = b"\0" * depth + t + b"\0"
+        raw = lm.END * depth + t + lm.END
         for i in range(depth, len(raw)):
             for j in range(8):
                 node, bit = (1 << j) | (raw[i] >> (8 - j)), (raw[i] >> (7 - j)) & 1
@@ -535,9 +723,9 @@ def test_context_tree_weighting(spark):
 
     got = {r["doc_id"]: r["score"] for r in lm.score_texts(df, F.lit(True)).collect()}
     for i in (1, 2, 3):
-        raw = b"\0" * lm.DEPTH + low[i] + b"\0"
+        raw = lm.END * lm.DEPTH + low[i] + lm.END
         want = sum(log10_byte(raw[k - lm.DEPTH : k], raw[k]) for k in range(lm.DEPTH, len(raw)))
-        assert abs(got[i] - want) < 0.02 * (1 + abs(want))
+        assert math.isclose(got[i], want, rel_tol=1e-6)
 
 
 def test_lm_scores_from_the_whole_tree(spark, monkeypatch):
@@ -559,7 +747,7 @@ def test_lm_scores_from_the_whole_tree(spark, monkeypatch):
         weight[key] = 1.0 if leaf else math.exp(kt - math.log(2) - log_pw[key])
 
     def log10_of(text):
-        raw, total = b"\0" * lm.DEPTH + text + b"\0", 0.0
+        raw, total = lm.END * lm.DEPTH + text + lm.END, 0.0
         for k in range(lm.DEPTH, len(raw)):
             for j in range(8):
                 node, p = (1 << j) | (raw[k] >> (8 - j)), None
@@ -596,6 +784,13 @@ def test_lm_base_and_edges(spark, monkeypatch):
     assert blank["train_tokens"] == 0 and math.isclose(blank["score"], 12 * 8 * math.log10(0.5), rel_tol=1e-6)
 
 
+def test_lm_tells_nul_from_the_end(spark):
+    """A text that holds NUL is not scored like one that ends there."""
+    data = [(i, "ab") for i in range(40)] + [(100, "ab\0"), (101, "ab\0ab"), (102, "ab")]
+    got = {r["doc_id"]: r["score"] for r in lm.score_texts(spark.createDataFrame(data, "doc_id long, text string"), F.col("doc_id") < 40).collect()}
+    assert got[102] > -1 and got[100] < got[102] - 1 and got[101] < got[102] - 2
+
+
 def test_lm_tells_text_from_noise(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 400").limit(60)
     noise = docs.select((F.col("doc_id") + 10**6).alias("doc_id"), F.reverse("text").alias("text"))
@@ -604,6 +799,117 @@ def test_lm_tells_text_from_noise(spark, sf):
     assert bits[True] + 0.5 < bits[False]
 
 
+# -- folds, and the queries as they are registered ------------------------------
+
+
+def with_table(sf, tmp_path, name, change):
+    """A copy of the tables in which change(pandas frame) has made `name` anew."""
+    folder = tmp_path / f"sf-{name}-{len(list(tmp_path.iterdir()))}"
+    folder.mkdir()
+    for f in os.listdir(sf):
+        if f != f"{name}.parquet":
+            os.symlink(f"{sf}/{f}", folder / f)
+    table = pq.read_table(f"{sf}/{name}.parquet")
+    frame = change(table.to_pandas())
+    pq.write_table(pa.Table.from_pandas(frame, schema=table.schema, preserve_index=False), folder / f"{name}.parquet")
+    return str(folder)
+
+
+def crc(doc_id, parts):
+    return zlib.crc32(str(doc_id).encode()) % parts
+
+
+@pytest.mark.parametrize(("query", "label", "parts", "held", "least"), [("op4_toxicity", "toxic", 4, 2, 0.3), ("op8_quality", "quality", 3, 1, 0.5)])
+def test_labels_of_held_out_rows_move_no_score(spark, sf, tmp_path, query, label, parts, held, least):
+    """A row a document with what the contract names; other labels in the held-out fold change nothing, in the others they do."""
+    run = queries.queries()[query]
+
+    def flipped(which):
+        def change(frame):
+            at = frame["doc_id"].map(lambda i: (crc(i, parts) == held) == which)
+            frame.loc[at, label] = 1 - frame.loc[at, label]
+            return frame
+
+        return change
+
+    got = {r["doc_id"]: r for r in run(spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    for i, r in got.items():
+        assert r["held_out"] == (crc(i, parts) == held) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= least)
+    scores = {i: r["score"] for i, r in got.items()}
+    same_ = {r["doc_id"]: r["score"] for r in run(spark, with_table(sf, tmp_path, "labels", flipped(True))).collect()}
+    assert same_ == scores
+    other = {r["doc_id"]: r["score"] for r in run(spark, with_table(sf, tmp_path, "labels", flipped(False))).collect()}
+    assert other != scores
+
+
+def test_languages_of_held_out_rows_move_no_prediction(spark, sf, tmp_path):
+    def renamed(which):
+        def change(frame):
+            at = frame["doc_id"].map(lambda i: (crc(i, 3) == 1) == which)
+            frame.loc[at, "lang"] = "zz"
+            frame["source"] = "elsewhere"
+            return frame
+
+        return change
+
+    take = lambda path: {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in langid.op7_langid(spark, path).collect()}
+    got = take(sf)
+    langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert set(got) == set(langs) and all(got[i][0] == (crc(i, 3) == 1) and 0 <= got[i][2] <= 1 for i in got)
+    held = [i for i in got if got[i][0] and langs[i]]
+    assert np.mean([got[i][1] == langs[i] for i in held]) > 0.9
+    assert take(with_table(sf, tmp_path, "documents", renamed(True))) == got
+    assert {p for _, p, _ in take(with_table(sf, tmp_path, "documents", renamed(False))).values()} == {"zz"}
+
+
+def test_op10_lm_is_brute_force(spark, sf, tmp_path):
+    """Tokens, known ones, N and the base over the whole table; held-out texts teach nothing, others do."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    words = {i: t.encode().lower().split() + [b""] for i, t in docs.items()}
+    c = collections.Counter(w for i, ws in words.items() if crc(i, 7) != 2 for w in ws)
+    n, v = sum(c.values()), len(c)
+    got = {r["doc_id"]: r for r in lm.op10_lm(spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, r in got.items():
+        assert r["held_out"] == (crc(i, 7) == 2) and r["n_tokens"] == len(words[i]) and r["train_tokens"] == n and r["n_known"] == sum(w in c for w in words[i])
+        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words[i]), rel_tol=1e-9) and r["score"] < 0
+    held = sorted(i for i in docs if crc(i, 7) == 2)
+    told = sorted(i for i in docs if crc(i, 7) != 2)
+
+    def rewritten(one):
+        def change(frame):
+            frame.loc[frame["doc_id"] == one, "text"] = "qzxj " * 400
+            return frame
+
+        return change
+
+    for one, moves in ((held[0], False), (told[0], True)):
+        after = {r["doc_id"]: r["score"] for r in lm.op10_lm(spark, with_table(sf, tmp_path, "documents", rewritten(one))).collect()}
+        assert (max(abs(after[i] - got[i]["score"]) for i in docs if i != one) > 1e-3) == moves
+
+
+def test_op5_jaccard_is_brute_force(spark, sf):
+    data = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert rows(jaccard.op5_jaccard(spark, sf)) == brute_groups(data)
+
+
+def test_jaccard_of_long_sets_and_common_passages(spark):
+    """Long documents that share passages, some alike and some not: those that meet too seldom leave, no link is lost."""
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    passages = [" ".join(rng.choices(vocabulary, k=60)) for _ in range(6)]
+    texts = []
+    for _ in range(14):
+        base = rng.choices(vocabulary, k=rng.choice([300, 1500, 2600]))
+        held = " ".join(rng.sample(passages, 3))
+        for edits in rng.sample([0, 3, 10, 25, 34, 40, 60], 4):
+            texts.append(edited(base, edits * len(base) // 1500, rng) + " " + held)
+    data = list(enumerate(texts))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    assert rows(jaccard.similar_groups(df).select("doc_id", "n_shingles", "component_id")) == brute_groups(data)
+
+
 def test_stored(spark):
     df = stored(spark.range(5), "test")
     assert df.count() == 5 and "larkspur-test" in df.inputFiles()[0]
