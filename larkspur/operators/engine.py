@@ -93,13 +93,14 @@ def attempts(world: DataFrame, level: DataFrame, config: Config, robots: DataFra
     )
 
 
-def seeded(start: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(url, depth 0) of the seeds that the frontier takes, and an event for each seed: refused are those without a canonical form and repeats."""
-    taken = seeds(start)
+def seeded(start: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(url, depth 0) of the seeds that the frontier takes, and an event for each seed: refused are those without a canonical form, repeats, and all where no document may come."""
+    taken = seeds(start) if config.max_documents > 0 else seeds(start).limit(0)
     nothing = F.lit(0)
     rows = start.select(canonical(F.col("url")).alias("url")).groupBy("url").agg(F.count("*").alias("n"))
     refused = F.when(F.col("url").isNull(), F.col("n")).otherwise(F.col("n") - 1).cast("int")
-    ok = F.when(F.col("url").isNull(), F.lit(0)).otherwise(F.lit(1))
+    refused = refused if config.max_documents > 0 else F.col("n").cast("int")
+    ok = F.when(F.col("url").isNull() | F.lit(config.max_documents <= 0), F.lit(0)).otherwise(F.lit(1))
     each = F.concat(F.array_repeat(event("crawl_seed", False, nothing, nothing), ok), F.array_repeat(event("crawl_seed", True, nothing, nothing), refused))
     return taken, rows.select(F.explode(each).alias("event")).select("event.*")
 
@@ -125,7 +126,7 @@ def crawl(pages: DataFrame, start: DataFrame, config: Config = Config(), robots:
     numbered here, so none can be refused by the index.
     """
     world = checkpoint(parsed(pages, config))
-    level, seed_events = seeded(start)
+    level, seed_events = seeded(start, config)
     level = checkpoint(level)
     known, waiting, tried, indexed = level.select("url"), None, None, 0
     for depth in range(config.max_depth + 1):

@@ -182,6 +182,29 @@ def runtime(after: int = -1, node_capacity: int = 1 << 40, edge_capacity: int =
     )
 
 
+STORE_INSERT = """
+WITH RECURSIVE b AS (
+  SELECT doc_id AS k, 'c' || doc_id // 4 AS id, CASE WHEN doc_id % 10 <> 3 THEN 'd' || doc_id % 50 END AS d, doc_id % 7 - 1 AS o, sha256(text) AS h FROM documents WHERE doc_id <> 0
+), t AS (SELECT * FROM b WHERE k % 300 = 5), v AS (
+  SELECT *, list_filter([
+    CASE WHEN d IS NULL THEN 'document_id not null' END, CASE WHEN o < 0 THEN 'ordinal' END,
+    CASE WHEN CAST(substr(d, 2) AS INTEGER) >= 45 THEN 'document_id references documents.id' END, CASE WHEN id IN (SELECT id FROM t) THEN 'key' END,
+    CASE WHEN h IN (SELECT h FROM t) THEN 'unique text_sha256' END, CASE WHEN d || ' ' || o IN (SELECT d || ' ' || o FROM t WHERE d IS NOT NULL) THEN 'unique document_id, ordinal' END
+  ], lambda x: x IS NOT NULL) AS w FROM b
+), c AS (SELECT *, row_number() OVER (ORDER BY k) AS n FROM v WHERE len(w) = 0), s(n, w, ids, hs, ps) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT c.n, x.w, CASE WHEN len(x.w) = 0 THEN list_append(ids, c.id) ELSE ids END, CASE WHEN len(x.w) = 0 THEN list_append(hs, c.h) ELSE hs END,
+         CASE WHEN len(x.w) = 0 THEN list_append(ps, c.d || ' ' || c.o) ELSE ps END
+  FROM s JOIN c ON c.n = s.n + 1, LATERAL (SELECT list_filter([
+    CASE WHEN list_contains(ids, c.id) THEN 'key' END, CASE WHEN list_contains(hs, c.h) THEN 'unique text_sha256' END,
+    CASE WHEN list_contains(ps, c.d || ' ' || c.o) THEN 'unique document_id, ordinal' END], lambda x: x IS NOT NULL) AS w) x
+)
+SELECT array_to_string(list_sort(w), '; ') AS violations, count(*) AS n, count(DISTINCT id) AS ids
+FROM (SELECT id, w FROM v WHERE len(w) > 0 UNION ALL SELECT c.id, s.w FROM s JOIN c USING (n)) GROUP BY 1
+"""
+
+
 def layout(v: int, e: int, n: int, k: int, f: int) -> str:
     floats = n * (2 * e * e + 3 * f * e + 2 * k * e + 2 * e) + 2 * v * e + e if min(v, e, n, k, f) > 0 else None
     fits = [x if x is not None and x < 1 << 63 else None for x in (floats, None if floats is None else 4 * floats)]
@@ -271,5 +294,6 @@ def oracle_sql() -> dict[str, str]:
         "graph_neighbours": f"WITH {EDGES} SELECT DISTINCT dst AS id FROM e WHERE src BETWEEN 1000001 AND 1000009",
         "graph_runtime": runtime(),
         "graph_runtime_capped": runtime(20, 30, 40),
+        "store_insert": STORE_INSERT,
         "model_sizes": "SELECT p_partkey, CAST(CASE WHEN f <= 9223372036854775807 THEN f END AS BIGINT) AS floats, CAST(CASE WHEN 4 * f <= 9223372036854775807 THEN 4 * f END AS BIGINT) AS bytes FROM (SELECT p_partkey, CASE WHEN least(v, e, n, k, h) > 0 THEN n * (2 * e * e + 3 * h * e + 2 * k * e + 2 * e) + 2 * v * e + e END AS f FROM (SELECT p_partkey, CAST(p_partkey * 1009 AS HUGEINT) AS v, CAST(p_size * 12345 AS HUGEINT) AS e, CAST(p_size AS HUGEINT) AS n, CAST(p_size * 256 AS HUGEINT) AS k, CAST(p_partkey * 1000003 AS HUGEINT) AS h FROM part))",
     }

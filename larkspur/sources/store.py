@@ -252,8 +252,9 @@ def decided(table: str, rows: DataFrame, there: DataFrame, parents: dict[str, Da
         rows = broken(rows, name, rows.select("_at", *columns).join(there.select(*columns), columns, "left_semi"))
     rows = cut(rows)
 
-    # Rows that are the first with each of their unique values are taken; what shares a value with one of them is refused; and again.
-    open_, taken, refused = rows.where(F.size("violations") == 0), rows.limit(0), rows.where(F.size("violations") > 0)
+    # Rows that are the first with each of their unique values are taken; what shares a value with one of them leaves; and again.
+    good = rows.where(F.size("violations") == 0)
+    open_, taken = good, rows.limit(0)
     while open_.limit(1).count():
         marked = open_
         for n, columns in enumerate(unique.values()):
@@ -263,10 +264,15 @@ def decided(table: str, rows: DataFrame, there: DataFrame, parents: dict[str, Da
         mine = reduce(lambda x, y: x & y, [F.coalesce(F.col(f"_first{n}") == F.col("_at"), F.lit(True)) for n in range(len(unique))])
         now = cut(marked.where(mine).select(*rows.columns))
         rest = marked.where(~mine).select(*rows.columns)
-        for name, columns in unique.items():
-            rest = broken(rest, name, rest.select("_at", *columns).join(now.select(*columns), columns, "left_semi"))
-        rest = cut(rest)
-        taken, refused, open_ = taken.unionByName(now), refused.unionByName(rest.where(F.size("violations") > 0)), rest.where(F.size("violations") == 0)
+        for columns in unique.values():
+            rest = rest.join(now.select(*columns), columns, "left_anti").select(*rows.columns)
+        open_, taken = cut(rest), taken.unionByName(now)
+    taken = cut(taken)
+    refused = good.join(taken.select("_at"), "_at", "left_anti").select(*rows.columns)
+    for name, columns in unique.items():
+        earlier = taken.select(*columns, F.col("_at").alias("_taken"))
+        refused = broken(refused, name, refused.select("_at", *columns).join(earlier, columns).where("_taken < _at"))
+    refused = cut(refused.unionByName(rows.where(F.size("violations") > 0)))
     return taken.drop("_at", "violations"), refused.drop("_at")
 
 
