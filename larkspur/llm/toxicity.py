@@ -26,13 +26,13 @@ from larkspur.llm.common import fold, label_sample, mix64, shipped, slices, spre
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 16
 WIDTH = 8
-WINDOW, STEP = 10, 5
+WINDOW, STEP = 8, 4
 #: The bound of the training sample: labelled documents, those whose doc_id hashes lowest.
 MOST_LABELLED = 6000
 THRESHOLD = 0.3
 PIECE = 10_000
 #: Occurrences in texts of the sample that an n-gram must have to be learnt.
-LEAST_TEXTS = 16
+LEAST_TEXTS = 24
 
 
 def words_of(text: str | None) -> list[str]:
