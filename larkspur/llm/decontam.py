@@ -33,7 +33,7 @@ Q = 8
 RATE = 0.1
 #: Bytes of benchmark text in one broadcast; larger benchmarks are searched part by part.
 PART_BYTES = 4 << 20
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 #: Stands between texts; no character has these numbers.
