@@ -113,6 +113,23 @@ def with_neighbours(own: np.ndarray, lines: np.ndarray) -> np.ndarray:
     return np.concatenate([own, before, after, np.ones((len(own), 1))], axis=1)
 
 
+def emissions(own: np.ndarray, theta: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """with_neighbours(own, lines) @ theta, without the matrix thrice as wide: a text of very many lines stays small."""
+    w = own.shape[1]
+    out = own @ theta[:w] + theta[3 * w]
+    before, after = own @ theta[w : 2 * w], own @ theta[2 * w : 3 * w]
+    first = np.cumsum(lines) - lines
+    last = first + lines - 1
+    inner = np.ones(len(own), bool)
+    inner[first] = False
+    at = np.flatnonzero(inner)
+    out[at] += before[at - 1]
+    inner[first], inner[last] = True, False
+    at = np.flatnonzero(inner)
+    out[at] += after[at + 1]
+    return out
+
+
 def forward_backward(emit: np.ndarray, trans: np.ndarray, lines: np.ndarray):
     """Marginals (lines, 2), sums over pairs of neighbours (2, 2), and the log partition of each text.
 
@@ -151,11 +168,11 @@ class Field:
 
     def inputs(self, texts: list[bytes]):
         own, size, lines = line_features(texts)
-        return with_neighbours(np.clip((own - self.mean) / self.scale, -4, 4), lines), size, lines
+        return np.clip((own - self.mean) / self.scale, -4, 4), size, lines
 
     def line_marginals(self, texts: list[bytes]):
-        x, size, lines = self.inputs(texts)
-        return forward_backward(x @ self.theta, self.trans, lines)[0][:, 1], size, lines
+        own, size, lines = self.inputs(texts)
+        return forward_backward(emissions(own, self.theta, lines), self.trans, lines)[0][:, 1], size, lines
 
     def mean_marginal(self, texts: list[bytes]) -> np.ndarray:
         """The length-weighted mean of the marginals of good: an empty line weighs one byte."""
@@ -180,7 +197,8 @@ def train(sample: list[tuple[str, int]], steps: int = 120, rate: float = 0.05, d
         return Field(np.zeros(width), np.ones(width), np.zeros((3 * width + 1, 2)), np.zeros((2, 2)), (0.0, np.log(share / (1 - share))))
     own, _, _ = line_features(texts)
     field = Field(own.mean(0), own.std(0) + 1e-3, np.zeros((3 * width + 1, 2)), np.zeros((2, 2)), (1.0, 0.0))
-    x, size, lines = field.inputs(texts)
+    own, size, lines = field.inputs(texts)
+    x = with_neighbours(own, lines)
     label = np.repeat(y, lines)
     # Classes count alike, and so do documents, however many lines they have.
     per_text = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) / lines
