@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from larkspur.operators import index, rank
 from larkspur.plans import catalogue as c
