@@ -21,8 +21,8 @@ equal sets are one class; classes are joined:
   of hashes, which are made from the texts of those documents alone.
 
 Large groups of near copies would give all their pairs. They are joined in two
-rounds: in the first each member names two partners at most in a tile, and the
-verified links give components; in the second every remaining pair of a tile
+rounds: in the first each member names two partners at most in a tile, those that
+differ least by their bitmaps, and the verified links give components; in the second every remaining pair of a tile
 whose members lie in different components is taken. No link between components
 is lost, and a tile that lies within one component costs nothing more.
 
@@ -39,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import SPACES, joined_bytes, mix64, removed, slices, spread, stored, table
+from larkspur.llm.common import SPACES, commonest, joined_bytes, mix64, removed, slices, spread, stored, table
 
 BITS = 512
 #: The longest list of frequent n-grams that is broadcast.
 MOST_FREQUENT = 1 << 20
 #: Rows of a large tile that go to one part or cell.
-PART_ROWS = 2000
+PART_ROWS = 1000
 #: A set of n elements shares 1 + n // SHARED n-grams of its prefix with each partner of its size.
 SHARED = 32
 #: Earlier tiles that a row of the second round carries, to tell whether a pair has met before.
@@ -54,7 +54,9 @@ EARLIER = 8
 BROADCAST_ROWS = 1 << 20
 #: First round: how many nearest sizes, and how many first members of the tile, a class looks at.
 NEAR, FIRST = 48, 16
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: N-grams of a task's documents that are counted together.
+GATHERED = 1 << 21
 
 _IS_SPACE = np.isin(np.arange(256), list(SPACES))
 _BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0xA5A5))
@@ -114,22 +116,33 @@ def _pieces(batches, columns):
 
 
 def _repeated(words):
+    """N-grams that several of a task's documents have, and of how many: those seen once among GATHERED others are let go."""
+
     def run(batches):
-        held, counts = [], []
+        pending, n_pending, held, counts = [], 0, [], []
 
         def merged():
             h, at = np.unique(np.concatenate(held), return_inverse=True)
             return h, np.bincount(at, np.concatenate(counts)).astype(np.int64)
 
+        def gather():
+            h, n = np.unique(np.concatenate(pending), return_counts=True)
+            held.append(h[n > 1])
+            counts.append(n[n > 1])
+
         for (texts,) in _pieces(batches, ["text"]):
             with np.errstate(over="ignore"):
                 sets = shingle_hashes(texts, words)
-            h, n = np.unique(np.concatenate(sets), return_counts=True)
-            held.append(h[n > 1])
-            counts.append(n[n > 1])
-            if len(held) > 16:
-                h, n = merged()
-                held, counts = [h], [n]
+            pending += sets
+            n_pending += sum(map(len, sets))
+            if n_pending > GATHERED:
+                gather()
+                pending, n_pending = [], 0
+                if len(held) > 16:
+                    h, n = merged()
+                    held, counts = [h], [n]
+        if pending:
+            gather()
         if held:
             h, n = merged()
             h = h.astype(np.int64)
@@ -140,17 +153,9 @@ def _repeated(words):
 
 
 def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (ascending) of the commonest n-grams over all documents, and about how many documents have each."""
+    """Hashes (ascending) of the commonest n-grams over all documents, and about how many documents have each (no more than do)."""
     rows = stored(docs.mapInArrow(_repeated(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
-    # Whole classes of counts, a sixteenth of a doubling each, from the top; of the class that is too large the hashes below a bound.
-    size = F.floor(16 * F.log2("n")).cast("int")
-    listed, room = F.lit(False), MOST_FREQUENT
-    for k, n in sorted(rows.groupBy(size.alias("size")).count().collect(), reverse=True):
-        if n > room:
-            listed = listed | ((size == k) & (F.pmod(F.xxhash64("h"), F.lit(n)) < int(0.9 * room)))
-            break
-        listed, room = listed | (size == k), room - n
-    found = rows.where(listed).toArrow()
+    found = commonest(rows, "n", "h", MOST_FREQUENT).toArrow()
     removed(rows)
     h, n = found.column("h").to_numpy().astype(np.uint64), found.column("n").to_numpy()
     order = np.argsort(h)
@@ -231,7 +236,7 @@ def tile_pairs(tile, n, pos, cid, label, home, cross, bits, earlier, num, den, e
     """Pairs (row numbers) of neighbouring rows of a tile that may be similar; rows come ordered by tile and size.
 
     everything: all pairs of different labels that have not met in an earlier tile (where `cross`, of different homes
-    alone); else two partners at most. pos: the n-gram's place in the order of each set.
+    alone); else two partners at most, the nearest by bitmap of the NEAR next in size and of the FIRST of the tile. pos: the n-gram's place in the order of each set.
     """
     new = np.concatenate([[True], tile[1:] != tile[:-1]])
     start = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -240,40 +245,45 @@ def tile_pairs(tile, n, pos, cid, label, home, cross, bits, earlier, num, den, e
     left, right = [], []
 
     def passing(i, j):
-        """Of pairs of rows j before i those within the band whose places and bitmaps leave overlap enough."""
+        """Which pairs of rows j before i lie within the band and have places and bitmaps that leave overlap enough; in how many bits they differ."""
         both = -(-num * (n[i] + n[j]) // (den + num))
         ok = (den * n[j] >= num * n[i]) & (cid[i] != cid[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= both)
         if everything:
             ok &= (label[i] != label[j]) & ~(cross[i] & (home[i] == home[j]))
         k = np.flatnonzero(ok)
-        ok[k] = _popcount(bits[i[k]] ^ bits[j[k]]) <= n[i[k]] + n[j[k]] - 2 * both[k]
-        if everything:
-            for k in np.flatnonzero(ok):
-                ok[k] = earlier(i[k]).isdisjoint(earlier(j[k]))
-        return ok
-
-    def keep(i, j):
-        left.append(i)
-        right.append(j)
+        differ = _popcount(bits[i[k]] ^ bits[j[k]])
+        near = differ <= n[i[k]] + n[j[k]] - 2 * both[k]
+        return k[near], differ[near]
+
+    def partners(rows, others, steps):
+        """Of some other rows of its tile the one that differs least from each row, the first of several."""
+        best, who = np.full(len(tile), BITS + 1), np.zeros(len(tile), np.int64)
+        for step in range(steps):
+            rows = rows[others(rows, step) >= start[rows]] if step else rows
+            if not len(rows):
+                break
+            there = others(rows, step)
+            rows, there = rows[there < rows], there[there < rows]
+            k, differ = passing(rows, there)
+            less = differ < best[rows[k]]
+            best[rows[k[less]]], who[rows[k[less]]] = differ[less], there[k[less]]
+        found = np.flatnonzero(best <= BITS)
+        left.append(found)
+        right.append(who[found])
 
+    if not everything:
+        partners(np.flatnonzero(place >= 1), lambda rows, step: rows - 1 - step, NEAR)
+        partners(np.flatnonzero(place >= 2), lambda rows, step: start[rows] + step, FIRST)
+        return np.concatenate(left), np.concatenate(right)
     live, d = np.flatnonzero(place >= 1), 1
-    while len(live) and (everything or d <= NEAR):
+    while len(live):
         live = live[place[live] >= d]
         live = live[den * n[live - d] >= num * n[live]]  # sizes only fall further back
-        ok = passing(live, live - d)
-        keep(live[ok], live[ok] - d)
-        if not everything:
-            live = live[~ok]
+        k, _ = passing(live, live - d)
+        fresh = [x for x in k if earlier(live[x]).isdisjoint(earlier(live[x] - d))]
+        left.append(live[fresh])
+        right.append(live[fresh] - d)
         d += 1
-    if not everything:
-        rest = np.flatnonzero(place >= 2)
-        for q in range(FIRST):
-            rest = rest[place[rest] > q]
-            if not len(rest):
-                break
-            ok = passing(rest, start[rest] + q)
-            keep(rest[ok], start[rest][ok] + q)
-            rest = rest[~ok]
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
