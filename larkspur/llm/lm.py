@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fold, joined_bytes, removed, slices, spread, stored, table
+from larkspur.llm.common import commonest, fold, joined_bytes, removed, slices, spread, stored, table
 
 DEPTH = 5
 END = b"\xff"
@@ -261,14 +261,7 @@ def probabilities(gram_counts: DataFrame) -> DataFrame:
 
 def head_of(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The commonest byte strings (ascending), at most HEAD_GRAMS, and their values."""
-    size = F.floor(8 * F.log2(F.col("m")))
-    least, total = 1 << 30, 0
-    for k, n in sorted(values.groupBy(size.alias("size")).count().collect(), reverse=True):
-        total += n
-        if total > HEAD_GRAMS:
-            break
-        least = k
-    found = values.where(size >= least).select("gram", F.col("value").cast("float").alias("value")).toArrow()
+    found = commonest(values, "m", "gram", HEAD_GRAMS, part=False).select("gram", F.col("value").cast("float").alias("value")).toArrow()
     g, v = found.column("gram").to_numpy().astype(np.uint64), found.column("value").to_numpy()
     order = np.argsort(g)
     return g[order], v[order]
@@ -366,7 +359,7 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     values = probabilities(counted.where("gram IS NOT NULL").select("gram", "n", "m"))
     model = head_of(values)
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.orderBy(F.col("n").desc(), "word").limit(HEAD_WORDS).toArrow()
+    top = commonest(words.where("n > 0"), "n", "word", HEAD_WORDS).toArrow()
     logs = np.log10(top.column("n").to_numpy().astype(np.float64) + 1)
     head = {w.encode(): x for w, x in zip(top.column("word").to_pylist(), logs.tolist(), strict=True)}
     sc = spark.sparkContext
