@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontam, jaccard, langid, lm, mixing, quality, queries, tokens, topk, toxicity, warc
-from larkspur.llm.common import fold, scratch, stored
+from larkspur.llm.common import commonest, fold, scratch, stored
 from tests.conftest import rows
 from tests.test_queries import same
 
@@ -522,6 +522,20 @@ def test_quality(spark):
         assert 0 <= quality.train(sample)(["x"])[0] <= 1
 
 
+def test_emissions_are_those_of_the_wide_matrix():
+    rng = np.random.default_rng(6)
+    lines = np.array([1, 4, 1, 2, 9])
+    own, theta = rng.normal(size=(lines.sum(), 5)), rng.normal(size=(16, 2))
+    assert np.allclose(quality.emissions(own, theta, lines), quality.with_neighbours(own, lines) @ theta)
+
+
+def test_quality_of_very_many_lines():
+    field = quality.train(lines_of(60, random.Random(3)))
+    short = "Abc def gh ab cd ef gh.\n" * 50
+    got = field([short, short * 4000, None])  # 200,000 lines
+    assert all(0 <= x <= 1 for x in got) and abs(got[0] - got[1]) < 0.2
+
+
 def test_forward_backward():
     rng = np.random.default_rng(1)
     lines = np.array([1, 4, 2])
@@ -910,6 +924,17 @@ def test_jaccard_of_long_sets_and_common_passages(spark):
     assert rows(jaccard.similar_groups(df).select("doc_id", "n_shingles", "component_id")) == brute_groups(data)
 
 
+def test_commonest(spark):
+    """Whole classes from the top, and a part of the one that does not fit: never more than asked for, few less."""
+    df = spark.createDataFrame([(i, 1 + 1000 // (i + 1)) for i in range(2000)], "k long, n long")
+    for most in (0, 1, 5, 40, 700, 5000):
+        got = sorted(commonest(df, "n", "k", most).collect(), key=lambda r: r["k"])
+        assert len(got) <= max(most, 0) * 1.1 + 5 and len(got) >= min(2000, 0.7 * most - 5)
+        assert [r["k"] for r in got][: len(got) // 2] == list(range(len(got) // 2))
+    assert commonest(df.limit(0), "n", "k", 5).count() == 0
+    assert commonest(df, "n", "k", 1999, part=False).count() < 1500 and commonest(df, "n", "k", 2000, part=False).count() == 2000
+
+
 def test_stored(spark):
     df = stored(spark.range(5), "test")
     assert df.count() == 5 and "larkspur-test" in df.inputFiles()[0]
