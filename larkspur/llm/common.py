@@ -9,6 +9,8 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark import cloudpickle as pickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,3 +153,24 @@ def slices(batch, column: int | str, most_bytes: int):
     starts = np.flatnonzero(np.diff(part, prepend=-1)) if len(part) else []
     for a, b in zip(starts, [*starts[1:], len(part)], strict=True):
         yield int(a), batch.slice(a, b - a)
+
+
+def whole_groups(batches, keys: list[str]):
+    """Tables of whole groups, from batches of rows that are ordered by the keys (none of them null)."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        if not t.num_rows:
+            continue
+        last = t.slice(t.num_rows - 1)
+        other = np.zeros(t.num_rows, bool)
+        for k in keys:
+            other |= np.array(pa.compute.not_equal(t.column(k), last.column(k)[0]))
+        at = np.flatnonzero(other)
+        cut = int(at[-1]) + 1 if len(at) else 0  # the last group may go on
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        held = t.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
