@@ -3,18 +3,18 @@
 A point belongs to a series, has a time and perhaps a value. Its window holds
 the values of its series in the `span` that ends with it, its own time included.
 
-* Time is cut into slots of one span: a slot's windows need the values of that
-  slot and of the one before, which together are a group.
-* Cold groups, of at most `most` values, are answered where they meet, several
-  slots at once: a wavelet matrix over the values in order of time gives the
-  k-th value of any window in as many steps as the values have bits.
-* Hot groups are sharded by value range; their windows are dealt out by time, in
-  cells. Each cell reports how many of its values each shard has; sums of these
-  and the points that enter and leave within a cell are the counts of each window by shard.
-  Counts pick the shards that hold the ranks asked for and what rank is left
-  there (first round); those shards alone meet the cell's windows and answer
-  exactly (second round). With the medians known, the same counts bound the
-  deviation from both sides, and the shards on its two edges are bisected for it.
+* Time is cut into slots of one span; several slots of a series and the one
+  before them are a group, which holds all that its windows hold.
+* Cold series are answered group by group: a wavelet matrix over the values in
+  order of time gives the k-th value of any window in as many steps as their
+  ranks have bits.
+* Hot series are sharded by value range. A group's windows are dealt out by time,
+  in cells. Each shard reports how many values it has in each cell; sums of these
+  and the points that enter and leave within a cell are the counts of each window by
+  shard. Counts pick the shards that hold the ranks asked for and what rank is left
+  there (first round); what those shards have in the window's cells meets the windows
+  and answers exactly (second round). With the medians known, the same counts bound the
+  deviation from both sides, and it is bisected in the shards on its two edges.
 * A shard of one value, however often it occurs, is never sent: its count is
   known.
 
@@ -30,14 +30,17 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import stored, table, whole_groups
+from larkspur.llm.common import removed, stored, table, whole_groups
 
 HOUR = 3_600_000_000
-#: Values of a group beyond which it is sharded, and about how many a shard and a cell hold.
+KEY = ["series", "g"]
+#: A series of more rows is hot: one task would not do.
+HOT_ROWS = 8192
+#: About how many values a shard has of a group, and a cell of a slot.
 PART_ROWS = 1024
-#: Most shards and cells of a group; beyond PART_ROWS times as many values they grow with the group.
+#: Most shards of a group and cells of a slot; where they do not suffice, they grow with the group.
 MOST_PARTS = 256
-#: Slots of a cold series that are answered together; the slot before them is read twice.
+#: Slots that make up a group, with the slot before them.
 SLOTS = 6
 #: Values above this size have no exact cents as a double, and count as none.
 MOST_CENTS = 1 << 53
@@ -163,8 +166,8 @@ def _numbers(column) -> tuple[np.ndarray, np.ndarray]:
 
 def _cold(span):
     def run(batches):
-        for t in whole_groups(batches, ["series", "segment"]):
-            series, segment = t.column("series").combine_chunks(), t.column("segment").to_numpy()
+        for t in whole_groups(batches, KEY):
+            series, segment = t.column("series").combine_chunks(), t.column("g").to_numpy()
             name = series.dictionary_encode()
             name = (name.combine_chunks() if isinstance(name, pa.ChunkedArray) else name).indices.to_numpy(zero_copy_only=False)
             group = np.concatenate([[0], np.cumsum((name[1:] != name[:-1]) | (segment[1:] != segment[:-1]))])
@@ -183,29 +186,24 @@ def _cold(span):
 
 # -- hot groups ------------------------------------------------------------------
 
-CELL = "series string, g long, own boolean, o int, parts int, held long, at binary, c binary, has binary, id binary, named binary, marks binary"
-
 
 def _longs(x: bytes | None) -> np.ndarray:
     return np.frombuffer(x or b"", np.int64)
 
 
-def _flags(x: bytes | None) -> np.ndarray:
-    return np.frombuffer(x or b"", np.uint8).astype(bool)
-
-
-def _packed(ddl_names: list[str], rows: list[tuple], schema: pa.Schema):
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(n).type) for i, n in enumerate(ddl_names)], schema=schema)
+def _ints(x: bytes | None) -> np.ndarray:
+    return np.frombuffer(x or b"", np.int32)
 
 
-def _schema(ddl: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
-    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
+def _flags(x: bytes | None) -> np.ndarray:
+    return np.frombuffer(x or b"", np.uint8).astype(bool)
 
 
 def _emit(ddl: str):
-    schema = _schema(ddl)
-    return lambda rows: _packed(schema.names, rows, schema)
+    """rows (tuples) -> a record batch with the columns of the DDL text."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
+    return lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def _parts_of(t: pa.Table, keys: list[str]):
@@ -213,22 +211,26 @@ def _parts_of(t: pa.Table, keys: list[str]):
     same = np.ones(max(0, t.num_rows - 1), bool)
     for k in keys:
         c = t.column(k).combine_chunks()
-        same &= np.array(pa.compute.equal(c.slice(1), c.slice(0, len(c) - 1)).fill_null(False))
+        same &= np.array(pa.compute.equal(c.slice(1), c.slice(0, len(c) - 1)))
     edges = [0, *(np.flatnonzero(~same) + 1).tolist(), t.num_rows]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if b > a:
             yield tuple(t.column(k)[a].as_py() for k in keys), t.slice(a, b - a)
 
 
+CELL = "series string, g long, o int, span_cells int, parts int, held long, at binary, c binary, has binary, id binary, named binary, marks binary"
+
+
 def _cells(batches):
     """Each cell as one row: its points in order of time, and order statistics of its values."""
     emit = _emit(CELL)
-    for t in whole_groups(batches, ["series", "g", "own", "o"]):
-        for key, part in _parts_of(t, ["series", "g", "own", "o"]):
+    for t in whole_groups(batches, [*KEY, "o"]):
+        for key, part in _parts_of(t, [*KEY, "o"]):
             (value, has), (ids, named) = (_numbers(part.column(c).combine_chunks()) for c in ("c", "id"))
             v = np.sort(value[has])
             marks = v[(np.arange(m := min(len(v), MOST_PARTS)) * len(v)) // max(1, m)]
-            yield emit([(*key, part.column("parts")[0].as_py(), len(v), part.column("at").to_numpy().tobytes(), value.tobytes(), has.tobytes(), ids.tobytes(), named.tobytes(), marks.tobytes())])
+            shape = (part.column(c)[0].as_py() for c in ("span_cells", "parts"))
+            yield emit([(*key, *shape, len(v), part.column("at").to_numpy().tobytes(), value.tobytes(), has.tobytes(), ids.tobytes(), named.tobytes(), marks.tobytes())])
 
 
 CUTS = "series string, g long, cuts binary"
@@ -248,74 +250,54 @@ def cuts_of(marks: list[np.ndarray], held: list[int], parts: int) -> np.ndarray:
 
 def _cuts(batches):
     emit = _emit(CUTS)
-    for t in whole_groups(batches, ["series", "g"]):
-        for key, part in _parts_of(t, ["series", "g"]):
+    for t in whole_groups(batches, KEY):
+        for key, part in _parts_of(t, KEY):
             yield emit([(*key, cuts_of([_longs(x) for x in part.column("marks").to_pylist()], part.column("held").to_pylist(), part.column("parts")[0].as_py()).tobytes())])
 
 
-REPORT = "series string, g long, own boolean, o int, cuts binary, hist binary, lows binary, highs binary"
-PIECE = "series string, g long, shard int, at binary, c binary"
-
-
-def _shards(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Times, values and shards of the points of a cell that have a value; the number of shards."""
-    has, cuts = _flags(row["has"]), _longs(row["cuts"])
-    value = _longs(row["c"])[has]
-    return _longs(row["at"])[has], value, np.searchsorted(cuts, value, "right"), len(cuts) + 1
-
-
-def _reports(batches):
-    """What each cell tells: how many values each shard has in it, from where to where they go."""
-    emit = _emit(REPORT)
-    for b in batches:
-        for row in b.to_pylist():
-            _, value, shard, n = _shards(row)
-            low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-            np.minimum.at(low, shard, value)
-            np.maximum.at(high, shard, value)
-            yield emit([(row["series"], row["g"], row["own"], row["o"], row["cuts"], np.bincount(shard, minlength=n).astype(np.int64).tobytes(), low.tobytes(), high.tobytes())])
+PIECE = "series string, g long, o int, shard int, span_cells int, n long, low long, high long, at binary, c binary"
 
 
 def _pieces(batches):
-    """Each cell's part of each shard."""
+    """What each shard has of each cell: how many values, from where to where, and the points."""
     emit = _emit(PIECE)
     for b in batches:
         for row in b.to_pylist():
-            at, value, shard, _ = _shards(row)
-            rows = [(row["series"], row["g"], s, at[shard == s].tobytes(), value[shard == s].tobytes()) for s in np.unique(shard).tolist()]
+            has = _flags(row["has"])
+            at, value = _longs(row["at"])[has], _longs(row["c"])[has]
+            shard = np.searchsorted(_longs(row["cuts"]), value, "right")
+            order = np.argsort(shard, kind="stable")
+            edges = np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist()
+            rows = []
+            for i, j in zip(edges, [*edges[1:], len(order)], strict=True):
+                x = order[i:j]
+                rows.append((row["series"], row["g"], row["o"], int(shard[x[0]]), row["span_cells"], j - i, int(value[x].min()), int(value[x].max()), at[x].tobytes(), value[x].tobytes()))
             if rows:
                 yield emit(rows)
 
 
-def _gathered(batches):
-    """Each shard as one row, from its pieces."""
-    emit = _emit(PIECE)
-    for t in whole_groups(batches, ["series", "g", "shard"]):
-        for key, part in _parts_of(t, ["series", "g", "shard"]):
-            yield emit([(*key, b"".join(part.column("at").to_pylist()), b"".join(part.column("c").to_pylist()))])
-
-
-HEAD = "series string, g long, o int, cuts binary, base binary, lows binary, highs binary"
+HEAD = "series string, g long, o int, shards binary, base binary, lows binary, highs binary"
 
 
 def _heads(batches):
-    """Per cell with windows: the counts by shard of the group's cells that all its windows hold whole."""
+    """Per cell of a group: its shards with the values they span, and their counts in the cells that all windows of the cell hold whole."""
     emit = _emit(HEAD)
-    for t in whole_groups(batches, ["series", "g"]):
-        for key, part in _parts_of(t, ["series", "g"]):
-            own, o = part.column("own").to_numpy(), part.column("o").to_numpy()
-            hist, low, high = (np.array([_longs(x) for x in part.column(c).to_pylist()]) for c in ("hist", "lows", "highs"))
-            cuts = part.column("cuts")[0].as_py()
-            sums = np.zeros((2, int(o.max()) + 2, hist.shape[1]), np.int64)
-            for side in (0, 1):
-                np.add.at(sums[side], o[own == side], hist[own == side])
-            before, after = np.cumsum(sums[1], axis=0), np.cumsum(sums[0][::-1], axis=0)[::-1]
-            for k in np.unique(o[own]).tolist():
-                base = (before[k - 1] if k else 0) + after[k + 1]
-                yield emit([(*key, k, cuts, base.tobytes(), low.min(0).tobytes(), high.max(0).tobytes())])
+    for t in whole_groups(batches, KEY):
+        for key, part in _parts_of(t, KEY):
+            o, shard, n = (part.column(c).to_numpy() for c in ("o", "shard", "n"))
+            span_cells = part.column("span_cells")[0].as_py()
+            shards, shard = np.unique(shard, return_inverse=True)
+            sums = np.zeros((span_cells * (SLOTS + 1) + 1, len(shards)), np.int64)
+            np.add.at(sums, (o + 1, shard), n)
+            sums = np.cumsum(sums, axis=0)
+            low, high = np.full(len(shards), np.iinfo(np.int64).max), np.full(len(shards), np.iinfo(np.int64).min)
+            np.minimum.at(low, shard, part.column("low").to_numpy())
+            np.maximum.at(high, shard, part.column("high").to_numpy())
+            for k in range(span_cells, len(sums) - 1):
+                yield emit([(*key, k, shards.astype(np.int64).tobytes(), (sums[k] - sums[k - span_cells + 1]).tobytes(), low.tobytes(), high.tobytes())])
 
 
-ASKED = "series string, g long, o int, need array<int>, fixed binary, at binary, c binary, has binary, id binary, named binary, n binary, median2 binary, under binary, low binary, high binary, counts binary"
+ASKED = "series string, g long, o int, span_cells int, need array<int>, fixed binary, w binary, at binary, n binary, median2 binary, under binary, low binary, high binary, counts binary"
 
 
 def candidates(counts: np.ndarray, lows: np.ndarray, highs: np.ndarray, mid2: np.ndarray | None, first: np.ndarray, last: np.ndarray):
@@ -341,23 +323,21 @@ def candidates(counts: np.ndarray, lows: np.ndarray, highs: np.ndarray, mid2: np
 
 
 def _asked(span):
-    """First round: rows of cells with the counts that hold for all their windows, to requests for shards, a row for each set of shards."""
+    """First round: cells with the counts that hold for all their windows, to requests for shards, a row for each set of shards."""
 
     def run(batches):
         emit = _emit(ASKED)
         for b in batches:
             for row in b.to_pylist():
-                at, has, ids, named = _longs(row["at"]), _flags(row["has"]), _longs(row["id"]), _flags(row["named"])
-                value, lows, highs = _longs(row["c"]), _longs(row["lows"]), _longs(row["highs"])
-                cuts = _longs(row["cuts"])
-                n_shards = len(cuts) + 1
-                enter, leave = at[has], _longs(row["before_at"])
-                enter_in, leave_in = np.searchsorted(cuts, value[has], "right"), np.searchsorted(cuts, _longs(row["before_c"]), "right")
-                upto, gone = np.searchsorted(enter, at, "right"), np.searchsorted(leave, at - span, "right")
-                counts = np.empty((len(at), n_shards), np.int64)
-                for s in range(n_shards):
+                at, has, lows, highs, base = _longs(row["at"]), _flags(row["has"]), _longs(row["lows"]), _longs(row["highs"]), _longs(row["base"])
+                shards, before_has = _longs(row["shards"]), _flags(row["before_has"])
+                enter, leave = at[has], _longs(row["before_at"])[before_has]
+                enter_in, leave_in = (np.searchsorted(highs, x) for x in (_longs(row["c"])[has], _longs(row["before_c"])[before_has]))
+                upto, past, gone = (np.searchsorted(x, t, "right") for x, t in ((enter, at), (enter, at - span), (leave, at - span)))
+                counts = np.empty((len(at), len(shards)), np.int64)
+                for s in range(len(shards)):
                     came, left = np.concatenate([[0], np.cumsum(enter_in == s)]), np.concatenate([[0], np.cumsum(leave_in == s)])
-                    counts[:, s] = _longs(row["base"])[s] + came[upto] + left[-1] - left[gone]
+                    counts[:, s] = base[s] + came[upto] - came[past] + left[-1] - left[gone]
                 n = counts.sum(1)
                 known = row["median2"] is not None
                 mid2 = _longs(row["median2"]) if known else np.zeros(len(at), np.int64)
@@ -366,13 +346,18 @@ def _asked(span):
                 if len(w := np.flatnonzero(n >= 2)):
                     mask[w], under[w], low[w], high[w] = candidates(counts[w], lows, highs, mid2[w] if known else None, (n[w] + 1) // 2, n[w] // 2 + 1)
                 single = lows == highs
-                sets, which = np.unique(np.packbits(mask, axis=1), axis=0, return_inverse=True)
-                for k in range(len(sets)):
-                    w = np.flatnonzero(which.reshape(-1) == k)
-                    chosen = np.flatnonzero(mask[w[0]])
+                packed = np.packbits(mask, axis=1)
+                name = np.ascontiguousarray(packed).view(np.dtype((np.void, packed.shape[1])))[:, 0] if packed.shape[1] else np.zeros(len(at), "V1")
+                _, begin, which = np.unique(name, return_index=True, return_inverse=True)
+                rows = []
+                for k, x in enumerate(begin.tolist()):
+                    w = np.flatnonzero(which == k)
+                    chosen = np.flatnonzero(mask[x])
                     alone = chosen[single[chosen]]
-                    columns = (at, value, has, ids, named, n, mid2, under, low, high)
-                    yield emit([(row["series"], row["g"], row["o"], chosen[~single[chosen]].tolist(), lows[alone].tobytes(), *(x[w].tobytes() for x in columns), np.ascontiguousarray(counts[w][:, alone]).tobytes())])
+                    edges = (low[w].tobytes(), high[w].tobytes()) if len(alone) else (b"", b"")
+                    rows.append((row["series"], row["g"], row["o"], row["span_cells"], shards[chosen[~single[chosen]]].tolist(), lows[alone].tobytes(), w.astype(np.int32).tobytes(), at[w].tobytes(), n[w].astype(np.int32).tobytes(), mid2[w].tobytes() if known else b"", under[w].tobytes(), *edges, counts[w][:, alone].tobytes()))
+                if rows:
+                    yield emit(rows)
 
     return run
 
@@ -383,16 +368,17 @@ def bisected(index: Windows, lo, hi, mid2, k, under, low, high, row, fixed, time
     A value reaches d where |2 value - mid2| <= d, or where mid2 is None, 2 value <= d.
     """
     low, high = low.copy(), high.copy()
+    at_fixed = fixed if mid2 is None else np.abs(fixed - mid2[row])
     while len(open_ := np.flatnonzero(low < high)):
         d = low + (high - low) // 2
         a, b, m = lo[open_], hi[open_], d[open_]
         if mid2 is None:
             n = index.below(a, b, m // 2 + 1)
-        else:
+        else:  # those under the lower edge do not reach; the edge is (mid2 - d) / 2, rounded up
             n = index.below(a, b, (mid2[open_] + m) // 2 + 1) - index.below(a, b, -((m - mid2[open_]) // 2))
         got = under.copy()
         got[open_] += n
-        reach = fixed <= d[row] if mid2 is None else np.abs(fixed - mid2[row]) <= d[row]
+        reach = at_fixed <= d[row]
         np.add.at(got, row[reach], times[reach])
         enough = got[open_] >= k[open_]
         high[open_[enough]] = m[enough]
@@ -400,51 +386,50 @@ def bisected(index: Windows, lo, hi, mid2, k, under, low, high, row, fixed, time
     return low
 
 
-FOUND = "series string, g long, o int, at binary, c binary, has binary, id binary, named binary, n binary, median2 binary, first binary"
+FOUND = "series string, g long, o int, w binary, n binary, first binary"
+
+
+def _block(rows: list[dict], span: int, deviation: bool) -> list[np.ndarray]:
+    """For requests that met their shards: the sums of the two middle values of each of their windows."""
+    points, asks = [], []
+    for r in rows:
+        a = {k: _longs(r[k]) for k in ("at", "median2", "under", "low", "high")} | {"n": _ints(r["n"]).astype(np.int64), "fixed": 2 * _longs(r["fixed"]), "counts": _longs(r["counts"])}
+        at, c = (np.concatenate([_longs(x[k]) for x in r["met"] or ()] or [np.empty(0, np.int64)]) for k in ("at", "c"))
+        order = np.argsort(at, kind="stable")
+        points.append((at[order], c[order]))
+        asks.append(a)
+    size, many = [len(p[0]) for p in points], [len(a["at"]) for a in asks]
+    group, ask = np.repeat(np.arange(len(rows)), size), np.repeat(np.arange(len(rows)), many)
+    q = {k: np.concatenate([a[k] for a in asks]) for k in ("at", "n", "median2", "under")}
+    lo, hi = ranges(group, np.concatenate([p[0] for p in points]), ask, q["at"], span)
+    index = Windows(np.concatenate([p[1] for p in points]))
+    out, n, plain = np.zeros(len(ask), np.int64), q["n"], np.array([not len(a["fixed"]) for a in asks])[ask]
+    if len(w := np.flatnonzero((n >= 2) & plain)):
+        first, last = (n[w] + 1) // 2 - q["under"][w], n[w] // 2 + 1 - q["under"][w]
+        if deviation:
+            # Shards nearer to the middle than all that is left count as being under: the nearest of what is left is the first.
+            one, two = index.deviations(lo[w], hi[w], q["median2"][w], first)
+            out[w] = one + np.where(last > first, two, one)
+        else:
+            out[w] = index.kth(lo[w], hi[w], first - 1) + index.kth(lo[w], hi[w], last - 1)
+    if len(w := np.flatnonzero((n >= 2) & ~plain)):
+        seat = np.full(len(ask), -1)
+        seat[w] = np.arange(len(w))
+        begin = np.concatenate([[0], np.cumsum(many)])
+        with_fixed = [k for k, a in enumerate(asks) if len(a["fixed"])]
+        row, fixed, times = (np.concatenate(x) for x in zip(*((np.repeat(seat[begin[k] : begin[k + 1]], len(asks[k]["fixed"])), np.tile(asks[k]["fixed"], many[k]), asks[k]["counts"]) for k in with_fixed), strict=True))
+        ok = row >= 0
+        low, high = (np.zeros(len(ask), np.int64) for _ in range(2))
+        for k in with_fixed:
+            low[begin[k] : begin[k + 1]], high[begin[k] : begin[k + 1]] = asks[k]["low"], asks[k]["high"]
+        mid2 = q["median2"][w] if deviation else None
+        one, two = (bisected(index, lo[w], hi[w], mid2, k, q["under"][w], low[w], high[w], row[ok], fixed[ok], times[ok]) for k in ((n[w] + 1) // 2, n[w] // 2 + 1))
+        out[w] = one + two if deviation else (one + two) // 2
+    return np.split(out, np.cumsum(many)[:-1])
 
 
 def _found(span, deviation):
-    """Second round: requests that met their shards, to the sums of the two middle values of each window."""
-
-    def block(rows):
-        points, asks = [], []
-        for r in rows:
-            at, c = (np.concatenate([_longs(x[k]) for x in r["shards"] or ()] or [np.empty(0, np.int64)]) for k in ("at", "c"))
-            order = np.argsort(at, kind="stable")
-            points.append((at[order], c[order]))
-            asks.append({k: _longs(r[k]) for k in ("at", "n", "median2", "under", "low", "high")} | {"fixed": 2 * _longs(r["fixed"]), "counts": _longs(r["counts"])})
-        size, many = [len(p[0]) for p in points], [len(a["at"]) for a in asks]
-        group, ask = np.repeat(np.arange(len(rows)), size), np.repeat(np.arange(len(rows)), many)
-        q = {k: np.concatenate([a[k] for a in asks]) for k in ("at", "n", "median2", "under", "low", "high")}
-        lo, hi = ranges(group, np.concatenate([p[0] for p in points]), ask, q["at"], span)
-        index = Windows(np.concatenate([p[1] for p in points]))
-        out = np.zeros(len(ask), np.int64)
-        n, plain = q["n"], np.array([not len(a["fixed"]) for a in asks])[ask]
-        if len(w := np.flatnonzero((n >= 2) & plain)):
-            left, first, last = q["under"][w], (n[w] + 1) // 2 - q["under"][w], n[w] // 2 + 1 - q["under"][w]
-            if deviation:
-                one, two = index.deviations(lo[w], hi[w], q["median2"][w], first)
-                out[w] = one + np.where(last > first, two, one)
-            else:
-                out[w] = 2 * (index.kth(lo[w], hi[w], first - 1) + index.kth(lo[w], hi[w], last - 1))
-        w = np.flatnonzero((n >= 2) & ~plain)
-        if len(w):
-            seat = np.full(len(ask), -1)
-            seat[w] = np.arange(len(w))
-            begin = np.concatenate([[0], np.cumsum(many)])
-            row, fixed, times = [], [], []
-            for k, a in enumerate(asks):
-                if len(a["fixed"]):
-                    row.append(np.repeat(seat[begin[k] : begin[k + 1]], len(a["fixed"])))
-                    fixed.append(np.tile(a["fixed"], many[k]))
-                    times.append(a["counts"])
-            row, fixed, times = np.concatenate(row), np.concatenate(fixed), np.concatenate(times)
-            ok = row >= 0
-            given = (row[ok], fixed[ok], times[ok])
-            mid2 = q["median2"][w] if deviation else None
-            one, two = (bisected(index, lo[w], hi[w], mid2, k, q["under"][w], q["low"][w], q["high"][w], *given) for k in ((n[w] + 1) // 2, n[w] // 2 + 1))
-            out[w] = one + two
-        return np.split(out if deviation else out // 2, np.cumsum(many)[:-1])
+    """Second round: about TOGETHER points of several requests are answered at once."""
 
     def run(batches):
         emit = _emit(FOUND)
@@ -452,70 +437,76 @@ def _found(span, deviation):
             held, size = [], 0
             for row in [*b.to_pylist(), None]:
                 if held and (row is None or size > TOGETHER):
-                    for r, x in zip(held, block(held), strict=True):
-                        yield emit([(r["series"], r["g"], r["o"], r["at"], r["c"], r["has"], r["id"], r["named"], r["n"], r["median2"], x.tobytes())])
+                    yield emit([(r["series"], r["g"], r["o"], r["w"], r["n"], x.tobytes()) for r, x in zip(held, _block(held, span, deviation), strict=True)])
                     held, size = [], 0
                 if row is not None:
                     held.append(row)
-                    size += len(row["at"]) // 8 + sum(len(x["at"]) // 8 for x in row["shards"] or ())
+                    size += sum(len(x["at"]) // 8 for x in row["met"] or ())
 
     return run
 
 
-def _joined(batches):
-    """A cell's windows with their medians, in order of time, from the rows of its sets of shards."""
-    emit = _emit("series string, g long, o int, at binary, c binary, has binary, id binary, named binary, median2 binary")
-    for t in whole_groups(batches, ["series", "g", "o"]):
-        for key, part in _parts_of(t, ["series", "g", "o"]):
-            col = {k: part.column(k).to_pylist() for k in ("at", "c", "has", "id", "named", "first")}
-            at = np.concatenate([_longs(x) for x in col["at"]])
-            order = np.argsort(at, kind="stable")
-            flags = {k: np.concatenate([_flags(x) for x in col[k]])[order].tobytes() for k in ("has", "named")}
-            longs = {k: np.concatenate([_longs(x) for x in col[k]])[order].tobytes() for k in ("c", "id", "first")}
-            yield emit([(*key, at[order].tobytes(), longs["c"], flags["has"], longs["id"], flags["named"], longs["first"])])
+SUMS = "series string, g long, o int, n binary, first binary"
+
+
+def _ordered(batches):
+    """Per cell the counts and sums of its windows in order, from the rows of its sets of shards."""
+    emit = _emit(SUMS)
+    for b in batches:
+        rows = []
+        for r in b.to_pylist():
+            w = np.concatenate([_ints(x["w"]) for x in r["x"]])
+            n, first = np.empty(len(w), np.int32), np.empty(len(w), np.int64)
+            n[w], first[w] = np.concatenate([_ints(x["n"]) for x in r["x"]]), np.concatenate([_longs(x["first"]) for x in r["x"]])
+            rows.append((r["series"], r["g"], r["o"], n.tobytes(), first.tobytes()))
+        if rows:
+            yield emit(rows)
 
 
 def _opened(batches):
-    """Rows of cells to a row for each window."""
+    """Rows of cells with their medians and deviations to a row for each window."""
     for b in batches:
         for r in b.to_pylist():
-            ids, named, n, value, has = _longs(r["id"]), _flags(r["named"]), _longs(r["n"]), _longs(r["c"]), _flags(r["has"])
-            yield _rows(pa.array([r["series"]] * len(ids), pa.string()), ids, ~named, n, _longs(r["median2"]), _longs(r["first"]), value, has)
+            ids = _longs(r["id"])
+            yield _rows(pa.array([r["series"]] * len(ids), pa.string()), ids, ~_flags(r["named"]), _ints(r["n"]).astype(np.int64), _longs(r["median2"]), _longs(r["mad4"]), _longs(r["c"]), _flags(r["has"]))
 
 
 def hot_groups(points: DataFrame, span: int) -> DataFrame:
-    """Results of the windows of hot groups; points: series, g, own, o, parts, at, c, id, a row for each group that a point is in."""
-    key = ["series", "g"]
+    """Results of the windows of hot groups; points: series, g, o, span_cells, parts, at, c, id. Cells below span_cells are those of the slot before."""
 
     def dealt(df, *by, then=()):
         return df.repartition(*by).sortWithinPartitions(*by, *then)
 
-    cells = stored(dealt(points, *key, "own", "o", then=("at",)).select(*key, "own", "o", "parts", "at", "c", "id").mapInArrow(_cells, CELL), "cells")
-    cuts = dealt(cells.select(*key, "parts", "held", "marks"), *key).mapInArrow(_cuts, CUTS)
-    cut = stored(cells.select(*key, "own", "o", "at", "c", "has").join(stored(cuts, "cuts"), key), "cut")
-    reports = cut.mapInArrow(_reports, REPORT)
-    heads = stored(dealt(reports, *key).mapInArrow(_heads, HEAD), "heads")
-    shards = stored(dealt(cut.mapInArrow(_pieces, PIECE), *key, "shard").mapInArrow(_gathered, PIECE), "shards")
-    before = cut.where("not own").select(*key, "o", *[F.col(c).alias(f"before_{c}") for c in ("at", "c")])
+    cells = stored(dealt(points, *KEY, "o", then=("at",)).select(*KEY, "o", "span_cells", "parts", "at", "c", "id").mapInArrow(_cells, CELL), "cells")
+    cuts = stored(dealt(cells.select(*KEY, "parts", "held", "marks"), *KEY).mapInArrow(_cuts, CUTS), "cuts")
+    pieces = stored(cells.where("held > 0").select(*KEY, "o", "span_cells", "at", "c", "has").join(cuts, KEY).mapInArrow(_pieces, PIECE), "pieces")
+    heads = stored(dealt(pieces.select(*KEY, "o", "shard", "span_cells", "n", "low", "high"), *KEY).mapInArrow(_heads, HEAD), "heads")
+    before = cells.select(*KEY, (F.col("o") + F.col("span_cells")).alias("o"), *[F.col(c).alias(f"before_{c}") for c in ("at", "c", "has")])
+    own = cells.where("o >= span_cells")
+    cell = [*KEY, "o"]
 
-    def round_(windows: DataFrame, deviation: bool) -> DataFrame:
-        asked = windows.join(heads, [*key, "o"]).join(before, [*key, "o"], "left").mapInArrow(_asked(span), ASKED)
+    def sums(windows: DataFrame, deviation: bool) -> DataFrame:
+        asked = windows.join(heads, cell, "left").join(before, cell, "left").mapInArrow(_asked(span), ASKED)
         asked = stored(asked, "asked").withColumn("request", F.concat_ws(",", F.col("need").cast("array<string>")))
-        request = [*key, "o", "request"]
-        needed = asked.select(*request, F.explode("need").alias("shard")).distinct().join(shards, [*key, "shard"])
-        needed = needed.groupBy(*request).agg(F.collect_list(F.struct("at", "c")).alias("shards"))
-        return stored(asked.join(needed, request, "left").drop("request", "need").mapInArrow(_found(span, deviation), FOUND), "found")
+        request = [*cell, "request"]
+        # A window of cell o lies in the cells from o - span_cells to o.
+        needed = asked.select(*request, F.explode("need").alias("shard"), F.col("o").alias("of"), "span_cells").distinct().withColumn("o", F.explode(F.expr("sequence(of - span_cells, of)"))).drop("span_cells")
+        needed = needed.join(pieces.select(*cell, "shard", "at", "c"), [*cell, "shard"]).groupBy(*KEY, F.col("of").alias("o"), "request").agg(F.collect_list(F.struct("at", "c")).alias("met"))
+        found = asked.join(needed, request, "left").drop("request", "need", "span_cells").mapInArrow(_found(span, deviation), FOUND)
+        done = stored(found.groupBy(*cell).agg(F.collect_list(F.struct("w", "n", "first")).alias("x")).mapInArrow(_ordered, SUMS), "sums")
+        removed(asked)
+        return done
 
-    windows = cells.where("own").select(*key, "o", "at", "c", "has", "id", "named")
-    medians = round_(windows.withColumn("median2", F.lit(None).cast("binary")), False)
-    medians = stored(dealt(medians, *key, "o").mapInArrow(_joined, "series string, g long, o int, at binary, c binary, has binary, id binary, named binary, median2 binary"), "medians")
-    return round_(medians, True)
+    windows = own.select(*cell, "span_cells", "at", "c", "has")
+    medians = sums(windows.withColumn("median2", F.lit(None).cast("binary")), False).withColumnRenamed("first", "median2")
+    mads = sums(windows.join(medians.drop("n"), cell), True).select(*cell, F.col("first").alias("mad4"))
+    return own.select(*cell, "c", "has", "id", "named").join(medians, cell).join(mads, cell).mapInArrow(_opened, RESULT_DDL)
 
 
 # -- the operator ----------------------------------------------------------------
 
 
-def rolling_medians(points: DataFrame, span: int = HOUR, most: int = PART_ROWS) -> DataFrame:
+def rolling_medians(points: DataFrame, span: int = HOUR, hot_rows: int = HOT_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """Of each window the count n, doubled median median2, doubled median deviation mad4, and whether its own value is far.
 
     points: id (long, may be null), series (string; null is a series), at (long, microseconds), c (long or null), a row for
@@ -524,42 +515,31 @@ def rolling_medians(points: DataFrame, span: int = HOUR, most: int = PART_ROWS)
     3 mad4. With n < 2, median2, mad4 and far are null; far also where the row has no value. Rows without time take no part.
     Empty tables give no rows. Values are taken to be at most 2^53 in size.
     """
-    mod = F.pmod("at", F.lit(span))
     points = points.where(F.col("at").isNotNull()).select(F.col("id").cast("long").alias("id"), F.when(F.col("series").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("series").cast("string"))).alias("series"), F.col("at").cast("long").alias("at"), F.col("c").cast("long").alias("c"))
     points = stored(points.withColumn("slot", F.expr(f"(at - pmod(at, {span})) div {span}")), "points")
 
-    sizes = points.groupBy("series", "slot").agg(F.count("c").alias("k"))
-    earlier = sizes.select("series", (F.col("slot") + 1).alias("slot"), F.col("k").alias("kb"))
-    n = F.col("k") + F.coalesce("kb", F.lit(0))
-    hot = stored(sizes.join(earlier, ["series", "slot"], "left").where(n > most).select("series", "slot", F.least(F.lit(MOST_PARTS), F.ceil(n / most)).cast("int").alias("parts")), "hot")
-    any_hot = not hot.isEmpty()
-    if any_hot:  # each point learns of its own group and of the next
-        both = hot.withColumnRenamed("parts", "mine").join(hot.select("series", (F.col("slot") - 1).alias("slot"), F.col("parts").alias("next")), ["series", "slot"], "full")
-        points = points.join(both, ["series", "slot"], "left")
-    else:
-        points = points.withColumns({"mine": F.lit(None).cast("int"), "next": F.lit(None).cast("int")})
+    # A slot is in its segment, and the last of a segment also before the next.
+    segment, edge = F.expr(f"(slot - pmod(slot, {SLOTS})) div {SLOTS}"), F.expr(f"pmod(slot + 1, {SLOTS}) = 0")
 
-    has, segment = F.col("c").isNotNull(), F.expr(f"(slot - pmod(slot, {SLOTS})) div {SLOTS}")
-    edge = F.pmod(F.col("slot") + 1, F.lit(SLOTS)) == 0
+    def places(has: Column) -> Column:
+        def place(g, win):
+            return F.struct(g.alias("g"), F.lit(win).alias("win"))
 
-    def place(when: Column, number: Column, win: Column) -> Column:
-        return F.when(when, F.struct(number.alias("segment"), win.alias("win")))
+        return F.inline(F.when(edge & has, F.array(place(segment, True), place(segment + 1, False))).otherwise(F.array(place(segment, True))))
 
-    places = F.array(
-        place(F.col("mine").isNull() | (F.col("next").isNull() & has & ~edge), segment, F.col("mine").isNull()),
-        place(F.col("next").isNull() & has & edge, segment + 1, F.lit(False)),
-    )
-    cold = points.select("series", "at", "c", "id", F.inline(F.filter(places, lambda x: x.isNotNull())))
-    cold = cold.repartition("series", "segment").sortWithinPartitions("series", "segment", "at").mapInArrow(_cold(span), RESULT_DDL)
-    out = cold
+    slots = points.groupBy("series", "slot").agg(F.count("c").alias("k"), F.count("*").alias("all"))
+    groups = slots.select("series", "k", "all", places(F.lit(True))).groupBy(*KEY).agg(F.sum("k").alias("n"), F.max("k").alias("peak"), F.sum(F.when(F.col("win"), F.col("all"))).alias("own"))
+    series = groups.groupBy("series").agg(F.sum("own").alias("rows")).where(F.col("rows") > hot_rows).select("series")
+    parts = lambda n, least: F.greatest(F.lit(least), F.least(F.lit(MOST_PARTS), F.ceil(F.col(n) / part_rows))).cast("int")
+    hot = stored(groups.where("own > 0").join(series, "series", "left_semi").select(*KEY, parts("n", 2).alias("parts"), F.when(F.col("n") <= 2 * part_rows, 0).otherwise(parts("peak", 1)).alias("span_cells")), "hot")
+    any_hot = not hot.isEmpty()
+    placed = points.select("series", "at", "c", "id", places(F.col("c").isNotNull()))
+    cold = placed.join(hot, KEY, "left_anti") if any_hot else placed
+    out = cold.repartition(*KEY).sortWithinPartitions(*KEY, "at").select(*KEY, "at", "c", "id", "win").mapInArrow(_cold(span), RESULT_DDL)
     if any_hot:
-
-        def member(when: Column, g: Column, own: bool, parts: str) -> Column:
-            return F.when(when, F.struct(g.alias("g"), F.lit(own).alias("own"), F.col(parts).alias("parts"), F.expr(f"(pmod(at, {span}) * {parts}) div {span}").cast("int").alias("o")))
-
-        groups = F.array(member(F.col("mine").isNotNull(), F.col("slot"), True, "mine"), member(F.col("next").isNotNull() & has, F.col("slot") + 1, False, "next"))
-        mine = points.where("mine is not null or next is not null").select("series", "at", "c", "id", F.inline(F.filter(groups, lambda x: x.isNotNull())))
-        out = cold.union(hot_groups(mine, span).mapInArrow(_opened, RESULT_DDL))
+        # Of a small group all own slots are one cell.
+        o = F.when(F.col("span_cells") == 0, F.col("win").cast("int")).otherwise(F.expr(f"((at - ({SLOTS} * g - 1) * {span}) * span_cells) div {span}").cast("int"))
+        out = out.union(hot_groups(placed.join(hot, KEY).withColumn("o", o).withColumn("span_cells", F.greatest("span_cells", F.lit(1))), span))
     return out.select("id", F.when(F.col("series") != "-", F.expr("substring(series, 2)")).alias("series"), "n", "median2", "mad4", "far")
 
 
