@@ -7,7 +7,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions.binding import computed
@@ -16,7 +15,7 @@ from larkspur.functions.text import html_links, html_text, html_title
 from larkspur.functions.urls import canonical, may_fetch, resolved
 from larkspur.operators import index, rank
 from larkspur.operators.constraints import first_of
-from larkspur.operators.frontier import seeds
+from larkspur.operators.frontier import numbered
 from larkspur.operators.lineage import cut
 from larkspur.sources.pages import FetchLimits
 from larkspur.sources.telemetry import SCHEMA, elapsed_ms
@@ -67,7 +66,7 @@ def parsed(pages: DataFrame, config: Config) -> DataFrame:
 
 
 def attempts(world: DataFrame, level: DataFrame, config: Config, robots: DataFrame | None = None) -> DataFrame:
-    """What becomes of each URL of a level (url, depth): url, depth, effective, `event` by name of what happened first.
+    """What becomes of each URL of a level (url, depth, place): url, depth, place, effective, `event` by name of what happened first.
 
     world: what parsed() gives. robots: host, body; hosts without a row allow all.
     """
@@ -83,6 +82,7 @@ def attempts(world: DataFrame, level: DataFrame, config: Config, robots: DataFra
     return rows.select(
         "url",
         "depth",
+        "place",
         "effective",
         F.when(F.col("depth") > config.max_depth, event("crawl_depth_blocked", False, nothing, nothing))
         .when(~F.col("_may"), event("crawl_robots_blocked", False, nothing, nothing))
@@ -94,10 +94,14 @@ def attempts(world: DataFrame, level: DataFrame, config: Config, robots: DataFra
 
 
 def seeded(start: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(url, depth 0) of the seeds that the frontier takes, and an event for each seed: refused are those without a canonical form, repeats, and all where no document may come."""
-    taken = seeds(start) if config.max_documents > 0 else seeds(start).limit(0)
+    """(url, depth 0, place) of the seeds that the frontier takes, and an event for each seed: refused are those without a canonical form, repeats, and all where no document may come.
+
+    Seeds (url) arrive by `seq` where start has it, else as its rows stand.
+    """
+    seq = F.col("seq").cast("bigint") if "seq" in start.columns else F.monotonically_increasing_id()
+    rows = start.select(canonical(F.col("url")).alias("url"), seq.alias("seq")).groupBy("url").agg(F.count("*").alias("n"), F.min("seq").alias("place"))
+    taken = rows.where(F.col("url").isNotNull() & F.lit(config.max_documents > 0)).select("url", F.lit(0).alias("depth"), "place")
     nothing = F.lit(0)
-    rows = start.select(canonical(F.col("url")).alias("url")).groupBy("url").agg(F.count("*").alias("n"))
     refused = F.when(F.col("url").isNull(), F.col("n")).otherwise(F.col("n") - 1).cast("int")
     refused = refused if config.max_documents > 0 else F.col("n").cast("int")
     ok = F.when(F.col("url").isNull() | F.lit(config.max_documents <= 0), F.lit(0)).otherwise(F.lit(1))
@@ -107,19 +111,31 @@ def seeded(start: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
 
 @dataclass(frozen=True)
 class Crawled:
-    """documents: id (from 1, by depth and URL), url, title, text. events: telemetry rows. frontier: what was found and not tried."""
+    """documents: id (from 1, in the order of the queue), url, title, text. events: telemetry rows. frontier (url, depth, place): what was found and not tried, in the order of depth and place."""
 
     documents: DataFrame
     events: DataFrame
     frontier: DataFrame
 
 
+def arrivals(world: DataFrame, good: DataFrame, known: DataFrame, depth: int) -> DataFrame:
+    """(url, depth, place) of what the links of the indexed pages good (url, place) bring that is not known yet.
+
+    A link arrives after all links of pages before its own and after those before it on its page; of a URL's links the first
+    counts, found map-side. Places number the URLs in that order.
+    """
+    links = world.select("url", "targets").join(good.select("url", "place"), "url").select(F.col("place").alias("_page"), F.posexplode("targets").alias("_nth", "url"))
+    first = links.groupBy("url").agg(F.min(F.struct("_page", "_nth")).alias("_at")).join(known, "url", "left_anti")
+    return numbered(first.select("url", "_at.*"), ["_page", "_nth"], "place").select("url", F.lit(depth).alias("depth"), "place")
+
+
 def crawl(pages: DataFrame, start: DataFrame, config: Config = Config(), robots: DataFrame | None = None, checkpoint: Callable[[DataFrame], DataFrame] = cut) -> Crawled:
-    """Crawl a closed world of pages (see parsed()) from `start` (url), one step per depth.
+    """Crawl a closed world of pages (see parsed()) from `start` (url, and seq where there is an order), one step per depth.
 
-    The queue runs by depth, then URL; a URL is tried once. Links are followed from pages above max_depth. At max_documents
-    indexed pages the crawl ends: what stands behind in the queue is not tried, and the last page's links are not taken.
-    Pages are parsed once; what the steps join and store is URLs.
+    The queue runs as URLs arrive: seeds, then the links of the first page indexed in the order of the page, and so on; a URL
+    is tried once. Links are followed from pages above max_depth. At max_documents indexed pages the crawl ends: what stands
+    behind in the queue is not tried, and the last page's links are not taken. Pages are parsed once; what the steps join and
+    store is URLs.
 
     Events: a crawl_seed for each seed, one of crawl_indexed, crawl_fetch_failed, crawl_invalid_effective_url,
     crawl_robots_blocked or crawl_depth_blocked for each URL tried, and crawl_limit or crawl_empty for the end. Ids are
@@ -128,34 +144,30 @@ def crawl(pages: DataFrame, start: DataFrame, config: Config = Config(), robots:
     world = checkpoint(parsed(pages, config))
     level, seed_events = seeded(start, config)
     level = checkpoint(level)
-    known, waiting, tried, indexed = level.select("url"), None, None, 0
+    known, waiting, tried, indexed = level.select("url"), level.limit(0), None, 0
     for depth in range(config.max_depth + 1):
         step = checkpoint(attempts(world, level, config, robots))
         good = step.where("event.name = 'crawl_indexed'")
         there, room = good.count(), config.max_documents - indexed
         if there >= room:  # the cap lies in this level
-            last = good.orderBy("url").limit(room).agg(F.max("url")).first()[0]
-            reached = F.col("url") <= (last if last is not None else "")
-            waiting = step.where(~reached).select("url", "depth")
+            last = numbered(good.select("place"), "place", "_n").where(F.col("_n") == room - 1).select("place").first()
+            reached = F.lit(False) if last is None else F.col("place") <= last[0]
+            waiting = step.where(~reached).select("url", "depth", "place")
             step = step.where(reached)
-            good = good.where(reached & (F.col("url") < (last or "")))
+            good = good.where(F.lit(False) if last is None else F.col("place") < last[0])
         tried = step if tried is None else tried.unionByName(step)
         indexed += min(there, room)
-        found = world.join(good.select("url"), "url", "left_semi").select(F.explode("targets").alias("url")) if depth < config.max_depth else None
-        if found is not None:
-            level = checkpoint(found.distinct().join(known, "url", "left_anti").withColumn("depth", F.lit(depth + 1)))
+        if depth < config.max_depth:
+            level = checkpoint(arrivals(world, good, known, depth + 1))
             known = known.union(level.select("url"))
         if indexed >= config.max_documents:
-            waiting = waiting if found is None else waiting.unionByName(level)
+            waiting = waiting.unionByName(level) if depth < config.max_depth else waiting
             break
     spark = pages.sparkSession
     end = "crawl_limit" if indexed >= config.max_documents else "crawl_empty"
     ended = spark.range(1).select(event(end, False, F.lit(0), F.lit(0)).alias("event")).select("event.*")
-    good = tried.where("event.name = 'crawl_indexed'").select(F.col("url").alias("asked"), "depth", "effective")
-    # At most max_documents rows are numbered.
-    good = good.withColumn("id", F.row_number().over(W.orderBy("depth", "asked")).cast("bigint"))
-    documents = world.select(F.col("url").alias("asked"), "title", "text").join(good, "asked").select("id", F.col("effective").alias("url"), "title", "text")
-    waiting = level.limit(0) if waiting is None else waiting
+    good = numbered(tried.where("event.name = 'crawl_indexed'").select(F.col("url").alias("asked"), "depth", "place", "effective"), ["depth", "place"], "_n")
+    documents = world.select(F.col("url").alias("asked"), "title", "text").join(good, "asked").select((F.col("_n") + 1).alias("id"), F.col("effective").alias("url"), "title", "text")
     return Crawled(documents, seed_events.unionByName(tried.select("event.*")).unionByName(ended), waiting)
 
 

@@ -47,29 +47,26 @@ def popped(queue: DataFrame, n: int = 1) -> tuple[DataFrame, DataFrame]:
     return first, queue.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, "seq", "left_anti")
 
 
-def _range(x: Column, cuts: list[int], first: int) -> Column:
-    """How many of the cuts (ascending) lie before x, counted from `first`: a tree of comparisons."""
-    if not cuts:
-        return F.lit(first)
-    mid = len(cuts) // 2
-    return F.when(x <= cuts[mid], _range(x, cuts[:mid], first)).otherwise(_range(x, cuts[mid + 1 :], first + mid + 1))
+def before(rows: DataFrame, order: str | list[str], value: str, name: str, ranges: int | None = None) -> DataFrame:
+    """`name`: the sum of `value` over all rows earlier in `order` (one column or several, unique together).
 
-
-def before(rows: DataFrame, order: str, value: str, name: str, ranges: int = 512) -> DataFrame:
-    """`name`: the sum of `value` over all rows earlier in `order` (a whole number, unique).
-
-    Sums of ranges first, then within each: no single task holds all. Ranges are cut at quantiles, so that numbers
-    that lie close together are spread like others.
+    Rows are dealt to ranges of the order and stored there, so that a row stays in its range; sums of ranges first (a row
+    a task), then within each: no single task holds all.
     """
-    edges = rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges))
-    cuts = sorted({int(x) for x in edges})
-    rows = rows.withColumn("_range", _range(F.col(order), cuts, 0))
-    sums = rows.groupBy("_range").agg(F.sum(value).alias("_s"))  # at most `ranges` rows
+    by = [order] if isinstance(order, str) else order
+    dealt = rows.repartitionByRange(*by) if ranges is None else rows.repartitionByRange(ranges, *by)
+    rows = cut(dealt.withColumn("_range", F.spark_partition_id()))
+    sums = rows.groupBy("_range").agg(F.sum(value).alias("_s"))  # at most a row a partition
     sums = sums.select("_range", F.coalesce(F.sum("_s").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = F.coalesce(F.sum(value).over(W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum(value).over(W.partitionBy("_range").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("_inner", inner).join(F.broadcast(sums), "_range").withColumn(name, F.col("_before") + F.col("_inner")).drop("_range", "_before", "_inner")
 
 
+def numbered(rows: DataFrame, order: str | list[str], name: str) -> DataFrame:
+    """rows with `name`: 0, 1, ... in `order`."""
+    return before(rows.withColumn("_one", F.lit(1).cast("bigint")), order, "_one", name).withColumn(name, F.col(name).cast("bigint")).drop("_one")
+
+
 def shallower(arrivals: DataFrame) -> DataFrame:
     """Arrivals that an unbounded queue takes: those not seen yet, and those seen only at greater depths."""
     # Only the first arrival at each depth can be taken, so a URL has as many rows as depths when they are put in order.

@@ -318,7 +318,7 @@ def _world(spark, sf):
 
 
 def _crawled(spark, sf):
-    start = spark.createDataFrame([("http://world.example/s/0",), ("http://world.example/s/1",), ("http://WORLD.example/s/1#again",), ("not a url",)], "url string")
+    start = spark.createDataFrame([(1, "http://world.example/s/0"), (2, "http://world.example/s/1"), (3, "http://WORLD.example/s/1#again"), (4, "not a url")], "seq long, url string")
     return engine.crawl(_world(spark, sf), start, engine.Config(max_depth=3, max_documents=1000))
 
 
@@ -333,10 +333,11 @@ def crawl_depths(spark, sf):
 
 
 def crawl_capped(spark, sf):
-    """The same crawl, ended at five documents: what it indexed, and what waits."""
-    start = spark.createDataFrame([("http://world.example/s/0",), ("http://world.example/s/1",)], "url string")
+    """The same crawl, ended at five documents: what it indexed, and what waits, each in the order of the queue."""
+    start = spark.createDataFrame([(1, "http://world.example/s/0"), (2, "http://world.example/s/1")], "seq long, url string")
     got = engine.crawl(_world(spark, sf), start, engine.Config(max_depth=3, max_documents=5))
-    return got.documents.select("url", F.lit("indexed").alias("state")).unionByName(got.frontier.select("url", F.lit("waiting").alias("state")))
+    waiting = frontier.numbered(got.frontier.withColumnRenamed("place", "at"), ["depth", "at"], "place")
+    return got.documents.select("url", F.lit("indexed").alias("state"), F.col("id").alias("place")).unionByName(waiting.select("url", F.lit("waiting").alias("state"), (F.col("place") + 1).alias("place")))
 
 
 # Robots files with a path, an agent and whether the path may be fetched.

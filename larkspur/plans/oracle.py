@@ -162,10 +162,11 @@ def world(depth: int = 3) -> str:
     )
     return (
         f"w AS (SELECT *, ok AND host IS NOT NULL AS indexed, [host || '/s/' || (2 * k + 1), host || '/s/' || (2 * k + 2), host || '/gone/' || k] AS links FROM ({page})), "
-        "r(url, depth) AS (SELECT 'http://world.example/s/' || n, 0 FROM range(2) t(n) UNION "
-        f"SELECT u, depth + 1 FROM (SELECT unnest(links) AS u, depth FROM r JOIN w USING (url) WHERE indexed AND depth < {depth})), "
-        "m AS (SELECT url, min(depth) AS depth FROM r GROUP BY url), x AS (SELECT * FROM m LEFT JOIN w USING (url)), "
-        "i AS (SELECT *, row_number() OVER (ORDER BY depth, url) AS id FROM x WHERE indexed)"
+        # A path lists the seed's number and the place of each link on its page: at one depth, paths stand in the order of arrival.
+        "r(url, depth, path) AS (SELECT 'http://world.example/s/' || n, 0, [n] FROM range(2) t(n) UNION ALL "
+        f"SELECT u, depth + 1, list_append(path, o) FROM (SELECT unnest(links) AS u, generate_subscripts(links, 1) AS o, depth, path FROM r JOIN w USING (url) WHERE indexed AND depth < {depth})), "
+        "m AS (SELECT url, depth, path FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY depth, path) AS f FROM r) WHERE f = 1), x AS (SELECT * FROM m LEFT JOIN w USING (url)), "
+        "i AS (SELECT *, row_number() OVER (ORDER BY depth, path) AS id FROM x WHERE indexed)"
     )
 
 
@@ -285,7 +286,7 @@ def oracle_sql() -> dict[str, str]:
         "fetch_limits": "SELECT p_partkey, p_size % 7 > 1 AND p_size % 3 > 1 AND p_size % 5 > 1 AND p_size % 4 >= 1 AS valid FROM part",
         "crawl_documents": f"WITH RECURSIVE {world()} SELECT id, host || '/s/' || k AS url, s_name AS title, CAST(len(s_name || ' number ' || k || ' l r g') AS INTEGER) AS n_chars FROM i",
         "crawl_depths": f"WITH RECURSIVE {world()} SELECT CASE WHEN indexed THEN 'crawl_indexed' WHEN ok THEN 'crawl_invalid_effective_url' ELSE 'crawl_fetch_failed' END AS name, indexed IS NOT TRUE AS error, count(*) AS n, CAST(sum(coalesce(took, 0)) AS BIGINT) AS duration_ms, CAST(sum(CASE WHEN indexed IS NOT TRUE AND ok THEN 0 ELSE coalesce(size, 0) END) AS BIGINT) AS bytes_in FROM x GROUP BY 1, 2 UNION ALL SELECT * FROM (VALUES ('crawl_seed', FALSE, 2, 0, 0), ('crawl_seed', TRUE, 2, 0, 0), ('crawl_empty', FALSE, 1, 0, 0))",
-        "crawl_capped": f"WITH RECURSIVE {world()}, f AS (SELECT depth, url FROM i WHERE id = 5) SELECT host || '/s/' || k AS url, 'indexed' AS state FROM i WHERE id <= 5 UNION ALL SELECT m.url, 'waiting' FROM m, f WHERE m.depth = f.depth AND m.url > f.url UNION ALL SELECT DISTINCT u, 'waiting' FROM (SELECT unnest(links) AS u FROM i, f WHERE i.depth = f.depth AND i.url < f.url AND f.depth < 3) WHERE u NOT IN (SELECT m.url FROM m, f WHERE m.depth <= f.depth)",
+        "crawl_capped": f"WITH RECURSIVE {world()}, f AS (SELECT depth, path FROM i WHERE id = 5), q AS (SELECT m.url, m.depth, m.path FROM m, f WHERE m.depth = f.depth AND m.path > f.path UNION ALL SELECT u, depth + 1, path FROM (SELECT u, depth, path, row_number() OVER (PARTITION BY u ORDER BY path) AS n FROM (SELECT unnest(links) AS u, i.depth, list_append(i.path, generate_subscripts(links, 1)) AS path FROM i, f WHERE i.depth = f.depth AND i.path < f.path AND f.depth < 3)) WHERE n = 1 AND u NOT IN (SELECT m.url FROM m, f WHERE m.depth <= f.depth)) SELECT host || '/s/' || k AS url, 'indexed' AS state, id AS place FROM i WHERE id <= 5 UNION ALL SELECT url, 'waiting', row_number() OVER (ORDER BY depth, path) FROM q",
         "url_resolve_sql": f"WITH {LINKS} SELECT page_id, CAST(nth AS INTEGER) AS nth, ref, target FROM t",
         "segments_sql": f"SELECT {KIND} AS kind, count(*) AS n, CAST(sum(strlen(s)) AS BIGINT) AS total_bytes FROM (SELECT unnest({SEGMENTS.format(x='text')}) AS s FROM conversations) GROUP BY 1",
         "robots_pages": "SELECT page_id, NOT starts_with(p, '/fr/' || d) AND (NOT starts_with(p, '/en') OR starts_with(p, '/en/' || d)) AS allowed, TRUE AS agree FROM (SELECT page_id, page_id % 10 AS d, regexp_replace(url, '^[a-zA-Z]+://[^/?#]*', '') AS p FROM pages)",

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import sql, text, urls
@@ -89,3 +92,53 @@ def test_sql_functions(spark):
     theirs = spark.sql("SELECT url_canonical(u), url_allowed(lower(u)), html_title(h), html_text(h), html_links(h), ascii_tokens(t), unicode_tokens(t) FROM sql_functions_test").first()
     assert tuple(ours) == tuple(theirs)
     assert spark.sql("SELECT truth_class(3, 1)").first()[0] == "UNCERTAIN"
+
+
+def queue(pages, seeds, max_depth, max_documents):
+    """A crawl by a queue: (id, url) of documents, names of events, what waits."""
+    waiting, known, documents, events = [], set(), [], []
+    for url in seeds:
+        fresh = url is not None and url not in known and max_documents > 0
+        events.append(("crawl_seed", not fresh))
+        if fresh:
+            known.add(url)
+            waiting.append((url, 0))
+    while waiting and len(documents) < max_documents:
+        url, depth = waiting.pop(0)
+        if url not in pages:
+            events.append(("crawl_fetch_failed", True))
+            continue
+        documents.append((len(documents) + 1, url))
+        events.append(("crawl_indexed", False))
+        for link in pages[url] if depth < max_depth and len(documents) < max_documents else ():
+            if link not in known:
+                known.add(link)
+                waiting.append((link, depth + 1))
+    events.append(("crawl_limit" if len(documents) >= max_documents else "crawl_empty", False))
+    return documents, sorted(events), waiting
+
+
+@pytest.mark.parametrize("cap", [1, 4, 9, 1000])
+def test_crawl_is_a_queue(spark, cap):
+    """Documents, ids, events and what waits are those of a queue, on graphs whose URLs do not arrive in their own order."""
+    rng = random.Random(cap)
+    urls_ = [f"http://h/{rng.randrange(1000)}-{k}" for k in range(30)]
+    pages = {u: [rng.choice(urls_) for _ in range(rng.randrange(6))] for u in urls_[:22]}
+    seeds = [urls_[k] for k in (7, 3, 3, 25, 0)]
+    data = [(u, " ".join(f"<a href='{x}'>l</a>" for x in links) + " text") for u, links in pages.items()]
+    rng.shuffle(data)
+    start_ = spark.createDataFrame([(k, u) for k, u in enumerate([*seeds, "no url"])], "seq long, url string").repartition(3)
+    got = engine.crawl(spark.createDataFrame(data, "url string, html string").repartition(4), start_, engine.Config(max_depth=2, max_documents=cap))
+    documents, events, waiting = queue(pages, [*seeds, None], 2, cap)
+    assert rows(got.documents.select("id", "url")) == sorted(documents, key=repr)
+    assert sorted((r["name"], r["error"]) for r in got.events.collect()) == events
+    assert [(r["url"], r["depth"]) for r in got.frontier.orderBy("depth", "place").collect()] == waiting
+
+
+def test_first_links_come_first(spark):
+    """Not the order of URLs but that of links and seeds decides what a cap lets in."""
+    world_ = spark.createDataFrame([("http://h/s", '<a href="/z">1</a><a href="/a">2</a>'), ("http://h/z", "z"), ("http://h/a", "a")], "url string, html string")
+    capped = engine.crawl(world_, start(spark, "http://h/s"), engine.Config(max_documents=2))
+    assert rows(capped.documents.select("id", "url")) == [(1, "http://h/s"), (2, "http://h/z")] and [r["url"] for r in capped.frontier.collect()] == ["http://h/a"]
+    one = engine.crawl(world_, start(spark, "http://h/z", "http://h/a").coalesce(1), engine.Config(max_documents=1))
+    assert rows(one.documents.select("id", "url")) == [(1, "http://h/z")]
