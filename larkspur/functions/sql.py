@@ -53,13 +53,15 @@ BODIES = {
         "'length', CAST(octet_length(x) AS BIGINT))), CAST(array() AS ARRAY<STRUCT<index: INT, kind: STRING, start: BIGINT, length: BIGINT>>), "
         "(done, s) -> concat(done, array(named_struct('index', s.index, 'kind', s.kind, 'start', coalesce(try_element_at(done, -1).start + try_element_at(done, -1).length, 0L), 'length', s.length))))"
     ),
+    # Bytes as characters, so that lengths and cuts are those of bytes.
+    "bytewise(t STRING) RETURNS STRING": "decode(encode(t, 'UTF-8'), 'ISO-8859-1')",
     "robots_allows(p STRING, body STRING, agent STRING) RETURNS BOOLEAN": (
-        "CASE WHEN p IS NULL OR body IS NULL THEN true ELSE aggregate(transform(split(body, char(10)), raw -> transform(array(substring_index(substring(raw, 1, "
+        "CASE WHEN p IS NULL OR body IS NULL THEN true ELSE aggregate(transform(split(bytewise(body), char(10)), raw -> transform(array(substring_index(substring(raw, 1, "
         f"{LINE}), '#', 1)), l -> named_struct('field', translate(regexp_extract(l, '{_RULE}', 1), '{UPPER}', '{LOWER}'), 'value', regexp_extract(l, '{_RULE}', 2)))[0]), "
         "named_struct('active', false, 'allowed', true, 'size', -1), (s, f) -> CASE "
-        f"WHEN f.field = 'user-agent' THEN named_struct('active', translate(f.value, '{UPPER}', '{LOWER}') = translate(coalesce(nullif(agent, ''), '*'), '{UPPER}', '{LOWER}') OR f.value = '*', 'allowed', s.allowed, 'size', s.size) "
-        "WHEN s.active AND f.value <> '' AND startswith(p, f.value) AND (f.field = 'allow' AND octet_length(f.value) >= s.size OR f.field = 'disallow' AND octet_length(f.value) > s.size) "
-        "THEN named_struct('active', s.active, 'allowed', f.field = 'allow', 'size', octet_length(f.value)) ELSE s END, s -> s.allowed) END"
+        f"WHEN f.field = 'user-agent' THEN named_struct('active', translate(f.value, '{UPPER}', '{LOWER}') = translate(bytewise(coalesce(nullif(agent, ''), '*')), '{UPPER}', '{LOWER}') OR f.value = '*', 'allowed', s.allowed, 'size', s.size) "
+        "WHEN s.active AND f.value <> '' AND startswith(bytewise(p), f.value) AND (f.field = 'allow' AND length(f.value) >= s.size OR f.field = 'disallow' AND length(f.value) > s.size) "
+        "THEN named_struct('active', s.active, 'allowed', f.field = 'allow', 'size', length(f.value)) ELSE s END, s -> s.allowed) END"
     ),
     "url_allowed(u STRING) RETURNS BOOLEAN": (
         "coalesce(regexp_extract(u, '^https?://([^/?#]*)', 1) <> '' AND NOT contains(regexp_extract(u, '^https?://([^/?#]*)', 1), '@') "

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkspur.functions.binding import let
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values of the two token profiles: bytes kept of an ASCII token, tokens kept of a document and of a query.
 TOKEN_BYTES, DOC_TOKENS, QUERY_TOKENS = 127, 1024, 128
@@ -85,6 +87,10 @@ _MARK = "\x01"
 MARKED = ((r"```", r"```", "code"), (r"\$\$", r"\$\$", "latex"), (r"\\\[", r"\\\]", "latex"), (r"\\\(", r"\\\)", "latex"))
 
 
+#: Segments of a text whose offsets are summed together.
+BLOCK = 64
+
+
 def segments(text: Column) -> Column:
     """array<struct<index int, kind string, start bigint, length bigint>>: text, code and latex spans that tile the text; offsets in bytes.
 
@@ -100,10 +106,20 @@ def segments(text: Column) -> Column:
 
     sized = F.transform(parts, lambda x, i: F.struct(i.cast("int").alias("index"), kind_of(x).alias("kind"), F.octet_length(x).cast("bigint").alias("length")))
 
-    def add(done: Column, s: Column) -> Column:
-        # What came before ends where this one starts.
-        last = F.try_element_at(done, F.lit(-1))
-        start = F.coalesce(last["start"] + last["length"], F.lit(0).cast("bigint"))
-        return F.concat(done, F.array(F.struct(s["index"].alias("index"), s["kind"].alias("kind"), start.alias("start"), s["length"].alias("length"))))
+    def sums(lengths: Column) -> Column:
+        """What stands before each length."""
+        return F.aggregate(lengths, F.array(F.lit(0).cast("bigint")), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+
+    def placed(all_: Column) -> Column:
+        # A fold copies what it has at each step: sums run over blocks, and over the blocks' lengths.
+        block = lambda b: F.slice(all_, b * BLOCK + 1, BLOCK)
+        blocks = F.sequence(F.lit(0), F.greatest((F.size(all_) - 1) / BLOCK, F.lit(0)).cast("int"))
+        inner = F.transform(blocks, lambda b: sums(F.transform(block(b), lambda s: s["length"])))
+        starts = sums(F.transform(inner, lambda x: F.element_at(x, -1)))
+
+        def moved(b: Column, before: Column) -> Column:
+            return F.zip_with(block(b), F.slice(before, 1, BLOCK), lambda s, x: F.when(s.isNotNull(), F.struct(s["index"].alias("index"), s["kind"].alias("kind"), (F.get(starts, b) + x).alias("start"), s["length"].alias("length"))))
+
+        return F.filter(F.flatten(F.zip_with(blocks, inner, moved)), lambda s: s.isNotNull())
 
-    return F.aggregate(sized, F.array().cast("array<struct<index:int,kind:string,start:bigint,length:bigint>>"), add)
+    return F.when(parts.isNotNull(), let(sized, placed))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.functions import robots, text, urls
+from larkspur.functions import robots, sql, text, urls
 from larkspur.plans.catalogue import ROBOTS
 
 
@@ -114,3 +114,34 @@ def test_segments(spark):
     assert one(spark, text.segments(F.lit(""))) == []
     long = "é" * 50_000 + "$$" + "y" * 50_000
     assert [(x["start"], x["length"]) for x in one(spark, text.segments(F.lit(long)))] == [(0, 100_000), (100_000, 50_002)]
+
+
+def test_robots_buffers_hold_bytes(spark):
+    """A value counts for 767 bytes and a line for 1023, whatever characters they hold; in SQL too."""
+    sql.register(spark)
+    two = "é"
+    cases = [
+        ("/" + two * 400, "User-agent: *\nDisallow: /" + two * 500, "bot", False),  # the rule's 767 bytes end the path's 383rd letter
+        ("/" + two * 382, "User-agent: *\nDisallow: /" + two * 500, "bot", True),
+        ("/" + two * 383, "User-agent: *\nDisallow: /" + two * 500, "bot", False),
+        ("/x", "User-agent: *\n" + two * 130 + ": /\nDisallow: /x", "bot", False),
+        ("/a", "User-agent: " + two * 3 + "\nDisallow: /a", two * 3, False),
+        ("/a", "User-agent: *\nDisallow:" + " " * 1020 + "/a", "bot", True),
+        ("/" + two + "b", "User-agent: *\nDisallow: /" + two + "\nAllow: /" + two + "b", "bot", True),
+    ]
+    df = spark.createDataFrame(cases, "p string, b string, a string, allowed boolean")
+    got = df.select("allowed", robots.robots_allowed(F.col("p"), F.col("b"), F.col("a")), F.expr("robots_allows(p, b, a)")).collect()
+    assert all(r[0] == r[1] == r[2] for r in got), [tuple(r) for r in got]
+
+
+def test_offsets_of_many_segments(spark):
+    """Offsets are sums, whatever the number of segments; a text without any has none."""
+    for n in (0, 1, 63, 64, 65, 1000):
+        t = "é```c```" * n
+        got = one(spark, text.segments(F.lit(t)))
+        at, want = 0, []
+        for k, (kind, size) in enumerate([("text", 2), ("code", 7)] * n):
+            want.append((k, kind, at, size))
+            at += size
+        assert [tuple(x) for x in got] == want
+    assert one(spark, text.segments(F.lit(None).cast("string"))) is None
