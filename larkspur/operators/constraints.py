@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.operators.lineage import cut
+
 #: Repeated keys up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 
@@ -85,6 +89,60 @@ def set_null(rows: DataFrame, column: str, gone: DataFrame, key: str) -> DataFra
     return rows.join(mark, column, "left").withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*rows.columns)
 
 
+def _columns(table: str, keys: dict[str, list[str]], references: dict[str, tuple[str, str]]) -> list[str]:
+    """The columns by which rows of a table are told apart or referred to."""
+    named = [p.partition(".")[2] for p, _ in references.values() if p.partition(".")[0] == table]
+    return list(dict.fromkeys([*keys[table], *named]))
+
+
+def doomed(tables: dict[str, DataFrame], references: dict[str, tuple[str, str]], keys: dict[str, list[str]], table: str, gone: DataFrame) -> dict[str, DataFrame]:
+    """By table, the rows that go when those of `table` with the keys `gone` go: their keys and what is referred to of them.
+
+    references: "table.column" -> ("table.column", "cascade" or "set null"); keys: what makes a row of each table, never null.
+    A reference that cascades takes its row along, whose own referrers follow, through as many tables and as often as
+    it takes: each step looks only for what refers to the rows that the step before found. Tables without such rows are
+    left out. Only keys travel; each step is stored.
+    """
+    wanted = {t: _columns(t, keys, references) for t in tables}
+    found: dict[str, DataFrame] = {}
+    step = {table: cut(tables[table].select(*wanted[table]).join(gone.select(*keys[table]).distinct(), keys[table], "left_semi"))}
+    while step := {t: rows for t, rows in step.items() if not rows.isEmpty()}:
+        for t, rows in step.items():
+            found[t] = rows if t not in found else found[t].unionByName(rows)
+        hits: dict[str, list[DataFrame]] = {}
+        for child, (parent, action) in references.items():
+            (of, _, column), (above, _, name) = child.partition("."), parent.partition(".")
+            if action == "cascade" and above in step and of in tables:
+                dead = step[above].select(F.col(name).alias(column)).distinct()
+                hits.setdefault(of, []).append(tables[of].select(*dict.fromkeys([*wanted[of], column])).join(dead, column, "left_semi").select(*wanted[of]))
+        step = {}
+        for t, several in hits.items():
+            rows = reduce(DataFrame.unionByName, several)
+            rows = rows.dropDuplicates(keys[t]) if len(several) > 1 else rows
+            step[t] = cut(rows.join(found[t].select(*keys[t]), keys[t], "left_anti") if t in found else rows)
+    return found
+
+
+def after_delete(tables: dict[str, DataFrame], references: dict[str, tuple[str, str]], keys: dict[str, list[str]], dead: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """What is left of each table that loses rows (dead: as doomed() gives them) or whose references are set to null by that."""
+    left: dict[str, DataFrame] = {t: tables[t].join(rows.select(*keys[t]), keys[t], "left_anti").select(*tables[t].columns) for t, rows in dead.items()}
+    for child, (parent, action) in references.items():
+        (of, _, column), (above, _, name) = child.partition("."), parent.partition(".")
+        if action == "set null" and above in dead and of in tables:
+            left[of] = set_null(left.get(of, tables[of]), column, dead[above], name)
+    return left
+
+
+def parents_last(references: dict[str, tuple[str, str]], names: list[str]) -> list[str]:
+    """names in an order in which a table stands after all that refer to it, as far as references run in no circle."""
+    refers = {(c.partition(".")[0], p.partition(".")[0]) for c, (p, _) in references.items()}
+    out: list[str] = []
+    while rest := [n for n in names if n not in out]:
+        free = [n for n in rest if not any((m, n) in refers for m in rest if m != n)]
+        out += free or rest
+    return out
+
+
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Of each key the last row in `order`."""
     best = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))  # combined map-side

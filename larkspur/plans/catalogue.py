@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -661,6 +663,37 @@ def model_sizes(spark, sf):
     return rows.select("p_partkey", floats.alias("floats"), ev.checked_multiply(floats, F.lit(4).cast("bigint")).alias("bytes"))
 
 
+def _library(spark, sf):
+    """Documents as a store: their sources, chunks by every thousandth character, claims of every third chunk, keywords of both, evidence by label, edges between languages."""
+    rows = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), "lang", F.length("text").alias("size"))
+    chunks = rows.select(F.col("id").alias("document_id"), "lang", F.explode(F.expr("sequence(0, size div 1000)")).alias("ordinal")).withColumn("id", F.concat_ws("/", "document_id", "ordinal"))
+    claims = chunks.where(F.col("ordinal") % 3 == 0).select(F.concat(F.lit("c"), "id").alias("id"), F.col("id").alias("chunk_id"), "lang")
+    labels = read(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).select(F.col("doc_id").cast("string").alias("id"))
+    evidence = labels.join(rows, "id").select(F.concat(F.lit("e"), "id").alias("id"), "source_id")
+    edges = rows.select(F.col("id").cast("bigint").alias("id"), F.coalesce("lang", F.lit("none")).alias("source_node_id"), F.concat(F.lit("q"), F.col("id").cast("bigint") % 7).alias("target_node_id"), F.concat(F.lit("e"), "id").alias("evidence_id"))
+    return {
+        "sources": rows.select(F.col("source_id").alias("id")).where("id IS NOT NULL").distinct(), "documents": rows.select("id", "source_id"), "document_chunks": chunks.select("id", "document_id"),
+        "chunk_keywords": chunks.where("lang IS NOT NULL").select(F.col("id").alias("chunk_id"), F.col("lang").alias("keyword")), "claims": claims.select("id", "chunk_id"),
+        "claim_keywords": claims.select(F.col("id").alias("claim_id"), F.explode(F.array(F.lit("a"), F.coalesce("lang", F.lit("b")))).alias("keyword")), "evidence": evidence, "graph_edges": edges,
+    }
+
+
+def store_delete(spark, sf):
+    """What a delete of some sources leaves of each table, of how many rows it takes, and how many references it sets to null; numbers: the sum of those in the keys."""
+    tables = {t: rows.persist() for t, rows in _library(spark, sf).items()}
+    keys = {t: store.key(t) for t in tables}
+    gone = tables["sources"].where(F.ascii(F.substring("id", -1, 1)) % 3 == 1)
+    dead = constraints.doomed(tables, store.REFERENCES, keys, "sources", gone)
+    left = constraints.after_delete(tables, store.REFERENCES, keys, dead)
+    out = []
+    for t, rows in {**tables, **left}.items():
+        nulls = F.count_if(F.col("evidence_id").isNull()) if "evidence_id" in rows.columns else F.lit(0).cast("bigint")
+        numbers = F.coalesce(F.sum(F.nullif(F.regexp_extract(F.concat_ws(",", *keys[t]), "[0-9]+", 0), F.lit("")).cast("bigint")), F.lit(0))
+        kept = rows.agg(F.count("*").alias("kept"), nulls.alias("nulls"), numbers.alias("numbers")).withColumn("table", F.lit(t))
+        out.append(kept.crossJoin(dead[t].agg(F.count("*").alias("gone"))) if t in dead else kept.withColumn("gone", F.lit(0).cast("bigint")))
+    return reduce(DataFrame.unionByName, out).select("table", "kept", "gone", "nulls", "numbers")
+
+
 NAMES = (
     "tokenize_ascii tokenize_unicode term_freq doc_freq doc_length corpus_stats postings_binary bm25_native bm25_native_boost bm25_native_tombstone "
     "bm25_repeat_terms bm25_binary search_results_join vector_cosine fts_phrase fts_prefix fts_boolean fts_near html_title html_text html_links page_extract "
@@ -670,7 +703,7 @@ NAMES = (
     "constraint_violations role_violations unique_violations fk_orphans fk_cascade fk_set_null latest_fetch_per_source conversation_messages "
     "keyword_domain_match model_layout index_first_wins bm25_first_wins bm25_parameters document_lookup document_count fts_column fts_rank fetch_limits "
     "crawl_documents crawl_depths crawl_capped url_resolve_sql segments_sql robots_pages frontier_pop graph_find graph_neighbours graph_runtime graph_runtime_capped "
-    "store_insert model_sizes"
+    "store_insert store_delete model_sizes"
 )
 
 

@@ -206,6 +206,24 @@ FROM (SELECT id, w FROM v WHERE len(w) > 0 UNION ALL SELECT c.id, s.w FROM s JOI
 """
 
 
+STORE_DELETE = """
+WITH s AS (SELECT DISTINCT source AS id FROM documents WHERE source IS NOT NULL), x AS (SELECT id FROM s WHERE ascii(right(id, 1)) % 3 = 1),
+d AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id, source, lang, len(text) AS size, coalesce(source IN (SELECT id FROM x), FALSE) AS dead FROM documents),
+k AS (SELECT *, id || '/' || o AS chunk FROM (SELECT *, unnest(range(0, size // 1000 + 1)) AS o FROM d)),
+c AS (SELECT * FROM k WHERE o % 3 = 0),
+e AS (SELECT 'e' || id AS id, dead FROM d WHERE doc_id IN (SELECT doc_id FROM labels)),
+r AS (
+  SELECT 'sources' AS t, id AS key, id IN (SELECT id FROM x) AS dead, FALSE AS n FROM s
+  UNION ALL SELECT 'documents', id, dead, FALSE FROM d UNION ALL SELECT 'document_chunks', chunk, dead, FALSE FROM k
+  UNION ALL SELECT 'chunk_keywords', chunk, dead, FALSE FROM k WHERE lang IS NOT NULL UNION ALL SELECT 'claims', 'c' || chunk, dead, FALSE FROM c
+  UNION ALL SELECT 'claim_keywords', 'c' || chunk, dead, FALSE FROM c, range(2) UNION ALL SELECT 'evidence', id, dead, FALSE FROM e
+  UNION ALL SELECT 'graph_edges', id, FALSE, 'e' || id IN (SELECT id FROM e WHERE dead) FROM d
+)
+SELECT t AS "table", count(*) FILTER (WHERE NOT dead) AS kept, count(*) FILTER (WHERE dead) AS gone, count(*) FILTER (WHERE n) AS nulls,
+CAST(coalesce(sum(CAST(regexp_extract(key, '[0-9]+') AS BIGINT)) FILTER (WHERE NOT dead), 0) AS BIGINT) AS numbers FROM r GROUP BY 1
+"""
+
+
 def layout(v: int, e: int, n: int, k: int, f: int) -> str:
     floats = n * (2 * e * e + 3 * f * e + 2 * k * e + 2 * e) + 2 * v * e + e if min(v, e, n, k, f) > 0 else None
     fits = [x if x is not None and x < 1 << 63 else None for x in (floats, None if floats is None else 4 * floats)]
@@ -296,5 +314,6 @@ def oracle_sql() -> dict[str, str]:
         "graph_runtime": runtime(),
         "graph_runtime_capped": runtime(20, 30, 40),
         "store_insert": STORE_INSERT,
+        "store_delete": STORE_DELETE,
         "model_sizes": "SELECT p_partkey, CAST(CASE WHEN f <= 9223372036854775807 THEN f END AS BIGINT) AS floats, CAST(CASE WHEN 4 * f <= 9223372036854775807 THEN 4 * f END AS BIGINT) AS bytes FROM (SELECT p_partkey, CASE WHEN least(v, e, n, k, h) > 0 THEN n * (2 * e * e + 3 * h * e + 2 * k * e + 2 * e) + 2 * v * e + e END AS f FROM (SELECT p_partkey, CAST(p_partkey * 1009 AS HUGEINT) AS v, CAST(p_size * 12345 AS HUGEINT) AS e, CAST(p_size AS HUGEINT) AS n, CAST(p_size * 256 AS HUGEINT) AS k, CAST(p_partkey * 1000003 AS HUGEINT) AS h FROM part))",
     }

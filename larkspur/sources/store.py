@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.operators.constraints import checks, split, with_violations
+from larkspur.operators.constraints import after_delete, checks, doomed, parents_last, split, with_violations
 from larkspur.operators.frontier import before
 from larkspur.operators.lineage import cut
 
@@ -285,6 +285,23 @@ def insert(spark: SparkSession, database: str, table: str, rows: DataFrame, orde
     return refused
 
 
+def delete(spark: SparkSession, database: str, table: str, gone: DataFrame) -> dict[str, DataFrame]:
+    """Delete the rows of a table whose keys `gone` has, with all that REFERENCES makes of it; the keys that went, by table.
+
+    Rows that refer to a deleted one with cascade go too, whatever the number of tables between; references that are set to
+    null are. What is left of a table is stored before it replaces the table, and tables that refer come before those that
+    they refer to: where a delete is broken off, no reference is without its row, and the same delete again ends it. Needs
+    spark.checkpoint.dir.
+    """
+    all_ = {t: spark.table(f"{database}.{t}") for t in tables()}
+    keys = {t: key(t) for t in all_}
+    dead = doomed(all_, REFERENCES, keys, table, gone)
+    left = {t: cut(rows) for t, rows in after_delete(all_, REFERENCES, keys, dead).items()}
+    for t in parents_last(REFERENCES, list(left)):
+        left[t].write.mode("overwrite").insertInto(f"{database}.{t}")
+    return {t: rows.select(*keys[t]) for t, rows in dead.items()}
+
+
 def jdbc(spark: SparkSession, url: str, table: str, partition: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 16, **options) -> DataFrame:
     """A table of a database behind JDBC (its driver on the class path), read in parallel over ranges of a whole-number column."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)

@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import re
 
 import pytest
@@ -323,6 +324,73 @@ def test_store(spark, tmp_path):
     spark.sql("DROP DATABASE store_test CASCADE")
 
 
+def brute_delete(tables, references, table, gone):
+    """Deleting one row after another, following references: what is left."""
+    left = {t: dict(rows_) for t, rows_ in tables.items()}
+    todo = [(table, k) for k in gone if k in left[table]]
+    while todo:
+        t, k = todo.pop()
+        if left[t].pop(k, None) is None:
+            continue
+        for child, (parent, action) in references.items():
+            (of, _, column), (above, _, _) = child.partition("."), parent.partition(".")
+            for key_, row in list(left[of].items()) if above == t else ():
+                if row[column] == k and action == "cascade":
+                    todo.append((of, key_))
+                elif row[column] == k:
+                    row[column] = None
+    return left
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_deletes_cascade(spark, seed):
+    """Over several tables, one that refers to itself and two that refer to each other."""
+    rng = random.Random(seed)
+    references = {"b.a": ("a.id", "cascade"), "c.b": ("b.id", "cascade"), "a.up": ("a.id", "cascade"), "c.d": ("d.id", "set null"), "d.c": ("c.id", "cascade"), "b.d": ("d.id", "cascade"), "d.a": ("a.id", "set null")}
+    columns = {"a": ["up"], "b": ["a", "d"], "c": ["b", "d"], "d": ["c", "a"]}
+    tables = {t: {k: {c: rng.choice([None, *range(40)]) if rng.random() < 0.5 else None for c in cs} for k in range(40)} for t, cs in columns.items()}
+    frames = {t: spark.createDataFrame([(k, *[r[c] for c in columns[t]]) for k, r in rows_.items()], "id long, " + ", ".join(f"{c} long" for c in columns[t])) for t, rows_ in tables.items()}
+    gone = [1, 2, 3, 99]
+    keys = {t: ["id"] for t in tables}
+    dead = constraints.doomed(frames, references, keys, "a", spark.createDataFrame([(g,) for g in [*gone, 1]], "id long"))
+    left = constraints.after_delete(frames, references, keys, dead)
+    want = brute_delete({t: {k: dict(r) for k, r in rows_.items()} for t, rows_ in tables.items()}, references, "a", gone)
+    for t in tables:
+        got = {r["id"]: {c: r[c] for c in columns[t]} for r in left.get(t, frames[t]).collect()}
+        assert got == want[t], t
+        assert {r["id"] for r in dead[t].collect()} == set(tables[t]) - set(want[t]) if t in dead else len(want[t]) == 40
+    assert constraints.doomed(frames, references, keys, "a", spark.createDataFrame([(99,)], "id long")) == {}
+
+
+def test_store_deletes(spark):
+    spark.sql("DROP DATABASE IF EXISTS store_deletes CASCADE")
+    store.create(spark, "store_deletes")
+
+    def put(table, data):
+        rows_ = spark.createDataFrame(data)
+        for f in store.fields(table):
+            if f.name not in rows_.columns:
+                rows_ = rows_.withColumn(f.name, F.expr(f.default) if f.default else F.lit("0").cast(f.kind) if f.required and f.kind != "timestamp" else F.current_timestamp() if f.required else F.lit(None).cast(f.kind))
+        rows_.select(*[F.col(f.name).cast(f.kind) for f in store.fields(table)]).write.mode("append").insertInto(f"store_deletes.{table}")
+
+    put("sources", [{"id": "s1"}, {"id": "s2"}])
+    put("documents", [{"id": "d1", "source_id": "s1"}, {"id": "d2", "source_id": "s2"}])
+    put("document_chunks", [{"id": "k1", "document_id": "d1"}, {"id": "k2", "document_id": "d2"}])
+    put("claims", [{"id": "c1", "chunk_id": "k1"}, {"id": "c2", "chunk_id": "k2"}])
+    put("claim_keywords", [{"claim_id": c, "keyword": w} for c in ("c1", "c2") for w in "xy"])
+    put("evidence", [{"id": "e1", "source_id": "s1"}, {"id": "e2", "source_id": "s2"}])
+    put("graph_edges", [{"id": 1, "evidence_id": "e1"}, {"id": 2, "evidence_id": "e2"}])
+    dead = store.delete(spark, "store_deletes", "sources", spark.createDataFrame([("s1",), ("none",)], "id string"))
+    assert {t: rows(r) for t, r in dead.items()} == {"sources": [("s1",)], "documents": [("d1",)], "document_chunks": [("k1",)], "claims": [("c1",)], "claim_keywords": [("c1", "x"), ("c1", "y")], "evidence": [("e1",)]}
+    left = lambda t, *c: rows(spark.table(f"store_deletes.{t}").select(*c))
+    assert left("sources", "id") == [("s2",)] and left("claim_keywords", "claim_id", "keyword") == [("c2", "x"), ("c2", "y")]
+    assert left("graph_edges", "id", "evidence_id") == [(1, None), (2, "e2")]
+    assert store.delete(spark, "store_deletes", "sources", spark.createDataFrame([("s1",)], "id string")) == {}
+    order = constraints.parents_last(store.REFERENCES, store.tables())
+    assert all(order.index(c.partition(".")[0]) < order.index(p.partition(".")[0]) for c, (p, _) in store.REFERENCES.items())
+    spark.sql("DROP DATABASE store_deletes CASCADE")
+
+
 def test_store_takes_the_first_of_every_unique_value(spark):
     """Against inserting one after another, several unique values of a row at once."""
     import random
