@@ -27,9 +27,9 @@ whose members lie in different components is taken. No link between components
 is lost, and a tile that lies within one component costs nothing more.
 
 Large tiles are parted: in the first round by hash; in the second, by the rows
-counted there, into cells of bounded size. The commonest component's members
-are dealt out and the others visit each of their cells; the others meet each
-other in the cells of a triangular grid.
+counted there, into cells of at most about twice PART_ROWS rows. The commonest
+component's members and the others are dealt out, each part of the one meets each
+part of the other; the others meet each other in the cells of a triangular grid.
 """
 
 from __future__ import annotations
@@ -236,7 +236,7 @@ def tile_pairs(tile, n, pos, cid, label, home, cross, bits, earlier, num, den, e
     """Pairs (row numbers) of neighbouring rows of a tile that may be similar; rows come ordered by tile and size.
 
     everything: all pairs of different labels that have not met in an earlier tile (where `cross`, of different homes
-    alone); else two partners at most, the nearest by bitmap of the NEAR next in size and of the FIRST of the tile. pos: the n-gram's place in the order of each set.
+    alone; homes below 0 are the two sides of a cell, whose own rows are not compared at all); else two partners at most, the nearest by bitmap of the NEAR next in size and of the FIRST of the tile. pos: the n-gram's place in the order of each set.
     """
     new = np.concatenate([[True], tile[1:] != tile[:-1]])
     start = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -275,15 +275,37 @@ def tile_pairs(tile, n, pos, cid, label, home, cross, bits, earlier, num, den, e
         partners(np.flatnonzero(place >= 1), lambda rows, step: rows - 1 - step, NEAR)
         partners(np.flatnonzero(place >= 2), lambda rows, step: start[rows] + step, FIRST)
         return np.concatenate(left), np.concatenate(right)
-    live, d = np.flatnonzero(place >= 1), 1
+    def take(i, j):
+        """Keep the pairs of rows j before i that pass and have not met before."""
+        k, _ = passing(i, j)
+        fresh = [x for x in k if earlier(i[x]).isdisjoint(earlier(j[x]))]
+        left.append(i[fresh])
+        right.append(j[fresh])
+
+    live, d = np.flatnonzero((place >= 1) & ~(cross & (home < 0))), 1
     while len(live):
         live = live[place[live] >= d]
         live = live[den * n[live - d] >= num * n[live]]  # sizes only fall further back
-        k, _ = passing(live, live - d)
-        fresh = [x for x in k if earlier(live[x]).isdisjoint(earlier(live[x] - d))]
-        left.append(live[fresh])
-        right.append(live[fresh] - d)
+        take(live, live - d)
         d += 1
+    # Where two sides meet, each row of the smaller side is held against all of the other.
+    sides = np.flatnonzero(cross & (home < 0))
+    if len(sides):
+        cell = np.cumsum(new)[sides]
+        cell -= cell[0]
+        counts = np.bincount(cell, minlength=cell[-1] + 1)
+        low = np.bincount(cell, home[sides] == -2, minlength=len(counts)).astype(np.int64)
+        few = (home[sides] == -2) == (2 * low <= counts)[cell]
+        some, many, n_few = sides[few], sides[~few], np.bincount(cell[few], minlength=len(counts))
+        first = np.cumsum(n_few) - n_few
+        cell, d = cell[~few], 0
+        while len(many):
+            more = n_few[cell] > d
+            many, cell = many[more], cell[more]
+            if len(many):
+                other = some[first[cell] + d]
+                take(np.maximum(many, other), np.minimum(many, other))
+            d += 1
     return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
@@ -376,29 +398,33 @@ def live_tiles(classes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def cells(open_: DataFrame) -> DataFrame:
-    """The rows of open tiles dealt into cells (part) of about PART_ROWS rows: part, home, cross beside their columns.
+    """The rows of open tiles dealt into cells (part) of at most about twice PART_ROWS rows: part, home, cross beside their columns.
 
-    Of a large tile the commonest label's rows (main) are dealt out by hash, and all others visit each of those cells; among
-    themselves the others meet in the cells of a triangular grid over their homes. In a cell that is `cross` rows of one home are not compared.
+    Of a large tile the commonest label's rows (main) and all others are dealt out by hash; each part of the main rows (home
+    -1) meets each part of the others (home -2). Among themselves the others meet in the cells of a triangular grid over
+    their parts. In a cell that is `cross` rows of one home are not compared.
     """
     large = open_.groupBy("tile", "label").count().groupBy("tile").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("all")).where(F.col("all") > PART_ROWS)
     parts = lambda n: F.ceil(n / PART_ROWS).cast("int")
     large = large.select("tile", F.col("m.label").alias("main"), parts(F.col("m.count")).alias("mains"), parts(F.greatest(F.col("all") - F.col("m.count"), F.lit(1))).alias("others"))
-    mine = F.pmod(F.xxhash64("cid"), F.col("others")).cast("int")
+    mine = F.pmod(F.xxhash64("cid"), F.when(F.col("label") == F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
 
     def cell(part, home, cross):
         return F.struct(part.cast("int").alias("part"), home.cast("int").alias("home"), cross.alias("cross"))
 
+    def met(main, other, home):
+        return cell(main * F.col("others") + other, F.lit(home), F.lit(True))
+
     def grid(k):
         low, high = F.least(mine, k), F.greatest(mine, k)
-        return cell(F.col("mains") + (high * (high + 1) / 2).cast("int") + low, mine, mine != k)
+        return cell(F.col("mains") * F.col("others") + (high * (high + 1) / 2).cast("int") + low, mine, mine != k)
 
     visits = (
         F.when(F.col("main").isNull(), F.array(cell(F.lit(0), F.lit(0), F.lit(False))))
-        .when(F.col("label") == F.col("main"), F.array(cell(F.pmod(F.xxhash64("cid"), F.col("mains")), F.lit(0), F.lit(True))))
+        .when(F.col("label") == F.col("main"), F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: met(mine, k, -1)))
         .otherwise(
             F.concat(
-                F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda k: cell(k, F.lit(1), F.lit(True))),
+                F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda k: met(k, mine, -2)),
                 F.transform(F.sequence(F.lit(0), F.col("others") - 1), grid),
             )
         )
