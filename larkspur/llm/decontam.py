@@ -34,6 +34,8 @@ RATE = 0.1
 #: Bytes of benchmark text in one broadcast; larger benchmarks are searched part by part.
 PART_BYTES = 4 << 20
 PIECE = 1 << 18
+#: Shared q-grams, each with its item and diagonal, that are held at once; where a piece of text shares more, items and places are taken in blocks.
+MOST_SHARED = 1 << 21
 
 
 #: Stands between texts; no character has these numbers.
@@ -75,22 +77,34 @@ class Grams:
         place = np.concatenate([np.arange(len(p)) for p in parts])
         order = np.argsort(gram, kind="stable")
         self.item, self.place = item[order].astype(np.int32), place[order].astype(np.int32)
-        self.gram, self.first, self.count = np.unique(gram[order], return_index=True, return_counts=True)
+        self.gram, number, self.first, self.count = (np.unique(gram[order], return_index=True, return_inverse=True, return_counts=True)[k] for k in (0, 2, 1, 3))
+        # Entries are ordered by q-gram, then item: a range of items is a range of each q-gram's entries.
+        self.most = max(items, default=0)
+        self.key = number * (self.most + 1) + self.item
         self.filter = np.zeros(1 << self.FILTER_BITS, bool)
         self.filter[self._slot(self.gram)] = True
 
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return ((g * np.uint64(HASH)) >> np.uint64(64 - self.FILTER_BITS)).astype(np.int64)
 
-    def shared(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of each q-gram that x shares with an item."""
+    def hits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in x, number of the q-gram) of each place of x that holds some item's q-gram."""
         g = _grams(x, self.q)
         at = np.flatnonzero(self.filter[self._slot(g)])
         j = np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)
         same = self.gram[j] == g[at]
-        at, j = at[same], j[same]
-        times = self.count[j]
-        k = np.repeat(self.first[j] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        return at[same], j[same]
+
+    def within(self, j: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the entries of the q-grams j begin and end, of items low <= item < high alone."""
+        if low <= 0 and high > self.most:
+            return self.first[j], self.first[j] + self.count[j]
+        return np.searchsorted(self.key, j * (self.most + 1) + low), np.searchsorted(self.key, j * (self.most + 1) + high)
+
+    def shared(self, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, diagonal) of the entries begin..end-1 for each place at."""
+        times = end - begin
+        k = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
         return self.item[k].astype(np.int64), np.repeat(at, times) - self.place[k]
 
 
@@ -110,16 +124,33 @@ class Index:
         self.grams = [Grams(n, which, [self.chars[i] for i in which]) for n in sorted(set(q.tolist())) if (which := np.flatnonzero(q == n).tolist())]
 
     def regions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, band) whose shared q-grams reach the item's bound; band b holds diagonals b w <= d < (b + 2) w."""
-        items, bands = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        """(item, band) whose shared q-grams reach the item's bound; band b holds diagonals b w <= d < (b + 2) w.
+
+        Items that share a template with each other and the text share very many q-grams with it: where they are more than
+        MOST_SHARED, items are counted in blocks whose bands are about as many, and places in blocks of as many q-grams.
+        """
+        found = [np.empty(0, np.int64)]
         for grams in self.grams:
-            item, diagonal = grams.shared(x)
-            key = item << 40 | (diagonal // self.width[item] + (1 << 24))  # bands before the start are negative
-            key, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-            key = key[n >= self.need[key >> 40]]
-            items.append(key >> 40)
-            bands.append((key & ((1 << 40) - 1)) - (1 << 24))
-        return np.concatenate(items), np.concatenate(bands)
+            at, j = grams.hits(x)
+            edges = [0, len(self.size)]
+            if int(grams.count[j].sum()) > MOST_SHARED:
+                bands = np.cumsum((len(x) + self.size) // self.width + 2)
+                edges = [0, *(np.flatnonzero(np.diff(bands // MOST_SHARED)) + 1).tolist(), len(self.size)]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                begin, end = grams.within(j, low, high)
+                some = np.flatnonzero(end > begin)
+                parts = np.cumsum(end[some] - begin[some]) // MOST_SHARED
+                cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(some)]
+                key, n = np.empty(0, np.int64), np.empty(0, np.int64)
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    item, diagonal = grams.shared(at[some[a:b]], begin[some[a:b]], end[some[a:b]])
+                    more = item << 40 | (diagonal // self.width[item] + (1 << 24))  # bands before the start are negative
+                    more, times = np.unique(np.concatenate([more, more - 1]), return_counts=True)
+                    key, back = np.unique(np.concatenate([key, more]), return_inverse=True)
+                    n = np.bincount(back, np.concatenate([n, times]), len(key)).astype(np.int64)
+                found.append(key[n >= self.need[key >> 40]])
+        key = np.concatenate(found)
+        return key >> 40, (key & ((1 << 40) - 1)) - (1 << 24)
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) of passages within budget; of overlapping ones for an item, the best, ties to the first."""
@@ -224,6 +255,7 @@ def _in_pieces(batch, column):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, edits, start, end: a row for each passage of a document (doc_id, text) within the item's budget.
 
+    A piece of text is held against a bounded number of q-grams at a time, however many items share them.
     start and end are characters of the lower-cased text with single blanks. Null and empty texts hold nothing; repeated
     rows are searched each; null doc_ids stay null; an empty table gives no rows. Other columns are ignored.
     """
@@ -251,7 +283,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs, all their columns, that hold no passage of any item. Rows are judged where they are: no join, no shuffle."""
+    """The rows of docs, all their columns, that hold no passage of any item. Rows are judged where they are: no join, no shuffle.
+
+    Null and empty texts hold nothing and stay; repeated rows are judged each; an empty table gives no rows.
+    """
     at = docs.columns.index("text")
     schema = T.StructType(docs.schema.fields)
 
