@@ -37,13 +37,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/larkspur-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends here, and a lost executor loses nothing."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """A column name that meets none of the caller's, as Spark compares them."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def removed(df: DataFrame) -> None:
     """Delete a stored() table that nothing reads any more: what came of it is stored itself.
 

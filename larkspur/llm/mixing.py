@@ -31,6 +31,8 @@ TARGETS = {"src0": 4, "src1": 2, "src2": 2, "src3": 2, "src4": 2, REST: 28}
 BLOCK = 16
 #: Hash ranges of a component, and of all together: their counts are broadcast.
 RANGES, MOST_RANGES = 4096, 1 << 18
+#: Rows of one range that are put in order together.
+HEAVY = 50_000
 
 
 def checked(parts: dict[str, int]) -> dict[str, int]:
@@ -93,7 +95,8 @@ def mix(docs: DataFrame, parts: dict[str, int], block: int = BLOCK, id_col: str
 
     Sources not named in `parts` (null ones too) form the component "*"; where "*" has no parts, and where a source
     has none, its rows keep null slot and position: they are not due. Within a component rows go by a hash of their
-    id, then by id (null ids first), so that the order is the same on any layout; `block` rows make a block.
+    id (rows without id: of the whole row), then by id, so that the order is the same on any layout; `block` rows make a
+    block. Where an id repeats so often that more than HEAVY rows share its range, that range goes by hash of the row first.
     mix_slot orders the blocks, mix_position the rows. As long as every component still has blocks (mix_full) each
     has its target to within less than one block; from the slot at which one runs out, the others follow in the
     slots that remain theirs. Nothing is dropped or repeated. Repeated rows take places of their own; an empty
@@ -106,7 +109,9 @@ def mix(docs: DataFrame, parts: dict[str, int], block: int = BLOCK, id_col: str
     named = [n for n in parts if n != REST]
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     source = F.col(f"`{source_col}`").cast("string")
-    key = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    # Maps have no hash; written out, they have.
+    tie = F.xxhash64(F.to_json(F.struct(whole)) if "map<" in docs.select(whole).schema.simpleString() else whole)
+    key = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), tie.cast("string")))
     ranges = min(RANGES, MOST_RANGES // len(parts))
     # The caller's columns travel within one, so that their names meet no other.
     rows = docs.select(
@@ -114,17 +119,21 @@ def mix(docs: DataFrame, parts: dict[str, int], block: int = BLOCK, id_col: str
         (F.when(source.isin(named), source).otherwise(F.lit(REST)) if named else F.lit(REST)).alias("component"),
         key.alias("key"),
         F.col(f"`{id_col}`").alias("id"),
-        F.xxhash64(whole).alias("tie"),
+        tie.alias("tie"),
     ).withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * ranges / (1 << 32)).cast("int"))
-    # Rows before each hash range of a component: at most MOST_RANGES in all, or one a component.
+    # An id that a third of all rows have fills its range: such ranges are parted by the rows' hashes, the others stay whole.
+    counts = rows.groupBy("component", "range").agg((F.floor(F.count("*") / HEAVY) + 1).cast("int").alias("parts"))
+    heavy = counts.where("parts > 1")
+    rows = rows.join(F.broadcast(heavy), ["component", "range"], "left").withColumn("part", F.pmod("tie", F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    # Rows before each part of a hash range of a component: MOST_RANGES at most, or one a component, and a part for every HEAVY rows beyond.
     before = (
-        rows.groupBy("component", "range")
+        rows.groupBy("component", "range", "part")
         .count()
-        .withColumn("before", F.sum("count").over(W.partitionBy("component").orderBy("range").rowsBetween(W.unboundedPreceding, -1)))
-        .select("component", "range", F.coalesce("before", F.lit(0)).alias("before"), "count")
+        .withColumn("before", F.sum("count").over(W.partitionBy("component").orderBy("range", "part").rowsBetween(W.unboundedPreceding, -1)))
+        .select("component", "range", "part", F.coalesce("before", F.lit(0)).alias("before"), "count")
     )
-    within = W.partitionBy("component", "range").orderBy("key", "id", "tie")
-    rows = rows.withColumn("nth", F.row_number().over(within) - 1).join(F.broadcast(before.drop("count")), ["component", "range"])
+    within = W.partitionBy("component", "range", "part").orderBy("key", "id", "tie")
+    rows = rows.withColumn("nth", F.row_number().over(within) - 1).join(before.drop("count"), ["component", "range", "part"])
     rows = rows.withColumn("number", F.col("before") + F.col("nth"))
     rows = rows.withColumn("mix_block", F.floor(F.col("number") / block).cast("bigint"))
     plan = schedule(spark, parts).select("component", F.col("parts").alias("share"), F.col("nth").alias("turn"), "slot")
@@ -169,7 +178,7 @@ edf(slot, pick, nth, had) AS (
 ), d AS (
   SELECT doc_id, source, CASE WHEN source IN ({_NAMED}) THEN source ELSE '*' END AS component FROM documents
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY component ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS number FROM d
+  SELECT *, row_number() OVER (PARTITION BY component ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS number FROM d
 ), b AS (
   SELECT r.*, number // {BLOCK} AS block, t.c FROM r JOIN t USING (component)
 ), s AS (
