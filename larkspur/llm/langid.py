@@ -176,14 +176,14 @@ def language_sample(docs: DataFrame, learn: Column, most: int = MOST_TEXTS) -> l
     return [x for lang in sorted(out) for places in out[lang][:most] for x in places]
 
 
-def identify(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with lang_pred and lang_score (0 to 1) for each row.
+def identify(docs: DataFrame, net: Network, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """docs with lang_pred and lang_score (0 to 1) for each row; repeated rows get them each, an empty table gives no rows.
 
     Null texts, and texts without a letter, are `und` with score 0. Without training texts every row is `und`.
     Columns of those names are replaced; others stay.
     """
-    docs = docs.drop("lang_pred", "lang_score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     at = docs.columns.index("text")
     sent = shipped(docs.sparkSession, net)  # of fixed size
 
@@ -198,7 +198,7 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
                     for i, b, s in zip(some, *net.predict([texts[i].encode("utf-8", "replace") for i in some]), strict=True):
                         langs[first + i], scores[first + i] = net.languages[b], float(s)
             new = [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

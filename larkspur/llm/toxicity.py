@@ -189,10 +189,13 @@ def train(sample: list[tuple[str, int]], averaged: int = 30, steps: int = 90, ra
     return Model(embed, out, bias)
 
 
-def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with toxic_score (0 to 1) for each row; null and empty texts get the score of no words. A column of that name is replaced."""
+def score_toxicity(docs: DataFrame, model: Model, name: str = "toxic_score") -> DataFrame:
+    """docs with toxic_score (0 to 1) for each row; null and empty texts get the score of no words. A column of that name is replaced.
+
+    Very long texts are read to their end; repeated rows are scored each; an empty table gives no rows.
+    """
     sent = shipped(docs.sparkSession, model)  # of fixed size
-    return scored_with(docs, "toxic_score", lambda: sent().scorer())
+    return scored_with(docs, name, lambda: sent().scorer())
 
 
 def scored_with(docs: DataFrame, name: str, make) -> DataFrame:
