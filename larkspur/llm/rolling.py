@@ -24,14 +24,18 @@ statistics of the cells and decide work alone.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import removed, stored, table, whole_groups
+from larkspur.llm import common
+from larkspur.llm.common import removed, table, whole_groups
 
+stored = partial(common.stored, codec="zstd")
 HOUR = 3_600_000_000
 KEY = ["series", "g"]
 #: A series of more rows is hot: one task would not do.
