@@ -225,6 +225,31 @@ def test_jaccard_parted_tiles(spark, monkeypatch):
     assert rows(jaccard.similar_groups(df).select("doc_id", "n_shingles", "component_id")) == brute_groups(data)
 
 
+def test_no_cell_holds_a_large_tile(spark):
+    """A tile of 20,000 rows, almost all of them in components of their own: cells of about two parts, and all pairs of different components meet just once."""
+    n = 20_000
+    tile = spark.range(n).select(F.col("id").alias("cid"), F.lit(7).cast("long").alias("tile"), F.when(F.col("id") < 2, -1).otherwise(F.col("id")).alias("label"), F.lit(0).alias("part"))
+    dealt = jaccard.cells(tile)
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("home") == -1).alias("mains")).cache()
+    assert sizes.agg(F.max("n")).first()[0] <= 2.3 * jaccard.PART_ROWS and sizes.agg(F.sum("n")).first()[0] <= n * (n / jaccard.PART_ROWS + 3)
+    few = jaccard.cells(tile.where("cid < 1500").withColumn("label", F.when(F.col("cid") % 3 == 0, -1).otherwise(F.col("cid"))))
+    a, b = (few.select(F.col("part"), F.col("home").alias(f"home{x}"), F.col("cross"), F.col("cid").alias(x), F.col("label").alias(f"label{x}")) for x in "ab")
+    met = a.join(b, ["part", "cross"]).where("a < b AND labela <> labelb AND NOT (cross AND homea = homeb)").groupBy("a", "b").count()
+    assert met.where("count > 1").count() == 0 and met.count() == 1500 * 1499 // 2 - 500 * 499 // 2
+
+
+def test_two_sides_of_a_cell():
+    """Only rows of opposite homes are held against each other, whichever side is larger."""
+    rng = np.random.default_rng(3)
+    for mains in (1, 5, 30):
+        n = 40
+        size = np.sort(rng.integers(20, 26, size=n)).astype(np.int64)
+        home = np.where(rng.permutation(n) < mains, -1, -2)
+        bits = [b"\0" * 64] * n
+        i, j = jaccard.tile_pairs(np.zeros(n, np.int64), size, np.zeros(n, np.int64), np.arange(n), np.arange(n), home, np.ones(n, bool), bits, lambda x: frozenset(), 80, 100, True)
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted((x, y) for x in range(n) for y in range(x) if home[x] != home[y] and 100 * size[y] >= 80 * size[x])
+
+
 def test_bitmaps_bound():
     rng = np.random.default_rng(2)
     for n, m in ((10, 10), (300, 350), (3000, 2500)):
@@ -247,9 +272,42 @@ def test_components(spark):
     assert got == parent
 
 
+# -- rows that repeat, and maps, in the mixture --------------------------------
+
+
+def test_mix_spreads_rows_without_id_and_repeated_ids(spark, monkeypatch):
+    """A third of the rows has no id and a third one id: no window holds more than a part of them, and the places are gapless."""
+    monkeypatch.setattr(mixing, "HEAVY", 100)
+    data = spark.range(6000).select(F.when(F.col("id") % 3 == 1, 5).when(F.col("id") % 3 == 2, F.col("id")).alias("doc_id"), F.lit("x").alias("source"), F.create_map(F.lit("k"), F.col("id")).alias("m"), F.col("id").alias("part"), F.lit(1).alias("range"))
+    out = mixing.mix(data, {"*": 1}, block=4)
+    assert out.columns[:5] == data.columns
+    assert sorted(r["mix_position"] for r in out.collect()) == list(range(6000))
+    first = {r["part"]: r["mix_position"] for r in out.collect()}
+    assert first == {r["part"]: r["mix_position"] for r in mixing.mix(data.repartition(7), {"*": 1}, block=4).collect()}
+    nulls = [first[k] for k in range(0, 6000, 3)]
+    assert max(nulls) - min(nulls) > 5000  # not in one range
+
+
 # -- decontamination ---------------------------------------------------------
 
 
+def test_templates_are_counted_in_blocks(monkeypatch):
+    """Items of one template share almost all q-grams: in blocks of a few thousand the passages are the same."""
+    rng = random.Random(6)
+    items = [(k, f"the answer to question number {rng.randrange(10**6)} of this long list of questions is {rng.randrange(10**9)}") for k in range(120)]
+    texts = [" ".join(t for _, t in items[k : k + 20]).upper() + " and nothing else" for k in range(0, 60, 20)] + ["the answer to question " * 40, items[77][1].replace("long", "lng"), "aaaa" * 300]
+    items += [(500, "a" * 90), (501, "short")]
+    index = decontam.Index(items)
+    whole = index.matches([decontam.plain(t) for t in texts])
+    assert {(t, i) for t, i, *_ in whole} >= {(t, k) for t in range(3) for k in range(20 * t, 20 * t + 20)} | {(4, 77)}
+    held = []
+    shared = decontam.Grams.shared
+    monkeypatch.setattr(decontam.Grams, "shared", lambda self, *a: held.append(len((out := shared(self, *a))[0])) or out)
+    monkeypatch.setattr(decontam, "MOST_SHARED", 3000)
+    assert index.matches([decontam.plain(t) for t in texts]) == whole
+    assert len(held) > 50 and max(held) <= 3000 + 2 * max(int(g.count.max()) for g in index.grams)
+
+
 def brute_distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):

@@ -60,5 +60,13 @@ def test_language_stage_keeps_clear_documents(spark, sf):
     assert mixing.TARGETS and langid.UNKNOWN == "und"
 
 
-def test_stage_list():
-    assert [k for k, _ in p.STAGES] == ["toxicity", "language", "near_duplicates", "decontamination", "mixing"]
+def test_the_caller_s_columns_stay(spark, sf):
+    """Columns that are named like what the stages make come back as they were, a map among them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").withColumns({c: F.concat(F.lit(f"my {c} "), F.col("doc_id")) for c in ("row_key", "toxic_score", "Lang_pred", "lang_score", "component_id", "edits")})
+    docs = docs.withColumn("m", F.create_map(F.lit("k"), "doc_id"))
+    now = docs
+    for name, stage in p.STAGES:
+        now = stored(stage(spark, now, sf), "pipeline-columns")
+        assert now.columns[: len(docs.columns)] == docs.columns, name
+    mine = {r["doc_id"]: r for r in docs.collect()}
+    assert now.count() > 10 and all(tuple(r)[: len(docs.columns)] == tuple(mine[r["doc_id"]]) for r in now.collect())
