@@ -11,17 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontam, jaccard, langid, mixing, toxicity
-from larkspur.llm.common import fold, stored, table
+from larkspur.llm.common import fold, free, stored, table
 
 #: Texts whose language is told with less certainty than this are rejected, with those that have no letter.
 LEAST_CERTAIN = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under the threshold. The model learns from the labelled ones of three folds in four."""
+    """Documents whose toxicity is under the threshold. The model learns from the labelled ones of three folds in four. All the caller's columns stay as they are."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
-    scored = toxicity.score_toxicity(docs, model)
-    return scored.where(F.col("toxic_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = free("toxic_score", docs.columns)
+    return toxicity.score_toxicity(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     net = langid.train(langid.language_sample(docs, fold(F.col("doc_id"), 3) != 1))
     if not net.languages:  # nothing to learn from: only texts without a letter are known to have no language
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = langid.identify(docs, net)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= LEAST_CERTAIN)).select(*docs.columns)
+    pred, score = (free(c, docs.columns) for c in ("lang_pred", "lang_score"))
+    return langid.identify(docs, net, (pred, score)).where((F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST_CERTAIN)).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +39,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Groups are of rows, told apart by a key of their own: rows that share an id, or have none, are one group only
     where their texts are alike. Rows without doc_id come after all others of their group.
     """
-    keyed = stored(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
-    groups = jaccard.similar_groups(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    key = free("row_key", docs.columns)
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    groups = jaccard.similar_groups(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(key).alias("key"))
     # Only ids are grouped and joined with the texts.
-    keep = keyed.select("row_key", "doc_id").join(groups, "row_key").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row_key")
+    keep = keyed.select(key, "doc_id").join(groups, key).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.key").alias(key))
     keep = stored(keep, "keep")
     keep = F.broadcast(keep) if keep.count() <= jaccard.BROADCAST_ROWS else keep
-    return keyed.join(keep, "row_key", "left_semi").select(*docs.columns)
+    return keyed.join(keep, key, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
