@@ -14,6 +14,8 @@ from larkspur.functions.binding import computed
 from larkspur.functions.robots import robots_allowed
 from larkspur.functions.sql import register
 from larkspur.operators import constraints, engine, frontier, fts, graph, index, rank
+from larkspur.operators.lineage import shared_folder
+from larkspur.operators.segmented import SegmentedIndex
 from larkspur.sources import store, telemetry
 from larkspur.sources.pages import FetchLimits, fetched
 from larkspur.streaming.streams import windowed_events
@@ -96,6 +98,19 @@ def bm25_native_tombstone(spark, sf):
     return rounded(rank.scores(built.removed(built.docs.where(REMOVED).select("id")), QUERY))
 
 
+def bm25_segmented(spark, sf):
+    """The ranking of bm25_native_tombstone from a stored index: documents come in three segments, some twice, some are removed between, and all is merged."""
+    held = SegmentedIndex(spark, shared_folder(spark, "bm25-segmented"))
+    rows = documents(spark, sf)
+    for part in (0, 1):
+        held.add(rows.where(F.col("id") % 3 == part))
+        held.remove(rows.where(REMOVED).select("id"))
+    held.add(rows)  # those of the first two parts are there, or were
+    held.remove(rows.where(REMOVED).select("id"))
+    held.merge(everything=True)
+    return rounded(held.search(QUERY).hits)
+
+
 def bm25_repeat_terms(spark, sf):
     return rounded(rank.scores(index.build(documents(spark, sf)), REPEATED))
 
@@ -695,7 +710,7 @@ def store_delete(spark, sf):
 
 
 NAMES = (
-    "tokenize_ascii tokenize_unicode term_freq doc_freq doc_length corpus_stats postings_binary bm25_native bm25_native_boost bm25_native_tombstone "
+    "tokenize_ascii tokenize_unicode term_freq doc_freq doc_length corpus_stats postings_binary bm25_native bm25_native_boost bm25_native_tombstone bm25_segmented "
     "bm25_repeat_terms bm25_binary search_results_join vector_cosine fts_phrase fts_prefix fts_boolean fts_near html_title html_text html_links page_extract "
     "url_canonical url_policy url_resolve link_frontier_dedup frontier_bounded frontier_depth_min crawl_closed_world fetch_filter robots_decision "
     "segment_documents segment_counts content_dedup chunk_hash_dedup graph_valid_edges graph_orphans graph_self_loops graph_runtime_edges graph_kind_counts graph_evidence_link crawl_events "

@@ -243,6 +243,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_native": top(bm25(NATIVE, c.QUERY)),
         "bm25_native_boost": top(bm25(PAGES, c.PAGE_QUERY, boost=" + 0.25 * len(list_filter(d.tt, lambda x: x = q.term)) + 0.1 * len(list_filter(d.ut, lambda x: x = q.term))")),
         "bm25_native_tombstone": top(bm25(NATIVE, c.QUERY, active="d.id % 7 <> 3")),
+        "bm25_segmented": top(bm25(NATIVE, c.QUERY, active="d.id % 7 <> 3")),
         "bm25_repeat_terms": top(bm25(NATIVE, c.REPEATED)),
         "bm25_binary": top(bm25(BINARY, c.QUERY, "unicode")),
         "search_results_join": f"WITH {bm25(PAGES_BINARY, c.PAGE_QUERY, 'unicode')} SELECT r.id AS doc_id, score, url, title FROM r JOIN d ON d.id = r.id WHERE score > 0 ORDER BY score DESC, r.id LIMIT 10",
