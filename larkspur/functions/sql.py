@@ -74,8 +74,16 @@ BODIES = {
 }
 
 
+#: Table functions, for use with LATERAL.
+TABLES = {
+    "page_links(h STRING) RETURNS TABLE(nth INT, link STRING)": "SELECT n, x FROM (SELECT html_links(h) AS l) LATERAL VIEW posexplode(l) e AS n, x",
+    "segments_of(t STRING) RETURNS TABLE(index INT, kind STRING, start BIGINT, length BIGINT)": "SELECT s.index, s.kind, s.start, s.length FROM (SELECT text_segments(t) AS l) LATERAL VIEW explode(l) e AS s",
+    "tokens_of(t STRING) RETURNS TABLE(nth INT, token STRING)": "SELECT n, x FROM (SELECT ascii_tokens(t) AS l) LATERAL VIEW posexplode(l) e AS n, x",
+}
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Create the functions for this session; returns their names."""
-    for head, body in BODIES.items():
+    """Create the functions, scalar and table ones, for this session; returns their names."""
+    for head, body in {**BODIES, **TABLES}.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    return [head.partition("(")[0] for head in BODIES]
+    return [head.partition("(")[0] for head in [*BODIES, *TABLES]]

@@ -1,7 +1,8 @@
 """Full-text predicates and ranking over positional postings: terms, prefixes, phrases, NEAR, boolean combinations, columns.
 
-Words are runs of letters and digits, lower-cased, without the diacritics of
-Latin letters. Each predicate gives the ids of the documents that meet it. With
+Words are runs of letters and digits with their combining marks, lower-cased,
+without marks and without the diacritics of Latin letters, which Unicode's
+decompositions name. Each predicate gives the ids of the documents that meet it. With
 several columns a posting has the number of its column; `within` narrows a
 predicate to some of them.
 """
@@ -9,27 +10,46 @@ predicate to some of them.
 from __future__ import annotations
 
 import math
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Latin letters with diacritics and the letters they are searched as, place by place.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def _folded() -> tuple[str, str]:
+    """Lower-case Latin letters that decompose into a plain one and marks, with the plain ones, and after them the marks themselves."""
+    letters = [chr(c) for r in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in r]
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in letters if c == c.lower()]
+    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and all(unicodedata.category(x) == "Mn" for x in d[1:])]
+    return "".join(c for c, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(d for _, d in pairs)
+
+
+#: Latin letters with diacritics and the letters they are searched as, place by place; what stands beyond, the combining marks, goes.
+ACCENTED, PLAIN = _folded()
 
 
 def words(text: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[0-9A-Za-z\x{AA}-\x{10FFFF}&&[\p{L}\p{N}]]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}][\p{L}\p{N}\x{300}-\x{36F}]*"), F.lit(0))
     return F.transform(found, lambda w: F.translate(w, ACCENTED, PLAIN))
 
 
-def positions(docs: DataFrame, id_col: str, text_col: str | list[str] = "text") -> DataFrame:
-    """id, col (the column's number), pos (from 0 in each column), word. Null columns have no words."""
+def positions(docs: DataFrame, id_col: str, text_col: str | list[str] = "text", only: list[str] | None = None, prefixes: list[str] | None = None) -> DataFrame:
+    """id, col (the column's number), pos (from 0 in each column), word. Null columns have no words.
+
+    only, prefixes: words, and beginnings of words, that the predicates to come ask for: no row is made of any other.
+    """
     names = [text_col] if isinstance(text_col, str) else text_col
-    parts = F.array(*[F.struct(F.lit(i).alias("col"), words(F.coalesce(F.col(c), F.lit(""))).alias("ws")) for i, c in enumerate(names)])
-    return docs.select(F.col(id_col).alias("id"), F.explode(parts).alias("p")).select("id", "p.col", F.posexplode("p.ws").alias("pos", "word"))
+
+    def places(text: Column) -> Column:
+        all_ = F.transform(words(F.coalesce(text, F.lit(""))), lambda w, i: F.struct(i.cast("int").alias("pos"), w.alias("word")))
+        if only is None and prefixes is None:
+            return all_
+        asked = [lambda x: x["word"].isin(list(dict.fromkeys(only or [])))] + [lambda x, p=p: x["word"].startswith(p) for p in prefixes or []]
+        return F.filter(all_, lambda x: reduce(lambda m, test: m | test(x), asked[1:], asked[0](x)))
+
+    parts = F.array(*[F.struct(F.lit(i).alias("col"), places(F.col(c)).alias("ws")) for i, c in enumerate(names)])
+    return docs.select(F.col(id_col).alias("id"), F.explode(parts).alias("p")).select("id", "p.col", F.inline("p.ws"))
 
 
 def within(rows: DataFrame, *columns: int) -> DataFrame:

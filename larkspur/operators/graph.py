@@ -129,3 +129,19 @@ def with_evidence(edges: DataFrame, evidence: DataFrame) -> DataFrame:
 def neighbours(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(id) reached from `start` (id) over one edge, in its direction."""
     return edges.join(start.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+
+
+def reach(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, steps) of all that is reached from `start` (id, steps 0) along edges (src, dst), by the fewest steps, `most` at most.
+
+    A step follows the edges of what the step before found first, and of nothing else; it is stored. A circle ends by itself.
+    """
+    edges = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
+    front = cut(start.select("id").where("id IS NOT NULL").distinct().withColumn("steps", F.lit(0)))
+    seen, steps = front, 0
+    while (most is None or steps < most) and not front.isEmpty():
+        steps += 1
+        found = edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        front = cut(found.join(seen.select("id"), "id", "left_anti").withColumn("steps", F.lit(steps)))
+        seen = seen.unionByName(front)
+    return seen

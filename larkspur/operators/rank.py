@@ -121,3 +121,12 @@ def titled(index: Index, hits: DataFrame, k: int) -> DataFrame:
     """hits (id, score), at most k, with url and title of their documents; they are broadcast, unless the caller asks for very many."""
     hits = F.broadcast(hits) if k <= BROADCAST_ROWS else hits
     return index.docs.select("id", "url", "title").join(hits, "id").select("id", "score", "url", "title")
+
+
+def domains(docs: DataFrame, keywords: DataFrame) -> DataFrame:
+    """id, domain, weight of docs (id, text): the summed weights of a domain's keywords (domain, keyword, weight) that the text holds, each once.
+
+    One scan of the texts; of the keywords Spark broadcasts as many as it may. A keyword is one token of the ascii profile.
+    """
+    terms = docs.select("id", F.explode(F.array_distinct(ascii_tokens(F.col("text")))).alias("keyword"))
+    return terms.join(keywords, "keyword").groupBy("id", "domain").agg(F.sum("weight").alias("weight"))

@@ -45,13 +45,14 @@ class Busy(Exception):
 
 @dataclass(frozen=True)
 class Manifest:
-    """version; segments [(name, number of documents)]; names of tombstone files; documents in all, and the length of those not removed."""
+    """version; segments [(name, number of documents)]; names of tombstone files; documents in all, and the length of those not removed; the last batch added of each stream."""
 
     version: int
     segments: tuple[tuple[str, int], ...]
     gone: tuple[str, ...]
     n_docs: int
     total_length: int
+    batches: tuple[tuple[str, int], ...] = ()
 
     @property
     def avgdl(self) -> float:
@@ -89,11 +90,11 @@ class SegmentedIndex:
             return Manifest(0, (), (), 0, 0)
         text = self.spark.read.text(f"{self.path}/manifest-{max(versions)}", wholetext=True).first()[0]
         held = json.loads(text)
-        return Manifest(max(versions), tuple((n, k) for n, k in held["segments"]), tuple(held["gone"]), held["n_docs"], held["total_length"])
+        return Manifest(max(versions), tuple((n, k) for n, k in held["segments"]), tuple(held["gone"]), held["n_docs"], held["total_length"], tuple((n, k) for n, k in held["batches"]))
 
     def _commit(self, now: Manifest) -> Manifest:
         """Make `now` the manifest of its version; Busy where that version is there already."""
-        text = json.dumps({"segments": now.segments, "gone": now.gone, "n_docs": now.n_docs, "total_length": now.total_length})
+        text = json.dumps({"segments": now.segments, "gone": now.gone, "n_docs": now.n_docs, "total_length": now.total_length, "batches": now.batches})
         tmp, fs = self._hadoop(f"writing-{uuid.uuid4().hex}")
         out = fs.create(tmp, False)
         out.write(bytearray(text.encode()))
@@ -143,8 +144,8 @@ class SegmentedIndex:
 
     # -- changes -------------------------------------------------------------------
 
-    def add(self, docs: DataFrame, order: Column | None = None) -> Manifest:
-        """Add documents (id, text, and url and title where they have them) as a segment.
+    def add(self, docs: DataFrame, order: Column | None = None, batch: tuple[str, int] | None = None) -> Manifest:
+        """Add documents (id, text, and url and title where they have them) as a segment; `batch` (stream, number) is noted in the same commit.
 
         Refused are documents without id (or 0) or text, all but the first of an id in `order`, and ids that the index has or
         had. Where none is left, nothing changes.
@@ -158,11 +159,12 @@ class SegmentedIndex:
         name = f"s{uuid.uuid4().hex}"
         rows = cut(rows.select("id", "url", "title", tokens(F.col("text"), self.profile).alias("tokens")))
         many, length = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+        batches = was.batches if batch is None else (*[x for x in was.batches if x[0] != batch[0]], batch)
         if not many:
-            return was
+            return was if batches == was.batches else self._commit(Manifest(was.version + 1, was.segments, was.gone, was.n_docs, was.total_length, batches))
         entries = rows.select("id", F.size("tokens").alias("length"), F.explode("tokens" if self.profile == "ascii" else F.array_distinct("tokens")).alias("term"))
         self._write(name, rows.select("id", "url", "title", F.size("tokens").alias("length")), entries.withColumn("tf", F.lit(1)), many)
-        return self._commit(Manifest(was.version + 1, (*was.segments, (name, many)), was.gone, was.n_docs + many, was.total_length + length))
+        return self._commit(Manifest(was.version + 1, (*was.segments, (name, many)), was.gone, was.n_docs + many, was.total_length + length, batches))
 
     def remove(self, ids: DataFrame) -> Manifest:
         """Mark documents (id) as removed. Ids that the index lacks, or that are removed already, change nothing."""
@@ -173,7 +175,7 @@ class SegmentedIndex:
         many, length = self._read("gone", [name], GONE).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         if not many:
             return was
-        return self._commit(Manifest(was.version + 1, was.segments, (*was.gone, name), was.n_docs, was.total_length - length))
+        return self._commit(Manifest(was.version + 1, was.segments, (*was.gone, name), was.n_docs, was.total_length - length, was.batches))
 
     def merge(self, everything: bool = False) -> Manifest:
         """Merge the segments of the lowest tier that has SEGMENTS of them (or all), and the tombstone files. Counts stay as they are."""
@@ -195,7 +197,7 @@ class SegmentedIndex:
         if len(gone) > 1:
             gone = (f"g{uuid.uuid4().hex}",)
             self._read("gone", list(was.gone), GONE).write.parquet(f"{self.path}/gone/{gone[0]}")
-        return self._commit(Manifest(was.version + 1, (*[s for s in was.segments if s[0] not in names], (name, many)), gone, was.n_docs, was.total_length))
+        return self._commit(Manifest(was.version + 1, (*[s for s in was.segments if s[0] not in names], (name, many)), gone, was.n_docs, was.total_length, was.batches))
 
     def _write(self, name: str, docs: DataFrame, entries: DataFrame, many: int) -> None:
         """A segment's files. entries (term, id, length, tf) are summed by term and id, then laid out by term in blocks; a block has as many rows as documents at most."""

@@ -174,8 +174,8 @@ def vector_cosine(spark, sf):
 # -- full text ---------------------------------------------------------------
 
 
-def _positions(spark, sf):
-    return fts.positions(documents(spark, sf), "id")
+def _positions(spark, sf, words, prefixes=None):
+    return fts.positions(documents(spark, sf), "id", only=words, prefixes=prefixes)
 
 
 def _ids(rows):
@@ -183,21 +183,21 @@ def _ids(rows):
 
 
 def fts_phrase(spark, sf):
-    return _ids(fts.phrase(_positions(spark, sf), PHRASE))
+    return _ids(fts.phrase(_positions(spark, sf, PHRASE), PHRASE))
 
 
 def fts_prefix(spark, sf):
-    return _ids(fts.prefix(_positions(spark, sf), "worth"))
+    return _ids(fts.prefix(_positions(spark, sf, None, ["worth"]), "worth"))
 
 
 def fts_boolean(spark, sf):
     met = (F.col("a") & F.col("b") | F.col("m")) & ~F.col("i")
-    return _ids(fts.boolean(_positions(spark, sf), met, a="worthless", b="the", m="moron", i="idiot"))
+    return _ids(fts.boolean(_positions(spark, sf, ["worthless", "the", "moron", "idiot"]), met, a="worthless", b="the", m="moron", i="idiot"))
 
 
 def fts_column(spark, sf):
     """A word in one column of several."""
-    rows = fts.positions(read(spark, sf, "documents").where("doc_id <> 0"), "doc_id", ["source", "lang", "text"])
+    rows = fts.positions(read(spark, sf, "documents").where("doc_id <> 0"), "doc_id", ["source", "lang", "text"], only=["en"])
     return _ids(fts.but_not(fts.term(fts.within(rows, 2), "en"), fts.term(fts.within(rows, 1), "en")))
 
 
@@ -209,7 +209,7 @@ def fts_rank(spark, sf):
 
 
 def fts_near(spark, sf):
-    return _ids(fts.near(_positions(spark, sf), *NEAR))
+    return _ids(fts.near(_positions(spark, sf, list(NEAR[:2])), *NEAR))
 
 
 # -- pages and URLs ----------------------------------------------------------
@@ -496,6 +496,29 @@ def graph_evidence_link(spark, sf):
     return graph.with_evidence(edges, evidence).select("edge_id", "source", "lang", "claim", "classification")
 
 
+def graph_reach(spark, sf):
+    """Customers and parts of a graph of orders' lines: what four of the first suppliers reach within three steps, with the fewest."""
+    lines = read(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    supplies = lines.select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    back = lines.where(F.col("l_partkey") % 5 == 0).select((F.col("l_partkey") * 2 + 1).alias("src"), (F.col("l_suppkey") * 2).alias("dst"))
+    start = read(spark, sf, "supplier").where("s_suppkey <= 4").select((F.col("s_suppkey") * 2).alias("id"))
+    return graph.reach(supplies.unionByName(back), start, 3)
+
+
+def lateral_links(spark, sf):
+    """Links and targets of pages through the SQL table functions."""
+    register(spark)
+    read(spark, sf, "pages").createOrReplaceTempView("larkspur_pages")
+    return spark.sql("SELECT page_id, nth, link, url_resolve(url, link) AS target FROM larkspur_pages, LATERAL page_links(html)")
+
+
+def lateral_segments(spark, sf):
+    """Segments of the turns of conversations through the SQL table function, by kind."""
+    register(spark)
+    read(spark, sf, "conversations").createOrReplaceTempView("larkspur_turns")
+    return spark.sql("SELECT kind, count(*) AS n, sum(length) AS total_bytes, max(start + length) AS longest FROM larkspur_turns, LATERAL segments_of(text) GROUP BY kind")
+
+
 def crawl_events(spark, sf):
     """Telemetry of a crawl over all pages: what was tried, by outcome."""
     rows = read(spark, sf, "pages").where("url IS NOT NULL")
@@ -654,11 +677,10 @@ KEYWORDS = (("insults", "idiot", 1.0), ("insults", "moron", 0.5), ("insults", "w
 
 
 def keyword_domain_match(spark, sf):
-    """Weights of the keywords that documents hold, by domain: one scan, the keywords being broadcast."""
-    table = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(k).alias("term"), F.lit(w).alias("weight")) for d, k, w in KEYWORDS])
+    """Weights of the keywords that documents hold, by domain."""
+    table = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(k).alias("keyword"), F.lit(w).alias("weight")) for d, k, w in KEYWORDS])
     words = spark.range(1).select(F.explode(table).alias("k")).select("k.*")
-    terms = documents(spark, sf).select("id", F.explode(F.array_distinct(tx.ascii_tokens(F.col("text")))).alias("term"))
-    return terms.join(F.broadcast(words), "term").groupBy(F.col("id").alias("doc_id"), "domain").agg(F.sum("weight").alias("weight"))
+    return rank.domains(documents(spark, sf), words).withColumnRenamed("id", "doc_id")
 
 
 LAYOUTS = ((10, 4, 2, 2, 8), (32000, 4096, 32, 8, 11008), (0, 4, 2, 2, 8), (4294967295, 4294967295, 4294967295, 1, 1))
@@ -718,7 +740,7 @@ NAMES = (
     "constraint_violations role_violations unique_violations fk_orphans fk_cascade fk_set_null latest_fetch_per_source conversation_messages "
     "keyword_domain_match model_layout index_first_wins bm25_first_wins bm25_parameters document_lookup document_count fts_column fts_rank fetch_limits "
     "crawl_documents crawl_depths crawl_capped url_resolve_sql segments_sql robots_pages frontier_pop graph_find graph_neighbours graph_runtime graph_runtime_capped "
-    "store_insert store_delete model_sizes"
+    "store_insert store_delete model_sizes graph_reach lateral_links lateral_segments"
 )
 
 

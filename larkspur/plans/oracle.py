@@ -316,5 +316,8 @@ def oracle_sql() -> dict[str, str]:
         "graph_runtime_capped": runtime(20, 30, 40),
         "store_insert": STORE_INSERT,
         "store_delete": STORE_DELETE,
+        "graph_reach": "WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey * 2 AS s, l_partkey * 2 + 1 AS p FROM lineitem), e AS (SELECT s AS src, p AS dst FROM l UNION ALL SELECT p, s FROM l WHERE (p - 1) // 2 % 5 = 0), r(id, steps) AS (SELECT s_suppkey * 2, 0 FROM supplier WHERE s_suppkey <= 4 UNION SELECT dst, steps + 1 FROM r JOIN e ON src = id WHERE steps < 3) SELECT id, min(steps) AS steps FROM r GROUP BY id",
+        "lateral_links": f"WITH {LINKS} SELECT page_id, CAST(nth AS INTEGER) AS nth, ref AS link, target FROM t",
+        "lateral_segments": f"SELECT {KIND} AS kind, count(*) AS n, CAST(sum(strlen(s)) AS BIGINT) AS total_bytes, CAST(max(e) AS BIGINT) AS longest FROM (SELECT s, sum(strlen(s)) OVER (PARTITION BY k ORDER BY i) AS e FROM (SELECT k, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT row_number() OVER () AS k, {SEGMENTS.format(x='text')} AS l FROM conversations))) GROUP BY 1",
         "model_sizes": "SELECT p_partkey, CAST(CASE WHEN f <= 9223372036854775807 THEN f END AS BIGINT) AS floats, CAST(CASE WHEN 4 * f <= 9223372036854775807 THEN 4 * f END AS BIGINT) AS bytes FROM (SELECT p_partkey, CASE WHEN least(v, e, n, k, h) > 0 THEN n * (2 * e * e + 3 * h * e + 2 * k * e + 2 * e) + 2 * v * e + e END AS f FROM (SELECT p_partkey, CAST(p_partkey * 1009 AS HUGEINT) AS v, CAST(p_size * 12345 AS HUGEINT) AS e, CAST(p_size AS HUGEINT) AS n, CAST(p_size * 256 AS HUGEINT) AS k, CAST(p_partkey * 1000003 AS HUGEINT) AS h FROM part))",
     }

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from larkspur.functions.evidence import DECISIONS
+from larkspur.operators.frontier import MOST_URL
 from larkspur.operators.index import accepted, tokens
+from larkspur.operators.segmented import SegmentedIndex
 from larkspur.sources.telemetry import SCHEMA, stats_by_name
 
 
@@ -22,6 +28,58 @@ def new_urls(arrivals: DataFrame, within: str | None = None) -> DataFrame:
     return rows.withWatermark("at", within).dropDuplicatesWithinWatermark(["url"]) if within else rows.dropDuplicates(["url"])
 
 
+def queue_steps(events: list[tuple], waiting: list[tuple[str, int]], capacity: int) -> list[tuple]:
+    """(seq, op, url, depth, decision) of events (seq, op, url, depth) on a bounded queue, whose contents `waiting` change in place.
+
+    An enqueue is decided in this order: null or empty is INVALID_URL, a full queue FRONTIER_FULL, too many bytes INVALID_URL,
+    a URL that waits now DUPLICATE, all else ALLOW. A pop gives the first that waits, decided ALLOW, or nothing, decided EMPTY:
+    what has left may come again.
+    """
+    out, there = [], {url for url, _ in waiting}
+    for seq, op, url, depth in events:
+        if op == "pop":
+            url, depth = waiting.pop(0) if waiting else (None, None)
+            there.discard(url)
+            decision = "EMPTY" if url is None else DECISIONS[0]
+        elif not url:
+            decision = DECISIONS[2]
+        elif len(waiting) >= capacity:
+            decision = DECISIONS[3]
+        elif len(url.encode()) >= MOST_URL:
+            decision = DECISIONS[2]
+        elif url in there:
+            decision = DECISIONS[4]
+        else:
+            decision = DECISIONS[0]
+            waiting.append((url, depth))
+            there.add(url)
+        out.append((seq, op, url, depth, decision))
+    return out
+
+
+def queue_stream(events: DataFrame, capacity: int) -> DataFrame:
+    """Decisions of bounded queues over a stream of events: queue, seq, op, url, depth, decision.
+
+    events: queue (which of many: a host, a shard of hosts), seq (whole number, rising over the batches of a queue), op
+    ("enqueue" or "pop"), url, depth. A queue's state is what waits in it, `capacity` items at most; queues are spread over
+    tasks. Within a batch a queue's events go by seq.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else ([], [])
+        waiting = list(zip(*held, strict=True))
+        rows = sorted((r for b in batches for r in b[["seq", "op", "url", "depth"]].itertuples(index=False, name=None)), key=lambda r: r[0])
+        rows = [(int(s), op, url if isinstance(url, str) else None, None if depth is None or depth != depth else int(depth)) for s, op, url, depth in rows]
+        done = queue_steps(rows, waiting, capacity)
+        state.update(([u for u, _ in waiting], [d for _, d in waiting]))
+        out = pd.DataFrame(done, columns=["seq", "op", "url", "depth", "decision"]).astype({"depth": "Int32"})
+        out.insert(0, "queue", key[0])
+        yield out
+
+    schema = "queue string, seq bigint, op string, url string, depth int, decision string"
+    return events.groupBy(F.col("queue").cast("string").alias("queue")).applyInPandasWithState(step, schema, "urls array<string>, depths array<int>", "append", "NoTimeout")
+
+
 def windowed_events(events: DataFrame, late: str = "10 minutes", window: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Counts and sums of events (ts, event_type, value) by window and type; ts is taken as UTC, and older rows than `late` may be dropped from streams."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
@@ -81,3 +139,30 @@ def stream_stats(spark: SparkSession, path: str) -> DataFrame:
 def stream_document_frequency(spark: SparkSession, path: str) -> DataFrame:
     """term, df of all batches so far, from a row a term and batch."""
     return spark.read.parquet(f"{path}/terms").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def apply_changes(rows: DataFrame, held: SegmentedIndex, stream: str, number: int) -> None:
+    """One batch of changes (seq, op, id, url, title, text) of a stream. A batch that is tried again does what is left of it."""
+    rows = rows.persist()
+    gone, new = rows.where("op = 'remove'").select("id", "seq"), rows.where("op = 'add'")
+    if dict(held.manifest().batches).get(stream, -1) < number:
+        held.remove(gone)  # of what was there before this batch
+        held.add(new, F.col("seq"), (stream, number))
+    # What this batch has added it may remove, but not before it came.
+    came = new.where(F.col("text").isNotNull()).groupBy("id").agg(F.min("seq").alias("came"))
+    held.remove(gone.join(came, "id").where("seq > came"))
+    rows.unpersist()
+
+
+def changes_stream(changes: DataFrame, held: SegmentedIndex, checkpoint: str, stream: str = "changes", merge: bool = True) -> StreamingQuery:
+    """Keep a segmented index up to date with a stream of changes: seq (whole number, rising), op ("add" or "remove"), id, url, title, text.
+
+    A batch is a segment, and a tombstone file where it removes; segments of one size are merged as they become several.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        apply_changes(batch, held, stream, number)
+        if merge:
+            held.merge()
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
