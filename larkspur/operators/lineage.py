@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+class Busy(Exception):
+    """Another writer is at work, or has committed since this one began: wait, read again and repeat."""
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once: checkpointed in the shared folder that the session names, or kept in memory and on disk where it names none."""
     sc = df.sparkSession.sparkContext

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.constraints import BROADCAST_ROWS
 from larkspur.operators.index import accepted, bucket, tokens
-from larkspur.operators.lineage import cut
+from larkspur.operators.lineage import Busy, cut
 from larkspur.operators.rank import K1, B, bm25, parameters, query_tokens, top
 
 BLOCK_DOCS, BUCKETS = 4096, 64
@@ -39,10 +39,6 @@ POSTINGS = "segment string, term string, block int, n int, max_tf int, min_lengt
 GONE = "id bigint, length int"
 
 
-class Busy(Exception):
-    """Another writer has committed since this one began: read again and repeat."""
-
-
 @dataclass(frozen=True)
 class Manifest:
     """version; segments [(name, number of documents)]; names of tombstone files; documents in all, and the length of those not removed; the last batch added of each stream."""

@@ -79,10 +79,11 @@ def http_get(url: str, user_agent: str, limits: FetchLimits) -> dict:
     return row | {"duration_ms": elapsed_ms(start)}
 
 
-def http_pages(urls: DataFrame, user_agent: str, limits: FetchLimits = FetchLimits(), at_once: int = 16) -> DataFrame:
+def http_pages(urls: DataFrame, user_agent: str, limits: FetchLimits = FetchLimits(), at_once: int = 16, delay_ms: int = 0) -> DataFrame:
     """url, status, headers, body, error, effective_url, duration_ms of live GET requests, `at_once` of a partition's URLs at a time.
 
-    A URL that policy forbids is an error and not asked for.
+    A URL that policy forbids is an error and not asked for. With delay_ms a host's URLs go to one task, one after another, and
+    so many milliseconds lie at least between the beginnings of its requests; `at_once` hosts of a task are asked at a time.
     """
     if not limits.valid():
         raise ValueError("limits must be positive")
@@ -97,11 +98,27 @@ def http_pages(urls: DataFrame, user_agent: str, limits: FetchLimits = FetchLimi
                 return http_get(url, user_agent, limits)
             return {"url": url, "status": 0, "headers": "", "body": None, "error": "URL not allowed", "effective_url": url, "duration_ms": 0}
 
+        begun: dict[str, float] = {}
+
+        def spaced(host: str, url: str, allowed: bool) -> dict:
+            if allowed and delay_ms:
+                time.sleep(max(0.0, begun.get(host, 0.0) + delay_ms / 1000 - time.monotonic()))
+                begun[host] = time.monotonic()
+            return one(url, allowed)
+
         with ThreadPoolExecutor(at_once) as pool:
             for frame in frames:
-                for k in range(0, len(frame), at_once):  # bodies of so many at once, at most
-                    part = frame.iloc[k : k + at_once]
-                    yield pd.DataFrame(list(pool.map(one, part["url"], part["allowed"])))
+                rows = list(frame.itertuples(index=False, name=None))  # url, allowed, host
+                while rows:  # bodies of so many at once, at most: without a delay of any hosts, with one of different hosts
+                    hosts: set[str] = set()
+                    now, later = [], []
+                    for r in rows:
+                        fits = len(now) < at_once and (not delay_ms or r[2] not in hosts)
+                        (now if fits else later).append(r)
+                        hosts.add(r[2])
+                    yield pd.DataFrame(list(pool.map(lambda r: spaced(r[2], r[0], r[1]), now)))
+                    rows = later
 
     schema = "url string, status int, headers string, body string, error string, effective_url string, duration_ms long"
-    return urls.select("url", may_fetch(F.col("url")).alias("allowed")).mapInPandas(run, schema)
+    rows = urls.select("url", may_fetch(F.col("url")).alias("allowed"), F.coalesce(F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)), F.lit("")).alias("host"))
+    return (rows.repartition("host") if delay_ms else rows).mapInPandas(run, schema)

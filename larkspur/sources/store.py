@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators.constraints import after_delete, checks, doomed, parents_last, split, with_violations
 from larkspur.operators.frontier import before
-from larkspur.operators.lineage import cut
+from larkspur.operators.lineage import Busy, cut
 
 # The tables and their columns, with what they require and what they are where an insert leaves them out.
 TABLES = """
@@ -128,6 +131,8 @@ REFERENCES = {
 UNIQUE = {"documents": [["content_sha256"]], "document_chunks": [["text_sha256"], ["document_id", "ordinal"]], "claims": [["claim_sha256"]]}
 
 
+#: How long a writer waits for another, in milliseconds (a fixed value).
+BUSY_MS = 2500
 #: Versions that a created store has.
 VERSIONS = (1, 2)
 
@@ -186,8 +191,45 @@ def create(spark: SparkSession, database: str) -> None:
             spark.sql(f"INSERT INTO {database}.schema_version SELECT {version}, current_timestamp()")
 
 
+def _lock(spark: SparkSession, database: str):
+    """The file that a writer holds, and its file system."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/_writing")
+    return at, at.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def writing(spark: SparkSession, database: str, busy_ms: int = BUSY_MS) -> Iterator[None]:
+    """Hold the store for writing: what is decided within holds when it is written. Raises Busy where another writer does not leave in busy_ms.
+
+    The file that says so is made by whoever finds none. A writer that died leaves it behind: unlock() takes it away.
+    """
+    at, fs = _lock(spark, database)
+    until = time.monotonic() + busy_ms / 1000
+    while True:
+        try:
+            fs.create(at, False).close()
+            break
+        except Exception as e:
+            if "AlreadyExists" not in str(e) and "already exists" not in str(e):
+                raise
+            if time.monotonic() >= until:
+                raise Busy(f"{database} is being written") from e
+            time.sleep(0.05)
+    try:
+        yield
+    finally:
+        fs.delete(at, False)
+
+
+def unlock(spark: SparkSession, database: str) -> bool:
+    """Take away what a writer that died has left; whether there was any."""
+    at, fs = _lock(spark, database)
+    return bool(fs.delete(at, False))
+
+
 def status(spark: SparkSession, database: str) -> str:
-    """OK, INVALID (no name), IO (no such database), SCHEMA (a table is missing or has other columns)."""
+    """OK, INVALID (no name), IO (no such database), SCHEMA (a table is missing or has other columns), BUSY (a writer is at work)."""
     if not database:
         return "INVALID"
     if not spark.catalog.databaseExists(database):
@@ -195,7 +237,8 @@ def status(spark: SparkSession, database: str) -> str:
     for table in tables():
         if not spark.catalog.tableExists(f"{database}.{table}") or spark.table(f"{database}.{table}").columns != [f.name for f in fields(table)]:
             return "SCHEMA"
-    return "OK"
+    at, fs = _lock(spark, database)
+    return "BUSY" if fs.exists(at) else "OK"
 
 
 def checked(table: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -276,30 +319,36 @@ def decided(table: str, rows: DataFrame, there: DataFrame, parents: dict[str, Da
     return taken.drop("_at", "violations"), refused.drop("_at")
 
 
-def insert(spark: SparkSession, database: str, table: str, rows: DataFrame, order: str | None = None) -> DataFrame:
-    """Append the rows that decided() takes; returns those that it refuses, with the reasons."""
-    target = spark.table(f"{database}.{table}")
-    parents = {p.partition(".")[0] for c, (p, _) in REFERENCES.items() if c.startswith(f"{table}.")}
-    taken, refused = decided(table, rows, target, {p: spark.table(f"{database}.{p}") for p in parents}, order)
-    taken.select(*[f.name for f in fields(table)]).write.mode("append").insertInto(f"{database}.{table}")
-    return refused
+def insert(spark: SparkSession, database: str, table: str, rows: DataFrame, order: str | None = None, busy_ms: int = BUSY_MS) -> DataFrame:
+    """Append the rows that decided() takes; returns those that it refuses, with the reasons.
+
+    No other writer comes between the decision and the append, which is one job: all rows are there after it, or none.
+    Raises Busy where the store is not free within busy_ms.
+    """
+    with writing(spark, database, busy_ms):
+        target = spark.table(f"{database}.{table}")
+        parents = {p.partition(".")[0] for c, (p, _) in REFERENCES.items() if c.startswith(f"{table}.")}
+        taken, refused = decided(table, rows, target, {p: spark.table(f"{database}.{p}") for p in parents}, order)
+        taken.select(*[f.name for f in fields(table)]).write.mode("append").insertInto(f"{database}.{table}")
+        return refused
 
 
-def delete(spark: SparkSession, database: str, table: str, gone: DataFrame) -> dict[str, DataFrame]:
+def delete(spark: SparkSession, database: str, table: str, gone: DataFrame, busy_ms: int = BUSY_MS) -> dict[str, DataFrame]:
     """Delete the rows of a table whose keys `gone` has, with all that REFERENCES makes of it; the keys that went, by table.
 
     Rows that refer to a deleted one with cascade go too, whatever the number of tables between; references that are set to
     null are. What is left of a table is stored before it replaces the table, and tables that refer come before those that
     they refer to: where a delete is broken off, no reference is without its row, and the same delete again ends it. Needs
-    spark.checkpoint.dir.
+    spark.checkpoint.dir. Raises Busy where the store is not free within busy_ms.
     """
-    all_ = {t: spark.table(f"{database}.{t}") for t in tables()}
-    keys = {t: key(t) for t in all_}
-    dead = doomed(all_, REFERENCES, keys, table, gone)
-    left = {t: cut(rows) for t, rows in after_delete(all_, REFERENCES, keys, dead).items()}
-    for t in parents_last(REFERENCES, list(left)):
-        left[t].write.mode("overwrite").insertInto(f"{database}.{t}")
-    return {t: rows.select(*keys[t]) for t, rows in dead.items()}
+    with writing(spark, database, busy_ms):
+        all_ = {t: spark.table(f"{database}.{t}") for t in tables()}
+        keys = {t: key(t) for t in all_}
+        dead = doomed(all_, REFERENCES, keys, table, gone)
+        left = {t: cut(rows) for t, rows in after_delete(all_, REFERENCES, keys, dead).items()}
+        for t in parents_last(REFERENCES, list(left)):
+            left[t].write.mode("overwrite").insertInto(f"{database}.{t}")
+        return {t: rows.select(*keys[t]) for t, rows in dead.items()}
 
 
 def jdbc(spark: SparkSession, url: str, table: str, partition: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 16, **options) -> DataFrame:

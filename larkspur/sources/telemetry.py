@@ -55,11 +55,12 @@ def bounds(kind: str, at_ms: int) -> str:
 
 
 def write_lines(events: DataFrame, path: str, started_ms: int, stopped_ms: int, enabled: bool = True) -> None:
-    """Append JSON lines below `path`: start, events, stop. Nothing is written when telemetry is off."""
+    """Append JSON lines below `path`: start, events, stop, in files that go by name in this order. Nothing is written when telemetry is off.
+
+    It is one job, whose files are there when all of its tasks have succeeded: a log that has its start has its events and its stop.
+    """
     if not enabled:
         return
-    spark = events.sparkSession
-    edge = spark.range(1)
-    edge.select(F.lit(bounds("start", started_ms)).alias("value")).write.mode("append").text(path)
-    events_of(events).select(line().alias("value")).write.mode("append").text(path)
-    edge.select(F.lit(bounds("stop", stopped_ms)).alias("value")).write.mode("append").text(path)
+    edge = events.sparkSession.range(1)
+    first, last = (edge.select(F.lit(bounds(kind, at)).alias("value")) for kind, at in (("start", started_ms), ("stop", stopped_ms)))
+    first.unionByName(events_of(events).select(line().alias("value"))).unionByName(last).write.mode("append").text(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import evidence as ev
 from larkspur.operators import constraints, frontier, fts, graph, index, rank
+from larkspur.operators.lineage import Busy
 from larkspur.sources import pages, store, telemetry
 from larkspur.streaming import streams
 from tests.conftest import rows
@@ -240,6 +241,38 @@ def test_telemetry(spark, tmp_path):
     assert rows(spark.table("telemetry_test")) == [("fetch_error", 1, 1, 0, 0), ("search", 1, 0, 10, 3)]
 
 
+def test_a_log_is_written_whole_or_not_at_all(spark, tmp_path):
+    events = spark.createDataFrame(EVENTS, telemetry.SCHEMA).repartition(3)
+    broken = events.withColumn("duration_ms", F.when(F.col("name") == "search", F.raise_error(F.lit("broken")).cast("long")).otherwise(F.col("duration_ms")))
+    with pytest.raises(Exception, match="broken"):
+        telemetry.write_lines(broken, str(tmp_path / "log"), 1, 2)
+    assert not [p for p in (tmp_path / "log").rglob("part-*") if "_temporary" not in str(p)]
+    telemetry.write_lines(events, str(tmp_path / "log"), 1, 2)
+    files = sorted(p.name for p in (tmp_path / "log").glob("part-*"))
+    text = "".join((tmp_path / "log" / f).read_text() for f in files).splitlines()
+    assert "start" in text[0] and "stop" in text[-1] and len(text) == 4
+
+
+def test_one_writer_at_a_time(spark):
+    spark.sql("DROP DATABASE IF EXISTS store_busy CASCADE")
+    store.create(spark, "store_busy")
+    new = spark.createDataFrame([("s", "en")], "id string, language string").withColumn("created_at", F.current_timestamp())
+    with store.writing(spark, "store_busy"):
+        assert store.status(spark, "store_busy") == "BUSY"
+        with pytest.raises(Busy):
+            store.insert(spark, "store_busy", "sessions", new, busy_ms=200)
+        with pytest.raises(Busy):
+            store.delete(spark, "store_busy", "sessions", new.select("id"), busy_ms=0)
+    assert spark.table("store_busy.sessions").count() == 0 and store.status(spark, "store_busy") == "OK"
+    assert store.insert(spark, "store_busy", "sessions", new).count() == 0 and spark.table("store_busy.sessions").count() == 1
+    with pytest.raises(ZeroDivisionError), store.writing(spark, "store_busy"):
+        1 / 0  # noqa: B018  a writer that fails leaves the store free
+    at, fs = store._lock(spark, "store_busy")
+    fs.create(at, False).close()  # one that died does not
+    assert store.status(spark, "store_busy") == "BUSY" and store.unlock(spark, "store_busy") and not store.unlock(spark, "store_busy")
+    spark.sql("DROP DATABASE store_busy CASCADE")
+
+
 def test_json_escapes(spark):
     name = 'a"b\\c\b\f\n\r\t\x01é'
     df = spark.createDataFrame([(name, 1, 1, 1, False)], telemetry.SCHEMA)
@@ -446,8 +479,11 @@ def test_http(spark):
     import threading
     import time
 
+    seen = []
+
     class Handler(http.server.BaseHTTPRequestHandler):
         def do_GET(self):  # noqa: N802  the name is the library's
+            seen.append((self.headers["Host"], time.monotonic()))
             if self.path == "/slow":
                 self.send_response(200)
                 self.end_headers()
@@ -468,7 +504,7 @@ def test_http(spark):
         def log_message(self, *_):
             pass
 
-    server = http.server.ThreadingHTTPServer(("127.0.0.2", 0), Handler)
+    server = http.server.ThreadingHTTPServer(("0.0.0.0", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
         base = f"http://127.0.0.2:{server.server_port}"
@@ -480,6 +516,13 @@ def test_http(spark):
         assert re.search("limit|timed out", got["/slow"]["error"]) and got["/slow"]["duration_ms"] < 1500
         assert got["http://localhost/"]["error"] == "URL not allowed"
         assert got["/ok?q=1"]["effective_url"] == base + "/ok?q=1"
+        seen.clear()
+        hosts = [f"127.0.0.{k}:{server.server_port}" for k in (2, 3)]
+        polite = spark.createDataFrame([(f"http://{h}/{k}",) for h in hosts for k in range(4)] + [("http://localhost/",), (None,)], "url string").repartition(5)
+        assert sum(r["status"] == 200 for r in pages.http_pages(polite, "test", delay_ms=150).collect()) == 8
+        for h in hosts:
+            at = sorted(t for host, t in seen if host == h)
+            assert len(at) == 4 and all(b - a > 0.1 for a, b in zip(at, at[1:], strict=False))
         start = time.monotonic_ns()
         assert telemetry.elapsed_ms(start + 10**12) == 0 and telemetry.elapsed_ms(start) >= 0 and telemetry.now_ms() > 1_700_000_000_000
     finally:
