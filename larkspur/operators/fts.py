@@ -143,3 +143,33 @@ def ranked(docs: DataFrame, id_col: str, columns: list[str], phrases: list[list[
         f = F.col(f"f{n}")
         score = score + F.lit(idf) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("size") / F.lit(counted["avg"] or 1.0)))
     return rows.where(reduce(lambda x, y: x | y, [F.col(f"h{n}") for n in range(len(phrases))])).select("id", (-score).alias("score"))
+
+
+def cover_ranked(docs: DataFrame, id_col: str, columns: list[str], terms: list[str], weights: list[float] | None = None) -> DataFrame:
+    """(id, score) of the documents that hold all terms, larger being better, by the density of their covers.
+
+    A cover is a stretch of words that holds all terms and none that does within it; the columns' words follow one another. Each
+    adds the number of its terms' occurrences over the sum of their inverse weights (that of a word is its column's), over one
+    more than the words in it that are no terms. Each document's occurrences are gone through once, in order: what a cover that
+    ends there begins with follows from where each term stood last.
+    """
+    terms, weight = list(dict.fromkeys(terms)), weights or [1.0] * len(columns)
+    split = [words(F.coalesce(F.col(c), F.lit(""))).alias(f"_w{i}") for i, c in enumerate(columns)]
+    rows = docs.select(F.col(id_col).alias("id"), F.inline(F.array(F.struct(*split))))
+
+    def places(i: int) -> Column:
+        at = reduce(lambda x, y: x + y, [F.size(f"_w{j}") for j in range(i)], F.lit(0))
+        found = F.transform(f"_w{i}", lambda x, n: F.struct((at + n).alias("pos"), x.alias("word"), F.lit(1.0 / weight[i]).alias("inverse")))
+        return F.filter(found, lambda x: x["word"].isin(terms))
+
+    spots = rows.select("id", F.inline(F.concat(*[places(i) for i in range(len(columns))])))
+    order = W.partitionBy("id").orderBy("pos")
+    spots = spots.withColumn("n", F.row_number().over(order)).withColumn("sum", F.sum("inverse").over(order))
+    here = F.struct("pos", "n", (F.col("sum") - F.col("inverse")).alias("less"))
+    last = [F.max(F.when(F.col("word") == t, here)).over(order) for t in terms]
+    spots = spots.withColumn("last", F.array(*last)).where(~F.exists("last", lambda x: x.isNull())).withColumn("first", F.array_min("last"))
+    lag = F.lag("first.pos").over(order)
+    covers = spots.withColumn("lag", lag).where(F.col("lag").isNull() | (F.col("lag") < F.col("first.pos")))
+    many = F.col("n") - F.col("first.n") + 1
+    noise = F.col("pos") - F.col("first.pos") - (many - 1)
+    return covers.groupBy("id").agg(F.sum(many / (F.col("sum") - F.col("first.less")) / (1 + noise)).alias("score"))

@@ -27,6 +27,7 @@ PAGE_QUERY = "attion thanedble the ner"
 REMOVED = "id % 7 = 3"
 PHRASE = ["of", "the"]
 NEAR = ("worthless", "the", 5)
+COVER = ["of", "the", "and"]
 RANK_PHRASES = [["of", "the"], ["worthless"], ["web"]]
 
 
@@ -496,6 +497,13 @@ def graph_evidence_link(spark, sf):
     return graph.with_evidence(edges, evidence).select("edge_id", "source", "lang", "claim", "classification")
 
 
+def fts_cover_rank(spark, sf):
+    """Documents that hold all of three words, by the density of their covers; words of the source weigh ten times those of the text."""
+    rows = read(spark, sf, "documents").where("doc_id <> 0")
+    hits = fts.cover_ranked(rows, "doc_id", ["source", "text"], COVER, [1.0, 0.1]).withColumn("score", F.round("score", 6))
+    return hits.select(F.col("id").alias("doc_id"), "score")
+
+
 def graph_reach(spark, sf):
     """Customers and parts of a graph of orders' lines: what four of the first suppliers reach within three steps, with the fewest."""
     lines = read(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
@@ -740,7 +748,7 @@ NAMES = (
     "constraint_violations role_violations unique_violations fk_orphans fk_cascade fk_set_null latest_fetch_per_source conversation_messages "
     "keyword_domain_match model_layout index_first_wins bm25_first_wins bm25_parameters document_lookup document_count fts_column fts_rank fetch_limits "
     "crawl_documents crawl_depths crawl_capped url_resolve_sql segments_sql robots_pages frontier_pop graph_find graph_neighbours graph_runtime graph_runtime_capped "
-    "store_insert store_delete model_sizes graph_reach lateral_links lateral_segments"
+    "store_insert store_delete model_sizes fts_cover_rank graph_reach lateral_links lateral_segments"
 )
 
 

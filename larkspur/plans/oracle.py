@@ -136,6 +136,22 @@ def fts_words(x: str) -> str:
     return FTS_WORDS.replace("lower(text)", f"lower(coalesce({x}, ''))")
 
 
+def fts_cover() -> str:
+    """Covers of all words: of stretches between two occurrences that hold all, those that hold no other."""
+    last = ", ".join(f"max(CASE WHEN word = '{t}' THEN pos END) OVER o AS l{i}" for i, t in enumerate(c.COVER))
+    names = [f"l{i}" for i in range(len(c.COVER))]
+    words_ = ", ".join(f"'{t}'" for t in c.COVER)
+    return (
+        f"WITH a AS (SELECT doc_id, {fts_words('source')} AS s, {fts_words('text')} AS t FROM documents WHERE doc_id <> 0), "
+        "w AS (SELECT doc_id, len(s) AS k, unnest(s || t) AS word, generate_subscripts(s || t, 1) AS pos FROM a), "
+        f"f AS (SELECT doc_id, pos, word, CASE WHEN pos <= k THEN 1.0 ELSE 10.0 END AS inv FROM w WHERE word IN ({words_})), "
+        f"r AS (SELECT *, {last} FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY pos)), "
+        f"p AS (SELECT doc_id, least({', '.join(names)}) AS a, min(pos) AS b FROM r WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names)} GROUP BY 1, 2), "
+        "x AS (SELECT p.doc_id, p.a, p.b, count(*) AS n, sum(f.inv) AS inv FROM p JOIN f ON f.doc_id = p.doc_id AND f.pos BETWEEN p.a AND p.b GROUP BY 1, 2, 3) "
+        "SELECT doc_id, round(sum(n / inv / (1 + b - a - (n - 1))), 6) AS score FROM x GROUP BY 1"
+    )
+
+
 def fts_rank() -> str:
     """Phrases of one or two words, weights 10 and 1."""
 
@@ -316,6 +332,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_runtime_capped": runtime(20, 30, 40),
         "store_insert": STORE_INSERT,
         "store_delete": STORE_DELETE,
+        "fts_cover_rank": fts_cover(),
         "graph_reach": "WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey * 2 AS s, l_partkey * 2 + 1 AS p FROM lineitem), e AS (SELECT s AS src, p AS dst FROM l UNION ALL SELECT p, s FROM l WHERE (p - 1) // 2 % 5 = 0), r(id, steps) AS (SELECT s_suppkey * 2, 0 FROM supplier WHERE s_suppkey <= 4 UNION SELECT dst, steps + 1 FROM r JOIN e ON src = id WHERE steps < 3) SELECT id, min(steps) AS steps FROM r GROUP BY id",
         "lateral_links": f"WITH {LINKS} SELECT page_id, CAST(nth AS INTEGER) AS nth, ref AS link, target FROM t",
         "lateral_segments": f"SELECT {KIND} AS kind, count(*) AS n, CAST(sum(strlen(s)) AS BIGINT) AS total_bytes, CAST(max(e) AS BIGINT) AS longest FROM (SELECT s, sum(strlen(s)) OVER (PARTITION BY k ORDER BY i) AS e FROM (SELECT k, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT row_number() OVER () AS k, {SEGMENTS.format(x='text')} AS l FROM conversations))) GROUP BY 1",

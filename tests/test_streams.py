@@ -80,6 +80,23 @@ def test_folding_follows_decompositions(spark):
     assert rows(fts.positions(df, "id")) == [(1, 0, 0, "gis"), (1, 0, 1, "la"), (1, 0, 2, "revido"), (2, 0, 0, "gas")]
 
 
+def test_covers(spark):
+    """Against all stretches of words, on few words so that covers overlap."""
+    rng = random.Random(9)
+    data = [(k, " ".join(rng.choices("abx", k=rng.randrange(4))) if k % 7 else None, " ".join(rng.choices("abcxy", k=rng.randrange(25)))) for k in range(60)]
+    terms, weights, want = ["a", "b", "c", "a"], [1.0, 0.4], {}
+    for k, title, text in data:
+        ws = [(w, weights[0]) for w in (title or "").split()] + [(w, weights[1]) for w in text.split()]
+        full = [(i, j) for i in range(len(ws)) for j in range(i, len(ws)) if {"a", "b", "c"} <= {w for w, _ in ws[i : j + 1]}]
+        for i, j in full:
+            if not any((x, y) != (i, j) and i <= x and y <= j for x, y in full):
+                inside = [v for w, v in ws[i : j + 1] if w in "abc"]
+                want[k] = want.get(k, 0.0) + len(inside) / sum(1 / v for v in inside) / (1 + j - i - (len(inside) - 1))
+    df = spark.createDataFrame(data, "id long, title string, text string")
+    got = {r["id"]: r["score"] for r in fts.cover_ranked(df, "id", ["title", "text"], terms, weights).collect()}
+    assert set(got) == set(want) and len(want) > 20 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_reach(spark):
     """Against breadth-first search, with circles, and with a bound on the steps."""
     rng = random.Random(2)
