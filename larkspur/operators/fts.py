@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larkspur.operators.lineage import cut
+
 def _folded() -> tuple[str, str]:
     """Lower-case Latin letters that decompose into a plain one and marks, with the plain ones, and after them the marks themselves."""
     letters = [chr(c) for r in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in r]
@@ -119,7 +121,7 @@ def ranked(docs: DataFrame, id_col: str, columns: list[str], phrases: list[list[
 
     For each phrase log((N - n + 1/2) / (n + 1/2)), a millionth at least, times f (k1 + 1) / (f + k1 (1 - b + b D / avg)),
     where f sums its occurrences by the weights of their columns, D and avg count words of all columns; their negated
-    sum. One pass counts words and occurrences within each row; what is shuffled is one row of counts.
+    sum. One pass counts words and occurrences within each row and stores them; what is shuffled is one row of counts.
     """
     weight = weights or [1.0] * len(columns)
     split = [words(F.coalesce(F.col(c), F.lit(""))).alias(f"_w{i}") for i, c in enumerate(columns)]
@@ -131,18 +133,20 @@ def ranked(docs: DataFrame, id_col: str, columns: list[str], phrases: list[list[
         return F.size(F.filter(ws, lambda x, i: F.coalesce(here(x, i), F.lit(False))))
 
     size = reduce(lambda x, y: x + y, [F.size(f"_w{i}") for i in range(len(columns))])
-    held = [reduce(lambda x, y: x + y, [F.lit(weight[i]) * times(F.col(f"_w{i}"), p) for i in range(len(columns))]).alias(f"f{n}") for n, p in enumerate(phrases)]
+    held = [times(F.col(f"_w{i}"), p).alias(f"c{n}_{i}") for n, p in enumerate(phrases) for i in range(len(columns))]
+    # Texts are read once; what is stored of each is its size and its counts.
+    rows = cut(rows.select("id", F.inline(F.array(F.struct(size.cast("double").alias("size"), *held)))))
+    of = [[F.col(f"c{n}_{i}") for i in range(len(columns))] for n in range(len(phrases))]
     # Whether a phrase is there at all does not depend on weights.
-    there = [reduce(lambda x, y: x | y, [times(F.col(f"_w{i}"), p) > 0 for i in range(len(columns))]).alias(f"h{n}") for n, p in enumerate(phrases)]
-    rows = rows.select("id", F.inline(F.array(F.struct(size.cast("double").alias("size"), *held, *there))))
-    counted = rows.agg(F.count("*").alias("n"), F.avg("size").alias("avg"), *[F.sum(F.col(f"h{n}").cast("bigint")).alias(f"n{n}") for n in range(len(phrases))]).first()
+    there = [reduce(lambda x, y: x | y, [c > 0 for c in cs]) for cs in of]
+    counted = rows.agg(F.count("*").alias("n"), F.avg("size").alias("avg"), *[F.count_if(h).alias(f"n{n}") for n, h in enumerate(there)]).first()
     score = F.lit(0.0)
     for n in range(len(phrases)):
         ratio = (counted["n"] - (counted[f"n{n}"] or 0) + 0.5) / ((counted[f"n{n}"] or 0) + 0.5)
         idf = max(1e-6, math.log(ratio))
-        f = F.col(f"f{n}")
+        f = reduce(lambda x, y: x + y, [F.lit(w) * c for w, c in zip(weight, of[n], strict=True)])
         score = score + F.lit(idf) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("size") / F.lit(counted["avg"] or 1.0)))
-    return rows.where(reduce(lambda x, y: x | y, [F.col(f"h{n}") for n in range(len(phrases))])).select("id", (-score).alias("score"))
+    return rows.where(reduce(lambda x, y: x | y, there)).select("id", (-score).alias("score"))
 
 
 def cover_ranked(docs: DataFrame, id_col: str, columns: list[str], terms: list[str], weights: list[float] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from larkspur.functions.binding import computed, let
 from larkspur.functions.text import QUERY_TOKENS, ascii_tokens, occurrences, unicode_tokens
 from larkspur.operators.constraints import BROADCAST_ROWS
 from larkspur.operators.index import Index
+from larkspur.operators.lineage import cut
 
 K1, B = 1.2, 0.75
 TITLE_BOOST, URL_BOOST = 0.25, 0.10
@@ -45,7 +46,7 @@ def scores(index: Index, query: str, boosts: bool = False, k1: float = K1, b: fl
 
     Document frequencies count removed documents too. Boosts: for each query token that the text holds, 0.25 for
     each occurrence in the title and 0.10 in the URL. A stored index is read at the query's terms alone; one that is
-    not stored is scanned: once for counts, once for scores, and nothing is shuffled but one row of counts.
+    not stored is scanned once, and nothing is shuffled but one row of counts.
     """
     k1, b = parameters(k1, b)
     out = _scanned(index, query, boosts, k1, b) if index.rows is not None else _looked_up(index, query, boosts, k1, b)
@@ -75,7 +76,10 @@ def _looked_up(index: Index, query: str, boosts: bool, k1: float, b: float) -> D
 
 
 def _scanned(index: Index, query: str, boosts: bool, k1: float, b: float) -> DataFrame:
-    """From rows of tokens: term frequencies by array functions, a document's score within its row."""
+    """From rows of tokens: term frequencies by array functions, a document's score within its row.
+
+    Texts are read once: what is stored of each is its length and the frequencies, and title and URL where they count.
+    """
     found = query_terms(index, query)
     terms = list(dict.fromkeys(found))
     if not terms:
@@ -87,7 +91,8 @@ def _scanned(index: Index, query: str, boosts: bool, k1: float, b: float) -> Dat
         return F.transform(wanted, lambda t: F.array_contains(held, t).cast("int") if index.profile == "unicode" else occurrences(held, t))
 
     held = F.filter("tokens", lambda x: x.isin(terms))
-    rows = computed(index.rows, {"length": F.size("tokens"), "tf": let(held, counts)}).drop("tokens")
+    rows = computed(index.rows, {"length": F.size("tokens"), "tf": let(held, counts)})
+    rows = cut(rows.select("id", "_gone", "length", "tf", *(["title", "url"] if boosts else [])))
     counted = rows.agg(
         F.count("*").alias("n"),
         F.sum(F.when(~F.col("_gone"), F.col("length")).otherwise(0)).alias("total"),
