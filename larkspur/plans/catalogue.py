@@ -18,7 +18,7 @@ from larkspur.operators.lineage import shared_folder
 from larkspur.operators.segmented import SegmentedIndex
 from larkspur.sources import store, telemetry
 from larkspur.sources.pages import FetchLimits, fetched
-from larkspur.streaming.streams import windowed_events
+from larkspur.streaming.streams import queue_stream, telemetry_stream, windowed_events
 
 #: The query texts of the ranking queries, and what is removed in the tombstone query.
 QUERY = "idiot worthless the thtion ñdo"
@@ -126,6 +126,13 @@ def search_results_join(spark, sf):
     return rank.titled(built, rank.top(hits, 10), 10).withColumnRenamed("id", "doc_id")
 
 
+def engine_searched(spark, sf):
+    """The hits of a search through the engine over pages, each with what the search's telemetry tells."""
+    found, told = engine.Engine(pages(spark, sf)).searched(PAGE_QUERY)
+    hits = spark.createDataFrame([(r["id"], round(r["score"], 6), r["url"], r["title"]) for r in found], "doc_id long, score double, url string, title string")
+    return hits.crossJoin(told.select("name", "bytes_in", "bytes_out", "error"))
+
+
 def _arriving(spark, sf):
     """Documents as rows that arrive by doc_id: two by two they share an id, and every ninth has no text."""
     rows = read(spark, sf, "documents")
@@ -596,6 +603,37 @@ def telemetry_jsonl(spark, sf):
     return _telemetry(spark, sf).select("event_id", telemetry.line().alias("line"))
 
 
+def _streamed(rows, names):
+    """A stream's rows: it runs over all that its source has, and is read back from files in the shared folder."""
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, names)
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+def telemetry_streamed(spark, sf):
+    """Counters by name of a telemetry log, as a stream keeps them: the log is written, read as a stream, and the last state of each name counts."""
+    folder = shared_folder(spark, "telemetry")
+    telemetry.write_lines(_telemetry(spark, sf), f"{folder}/log", 1, 2)
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+
+    query = telemetry_stream(spark, f"{folder}/log").writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    state = spark.read.parquet(f"{folder}/state")
+    return state.where(F.col("batch") == state.agg(F.max("batch")).scalar()).drop("batch")
+
+
+def queue_streamed(spark, sf):
+    """Links as events of seven bounded queues, every fifth a pop: what a stream with the queues as its state decides."""
+    rows = _links(spark, sf).where("target IS NOT NULL").select((F.col("page_id") * 10_000 + F.col("nth")).alias("seq"), "target", "page_id")
+    pop = F.col("seq") % 5 == 3
+    events = rows.select((F.col("page_id") % 7).cast("string").alias("queue"), "seq", F.when(pop, "pop").otherwise("enqueue").alias("op"), F.when(~pop, F.col("target")).alias("url"), F.when(~pop, F.col("page_id") % 3).cast("int").alias("depth"))
+    folder = shared_folder(spark, "queue-events")
+    events.write.parquet(folder)
+    return _streamed(queue_stream(spark.readStream.schema(events.schema).parquet(folder), 16), "queue")
+
+
 def events_hourly(spark, sf):
     return windowed_events(read(spark, sf, "events")).withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
@@ -748,7 +786,7 @@ NAMES = (
     "constraint_violations role_violations unique_violations fk_orphans fk_cascade fk_set_null latest_fetch_per_source conversation_messages "
     "keyword_domain_match model_layout index_first_wins bm25_first_wins bm25_parameters document_lookup document_count fts_column fts_rank fetch_limits "
     "crawl_documents crawl_depths crawl_capped url_resolve_sql segments_sql robots_pages frontier_pop graph_find graph_neighbours graph_runtime graph_runtime_capped "
-    "store_insert store_delete model_sizes fts_cover_rank graph_reach lateral_links lateral_segments"
+    "store_insert store_delete model_sizes fts_cover_rank engine_searched telemetry_streamed queue_streamed graph_reach lateral_links lateral_segments"
 )
 
 

@@ -136,6 +136,22 @@ def fts_words(x: str) -> str:
     return FTS_WORDS.replace("lower(text)", f"lower(coalesce({x}, ''))")
 
 
+#: One event of each queue after another: the state is the list of what waits.
+QUEUE = f"""
+WITH RECURSIVE {ARRIVALS}, e AS (
+  SELECT CAST((seq // 10000) % 7 AS VARCHAR) AS queue, row_number() OVER (PARTITION BY (seq // 10000) % 7 ORDER BY seq) AS n, seq, seq % 5 = 3 AS pop, url, depth FROM a
+), s(queue, n, q, seq, op, url, depth, decision) AS (
+  SELECT DISTINCT queue, CAST(0 AS BIGINT), CAST([] AS STRUCT(u VARCHAR, d INTEGER)[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), CAST(NULL AS VARCHAR) FROM e
+  UNION ALL
+  SELECT e.queue, e.n, CASE WHEN e.pop THEN s.q[2:] WHEN len(s.q) < 16 AND NOT list_contains(list_transform(s.q, lambda x: x.u), e.url) THEN list_append(s.q, {{'u': e.url, 'd': e.depth}}) ELSE s.q END,
+    e.seq, CASE WHEN e.pop THEN 'pop' ELSE 'enqueue' END, CASE WHEN e.pop THEN s.q[1].u ELSE e.url END, CASE WHEN e.pop THEN s.q[1].d ELSE e.depth END,
+    CASE WHEN e.pop THEN CASE WHEN len(s.q) = 0 THEN 'EMPTY' ELSE 'ALLOW' END WHEN len(s.q) >= 16 THEN 'FRONTIER_FULL' WHEN list_contains(list_transform(s.q, lambda x: x.u), e.url) THEN 'DUPLICATE' ELSE 'ALLOW' END
+  FROM s JOIN e ON e.queue = s.queue AND e.n = s.n + 1
+)
+SELECT queue, seq, op, url, depth, decision FROM s WHERE n > 0
+"""
+
+
 def fts_cover() -> str:
     """Covers of all words: of stretches between two occurrences that hold all, those that hold no other."""
     last = ", ".join(f"max(CASE WHEN word = '{t}' THEN pos END) OVER o AS l{i}" for i, t in enumerate(c.COVER))
@@ -333,6 +349,9 @@ def oracle_sql() -> dict[str, str]:
         "store_insert": STORE_INSERT,
         "store_delete": STORE_DELETE,
         "fts_cover_rank": fts_cover(),
+        "engine_searched": f"WITH {bm25(PAGES_BINARY, c.PAGE_QUERY, 'unicode')}, h AS (SELECT r.id AS doc_id, score, url, title FROM r JOIN d ON d.id = r.id WHERE score > 0 ORDER BY score DESC, r.id LIMIT 10) SELECT *, 'search' AS name, {len(c.PAGE_QUERY.encode())} AS bytes_in, (SELECT count(*) FROM h) AS bytes_out, FALSE AS error FROM h",
+        "telemetry_streamed": f"SELECT name, {COUNTERS} FROM {TELEMETRY} GROUP BY name",
+        "queue_streamed": QUEUE,
         "graph_reach": "WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey * 2 AS s, l_partkey * 2 + 1 AS p FROM lineitem), e AS (SELECT s AS src, p AS dst FROM l UNION ALL SELECT p, s FROM l WHERE (p - 1) // 2 % 5 = 0), r(id, steps) AS (SELECT s_suppkey * 2, 0 FROM supplier WHERE s_suppkey <= 4 UNION SELECT dst, steps + 1 FROM r JOIN e ON src = id WHERE steps < 3) SELECT id, min(steps) AS steps FROM r GROUP BY id",
         "lateral_links": f"WITH {LINKS} SELECT page_id, CAST(nth AS INTEGER) AS nth, ref AS link, target FROM t",
         "lateral_segments": f"SELECT {KIND} AS kind, count(*) AS n, CAST(sum(strlen(s)) AS BIGINT) AS total_bytes, CAST(max(e) AS BIGINT) AS longest FROM (SELECT s, sum(strlen(s)) OVER (PARTITION BY k ORDER BY i) AS e FROM (SELECT k, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT row_number() OVER () AS k, {SEGMENTS.format(x='text')} AS l FROM conversations))) GROUP BY 1",
