@@ -130,7 +130,8 @@ def engine_searched(spark, sf):
     """The hits of a search through the engine over pages, each with what the search's telemetry tells."""
     found, told = engine.Engine(pages(spark, sf)).searched(PAGE_QUERY)
     hits = spark.createDataFrame([(r["id"], round(r["score"], 6), r["url"], r["title"]) for r in found], "doc_id long, score double, url string, title string")
-    return hits.crossJoin(told.select("name", "bytes_in", "bytes_out", "error"))
+    event = told.first()  # one row
+    return hits.withColumns({c: F.lit(event[c]).cast(k) for c, k in (("name", "string"), ("bytes_in", "bigint"), ("bytes_out", "bigint"), ("error", "boolean"))})
 
 
 def _arriving(spark, sf):
@@ -773,7 +774,7 @@ def store_delete(spark, sf):
         nulls = F.count_if(F.col("evidence_id").isNull()) if "evidence_id" in rows.columns else F.lit(0).cast("bigint")
         numbers = F.coalesce(F.sum(F.nullif(F.regexp_extract(F.concat_ws(",", *keys[t]), "[0-9]+", 0), F.lit("")).cast("bigint")), F.lit(0))
         kept = rows.agg(F.count("*").alias("kept"), nulls.alias("nulls"), numbers.alias("numbers")).withColumn("table", F.lit(t))
-        out.append(kept.crossJoin(dead[t].agg(F.count("*").alias("gone"))) if t in dead else kept.withColumn("gone", F.lit(0).cast("bigint")))
+        out.append(kept.withColumn("gone", dead[t].agg(F.count("*")).scalar() if t in dead else F.lit(0).cast("bigint")))
     return reduce(DataFrame.unionByName, out).select("table", "kept", "gone", "nulls", "numbers")
 
 
