@@ -8,7 +8,8 @@
   is the key of words that have one code point more; keys with their place are
   those of words of its length that differ there.
 * Keys are dealt to partitions by their upper bits and sorted there. Rows of one
-  key are compared by the strings themselves, so that a collision joins nothing.
+  key are compared by the strings themselves, so that a collision joins nothing (those
+  of more than LONG code points by two further hashes).
 * A key's words are as many as the alphabet has letters, for one deletion. No
   pairs are made all the same: each row learns how many others its key has and
   which is the most frequent, and these add up over a word's keys, as every near
@@ -37,7 +38,10 @@ EVERY = 199
 LEAST_LENGTH, LEAST_COUNT, TIMES = 6, 5, 5
 #: Words that a task holds before it hands their counts on.
 HELD = 200_000
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Words and rests of more code points travel as their beginning and two further hashes, and are compared by these: a word without
+#: each of its code points would otherwise take the square of its length.
+LONG, FURTHER = 256, (np.uint64(0xD1342543DE82EF95), np.uint64(0xBF58476D1CE4E5B9))
 #: Kinds of keys: the word itself, the word without a code point, the same with its place.
 WHOLE, SHORTER, PLACE = 0, 1, 2
 
@@ -82,7 +86,7 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count:
 # -- deletion keys ---------------------------------------------------------------
 
 
-def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def deletion_keys(words: list[str], base: np.uint64 = BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of each word without each of its code points: row of the word, place, hash, and whether the code point before is
     another (else that deletion gives the same string); and the hash of each whole word."""
     size = np.array([len(w) for w in words], np.int64)
@@ -91,21 +95,37 @@ def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     row = np.repeat(np.arange(len(words)), size)
     place = np.arange(len(point)) - start[row]
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(size.max(initial=0)) + 1, BASE)]))
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(size.max(initial=0)) + 1, base)]))
         letter = mix64(point + np.uint64(1))
-        # before[i]: sum of letter[j] * BASE^j over j < i; after[i]: the same over j > i. A deletion moves what is after by one.
+        # before[i]: sum of letter[j] * base^j over j < i; after[i]: the same over j > i. A deletion moves what is after by one.
         term = letter * power[place]
         sums = np.concatenate([[np.uint64(0)], np.cumsum(term)])
         before = sums[:-1] - sums[start[row]]
         after = sums[start[row] + size[row]] - sums[1:]
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
         short = before + after * inverse
         whole = sums[start + size] - sums[start]
         first = (place == 0) | (np.concatenate([[np.uint64(0)], point[:-1]]) != point)
         return row, place, mix64(short ^ mix64(size[row].astype(np.uint64) - np.uint64(1))), first, mix64(whole ^ mix64(size.astype(np.uint64)))
 
 
-KEYS = "key long, kind int, place int, word string, n long"
+KEYS = "key long, kind int, place int, word string, rest string, n long"
+
+
+def names(words: list[str]) -> list[str]:
+    """What words travel as: themselves, or where they are LONG their beginning and hashes of the whole."""
+    long = [i for i, w in enumerate(words) if len(w) > LONG]
+    out = list(words)
+    if long:
+        hashes = [deletion_keys([words[i] for i in long], base)[4].tolist() for base in FURTHER]
+        for i, x, y in zip(long, *hashes, strict=True):
+            out[i] = f"{words[i][:LONG]}\0{x:x}.{y:x}"
+    return out
+
+
+def _named(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(names(batch.column("word").to_pylist()), pa.string()), batch.column("word"), batch.column("n")], ["name", "word", "n"])
 
 
 def _keys(batches):
@@ -113,6 +133,8 @@ def _keys(batches):
         words = batch.column("word").to_pylist()
         if not words:
             continue
+        name = pa.array(names(words), pa.string())
+        size = np.array([len(w) for w in words])
         row, place, short, first, whole = deletion_keys(words)
         with np.errstate(over="ignore"):
             placed = mix64(short + mix64(place.astype(np.uint64) + np.uint64(77)))
@@ -120,20 +142,29 @@ def _keys(batches):
         kind = np.repeat(np.array([WHOLE, SHORTER, PLACE], np.int32), [len(words), int(first.sum()), len(row)])
         at = np.concatenate([np.zeros(len(words), np.int64), place[first], place]).astype(np.int32)
         key = np.concatenate([whole, short[first], placed]).astype(np.int64)
+        # What is left of a long word, by two further hashes; null where the word itself tells.
+        rest = np.full(len(rows), None, object)
+        long = np.flatnonzero(size[rows] - (kind != WHOLE) >= LONG)
+        if len(long):
+            further = [deletion_keys(words, base) for base in FURTHER]
+            x, y = (np.concatenate([f[4], f[2][first], f[2]])[long].tolist() for f in further)
+            rest[long] = [f"{a:x}.{b:x}" for a, b in zip(x, y, strict=True)]
         for k in range(0, len(rows), 50_000):
             w = pa.array(rows[k : k + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 50_000]), pa.array(kind[k : k + 50_000]), pa.array(at[k : k + 50_000]), batch.column("word").take(w), batch.column("n").take(w)], ["key", "kind", "place", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 50_000]), pa.array(kind[k : k + 50_000]), pa.array(at[k : k + 50_000]), name.take(w), pa.array(rest[k : k + 50_000], pa.string()), batch.column("n").take(w)], ["key", "kind", "place", "word", "rest", "n"])
 
 
-def met(rows: list[tuple[int, int, str, int]]) -> list[tuple[str, int, int, str]]:
-    """Of the rows (kind, place, word, n) of one key: word, how many near words it meets there, the n and the name of the first of them (largest n, then smallest).
+def met(rows: list[tuple[int, int, str, str | None, int]]) -> list[tuple[str, int, int, str]]:
+    """Of the rows (kind, place, word, rest, n) of one key: word, how many near words it meets there, the n and the name of the first of them (largest n, then smallest).
 
-    Whole words meet words that are longer by one, words without a code point those that lack another at the same place; what the key stands for is compared as a string.
+    Whole words meet words that are longer by one, words without a code point those that lack another at the same place; what the
+    key stands for is compared as a string (`rest`, where it is too long for that).
     """
     out = []
     sides: dict[tuple, tuple[list, list]] = {}
-    for kind, place, word, n in rows:
-        rest = word if kind == WHOLE else word[:place] + word[place + 1 :]
+    for kind, place, word, rest, n in rows:
+        if rest is None:
+            rest = word if kind == WHOLE else word[:place] + word[place + 1 :]
         if kind == PLACE:
             sides.setdefault((rest, place), ([], []))[0].append((word, n))
         else:
@@ -151,7 +182,7 @@ def met(rows: list[tuple[int, int, str, int]]) -> list[tuple[str, int, int, str]
 
 
 def _met(batches):
-    names = ["word", "near", "best_n", "best"]
+    columns = ["word", "near", "best_n", "best"]
     for t in whole_groups(batches, ["key"]):
         key = t.column("key").to_numpy()
         edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
@@ -159,25 +190,32 @@ def _met(batches):
         if not len(several):
             continue
         rows = pa.array(np.concatenate([np.arange(edges[k], edges[k + 1]) for k in several]))
-        kind, place, word, n = (t.column(c).take(rows).to_pylist() for c in ("kind", "place", "word", "n"))
+        held = list(zip(*(t.column(c).take(rows).to_pylist() for c in ("kind", "place", "word", "rest", "n")), strict=True))
         out, at = [], 0
         for size in np.diff(edges)[several].tolist():
-            out += met(list(zip(kind[at : at + size], place[at : at + size], word[at : at + size], n[at : at + size], strict=True)))
+            out += met(held[at : at + size])
             at += size
         for k in range(0, len(out), 50_000):
             w, near, best_n, best = zip(*out[k : k + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(near, pa.int64()), pa.array(best_n, pa.int64()), pa.array(best, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(near, pa.int64()), pa.array(best_n, pa.int64()), pa.array(best, pa.string())], columns)
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """word, n, n_near, best, best_n of words (word, n; each once): how many words are near, and the first of them by n, then by code points."""
+    """word, n, n_near, best, best_n of words (word, n; each once): how many words are near, and the first of them by n, then by code points.
+
+    Of near words of equal n that are LONG and begin alike, the hashes decide which is first.
+    """
     keys = words.select("word", "n").mapInArrow(_keys, KEYS)
     dealt = keys.repartition(F.shiftrightunsigned("key", 40)).sortWithinPartitions("key")
     found = dealt.mapInArrow(_met, "word string, near long, best_n long, best string")
     # The largest n, and of those the smallest word: min of (-n, word).
     found = found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("m"), "best")).alias("x"))
-    found = found.select("word", "n_near", F.col("x.best").alias("best"), (-F.col("x.m")).alias("best_n"))
-    return words.select("word", "n").join(found, "word", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    found = found.select(F.col("word").alias("name"), "n_near", F.col("x.best").alias("best"), (-F.col("x.m")).alias("best_n"))
+    named = words.select("word", "n").mapInArrow(_named, "name string, word string, n long")
+    out = named.join(found, "name", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0))).drop("name")
+    # Names of long words back to the words: only those are looked up.
+    long = named.where(F.col("name") != F.col("word")).select(F.col("name").alias("best"), F.col("word").alias("_long"))
+    return out.join(long, "best", "left").withColumn("best", F.coalesce("_long", "best")).select("word", "n", "n_near", "best", "best_n")
 
 
 # -- groups ----------------------------------------------------------------------

@@ -157,14 +157,29 @@ def test_spelling_of_nothing(spark):
     assert rows(spelling.variants(spark.createDataFrame([], "doc_id long, text string"))) == []
 
 
+def test_long_words(spark, monkeypatch):
+    """Words of around LONG code points, in strings and in hashes, are near as others are; a very long one takes no square of its length."""
+    monkeypatch.setattr(spelling, "LONG", 8)
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcde", k=k)) for k in (6, 7, 8, 9, 10, 30) for _ in range(3)]
+    docs = [(d, " ".join(rng.choice(base) if rng.random() < 0.6 else (w := rng.choice(base))[: (i := rng.randrange(len(w)))] + rng.choice(["", "a", "bb"]) + w[i + 1 :] for _ in range(60))) for d in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = spelling.variants(df, 2, 1, 2).select("word", "root", "n", "n_near", "form_n")
+    assert rows(got) == sorted(((w, r, n, k, m) for w, _, r, n, k, m in brute_variants(docs, 2, 1, 2)), key=repr)
+    monkeypatch.undo()
+    long = "ab" * 100_000
+    two = spelling.variants(spark.createDataFrame([(k, f"{long} {long}x {long[:-1]}c") for k in range(30)], "doc_id long, text string"), 6, 5, 1)
+    assert sorted((len(r["word"]), r["n_near"]) for r in two.where("n > 20").collect()) == [(200_000, 1), (200_000, 2), (200_001, 1)]
+
+
 def test_collisions_join_nothing():
-    found = spelling.met([(spelling.WHOLE, 0, "abc", 5), (spelling.SHORTER, 1, "axbc", 3), (spelling.SHORTER, 0, "zzzz", 9), (spelling.PLACE, 1, "abc", 5), (spelling.PLACE, 1, "axc", 4), (spelling.PLACE, 1, "zzz", 8)])
+    found = spelling.met([(spelling.WHOLE, 0, "abc", None, 5), (spelling.SHORTER, 1, "axbc", None, 3), (spelling.SHORTER, 0, "zzzz", None, 9), (spelling.PLACE, 1, "abc", None, 5), (spelling.PLACE, 1, "axc", None, 4), (spelling.PLACE, 1, "zzz", None, 8)])
     assert sorted(found) == [("abc", 1, 3, "axbc"), ("abc", 1, 4, "axc"), ("axbc", 1, 5, "abc"), ("axc", 1, 5, "abc")]
 
 
 def test_deletion_keys_are_hashes_of_the_strings():
     words = ["abcabc", "aab", "zé", "b"]
-    row, place, short, _, _ = spelling.deletion_keys(words)
+    row, place, short, _, _ = spelling.deletion_keys(words)  # also of rests of no code point
     rest = [words[r][:p] + words[r][p + 1 :] for r, p in zip(row, place, strict=True)]
     whole = dict(zip(rest, spelling.deletion_keys(rest)[4], strict=True))
     assert all(whole[s] == h for s, h in zip(rest, short, strict=True)) and len(set(whole.values())) == len(set(rest))
@@ -231,6 +246,8 @@ def test_packing_is_never_worse_than_best_fit(shape):
 def test_dominated_fillings():
     counts = np.bincount([5, 5, 3, 2, 7], minlength=11)
     assert packing.dominated(((3, 1), (2, 1)), 2, counts)  # 3 and 2 may go for 5 or 7
+    assert packing.dominated(((7, 1),), 2, counts)  # 2 fits beside it
+    counts[2] = 0
     assert packing.dominated(((5, 1),), 2, counts) and not packing.dominated(((7, 1),), 2, counts)
     assert not packing.dominated(((3, 1),), 0, counts)
 
