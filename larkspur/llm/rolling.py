@@ -24,6 +24,7 @@ statistics of the cells and decide work alone.
 
 from __future__ import annotations
 
+import struct
 from functools import partial
 
 import numpy as np
@@ -50,6 +51,8 @@ SLOTS = 6
 MOST_CENTS = 1 << 53
 #: Points that one index holds in the second round.
 TOGETHER = 1 << 15
+#: What stands before packed numbers: bytes of each, and the least.
+HEADER = "<Bq"
 
 
 # -- ranks in windows ----------------------------------------------------------
@@ -191,12 +194,25 @@ def _cold(span):
 # -- hot groups ------------------------------------------------------------------
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes: the least of them, then what each is more, in as few bytes as the largest needs. Differences wrap, so that any 64-bit numbers may stand together."""
+    if not len(x):
+        return b""
+    least, more = int(x.min()), int(x.max()) - int(x.min())
+    size = next(size for size in (1, 2, 4, 8) if more < 1 << 8 * size)
+    return struct.pack(HEADER, size, least) + (x.astype(np.int64) - np.int64(least)).astype(f"<u{size}").tobytes()
+
+
 def _longs(x: bytes | None) -> np.ndarray:
-    return np.frombuffer(x or b"", np.int64)
+    if not x:
+        return np.empty(0, np.int64)
+    size, least = struct.unpack_from(HEADER, x)
+    return np.frombuffer(x, f"<u{size}", offset=struct.calcsize(HEADER)).astype(np.int64) + np.int64(least)
 
 
-def _ints(x: bytes | None) -> np.ndarray:
-    return np.frombuffer(x or b"", np.int32)
+def _many(x: bytes) -> int:
+    """How many numbers are packed."""
+    return (len(x) - struct.calcsize(HEADER)) // x[0] if x else 0
 
 
 def _flags(x: bytes | None) -> np.ndarray:
@@ -234,7 +250,7 @@ def _cells(batches):
             v = np.sort(value[has])
             marks = v[(np.arange(m := min(len(v), MOST_PARTS)) * len(v)) // max(1, m)]
             shape = (part.column(c)[0].as_py() for c in ("span_cells", "parts"))
-            yield emit([(*key, *shape, len(v), part.column("at").to_numpy().tobytes(), value.tobytes(), has.tobytes(), ids.tobytes(), named.tobytes(), marks.tobytes())])
+            yield emit([(*key, *shape, len(v), _packed(part.column("at").to_numpy()), _packed(value), has.tobytes(), _packed(ids), named.tobytes(), _packed(marks))])
 
 
 CUTS = "series string, g long, cuts binary"
@@ -256,7 +272,7 @@ def _cuts(batches):
     emit = _emit(CUTS)
     for t in whole_groups(batches, KEY):
         for key, part in _parts_of(t, KEY):
-            yield emit([(*key, cuts_of([_longs(x) for x in part.column("marks").to_pylist()], part.column("held").to_pylist(), part.column("parts")[0].as_py()).tobytes())])
+            yield emit([(*key, _packed(cuts_of([_longs(x) for x in part.column("marks").to_pylist()], part.column("held").to_pylist(), part.column("parts")[0].as_py())))])
 
 
 PIECE = "series string, g long, o int, shard int, span_cells int, n long, low long, high long, at binary, c binary"
@@ -275,7 +291,7 @@ def _pieces(batches):
             rows = []
             for i, j in zip(edges, [*edges[1:], len(order)], strict=True):
                 x = order[i:j]
-                rows.append((row["series"], row["g"], row["o"], int(shard[x[0]]), row["span_cells"], j - i, int(value[x].min()), int(value[x].max()), at[x].tobytes(), value[x].tobytes()))
+                rows.append((row["series"], row["g"], row["o"], int(shard[x[0]]), row["span_cells"], j - i, int(value[x].min()), int(value[x].max()), _packed(at[x]), _packed(value[x])))
             if rows:
                 yield emit(rows)
 
@@ -298,7 +314,7 @@ def _heads(batches):
             np.minimum.at(low, shard, part.column("low").to_numpy())
             np.maximum.at(high, shard, part.column("high").to_numpy())
             for k in range(span_cells, len(sums) - 1):
-                yield emit([(*key, k, shards.astype(np.int64).tobytes(), (sums[k] - sums[k - span_cells + 1]).tobytes(), low.tobytes(), high.tobytes())])
+                yield emit([(*key, k, _packed(shards), _packed(sums[k] - sums[k - span_cells + 1]), _packed(low), _packed(high))])
 
 
 ASKED = "series string, g long, o int, span_cells int, need array<int>, fixed binary, w binary, at binary, n binary, median2 binary, under binary, low binary, high binary, counts binary"
@@ -358,8 +374,8 @@ def _asked(span):
                     w = np.flatnonzero(which == k)
                     chosen = np.flatnonzero(mask[x])
                     alone = chosen[single[chosen]]
-                    edges = (low[w].tobytes(), high[w].tobytes()) if len(alone) else (b"", b"")
-                    rows.append((row["series"], row["g"], row["o"], row["span_cells"], shards[chosen[~single[chosen]]].tolist(), lows[alone].tobytes(), w.astype(np.int32).tobytes(), at[w].tobytes(), n[w].astype(np.int32).tobytes(), mid2[w].tobytes() if known else b"", under[w].tobytes(), *edges, counts[w][:, alone].tobytes()))
+                    edges = (_packed(low[w]), _packed(high[w])) if len(alone) else (b"", b"")
+                    rows.append((row["series"], row["g"], row["o"], row["span_cells"], shards[chosen[~single[chosen]]].tolist(), _packed(lows[alone]), _packed(w), _packed(at[w]), _packed(n[w]), _packed(mid2[w]) if known else b"", _packed(under[w]), *edges, _packed(counts[w][:, alone].ravel())))
                 if rows:
                     yield emit(rows)
 
@@ -397,7 +413,7 @@ def _block(rows: list[dict], span: int, deviation: bool) -> list[np.ndarray]:
     """For requests that met their shards: the sums of the two middle values of each of their windows."""
     points, asks = [], []
     for r in rows:
-        a = {k: _longs(r[k]) for k in ("at", "median2", "under", "low", "high")} | {"n": _ints(r["n"]).astype(np.int64), "fixed": 2 * _longs(r["fixed"]), "counts": _longs(r["counts"])}
+        a = {k: _longs(r[k]) for k in ("at", "median2", "under", "low", "high")} | {"n": _longs(r["n"]), "fixed": 2 * _longs(r["fixed"]), "counts": _longs(r["counts"])}
         at, c = (np.concatenate([_longs(x[k]) for x in r["met"] or ()] or [np.empty(0, np.int64)]) for k in ("at", "c"))
         order = np.argsort(at, kind="stable")
         points.append((at[order], c[order]))
@@ -441,11 +457,11 @@ def _found(span, deviation):
             held, size = [], 0
             for row in [*b.to_pylist(), None]:
                 if held and (row is None or size > TOGETHER):
-                    yield emit([(r["series"], r["g"], r["o"], r["w"], r["n"], x.tobytes()) for r, x in zip(held, _block(held, span, deviation), strict=True)])
+                    yield emit([(r["series"], r["g"], r["o"], r["w"], r["n"], _packed(x)) for r, x in zip(held, _block(held, span, deviation), strict=True)])
                     held, size = [], 0
                 if row is not None:
                     held.append(row)
-                    size += sum(len(x["at"]) // 8 for x in row["met"] or ())
+                    size += sum(_many(x["at"]) for x in row["met"] or ())
 
     return run
 
@@ -459,10 +475,10 @@ def _ordered(batches):
     for b in batches:
         rows = []
         for r in b.to_pylist():
-            w = np.concatenate([_ints(x["w"]) for x in r["x"]])
-            n, first = np.empty(len(w), np.int32), np.empty(len(w), np.int64)
-            n[w], first[w] = np.concatenate([_ints(x["n"]) for x in r["x"]]), np.concatenate([_longs(x["first"]) for x in r["x"]])
-            rows.append((r["series"], r["g"], r["o"], n.tobytes(), first.tobytes()))
+            w = np.concatenate([_longs(x["w"]) for x in r["x"]])
+            n, first = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
+            n[w], first[w] = np.concatenate([_longs(x["n"]) for x in r["x"]]), np.concatenate([_longs(x["first"]) for x in r["x"]])
+            rows.append((r["series"], r["g"], r["o"], _packed(n), _packed(first)))
         if rows:
             yield emit(rows)
 
@@ -472,7 +488,7 @@ def _opened(batches):
     for b in batches:
         for r in b.to_pylist():
             ids = _longs(r["id"])
-            yield _rows(pa.array([r["series"]] * len(ids), pa.string()), ids, ~_flags(r["named"]), _ints(r["n"]).astype(np.int64), _longs(r["median2"]), _longs(r["mad4"]), _longs(r["c"]), _flags(r["has"]))
+            yield _rows(pa.array([r["series"]] * len(ids), pa.string()), ids, ~_flags(r["named"]), _longs(r["n"]), _longs(r["median2"]), _longs(r["mad4"]), _longs(r["c"]), _flags(r["has"]))
 
 
 def hot_groups(points: DataFrame, span: int) -> DataFrame:
@@ -484,6 +500,7 @@ def hot_groups(points: DataFrame, span: int) -> DataFrame:
     cells = stored(dealt(points, *KEY, "o", then=("at",)).select(*KEY, "o", "span_cells", "parts", "at", "c", "id").mapInArrow(_cells, CELL), "cells")
     cuts = stored(dealt(cells.select(*KEY, "parts", "held", "marks"), *KEY).mapInArrow(_cuts, CUTS), "cuts")
     pieces = stored(cells.where("held > 0").select(*KEY, "o", "span_cells", "at", "c", "has").join(cuts, KEY).mapInArrow(_pieces, PIECE), "pieces")
+    removed(cuts)
     heads = stored(dealt(pieces.select(*KEY, "o", "shard", "span_cells", "n", "low", "high"), *KEY).mapInArrow(_heads, HEAD), "heads")
     before = cells.select(*KEY, (F.col("o") + F.col("span_cells")).alias("o"), *[F.col(c).alias(f"before_{c}") for c in ("at", "c", "has")])
     own = cells.where("o >= span_cells")
@@ -504,6 +521,8 @@ def hot_groups(points: DataFrame, span: int) -> DataFrame:
     windows = own.select(*cell, "span_cells", "at", "c", "has")
     medians = sums(windows.withColumn("median2", F.lit(None).cast("binary")), False).withColumnRenamed("first", "median2")
     mads = sums(windows.join(medians.drop("n"), cell), True).select(*cell, F.col("first").alias("mad4"))
+    removed(pieces)
+    removed(heads)
     return own.select(*cell, "c", "has", "id", "named").join(medians, cell).join(mads, cell).mapInArrow(_opened, RESULT_DDL)
 
 

@@ -93,6 +93,15 @@ def test_cuts_part_evenly_and_isolate_heavy_values():
     assert {0, 1} <= set(cuts.tolist()) and sizes[np.searchsorted(cuts, 0, "right")] == 500 and max(sizes[np.searchsorted(cuts, 1, "right") :]) <= 110
 
 
+@pytest.mark.parametrize("numbers", [[], [7], [3, 3, 3], [0, 255], [-1, 255], [1 << 40, 0, 5], [-(1 << 63), (1 << 63) - 1, 0], list(range(-70000, 70000, 7))])
+def test_packed_numbers_come_back(numbers):
+    x = np.array(numbers, np.int64)
+    packed = rolling._packed(x)
+    back = rolling._longs(packed)
+    assert back.dtype == np.int64 and back.tolist() == numbers and rolling._many(packed) == len(numbers)
+    assert len(packed) <= 9 + 8 * len(numbers)
+
+
 def test_clicks(spark):
     given = "click_id long, ts timestamp_ntz, kind string, value double"
     data = spark.sql("SELECT * FROM VALUES (1, timestamp_ntz'2024-03-10 02:30:00.000001', 'a', 0.005), (1, timestamp_ntz'2024-03-10 02:30:00.000001', 'a', 0.005), (2, null, 'a', 1.0), (null, timestamp_ntz'1969-12-31 23:59:59.999999', null, double('nan')), (null, timestamp_ntz'1969-12-31 23:59:59.999999', null, 1e300) AS t(click_id, ts, kind, value)")
