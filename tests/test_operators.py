@@ -473,8 +473,8 @@ def test_jdbc(spark):
     assert got.count() == 100 and got.agg(F.sum("twice")).first()[0] == 9900 and got.rdd.getNumPartitions() == 4
 
 
-def test_http(spark):
-    """A server on this machine: body limit, time limits, status, no redirects."""
+def test_http(spark, tmp_path):
+    """A server on this machine: body limit, time limits, status, no redirects; as a function and as a format of Spark's."""
     import http.server
     import threading
     import time
@@ -523,6 +523,30 @@ def test_http(spark):
         for h in hosts:
             at = sorted(t for host, t in seen if host == h)
             assert len(at) == 4 and all(b - a > 0.1 for a, b in zip(at, at[1:], strict=False))
+        # The same by format, from a queue on disk.
+        pages.register(spark)
+        queue = f"file://{tmp_path}/queue"
+        pages.enqueue(urls, queue, 3, by_host=False)
+        pages.enqueue(urls.limit(0), queue, 3)
+        read = spark.read.format("live_pages").option("userAgent", "test").option("connectMs", 500).option("totalMs", 600).option("bodyBytes", 1000)
+        table = read.load(queue)
+        assert table.rdd.getNumPartitions() >= 3 and table.columns == pages.http_pages(urls, "test").columns
+        same = {r["url"].removeprefix(base): r for r in table.collect()}
+        assert same.keys() == got.keys()
+        for url, r in got.items():
+            one, two = (x.asDict() | {"duration_ms": 0, "headers": "" if "Date" in x["headers"] else x["headers"]} for x in (r, same[url]))
+            assert one == two or url == "/slow"
+        assert re.search("limit|timed out", same["/slow"]["error"])
+        pages.enqueue(polite, f"{tmp_path}/polite", 2)
+        seen.clear()
+        assert read.option("delayMs", 150).load(f"{tmp_path}/polite").where("status = 200").count() == 8
+        for h in hosts:
+            at = sorted(t for host, t in seen if host == h)
+            assert len(at) == 4 and all(b - a > 0.1 for a, b in zip(at, at[1:], strict=False))
+        (tmp_path / "none").mkdir()
+        assert read.load(f"{tmp_path}/none").count() == 0
+        with pytest.raises(Exception, match="userAgent"):
+            spark.read.format("live_pages").load(queue).collect()
         start = time.monotonic_ns()
         assert telemetry.elapsed_ms(start + 10**12) == 0 and telemetry.elapsed_ms(start) >= 0 and telemetry.now_ms() > 1_700_000_000_000
     finally:
