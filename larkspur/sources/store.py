@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,6 +134,10 @@ UNIQUE = {"documents": [["content_sha256"]], "document_chunks": [["text_sha256"]
 
 #: How long a writer waits for another, in milliseconds (a fixed value).
 BUSY_MS = 2500
+#: Rows of an insert that one task decides in order.
+IN_ORDER = 1 << 17
+#: A round of an insert that leaves more than this part of its rows open has settled little.
+LITTLE = 0.9
 #: Versions that a created store has.
 VERSIONS = (1, 2)
 
@@ -267,6 +272,28 @@ def _filled(table: str, rows: DataFrame, there: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.kind).alias(f.name) for f in fields(table)], "_at")
 
 
+def _in_order(unique: list[list[str]]):
+    """The rows of one task, in order, that share no unique value with one taken before; a value with a null in it is shared with nothing."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: list[set] = [set() for _ in unique]
+        for b in batches:
+            columns = b.to_pydict()
+            at = []
+            for n, x in enumerate(columns["_at"]):
+                own = [tuple(columns[c][n] for c in u) for u in unique]
+                if not any(v in s for v, s in zip(own, seen, strict=True)):
+                    at.append(x)
+                    for v, s in zip(own, seen, strict=True):
+                        if None not in v:
+                            s.add(v)
+            yield pa.RecordBatch.from_pydict({"_at": pa.array(at, pa.int64())})
+
+    return run
+
+
 def decided(table: str, rows: DataFrame, there: DataFrame, parents: dict[str, DataFrame], order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(taken, refused) of rows that are added to a table one after another in `order` (a unique whole number; without one, as they are read).
 
@@ -296,20 +323,35 @@ def decided(table: str, rows: DataFrame, there: DataFrame, parents: dict[str, Da
     rows = cut(rows)
 
     # Rows that are the first with each of their unique values are taken; what shares a value with one of them leaves; and again.
+    # Where that settles little, as along a chain of rows each of which shares a value with the next, or little is left, the first
+    # rows are decided in order by one task: it holds the unique values of IN_ORDER rows at most.
     good = rows.where(F.size("violations") == 0)
-    open_, taken = good, rows.limit(0)
-    while open_.limit(1).count():
-        marked = open_
-        for n, columns in enumerate(unique.values()):
-            known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in columns])
-            first = open_.where(known).groupBy(*columns).agg(F.min("_at").alias(f"_first{n}"))
-            marked = marked.join(first, columns, "left")
-        mine = reduce(lambda x, y: x & y, [F.coalesce(F.col(f"_first{n}") == F.col("_at"), F.lit(True)) for n in range(len(unique))])
-        now = cut(marked.where(mine).select(*rows.columns))
-        rest = marked.where(~mine).select(*rows.columns)
+    values = list(dict.fromkeys(c for columns in unique.values() for c in columns))
+    open_, taken, left, settled = good, rows.limit(0), good.count(), True
+    for step in count(1):
+        if not left:
+            break
+        if left <= IN_ORDER or not settled:
+            first = cut(open_.select("_at", *values).orderBy("_at").limit(IN_ORDER).coalesce(1))
+            chosen = first.coalesce(1).sortWithinPartitions("_at").mapInArrow(_in_order(list(unique.values())), "_at bigint")
+            now = cut(open_.join(chosen, "_at", "left_semi").select(*rows.columns))
+            rest = open_.join(first.select("_at"), "_at", "left_anti").select(*rows.columns)
+        else:
+            marked = open_
+            for n, columns in enumerate(unique.values()):
+                known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in columns])
+                first = open_.where(known).groupBy(*columns).agg(F.min("_at").alias(f"_first{n}"))
+                marked = marked.join(first, columns, "left")
+            mine = reduce(lambda x, y: x & y, [F.coalesce(F.col(f"_first{n}") == F.col("_at"), F.lit(True)) for n in range(len(unique))])
+            now = cut(marked.where(mine).select(*rows.columns))
+            rest = marked.where(~mine).select(*rows.columns)
         for columns in unique.values():
             rest = rest.join(now.select(*columns), columns, "left_anti").select(*rows.columns)
-        open_, taken = cut(rest), taken.unionByName(now)
+        open_, before_, taken = cut(rest), left, taken.unionByName(now)
+        left = open_.count()
+        settled = left <= LITTLE * before_
+        if step % 8 == 0:  # the union stays short
+            taken = cut(taken)
     taken = cut(taken)
     refused = good.join(taken.select("_at"), "_at", "left_anti").select(*rows.columns)
     for name, columns in unique.items():

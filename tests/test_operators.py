@@ -424,10 +424,17 @@ def test_store_deletes(spark):
     spark.sql("DROP DATABASE store_deletes CASCADE")
 
 
-def test_store_takes_the_first_of_every_unique_value(spark):
-    """Against inserting one after another, several unique values of a row at once."""
+@pytest.mark.parametrize("in_order", [1 << 17, 0, 40])
+def test_store_takes_the_first_of_every_unique_value(spark, monkeypatch, in_order):
+    """Against inserting one after another, several unique values of a row at once: in one task, in rounds, in both."""
     import random
 
+    if in_order:
+        monkeypatch.setattr(store, "IN_ORDER", in_order)
+    else:  # rounds alone, however little they settle
+        monkeypatch.setattr(store, "IN_ORDER", 0)
+        monkeypatch.setattr(store, "LITTLE", 1)
+
     rng = random.Random(8)
     data = [(n, f"c{rng.randrange(60)}", f"d{rng.randrange(6)}" if rng.random() < 0.9 else None, rng.randrange(-1, 30), f"h{rng.randrange(80)}") for n in range(160)]
     there = {("c1", "h1", "d1", 1), ("c2", "h2", "d2", 2)}
@@ -446,6 +453,19 @@ def test_store_takes_the_first_of_every_unique_value(spark):
     assert refused.count() == len(data) - len(want) and refused.where("size(violations) = 0").count() == 0
 
 
+def test_a_chain_of_rows_is_decided_in_blocks(spark, monkeypatch):
+    """Each row shares a value with the next: every second one is taken, without a round for each."""
+    monkeypatch.setattr(store, "IN_ORDER", 150)
+    chain = spark.range(400).select(F.col("id").alias("at"), F.expr("concat('c', (id + 1) div 2)").alias("id"), F.expr("concat('h', id div 2)").alias("text_sha256"))
+    rows_ = chain.select("*", F.lit("d0").alias("document_id"), F.col("at").cast("int").alias("ordinal"), F.col("at").alias("start_offset"), F.col("at").alias("end_offset"), F.lit("t").alias("text"), F.lit(1).alias("token_count"))
+    old = spark.createDataFrame([], "id string, text_sha256 string, document_id string, ordinal int")
+    cuts = []
+    monkeypatch.setattr(store, "cut", lambda df, real=store.cut: (cuts.append(1), real(df))[1])
+    taken, refused = store.decided("document_chunks", rows_.repartition(4), old, {"documents": spark.createDataFrame([("d0",)], "id string")}, order="at")
+    assert sorted(r["start_offset"] for r in taken.collect()) == list(range(0, 400, 2)) and refused.count() == 200
+    assert len(cuts) < 20  # 200 rounds otherwise
+
+
 def test_store_insert_query_is_one_after_another(spark, sf):
     """The registered query against Python over the same table."""
     from larkspur.plans import catalogue
