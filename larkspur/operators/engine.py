@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -25,12 +26,17 @@ from larkspur.sources.telemetry import SCHEMA, elapsed_ms
 class Config:
     user_agent: str = "larkspur"
     max_depth: int = 2
-    max_documents: int = 256
+    max_documents: int | None = 256  # None: a crawl ends where its queue does
     limits: FetchLimits = field(default_factory=FetchLimits)
     obey_robots: bool = False
     k1: float = rank.K1
     b: float = rank.B
 
+    @property
+    def room(self) -> float:
+        """How many documents may come."""
+        return math.inf if self.max_documents is None else self.max_documents
+
 
 def event(name: str, error: bool, bytes_in: Column, bytes_out: Column, duration_ms: Column | None = None) -> Column:
     return F.struct(
@@ -100,11 +106,11 @@ def seeded(start: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """
     seq = F.col("seq").cast("bigint") if "seq" in start.columns else F.monotonically_increasing_id()
     rows = start.select(canonical(F.col("url")).alias("url"), seq.alias("seq")).groupBy("url").agg(F.count("*").alias("n"), F.min("seq").alias("place"))
-    taken = rows.where(F.col("url").isNotNull() & F.lit(config.max_documents > 0)).select("url", F.lit(0).alias("depth"), "place")
+    taken = rows.where(F.col("url").isNotNull() & F.lit(config.room > 0)).select("url", F.lit(0).alias("depth"), "place")
     nothing = F.lit(0)
     refused = F.when(F.col("url").isNull(), F.col("n")).otherwise(F.col("n") - 1).cast("int")
-    refused = refused if config.max_documents > 0 else F.col("n").cast("int")
-    ok = F.when(F.col("url").isNull() | F.lit(config.max_documents <= 0), F.lit(0)).otherwise(F.lit(1))
+    refused = refused if config.room > 0 else F.col("n").cast("int")
+    ok = F.when(F.col("url").isNull() | F.lit(config.room <= 0), F.lit(0)).otherwise(F.lit(1))
     each = F.concat(F.array_repeat(event("crawl_seed", False, nothing, nothing), ok), F.array_repeat(event("crawl_seed", True, nothing, nothing), refused))
     return taken, rows.select(F.explode(each).alias("event")).select("event.*")
 
@@ -148,7 +154,7 @@ def crawl(pages: DataFrame, start: DataFrame, config: Config = Config(), robots:
     for depth in range(config.max_depth + 1):
         step = checkpoint(attempts(world, level, config, robots))
         good = step.where("event.name = 'crawl_indexed'")
-        there, room = good.count(), config.max_documents - indexed
+        there, room = good.count(), config.room - indexed
         if there >= room:  # the cap lies in this level
             last = numbered(good.select("place"), "place", "_n").where(F.col("_n") == room - 1).select("place").first()
             reached = F.lit(False) if last is None else F.col("place") <= last[0]
@@ -160,11 +166,11 @@ def crawl(pages: DataFrame, start: DataFrame, config: Config = Config(), robots:
         if depth < config.max_depth:
             level = checkpoint(arrivals(world, good, known, depth + 1))
             known = known.union(level.select("url"))
-        if indexed >= config.max_documents:
+        if indexed >= config.room:
             waiting = waiting.unionByName(level) if depth < config.max_depth else waiting
             break
     spark = pages.sparkSession
-    end = "crawl_limit" if indexed >= config.max_documents else "crawl_empty"
+    end = "crawl_limit" if indexed >= config.room else "crawl_empty"
     ended = spark.range(1).select(event(end, False, F.lit(0), F.lit(0)).alias("event")).select("event.*")
     good = numbered(tried.where("event.name = 'crawl_indexed'").select(F.col("url").alias("asked"), "depth", "place", "effective"), ["depth", "place"], "_n")
     documents = world.select(F.col("url").alias("asked"), "title", "text").join(good, "asked").select((F.col("_n") + 1).alias("id"), F.col("effective").alias("url"), "title", "text")

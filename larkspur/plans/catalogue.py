@@ -538,7 +538,7 @@ def lateral_segments(spark, sf):
 def crawl_events(spark, sf):
     """Telemetry of a crawl over all pages: what was tried, by outcome."""
     rows = read(spark, sf, "pages").where("url IS NOT NULL")
-    return engine.crawl(rows, rows.select("url"), engine.Config(max_depth=0)).events.groupBy("name").agg(*telemetry.counters())
+    return engine.crawl(rows, rows.select("url"), engine.Config(max_depth=0, max_documents=None)).events.groupBy("name").agg(*telemetry.counters())
 
 
 def truth_classify(spark, sf):

@@ -142,3 +142,12 @@ def test_first_links_come_first(spark):
     assert rows(capped.documents.select("id", "url")) == [(1, "http://h/s"), (2, "http://h/z")] and [r["url"] for r in capped.frontier.collect()] == ["http://h/a"]
     one = engine.crawl(world_, start(spark, "http://h/z", "http://h/a").coalesce(1), engine.Config(max_documents=1))
     assert rows(one.documents.select("id", "url")) == [(1, "http://h/z")]
+
+
+def test_crawl_of_all_pages_has_no_cap(spark, tmp_path):
+    """More pages than the default cap: crawl_events tells of all of them, and ends at an empty queue."""
+    from larkspur.plans.catalogue import crawl_events
+
+    spark.range(300).select(F.col("id").alias("page_id"), F.format_string("http://h/%d", "id").alias("url"), F.lit("text").alias("html")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["name"]: (r["events"], r["bytes_in"]) for r in crawl_events(spark, str(tmp_path)).collect()}
+    assert got == {"crawl_seed": (300, 0), "crawl_indexed": (300, 1200), "crawl_empty": (1, 0)}
