@@ -1,10 +1,12 @@
 """A stored index that changes: immutable segments under a manifest, tombstones, merging, and a top-k that skips blocks.
 
 A segment holds documents and their postings. Its documents are dealt to blocks
-of about BLOCK_DOCS by hash of the id; the postings of a term in a block are one row, with
+of about BLOCK_DOCS by hash of the id; the postings of a term in a block are one row (several, where its documents are very long), with
 ids as offsets from the first, and with what bounds their scores: the
 largest term frequency and the least document length. These bounds hold whatever
-the statistics of the whole index become.
+the statistics of the whole index become. Documents are shuffled to their blocks, and
+a block's postings are counted and laid out where its documents are; a merge keeps
+blocks as they are and lays out anew only those that are small.
 
 Every change writes files of its own and is committed by one rename, which gives
 the next manifest its name: readers see all of it or nothing, and of two writers
@@ -21,6 +23,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.operators.constraints import BROADCAST_ROWS
@@ -29,13 +32,16 @@ from larkspur.operators.lineage import Busy, cut
 from larkspur.operators.rank import K1, B, bm25, parameters, query_tokens, top
 
 BLOCK_DOCS, BUCKETS = 4096, 64
+#: Tokens of a block that are counted at once.
+MOST_TOKENS = 1 << 22
 #: Segments of one tier (sizes within TIER times of each other) that are merged together.
 TIER, SEGMENTS = 4, 4
 #: Blocks that a search reads before it knows what score enters.
 FIRST_BLOCKS = 8
 
-DOCS = "segment string, id bigint, url string, title string, length int"
+DOCS = "segment string, id bigint, url string, title string, length int, block int"
 POSTINGS = "segment string, term string, block int, n int, max_tf int, min_length int, first bigint, offsets array<bigint>, tfs array<int>, lengths array<int>, bucket int"
+LAID = "block int, term string, n int, max_tf int, min_length int, first bigint, offsets array<bigint>, tfs array<int>, lengths array<int>"
 GONE = "id bigint, length int"
 
 
@@ -128,7 +134,7 @@ class SegmentedIndex:
         manifest = manifest or self.manifest()
         gone = self._read("gone", list(manifest.gone), GONE).select("id", F.lit(True).alias("_gone"))
         docs = self._read("docs", [n for n, _ in manifest.segments], DOCS)
-        return docs.join(gone, "id", "left").withColumn("active", F.col("_gone").isNull()).drop("_gone")
+        return docs.join(gone, "id", "left").withColumn("active", F.col("_gone").isNull()).drop("_gone", "block")
 
     def postings(self, manifest: Manifest, terms: list[str] | None = None) -> DataFrame:
         """Rows of blocks, of some terms alone: their buckets and they themselves stand in the filter as values."""
@@ -158,8 +164,10 @@ class SegmentedIndex:
         batches = was.batches if batch is None else (*[x for x in was.batches if x[0] != batch[0]], batch)
         if not many:
             return was if batches == was.batches else self._commit(Manifest(was.version + 1, was.segments, was.gone, was.n_docs, was.total_length, batches))
-        entries = rows.select("id", F.size("tokens").alias("length"), F.explode("tokens" if self.profile == "ascii" else F.array_distinct("tokens")).alias("term"))
-        self._write(name, rows.select("id", "url", "title", F.size("tokens").alias("length")), entries.withColumn("tf", F.lit(1)), many)
+        rows = rows.withColumn("block", _block(many)).withColumn("length", F.size("tokens"))
+        # With all of a block in one task, its tokens are counted and laid out without travelling.
+        dealt = rows.select("block", "id", "length", ("tokens" if self.profile == "ascii" else F.array_distinct("tokens").alias("tokens"))).repartition("block")
+        self._write(name, rows.drop("tokens"), _counted(dealt), many)
         return self._commit(Manifest(was.version + 1, (*was.segments, (name, many)), was.gone, was.n_docs + many, was.total_length + length, batches))
 
     def remove(self, ids: DataFrame) -> Manifest:
@@ -187,25 +195,24 @@ class SegmentedIndex:
             return was
         names, name = [n for n, _ in full[0]], f"s{uuid.uuid4().hex}"
         many = sum(k for _, k in full[0])
-        docs = self._read("docs", names, DOCS).drop("segment")
-        self._write(name, docs, opened(self._read("postings", names, POSTINGS)), many)
+        docs = self._read("docs", names, DOCS)
+        of = F.create_map(*[x for n, k in full[0] for x in (F.lit(n), F.lit(1 + k // BLOCK_DOCS))])
+        docs = docs.withColumn("block", F.coalesce("block", F.pmod(F.xxhash64("id"), of[F.col("segment")]).cast("int")))  # files of earlier versions do not tell
+        to = F.broadcast(cut(_renumbered(docs.groupBy("segment", "block").agg(F.count("*").alias("n")))))
+        held = self._read("postings", names, POSTINGS).join(to, ["segment", "block"]).drop("segment", "block", "bucket").withColumnRenamed("_to", "block")
+        few = opened(held.where("_parts > 1"), "block").repartition("block")
+        laid = held.where("_parts = 1").drop("_parts").unionByName(_laid(few))
+        self._write(name, docs.join(to, ["segment", "block"]).select("id", "url", "title", "length", F.col("_to").alias("block")), laid, many)
         gone = was.gone
         if len(gone) > 1:
             gone = (f"g{uuid.uuid4().hex}",)
             self._read("gone", list(was.gone), GONE).write.parquet(f"{self.path}/gone/{gone[0]}")
         return self._commit(Manifest(was.version + 1, (*[s for s in was.segments if s[0] not in names], (name, many)), gone, was.n_docs, was.total_length, was.batches))
 
-    def _write(self, name: str, docs: DataFrame, entries: DataFrame, many: int) -> None:
-        """A segment's files. entries (term, id, length, tf) are summed by term and id, then laid out by term in blocks; a block has as many rows as documents at most."""
+    def _write(self, name: str, docs: DataFrame, laid: DataFrame, many: int) -> None:
+        """A segment's files, from documents and postings (LAID) with their blocks."""
         docs.withColumn("segment", F.lit(name)).write.parquet(f"{self.path}/docs/{name}")
-        of = F.pmod(F.xxhash64("id"), F.lit(1 + many // BLOCK_DOCS)).cast("int")
-        rows = entries.withColumn("block", of).repartition("term", "block").groupBy("term", "block", "id", "length").agg(F.sum("tf").cast("int").alias("tf"))
-        held = rows.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "tf", "length"))).alias("x"))
-        first = F.col("x")[0]["id"]
-        out = held.select(
-            F.lit(name).alias("segment"), "term", "block", F.size("x").alias("n"), F.array_max("x.tf").alias("max_tf"), F.array_min("x.length").alias("min_length"), first.alias("first"),
-            F.transform("x", lambda p: p["id"] - F.col("x")[0]["id"]).alias("offsets"), F.col("x.tf").alias("tfs"), F.col("x.length").alias("lengths"), bucket(F.col("term"), BUCKETS).alias("bucket"),
-        )
+        out = laid.withColumn("segment", F.lit(name)).withColumn("bucket", bucket(F.col("term"), BUCKETS))
         # A term that all documents have is in every block: its rows are dealt out over as many files as the segment needs.
         files = F.pmod("block", F.lit(1 + many // (BLOCK_DOCS * 256)))
         out.repartition("bucket", files).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{self.path}/postings/{name}")
@@ -272,6 +279,116 @@ class SegmentedIndex:
         return Found(hits, bounds.count(), first.count() + n)
 
 
-def opened(postings: DataFrame) -> DataFrame:
-    """Rows of blocks to a row for each posting: term, id, tf, length."""
-    return postings.select("term", "first", F.explode(F.arrays_zip("offsets", "tfs", "lengths")).alias("p")).select("term", (F.col("first") + F.col("p.offsets")).alias("id"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("length"))
+def _block(many: int) -> Column:
+    """The block of an id in a new segment of so many documents."""
+    return F.pmod(F.xxhash64("id"), F.lit(1 + many // BLOCK_DOCS)).cast("int")
+
+
+def _renumbered(sizes: DataFrame) -> DataFrame:
+    """Of blocks (segment, block, n) the block of the merged segment, _to, and how many share it, _parts: those with less than half of BLOCK_DOCS are put together up to about BLOCK_DOCS.
+
+    sizes has a row a block, so that windows over all of it are small.
+    """
+    small = F.col("n") < BLOCK_DOCS // 2
+    earlier = F.sum(F.when(small, F.col("n"))).over(W.orderBy("segment", "block").rowsBetween(W.unboundedPreceding, -1))
+    rows = sizes.withColumn("_bin", F.when(small, F.floor(F.coalesce(earlier, F.lit(0)) / BLOCK_DOCS)))
+    rows = rows.withColumn("_to", F.dense_rank().over(W.orderBy("_bin", F.when(~small, F.col("segment")), F.when(~small, F.col("block")))) - 1)
+    return rows.select("segment", "block", "_to", F.count("*").over(W.partitionBy("_to")).alias("_parts"))
+
+
+def _lists():
+    """A function that makes rows (LAID) of blocks and terms, of all their postings' ids, frequencies and lengths, and of where each row's postings start. It travels by value."""
+
+    def lists(block, term, ids, tfs, lengths, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        ends = np.append(starts, len(ids))
+        held = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (ids - np.repeat(ids[starts], np.diff(ends)), tfs, lengths)]
+        columns = [block, term, pa.array(np.diff(ends), pa.int32()), pa.array(np.maximum.reduceat(tfs, starts)), pa.array(np.minimum.reduceat(lengths, starts)), pa.array(ids[starts]), *held]
+        return pa.RecordBatch.from_arrays(columns, ["block", "term", "n", "max_tf", "min_length", "first", "offsets", "tfs", "lengths"])
+
+    return lists
+
+
+def _counted(dealt: DataFrame) -> DataFrame:
+    """Documents (block, id, length, tokens), all of a block in one partition, to their postings (LAID).
+
+    A task holds MOST_TOKENS tokens at most, or one batch: where a block has more, a term gets a row for each part of it.
+    """
+    lists, most = _lists(), MOST_TOKENS
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def found(held):
+            t = pa.Table.from_batches(held).combine_chunks()
+            tokens = t.column("tokens").chunk(0)
+            codes = tokens.flatten().dictionary_encode()
+            doc = np.repeat(np.arange(t.num_rows), tokens.value_lengths().to_numpy())
+            # A document is in its place by id, so that a term's postings come in the order of ids.
+            key, tf = np.unique((codes.indices.to_numpy().astype(np.int64) << 32) | doc, return_counts=True)
+            code, doc = key >> 32, key & 0xFFFFFFFF
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            if len(starts):
+                block = pa.array(np.full(len(starts), t.column("block")[0].as_py()), pa.int32())
+                ids, lengths = (t.column(c).to_numpy()[doc] for c in ("id", "length"))
+                yield lists(block, codes.dictionary.take(pa.array(code[starts])), ids, tf.astype(np.int32), lengths, starts)
+
+        held, size = [], 0
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            starts = np.flatnonzero(np.diff(block, prepend=-1)) if len(block) else []
+            for a, b in zip(starts, [*starts[1:], len(block)], strict=True):
+                part = batch.slice(int(a), int(b - a))
+                more = int(part.column("length").to_numpy().sum(dtype=np.int64))
+                if held and (size + more > most or held[0].column("block")[0].as_py() != block[a]):
+                    yield from found(held)
+                    held, size = [], 0
+                held, size = [*held, part], size + more
+        if held:
+            yield from found(held)
+
+    return dealt.sortWithinPartitions("block", "id").mapInArrow(run, LAID)
+
+
+def _laid(entries: DataFrame) -> DataFrame:
+    """Postings (block, term, id, length, tf), all of a block in one partition, to a row for each block and term (LAID)."""
+
+    lists = _lists()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def found(t, starts):
+            own = t.select(["block", "term"]).take(pa.array(starts)).combine_chunks()
+            return lists(own.column(0).chunk(0), own.column(1).chunk(0), *(t.column(c).to_numpy() for c in ("id", "tf", "length")), starts)
+
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, term = batch.column("block"), batch.column("term")
+            new = np.flatnonzero(np.array(pc.or_(pc.not_equal(block[1:], block[:-1]), pc.not_equal(term[1:], term[:-1])))) + 1
+            if held and (held[-1].column("block")[-1] != block[0] or held[-1].column("term")[-1] != term[0]):
+                new = np.append(0, new)
+            if not len(new):  # one group so far
+                held.append(batch)
+                continue
+            last = int(new[-1])
+            t = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            yield found(t, np.append(0, new[:-1] + t.num_rows - last))
+            held = [batch.slice(last)]
+        if held:
+            yield found(pa.Table.from_batches(held).combine_chunks(), np.array([0]))
+
+    return entries.select("block", "term", "id", "length", "tf").sortWithinPartitions("block", "term", "id").mapInArrow(run, LAID)
+
+
+def opened(postings: DataFrame, *more: str) -> DataFrame:
+    """Rows of blocks to a row for each posting: term, id, tf, length, and more of the block's columns."""
+    rows = postings.select(*more, "term", "first", F.explode(F.arrays_zip("offsets", "tfs", "lengths")).alias("p"))
+    return rows.select(*more, "term", (F.col("first") + F.col("p.offsets")).alias("id"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("length"))

@@ -89,3 +89,23 @@ def test_tiers_are_merged_from_below(spark, tmp_path):
         held.add(spark.createDataFrame([(k, "alpha", "")], DDL))
     assert sorted(n for _, n in held.merge().segments) == [4, 30] and held.merge() == held.manifest()
     assert segmented.SegmentedIndex(spark, f"file://{tmp_path}/none").search("alpha").hits.count() == 0
+
+
+@pytest.mark.parametrize("profile", ["ascii", "unicode"])
+def test_merges_keep_blocks(spark, tmp_path, monkeypatch, profile):
+    """Blocks of fair size are merged as they are, small ones together, and a block of many tokens in parts; searches give the same."""
+    monkeypatch.setattr(segmented, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(segmented, "MOST_TOKENS", 60)
+    rng = random.Random(5)
+    held = segmented.SegmentedIndex(spark, f"file://{tmp_path}/i", profile)
+    data = [doc(rng, k) for k in range(1, 141)]
+    for a, b in ((0, 100), (100, 103), (103, 105), (105, 140)):
+        held.add(spark.createDataFrame(data[a:b], DDL))
+    monkeypatch.setattr(segmented, "_block", None)  # no block is dealt anew
+    now = held.merge(everything=True)
+    sizes = [r["n"] for r in held._read("docs", [n for n, _ in now.segments], segmented.DOCS).groupBy("block").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 140 and max(sizes) < 32 and 7 <= len(sizes) <= 11
+    built = index.build(spark.createDataFrame(data, DDL), profile)
+    assert rows(segmented.opened(held.postings(now)).select("term", "id").distinct()) == rows(built.postings.select("term", "id"))
+    for query, k in (("alpha zeta zeta", 5), ("theta beta", 200)):
+        assert rounded(held.search(query, k).hits) == rounded(rank.search(built, query, k))
