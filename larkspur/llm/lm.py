@@ -37,7 +37,8 @@ END = b"\xff"
 HEAD_GRAMS = 1 << 22
 #: Words whose counts are broadcast; the others are joined.
 HEAD_WORDS = 1 << 18
-PIECE = 1 << 21
+#: Bytes of text that a task turns into byte strings at once: each takes some 150 bytes on the way.
+PIECE = 1 << 19
 FLUSH = 400_000
 
 

@@ -996,3 +996,19 @@ def test_commonest(spark):
 def test_stored(spark):
     df = stored(spark.range(5), "test")
     assert df.count() == 5 and "larkspur-test" in df.inputFiles()[0]
+
+
+def test_op10_scoring_holds_little_at_once():
+    """What a task needs beside the model is bounded by a piece, not by the batch of texts."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(97, 123, 1 << 14).astype(np.uint8).tobytes() for _ in range(256)]
+    score = lm.Scorer((np.empty(0, np.uint64), np.empty(0, np.float32)))
+    tracemalloc.start()
+    for _, part in lm.pieces([pa.RecordBatch.from_arrays([pa.array(range(256)), pa.array(texts)], ["doc_id", "text"])], ["doc_id", "text"]):
+        g, begin = lm.grams(part)
+        lm.rare_of(g, begin, score(g))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
